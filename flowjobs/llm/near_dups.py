@@ -118,7 +118,7 @@ def _near(sig, n, i, j, percent: int) -> np.ndarray:
     return ok
 
 
-def _buckets(percent: int):
+def _buckets(percent: int, most: int):
     """Pairs of small buckets; stars and member rows of larger ones. Input is sorted by key and turn."""
 
     def out(key, a, b, large):
@@ -148,7 +148,7 @@ def _buckets(percent: int):
         size = np.diff(np.append(lead, len(key)))
         bucket = np.repeat(np.arange(len(lead)), size)
         streamed = hub is not None and hub[0] == key[0]
-        large = size > SMALL
+        large = size > most
         if streamed:
             large[0] = True
         # A short bucket at the end waits for its next rows.
@@ -156,7 +156,7 @@ def _buckets(percent: int):
         end = lead[-1] if waits else len(key)
         small = ~large[bucket[:end]]
         pairs = []
-        for o in range(1, min(SMALL, end)):
+        for o in range(1, min(most, end)):
             i = np.flatnonzero((bucket[: end - o] == bucket[o:end]) & small[: end - o])
             if not len(i):
                 break
@@ -185,9 +185,10 @@ def _buckets(percent: int):
 def _cells(percent: int):
     """Near pairs of different components within each cell (key, i, j) of two blocks. A cell is whole in its rows."""
 
-    def run(key, batches):
-        parts = [(b.column("node").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False), b.column("component").to_numpy(zero_copy_only=False), b.column("block").to_numpy(zero_copy_only=False), _symbols(b)) for b in batches]
-        node, n, comp, block, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def run(key, table):
+        node, n, comp, block = (table.column(c).to_numpy() for c in ("node", "n", "component", "block"))
+        sig = _symbols(table.combine_chunks().to_batches()[0])
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         left = np.flatnonzero(block == key[1].as_py())
         right = left if key[1] == key[2] else np.flatnonzero(block == key[2].as_py())
         for i in left:
@@ -195,7 +196,9 @@ def _cells(percent: int):
             if len(j):
                 ok = _near(sig, n, np.full(len(j), i), j, percent)
                 a, b = np.full(ok.sum(), node[i]), node[j[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                pairs.append((np.minimum(a, b), np.maximum(a, b)))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -236,7 +239,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     return cut(joined.mapInArrow(_confirm(percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """doc_id, rowkey, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text's set
@@ -246,18 +249,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Texts without words and null texts are linked with nothing: they keep their own
     id. Equal texts are always linked. A null doc_id counts only if a component has
     no other; such rows are not kept unless they have no words. Other columns are
-    not read.
+    not read. ``small`` and ``block`` set how buckets are worked through, not what is
+    found.
     """
     own = docs.select("doc_id", "text", row_key().alias("rowkey"))
     rows = cut(own.mapInArrow(_sets_of(shingle), f"doc_id long, rowkey long, n long, node long, {_SIG}"))
     classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("rowkey").alias("rowkey"), F.max("n").alias("n"), *(F.min(g).alias(g) for g in _LONGS)))
     index = classes.mapInArrow(_index, f"key long, turn long, node long, n long, {_SIG}")
-    found = cut(index.repartition("key").sortWithinPartitions("key", "turn").mapInArrow(_buckets(percent), "key long, a long, b long, large boolean"))
+    found = cut(index.repartition("key").sortWithinPartitions("key", "turn").mapInArrow(_buckets(percent, small), "key long, a long, b long, large boolean"))
     links = _links(found.where("not large"), classes, own, shingle, percent)
     reached = cut(connected_components(links))
     # Large buckets: pairs that the stars have left in different components.
     members = found.where("large").select("key", F.col("a").alias("node")).join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    apart = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     members = members.join(apart, "key").join(classes.select("node", "n", *_LONGS), "node")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = members.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("key", "i", "j")
