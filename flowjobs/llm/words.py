@@ -37,6 +37,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+_UNDO = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`mix`."""
+    x = x ^ (x >> U64(32))
+    x = x * _UNDO
+    x = x ^ (x >> U64(32))
+    x = x * _UNDO
+    return x ^ (x >> U64(32))
+
+
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
 _powers: dict[str, np.ndarray] = {}
