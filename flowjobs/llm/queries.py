@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, lines, mixing, near_dups, quality, substrings, token_counts, toxicity
+from . import decontam, licenses, lines, mixing, near_dups, quality, substrings, token_counts, topk, toxicity
 from .tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(read(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digest(read(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(read(spark, sf_dir, "documents"))
 
@@ -62,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE_SQL, "op7_line_dedup": lines.ORACLE_SQL}
+    return {"op3_mix_sources": mixing.ORACLE_SQL, "op7_line_dedup": lines.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL}
