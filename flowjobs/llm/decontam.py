@@ -212,5 +212,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     )
 
 
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose document holds no benchmark item, with all their columns."""
+    leaking = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaking")).distinct()
+    return docs.join(leaking, docs["doc_id"].eqNullSafe(F.col("__leaking")), "left_anti")
+
+
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return find_leaks(docs, benchmark)

@@ -99,6 +99,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return apply_bitmaps(keyed, keep_bitmaps(keyed.select("doc_id", "text", "rowkey"), min_chars)).drop("rowkey")
 
 
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the lines that :func:`dedup_lines` keeps as text, and n_chars to match where there is such a column."""
+    packed = dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("__row")), min_chars)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return packed.select(*[new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))

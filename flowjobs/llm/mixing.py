@@ -54,18 +54,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
     return table.withColumn("target", target).select("source", "source_size", "target", F.try_divide("target", F.col("source_size").cast("double")).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, share: float = 1.0, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, share: float = 1.0, seed: int = SEED, size_col: str | None = None) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 to ``max_repeat``), each row once.
 
-    ``docs`` has source, and either size or text. A null source is a source of its
+    ``docs`` has doc_id and source, and text or a column ``size_col`` of word counts.
+    Columns of its own that are named like a new one give way to it. A null source is a source of its
     own. Null text has size 0; a source without words has target 0 and no copies.
     Repeated rows are rows of their own. The same input, weights and seed give the
     same copies for each (source, size, doc_id).
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c != "size"]
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     order = ["source", "size", "doc_id"]
-    sized = docs if "size" in docs.columns else docs.withColumn("size", word_count(F.col("text")))
+    sized = docs.withColumn("__size", F.col(size_col) if size_col else word_count(F.col("text"))).select(*names, F.col("__size").alias("size"))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = cut(
         sized.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), place.alias("__place"))
@@ -81,21 +82,21 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat:
     ))
     at = F.col("__before") + F.col("__place")
     crossed = F.floor((at + 1) * F.col("__rate") + F.col("__unit")) - F.floor(at * F.col("__rate") + F.col("__unit"))
-    clash = [c for c in ("source_size", "target", "copies") if c in names]
-    base = ranged.drop(*clash)
-    return base.join(rows, (F.col("__part") == F.col("__p")) & F.col("source").eqNullSafe(F.col("__s"))).select(
-        *[c for c in names if c not in clash], "size", "source_size", "target", crossed.cast("int").alias("copies")
+    return ranged.join(rows, (F.col("__part") == F.col("__p")) & F.col("source").eqNullSafe(F.col("__s"))).select(
+        *names, "size", "source_size", "target", crossed.cast("int").alias("copies")
     )
 
 
-def emit_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy of :func:`mix_sources`."""
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__copy")
+def emit_copies(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` once for each of its copies, with its own columns. Options as in :func:`mix_sources`."""
+    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("__row"))
+    mixed = mix_sources(packed, size_col="size", **options).where("copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    return mix_sources(slim).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mix_sources(slim, size_col="size").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE_SQL = r"""

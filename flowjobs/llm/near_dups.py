@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -280,5 +280,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns; of rows that stand twice, one."""
+    kept = near_duplicates(docs, **options).where("kept").select(F.col("rowkey").alias("__kept")).distinct()
+    keyed = docs.withColumn("__key", row_key())
+    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").withColumn("__n", first).where("__n = 1").drop("__key", "__n")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")

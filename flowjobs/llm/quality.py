@@ -79,8 +79,8 @@ def _features_of(batches):
         for b in W.blocks(batch.column("text")):
             x = text_features(b)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(b.first_row, b.n) for c in ("doc_id", "row")), pa.ListArray.from_arrays(pa.array(np.arange(b.n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))],
-                ["doc_id", "row", "features"],
+                [batch.column("doc_id").slice(b.first_row, b.n), pa.ListArray.from_arrays(pa.array(np.arange(b.n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))],
+                ["doc_id", "features"],
             )
 
 
@@ -148,8 +148,20 @@ def _table(df: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     return x, rows.column("y").to_numpy()
 
 
+def _learn(rows: DataFrame, labels: DataFrame, held: tuple[int, int], sample: int) -> Model | None:
+    """The model from a table of features; None without a labelled good row."""
+    fold = held_out(F.col("doc_id"), *held)
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
+    x, y = _table(rows.where(~fold).join(known, "doc_id"), sample)
+    if not (y == 1).any():
+        return None
+    unlabelled, _ = _table(rows.where(~fold).withColumn("y", F.lit(0.0)), sample)
+    model = fit(x[y == 1], unlabelled, min(0.99, float((y == 1).mean())))
+    return calibrate(model, x, y) if (y == 0).any() else model
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2), sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row, held_out, score, predicted of each row of ``docs`` (doc_id, text, row).
+    """doc_id, held_out, score, predicted of each row of ``docs`` (doc_id, text).
 
     ``labels`` has doc_id and quality, 1 for good text; the lowest counts where an id
     has several. Ids with crc32 % held[0] == held[1] are never learned from. The fit
@@ -158,16 +170,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4
     texts are scored on features of zero. Without a labelled good row nothing can be
     rejected: all scores are 1. Only the text is an input of a score.
     """
-    rows = cut(docs.select("doc_id", "row", "text").mapInArrow(_features_of, "doc_id long, row long, features array<float>"))
-    fold = held_out(F.col("doc_id"), *held)
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    x, y = _table(rows.where(~fold).join(known, "doc_id"), sample)
-    if (y == 1).any():
-        unlabelled, _ = _table(rows.where(~fold).withColumn("y", F.lit(0.0)), sample)
-        model = fit(x[y == 1], unlabelled, min(0.99, float((y == 1).mean())))
-        model = calibrate(model, x, y) if (y == 0).any() else model
-    else:
-        model = None
+    rows = cut(docs.select("doc_id", "text").mapInArrow(_features_of, "doc_id long, features array<float>"))
+    model = _learn(rows, labels, held, sample)
 
     def score(batches):
         for batch in batches:
@@ -175,11 +179,30 @@ def score_quality(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4
                 s = np.ones(batch.num_rows)
             else:
                 s = model.score(batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(s)], ["doc_id", "row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
+
+    scored = rows.mapInArrow(score, "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id"), *held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2), sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that :func:`score_quality` predicts 1, with all their columns.
+
+    The model goes to the texts, not the scores to the texts: no text is shuffled.
+    """
+    rows = cut(docs.select("doc_id", "text").mapInArrow(_features_of, "doc_id long, features array<float>"))
+    model = _learn(rows, labels, held, sample)
+    if model is None:
+        return docs
+
+    def keep(batches):
+        for batch in batches:
+            good = [model.score(text_features(b)) >= threshold for b in W.blocks(batch.column("text"))]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
 
-    scored = rows.mapInArrow(score, "doc_id long, row long, score double")
-    return scored.select("doc_id", "row", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score_quality(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row")), labels).drop("row")
+    return score_quality(docs, labels)
