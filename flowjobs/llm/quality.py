@@ -106,7 +106,7 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> Model:
     """Minimise the non-negative risk with the logistic loss, by full-batch Adam."""
     both = np.concatenate([positive, unlabelled])
     edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.copy()
