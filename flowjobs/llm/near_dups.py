@@ -10,10 +10,10 @@ all pairs up to distance 15; a pair of similarity 0.85 lies beyond it with a
 chance of 3 in a million. Every pair found is confirmed on the full sets.
 
 Texts with equal sets are one class from the start. A bucket of up to SMALL
-classes gives all its pairs. A larger one first gives only its star around one
-member; after the stars' links are joined into components, the pairs that are
-still in different components are compared block by block, so no link between
-components is lost and a group of near copies costs its size, not its square.
+classes gives all its pairs that are near enough by signature. A larger one is
+compared block by block on the full sets, where no pairs leave the task but links
+that connect members not yet connected: all its links are tested, and what it
+emits grows with its members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: links have 100 * intersection >= PERCENT * union
 PERCENT = 85
 SMALL = 64
-BLOCK = 4096
+BLOCK = 2048
 
 _LONGS = [f"g{i}" for i in range(SYMBOLS // 4)]
 _ORDERS = W.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
@@ -106,8 +106,8 @@ def _index(batches):
                     if i not in out:
                         key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, chunk * step + i])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(key)), pa.array(W.signed(W.mix(key ^ batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)))), batch.column("node"), batch.column("n"), *(batch.column(g) for g in _LONGS)],
-                    ["key", "turn", "node", "n", *_LONGS],
+                    [pa.array(W.signed(key)), batch.column("node"), batch.column("n"), *(batch.column(g) for g in _LONGS)],
+                    ["key", "node", "n", *_LONGS],
                 )
 
 
@@ -119,86 +119,82 @@ def _near(sig, n, i, j, percent: int) -> np.ndarray:
 
 
 def _buckets(percent: int, most: int):
-    """Pairs of small buckets; stars and member rows of larger ones. Input is sorted by key and turn."""
+    """Pairs of buckets with up to ``most`` members; member rows of larger ones. Input is sorted by key."""
 
     def out(key, a, b, large):
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], ["key", "a", "b", "large"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), large))], ["key", "a", "b", "large"])
 
-    def run(batches):
-        held = None  # rows of a bucket that may go on in the next batch
-        hub = None  # (key, node, n, symbols) of a large bucket that is being streamed
-        for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            if not len(key):
-                continue
-            rows = (key, batch.column("node").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False), _symbols(batch))
-            if held is not None:
-                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-            yield from work(rows, hub, last=False, state=(state := {}))
-            held, hub = state["held"], state["hub"]
-        if held is not None:
-            yield from work(held, hub, last=True, state={})
-
-    def work(rows, hub, last, state):
+    def work(rows, streamed, last):
+        """Batches to emit, the rows of a bucket that may go on, and the key of a large bucket that may."""
         key, node, n, sig = rows
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         lead = np.flatnonzero(new)
         size = np.diff(np.append(lead, len(key)))
         bucket = np.repeat(np.arange(len(lead)), size)
-        streamed = hub is not None and hub[0] == key[0]
         large = size > most
-        if streamed:
-            large[0] = True
-        # A short bucket at the end waits for its next rows.
-        waits = not last and not large[-1]
-        end = lead[-1] if waits else len(key)
+        large[0] |= streamed == key[0]
+        end = len(key) if last or large[-1] else lead[-1]
         small = ~large[bucket[:end]]
-        pairs = []
+        pairs, batches = [], []
         for o in range(1, min(most, end)):
             i = np.flatnonzero((bucket[: end - o] == bucket[o:end]) & small[: end - o])
             if not len(i):
                 break
-            ok = _near(sig, n, i, i + o, percent)
-            pairs.append((node[i[ok]], node[i[ok] + o]))
+            i = i[_near(sig, n, i, i + o, percent)]
+            pairs.append((node[i], node[i + o]))
         if pairs:
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).T if len(a) else (a, b)
-            yield out(np.zeros(len(a), np.int64), np.ascontiguousarray(a), np.ascontiguousarray(b), False)
-        state["hub"] = None
-        for k in np.flatnonzero(large):
-            lo, hi = lead[k], lead[k] + size[k]
-            first = hub if streamed and k == 0 else (key[lo], node[lo], n[lo], sig[lo])
-            s, c = np.vstack([first[3][None], sig[lo:hi]]), np.append(first[2], n[lo:hi])
-            j = np.arange(1, hi - lo + 1)
-            ok = _near(s, c, np.zeros(len(j), np.int64), j, percent) & (node[lo:hi] != first[1])
-            yield out(np.zeros(ok.sum(), np.int64), np.full(ok.sum(), first[1]), node[lo:hi][ok], False)
-            yield out(key[lo:hi], node[lo:hi], node[lo:hi], True)
-            if k == len(lead) - 1:
-                state["hub"] = first
-        state["held"] = tuple(x[end:] for x in rows) if waits else None
+            batches.append(out(np.zeros(len(a), np.int64), a, b, False))
+        member = np.flatnonzero(large[bucket])
+        batches.append(out(key[member], node[member], node[member], True))
+        held = None if end == len(key) else tuple(x[end:] for x in rows)
+        return batches, held, key[-1] if large[-1] else None
+
+    def run(batches):
+        held = streamed = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = (*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n")), _symbols(batch))
+            if held is not None:
+                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            made, held, streamed = work(rows, streamed, last=False)
+            yield from made
+        if held is not None:
+            yield from work(held, None, last=True)[0]
 
     return run
 
 
 def _cells(percent: int):
-    """Near pairs of different components within each cell (key, i, j) of two blocks. A cell is whole in its rows."""
+    """Links within each cell (key, i, j) of two blocks of a large bucket, on the full sets.
+
+    Of the links between two groups of members that are already connected in the
+    cell one is enough, so a cell gives fewer links than it has members.
+    """
 
     def run(key, table):
-        node, n, comp, block = (table.column(c).to_numpy() for c in ("node", "n", "component", "block"))
-        sig = _symbols(table.combine_chunks().to_batches()[0])
-        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        left = np.flatnonzero(block == key[1].as_py())
-        right = left if key[1] == key[2] else np.flatnonzero(block == key[2].as_py())
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (key[1] != key[2]))]
-            if len(j):
-                ok = _near(sig, n, np.full(len(j), i), j, percent)
-                a, b = np.full(ok.sum(), node[i]), node[j[ok]]
-                pairs.append((np.minimum(a, b), np.maximum(a, b)))
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        return pa.table({"a": a, "b": b})
+        _, i_block, j_block = (k.as_py() for k in key)
+        node, block = (table.column(c).to_numpy() for c in ("node", "block"))
+        sets = table.column("set").combine_chunks()
+        offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        shingle, count = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1], np.diff(offsets)
+        marked = np.zeros(len(shingle) + 1, np.int8)
+        group = np.arange(len(node))
+        links = []
+        for i in np.flatnonzero(block == i_block):
+            mine = shingle[offsets[i] : offsets[i + 1]]
+            marked[mine] = 1
+            both = np.add.reduceat(marked[shingle], offsets[:-1], dtype=np.int64)
+            marked[mine] = 0
+            near = 100 * both >= percent * (count + count[i] - both)
+            for j in np.flatnonzero(near & (block == j_block) & (group != group[i])):
+                if group[j] != group[i]:
+                    links.append((node[i], node[j]))
+                    group[group == group[j]] = group[i]
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
@@ -229,16 +225,29 @@ def _confirm(percent: int):
     return run
 
 
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, set): the full set of each class."""
+    texts = docs.select("rowkey", "text").join(classes.join(nodes, "node").select("node", "rowkey"), "rowkey")
+    return cut(texts.select("node", "text").mapInArrow(_full_sets(size), "node long, set array<long>"))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity on their full sets."""
     pairs = cut(pairs.select("a", "b").distinct())
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select("rowkey", "text").join(classes.join(wanted, "node").select("node", "rowkey"), "rowkey")
-    sets = cut(texts.select("node", "text").mapInArrow(_full_sets(size), "node long, set array<long>"))
+    sets = _sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs, size)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return cut(joined.mapInArrow(_confirm(percent), "a long, b long"))
 
 
+def _large_links(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Links that connect the members (key, node) of each large bucket as all its links do."""
+    sets = _sets(members.select("node").distinct(), classes, docs, size)
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return cut(placed.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_cells(percent), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """doc_id, rowkey, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
@@ -255,17 +264,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     own = docs.select("doc_id", "text", row_key().alias("rowkey"))
     rows = cut(own.mapInArrow(_sets_of(shingle), f"doc_id long, rowkey long, n long, node long, {_SIG}"))
     classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("rowkey").alias("rowkey"), F.max("n").alias("n"), *(F.min(g).alias(g) for g in _LONGS)))
-    index = classes.mapInArrow(_index, f"key long, turn long, node long, n long, {_SIG}")
-    found = cut(index.repartition("key").sortWithinPartitions("key", "turn").mapInArrow(_buckets(percent, small), "key long, a long, b long, large boolean"))
+    index = classes.mapInArrow(_index, f"key long, node long, n long, {_SIG}")
+    found = cut(index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets(percent, small), "key long, a long, b long, large boolean"))
     links = _links(found.where("not large"), classes, own, shingle, percent)
-    reached = cut(connected_components(links))
-    # Large buckets: pairs that the stars have left in different components.
-    members = found.where("large").select("key", F.col("a").alias("node")).join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    members = members.join(apart, "key").join(classes.select("node", "n", *_LONGS), "node")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = members.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("key", "i", "j")
-    more = _links(cells.applyInArrow(_cells(percent), "a long, b long"), classes, own, shingle, percent)
+    more = _large_links(found.where("large").select("key", F.col("a").alias("node")), classes, own, shingle, percent, block)
     reached = cut(connected_components(links.unionAll(more)))
     named = classes.select("node", "doc_id").join(reached, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     named = cut(named)
