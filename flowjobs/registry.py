@@ -1,21 +1,851 @@
-"""Queries over the driver tables, each with its oracle SQL."""
+"""Queries over the driver tables, each with its oracle SQL.
+
+The SQL is written on its own lines of thought (a group-by and a union per group
+where the library explodes labels), so that it checks the plan and not itself.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import tables
+from .functions import names as N
+from .functions import scalars as S
+from .operators import classify, currency, filters, groups, impute, joins, reshape, shares
+from .plans import query, release, report, views
+from .sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+# Settings of the queries: code lists over nations, rollups, labels.
+DONORS = {"All donors": tuple(range(25)), "Northern": tuple(range(0, 12)), "Odd": tuple(range(1, 25, 2)), "Seven": (1, 3, 6, 7, 12, 19, 23)}
+RECIPIENTS = {"Low": (0, 5, 10, 15), "Fragile": (4, 8, 15, 16)}
+ROLLUP = {"ASIA": "Greater Asia", "MIDDLE EAST": "Greater Asia", "AFRICA": "AFRICA"}
+INCOME = {"LIC": "Low income", "LMIC": "Lower middle income"}
+SUB_SECTORS = {"Basic": range(1, 21), "Health": range(18, 30), "Food": range(30, 46)}
+SECTORS = {"Basic": "Social", "Health": "Social", "Food": "Production"}
+INSTITUTION, MEMBERS = (24,), (1, 3, 6, 7, 12, 19, 23)
+
+
+def _isin(codes) -> str:
+    return "(" + ", ".join(map(str, codes)) + ")"
+
+
+SQL_LABELS = (
+    "labels AS (" + " UNION ALL ".join(f"SELECT '{g}' AS g, n_nationkey AS code FROM nation WHERE n_nationkey IN {_isin(c)}" for g, c in DONORS.items()) + ")"
+)
+SQL_SUB = "CASE WHEN purpose_code BETWEEN 30 AND 45 THEN 'Food' WHEN purpose_code BETWEEN 18 AND 29 THEN 'Health' WHEN purpose_code BETWEEN 1 AND 20 THEN 'Basic' ELSE 'Unallocated/unspecified' END"
+#: (recipient code, aggregate name), one row for each aggregate that a recipient feeds
+SQL_RECIPIENTS = (
+    "rlab AS (SELECT n_nationkey AS code, 'All recipients' AS g FROM nation"
+    " UNION ALL SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'Low income' WHEN 1 THEN 'Lower middle income' WHEN 2 THEN 'UMIC' END FROM nation WHERE n_nationkey % 4 < 3"
+    " UNION ALL SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('AFRICA', 'Greater Asia')"
+    " UNION ALL SELECT n_nationkey, CASE WHEN r_name IN ('ASIA', 'MIDDLE EAST') THEN 'Greater Asia' ELSE 'AFRICA' END FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'MIDDLE EAST', 'AFRICA')"
+    + "".join(f" UNION ALL SELECT n_nationkey, '{g}' FROM nation WHERE n_nationkey IN {_isin(c)}" for g, c in RECIPIENTS.items())
+    + ")"
+)
+
+
+def recipient_labels() -> Column:
+    return groups.recipient_labels("All recipients", RECIPIENTS, ROLLUP, income_labels=INCOME)
+
+
+def register(name: str, sql: str | None = None, ctes: str = "") -> Callable[[Callable], Callable]:
+    """Registers fn(flows, spark, sf_dir). The SQL sees the flow tables of :mod:`tables` and ``ctes``."""
+
+    def add(fn: Callable) -> Callable:
+        _QUERIES[name] = lambda spark, sf_dir: fn(tables.flows(spark, sf_dir), spark, sf_dir)
+        if sql is not None:
+            more = f", {ctes}" if ctes else ""
+            _SQL[name] = f"WITH {tables.FLOWS_SQL}{more}\n{sql}"
+        return fn
+
+    return add
+
+
+def money(*columns: str) -> dict[str, Column]:
+    return {c: F.round(F.col(c), 2).cast("double") for c in columns}
+
+
+def table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(list(rows), schema)
+
+
+def sub_sectors(spark: SparkSession) -> DataFrame:
+    inverted = N.invert_groups(N.groups_table(spark, SUB_SECTORS))
+    return inverted.select(F.col("member_code").alias("code"), F.col("group_name").alias("name"))
+
+
+def sectors(spark: SparkSession) -> DataFrame:
+    return table(spark, SECTORS.items(), "code string, name string")
+
+
+def settings() -> views.Settings:
+    return views.Settings(DONORS, recipient_labels(), cutoff=1998, factor=100)
+
+
+# --- flagship -------------------------------------------------------------------
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Value by donor group and year in two currencies, with each group's share of all donors' total."""
+    base = groups.sum_by(tables.flows(spark, sf_dir), ["year", "donor_code", "donor_name"])
+    wide = currency.convert_currencies(base, tables.rates(spark, sf_dir))
+    values = ["value_eur_current", "value_usd_current"]
+    totals = groups.donor_group_totals(wide, DONORS, ["year"], values=values)
+    out = shares.share_of_reference_total(totals, "donor_name", "All donors", ["year"], "share", "value_usd_current")
+    return out.withColumns({**money("value_eur_current"), "units": S.to_units(F.col("value_usd_current"), 100)}).drop("value_usd_current")
+
+
+_QUERIES["a00_flagship"] = flagship
+_SQL["a00_flagship"] = f"""WITH {tables.FLOWS_SQL}, {SQL_LABELS}, t AS (
+  SELECT year, g AS donor_name, sum(value_eur_current) AS eur, sum(value) AS usd FROM conv JOIN labels ON code = donor_code GROUP BY ALL)
+SELECT t.year, t.donor_name, round(t.eur, 2)::DOUBLE AS value_eur_current, round(t.usd::DOUBLE / a.usd::DOUBLE, 6) AS share, (round(t.usd, 2)::DECIMAL(18,2) * 100)::BIGINT AS units
+FROM t JOIN t a ON a.year = t.year AND a.donor_name = 'All donors'"""
+
+
+# --- sources ----------------------------------------------------------------------
+
+
+@register("s01_read_flows", "SELECT year(o_orderdate)::INTEGER AS year, o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL")
+def _(f, spark, sf):
+    df = io.read_flows(spark, f"{sf}/orders.parquet", ["o_orderdate", "o_orderpriority"], isin={"o_orderpriority": ["1-URGENT", "5-LOW"]})
+    return df.groupBy(F.year("o_orderdate").alias("year"), "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@register("s08_narrow_types", "SELECT year::SMALLINT AS year, donor_name, sum(value)::DECIMAL(38,4)::FLOAT AS value_usd, count(*) AS value_n FROM flows GROUP BY ALL")
+def _(f, spark, sf):
+    out = f.groupBy("year", "donor_name").agg(F.sum("value").alias("value_usd"), F.count("*").alias("value_n"))
+    return io.narrow_types(out)
+
+
+@register(
+    "s09_view_options",
+    """, v AS (SELECT DISTINCT 'donor_name' AS option, donor_name AS value FROM flows UNION SELECT DISTINCT 'indicator_name', indicator_name FROM flows UNION SELECT DISTINCT 'segment', segment FROM flows)
+SELECT option, (row_number() OVER (PARTITION BY option ORDER BY CASE value WHEN 'R' THEN 0 WHEN 'NATION_7' THEN 0 WHEN 'NATION_3' THEN 1 ELSE 99 END, value) - 1)::INTEGER AS position, value FROM v""",
+)
+def _(f, spark, sf):
+    return io.view_options(f, ["donor_name", "indicator_name", "segment"], {"indicator_name": ["R"], "donor_name": ["NATION_7", "NATION_3"]})
+
+
+@register("s09_year_option", "SELECT min(year) AS start, max(year) AS \"end\", 1998 AS base FROM flows")
+def _(f, spark, sf):
+    return io.year_option(f, base_year=1998)
+
+
+@register("s10_child_index", ", d AS (SELECT DISTINCT region, recipient_name FROM flows) SELECT region, string_agg(recipient_name, ',' ORDER BY recipient_name) AS children FROM d GROUP BY region")
+def _(f, spark, sf):
+    return io.child_index(f, "region", "recipient_name").withColumn("children", F.array_join("children", ","))
+
+
+# --- filters ----------------------------------------------------------------------
+
+
+@register("p01_filter_members", f"SELECT year, sum(value)::DOUBLE AS value FROM flows WHERE donor_code IN {_isin(MEMBERS)} GROUP BY year")
+def _(f, spark, sf):
+    members = N.groups_table(spark, {"Seven": MEMBERS})
+    return groups.sum_by(filters.filter_members(f, "donor_code", members), ["year"]).withColumn("value", F.col("value").cast("double"))
+
+
+@register("p02_exclude_rows", f"SELECT donor_name, count(*) AS n FROM flows WHERE NOT (donor_code IN {_isin(MEMBERS)} AND channel_code IN (2, 5)) GROUP BY ALL")
+def _(f, spark, sf):
+    return filters.exclude_rows(f, F.col("donor_code").isin(*MEMBERS), F.col("channel_code").isin(2, 5)).groupBy("donor_name").agg(F.count("*").alias("n"))
+
+
+@register("p03_drop_null_or_zero", "SELECT year, donor_name, sum(v)::DOUBLE AS v FROM (SELECT year, donor_name, CASE WHEN channel_code = 1 THEN 0 WHEN channel_code = 2 THEN NULL ELSE value END AS v FROM flows) WHERE v IS NOT NULL AND v <> 0 GROUP BY ALL")
+def _(f, spark, sf):
+    v = f.withColumn("v", F.when(F.col("channel_code") == 1, F.lit(0)).when(F.col("channel_code") == 2, None).otherwise(F.col("value")))
+    return groups.sum_by(filters.drop_null_or_zero(v, "v"), ["year", "donor_name"], "v").withColumn("v", F.col("v").cast("double"))
+
+
+@register("p04_latest_year_rows", "SELECT donor_name, sum(value)::DOUBLE AS value FROM flows WHERE year = (SELECT max(year) FROM flows) GROUP BY ALL")
+def _(f, spark, sf):
+    return groups.sum_by(filters.latest_year_rows(f), ["donor_name"]).withColumn("value", F.col("value").cast("double"))
+
+
+@register("p06_flow_type", "SELECT CASE WHEN year < 1998 THEN 'Flows' ELSE 'Grant equivalents' END AS type, count(*) AS n FROM flows GROUP BY ALL")
+def _(f, spark, sf):
+    return f.groupBy(S.flow_type(F.col("year"), 1998).alias("type")).agg(F.count("*").alias("n"))
+
+
+@register("p07_blank_for_entity", "SELECT year, donor_name, CASE WHEN donor_name = 'NATION_7' THEN NULL ELSE value::DOUBLE END AS value FROM gni")
+def _(f, spark, sf):
+    g = tables.gni(spark, sf)
+    return g.select("year", "donor_name", S.blank_for(F.col("donor_name"), "NATION_7", F.col("value").cast("double")).alias("value"))
+
+
+@register("p08_preliminary_split", "SELECT year, CASE WHEN year < 2001 THEN sum(value)::DOUBLE END AS other, CASE WHEN year = 2001 THEN sum(value)::DOUBLE END AS preliminary FROM flows GROUP BY year")
+def _(f, spark, sf):
+    return filters.preliminary_split(groups.sum_by(f, ["year"]).select("year", F.col("value").cast("double").alias("other")), 2001)
+
+
+@register("p10_unmapped_values", "SELECT DISTINCT marker FROM flows WHERE marker NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
+def _(f, spark, sf):
+    return filters.unmapped_values(f, "marker", ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+
+
+@register("p11_policy_marker_rows", f"SELECT year, CASE marker WHEN '1-URGENT' THEN 'Principal' ELSE 'Significant' END AS indicator_name, sum(value)::DOUBLE AS value FROM flows WHERE marker IN ('1-URGENT', '2-HIGH') AND donor_code IN {_isin(MEMBERS)} GROUP BY ALL")
+def _(f, spark, sf):
+    rows = filters.marker_rows(f, "marker", {"1-URGENT": "Principal", "2-HIGH": "Significant"}, donors=MEMBERS)
+    return groups.sum_by(rows, ["year", "indicator_name"]).withColumn("value", F.col("value").cast("double"))
+
+
+# --- joins ------------------------------------------------------------------------
+
+
+@register("j01_lookup", f"SELECT sub, sum(value)::DOUBLE AS value FROM (SELECT {SQL_SUB} AS sub, value FROM flows) GROUP BY sub")
+def _(f, spark, sf):
+    named = joins.lookup(f, sub_sectors(spark), "purpose_code", "sub", "Unallocated/unspecified")
+    return groups.sum_by(named, ["sub"]).withColumn("value", F.col("value").cast("double"))
+
+
+@register("j02_invert_groups", f"SELECT purpose_code, {SQL_SUB} AS group_name, count(*) AS n FROM flows WHERE purpose_code BETWEEN 1 AND 45 GROUP BY ALL")
+def _(f, spark, sf):
+    table = N.invert_groups(N.groups_table(spark, SUB_SECTORS)).withColumnRenamed("member_code", "purpose_code")
+    return f.join(table, "purpose_code").groupBy("purpose_code", "group_name").agg(F.count("*").alias("n"))
+
+
+@register("j03_override_names", "SELECT DISTINCT donor_code, CASE donor_code WHEN 3 THEN 'Northland' WHEN 9 THEN 'Islands' ELSE donor_name END AS donor_name FROM flows")
+def _(f, spark, sf):
+    new = table(spark, [(3, "Northland"), (9, "Islands")], "code int, name string")
+    return N.override_names(f.select("donor_code", "donor_name").distinct(), new, "donor_code", "donor_name")
+
+
+@register("j04_many_to_one_join", "SELECT year, donor_name, g.value::DOUBLE AS gni, sum(f.value)::DOUBLE AS value FROM flows f LEFT JOIN gni g USING (year, donor_name) GROUP BY ALL")
+def _(f, spark, sf):
+    g = tables.gni(spark, sf).select("year", "donor_name", F.col("value").cast("double").alias("gni"))
+    out = joins.many_to_one_join(groups.sum_by(f, ["year", "donor_name"]), g, ["year", "donor_name"])
+    return out.withColumn("value", F.col("value").cast("double")).select("year", "donor_name", "gni", "value")
+
+
+@register("j04_same_total", "SELECT count(*) AS rows_before, count(*) AS rows_after, true AS same FROM flows")
+def _(f, spark, sf):
+    named = joins.lookup(f, sub_sectors(spark), "purpose_code", "sub", "none")
+    return joins.same_total(f, named, "value").select("rows_before", "rows_after", "same")
+
+
+CLASSIFIED_SQL = """cnt AS (SELECT recipient_code, year, segment, count(*) AS n FROM flows WHERE (recipient_code + year) % 3 <> 0 GROUP BY ALL
+), cls AS (SELECT recipient_code, year, CASE WHEN recipient_code % 6 = 5 THEN NULL ELSE segment END AS segment FROM (SELECT *, row_number() OVER (PARTITION BY recipient_code, year ORDER BY n DESC, segment) AS k FROM cnt) WHERE k = 1
+), fin AS (SELECT recipient_code, arg_max({'s': segment}, year)['s'] AS segment FROM cls GROUP BY recipient_code)"""
+
+
+def _classified(f):
+    rows = f.where((F.col("recipient_code") + F.col("year")) % 3 != 0).withColumn("segment", F.when(F.col("recipient_code") % 6 == 5, None).otherwise(F.col("segment")))
+    return classify.modal_classification(rows, ["recipient_code", "year"], ["segment"])
+
+
+@register("a08_modal_classification", "SELECT recipient_code, year, segment FROM cls", CLASSIFIED_SQL)
+def _(f, spark, sf):
+    return _classified(f)
+
+
+@register(
+    "j05_add_classifications",
+    "SELECT k.recipient_code, k.year, coalesce(CASE WHEN c.recipient_code IS NOT NULL THEN c.segment ELSE x.segment END, 'Not classified') AS segment FROM (SELECT DISTINCT recipient_code, year FROM flows) k LEFT JOIN cls c ON c.recipient_code = k.recipient_code AND c.year = k.year LEFT JOIN fin x ON x.recipient_code = k.recipient_code",
+    CLASSIFIED_SQL,
+)
+def _(f, spark, sf):
+    keys = f.select("recipient_code", "year").distinct()
+    return classify.add_recipient_classifications(keys, _classified(f), {"segment": "Not classified"}, ["segment"])
+
+
+@register(
+    "j06_gni_denominator",
+    "SELECT g.year, g.donor_name, g.value::DOUBLE AS gni FROM gni g UNION ALL SELECT year, g, sum(value)::DOUBLE FROM gni JOIN labels ON code = donor_code GROUP BY ALL",
+    SQL_LABELS,
+)
+def _(f, spark, sf):
+    every = shares.gni_with_groups(tables.gni(spark, sf), groups.donor_labels(DONORS))
+    keys = every.select("year", "donor_name")
+    return shares.add_gni(keys, every).withColumn("gni", F.col("gni").cast("double"))
+
+
+@register("j07_combine_measures", "SELECT t.year, t.donor_name, t.v::DOUBLE AS total, a.v::DOUBLE AS a, coalesce(h.v, 0)::DOUBLE AS h FROM (SELECT year, donor_name, sum(value) AS v FROM flows GROUP BY ALL) t LEFT JOIN (SELECT year, donor_name, sum(value) AS v FROM flows WHERE purpose_code = 7 AND channel_code = 1 GROUP BY ALL) a USING (year, donor_name) LEFT JOIN (SELECT year, donor_name, sum(value) AS v FROM flows WHERE purpose_code = 9 AND channel_code = 6 GROUP BY ALL) h USING (year, donor_name)")
+def _(f, spark, sf):
+    part = lambda name, where: groups.sum_by(f.where(where), ["year", "donor_name"]).withColumnRenamed("value", name)
+    out = joins.combine_measures(part("total", F.lit(True)), part("a", "purpose_code = 7 and channel_code = 1"), part("h", "purpose_code = 9 and channel_code = 6"), on=["year", "donor_name"], zero=["h"])
+    return out.select("year", "donor_name", *[F.col(c).cast("double").alias(c) for c in ("total", "a", "h")])
+
+
+@register("j08_convert_currencies", "SELECT year, donor_name, " + ", ".join(f"round(sum({v}), 2)::DOUBLE AS {v}" for v in views.VALUES) + " FROM conv GROUP BY ALL")
+def _(f, spark, sf):
+    wide = currency.convert_currencies(f, tables.rates(spark, sf))
+    return groups.sum_by(wide, ["year", "donor_name"], *views.VALUES).withColumns(money(*views.VALUES))
+
+
+@register("j09_code_duplicates", "SELECT year, segment, min(donor_code) AS donor_code, count(DISTINCT v) > 1 AS conflict FROM (SELECT year, segment, donor_code, sum(value) AS v FROM flows WHERE donor_code < 3 GROUP BY ALL) GROUP BY ALL")
+def _(f, spark, sf):
+    rows = groups.sum_by(f.where("donor_code < 3"), ["year", "segment", "donor_code"])
+    kept, conflicts = joins.resolve_code_duplicates(rows, ["year", "segment"], "donor_code", "value")
+    flag = conflicts.select("year", "segment", F.lit(True).alias("conflict"))
+    return kept.join(flag, ["year", "segment"], "left").select("year", "segment", "donor_code", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
+@register("j10_entity_diff", "SELECT a.x AS entity, 'new' AS change FROM (SELECT DISTINCT recipient_name AS x FROM flows WHERE recipient_code > 3) a WHERE x NOT IN (SELECT recipient_name FROM flows WHERE recipient_code < 20) UNION ALL SELECT x, 'removed' FROM (SELECT DISTINCT recipient_name AS x FROM flows WHERE recipient_code < 20) WHERE x NOT IN (SELECT recipient_name FROM flows WHERE recipient_code > 3)")
+def _(f, spark, sf):
+    return joins.entity_diff(f.where("recipient_code > 3"), f.where("recipient_code < 20"), "recipient_name")
+
+
+def _weights(spark):
+    return table(spark, [(y, (y - 1990) * 10) for y in range(1995, 2000)], "year int, pct int").select("year", (F.col("pct").cast("decimal(6,2)") * F.lit(0.01).cast("decimal(4,2)")).alias("weight"))
+
+
+@register("j11_scale_institutions", f"SELECT year, donor_name, round(sum(CASE WHEN donor_code IN {_isin(INSTITUTION)} AND year < 2000 THEN value * ((year - 1990) * 10)::DECIMAL(6,2) * 0.01::DECIMAL(4,2) ELSE value END), 2)::DOUBLE AS value FROM flows WHERE donor_code > 20 GROUP BY ALL")
+def _(f, spark, sf):
+    out = groups.scale_institutions(f.where("donor_code > 20"), _weights(spark), INSTITUTION)
+    return groups.sum_by(out, ["year", "donor_name"]).withColumns(money("value"))
+
+
+# --- aggregations -------------------------------------------------------------------
+
+
+@register("a01_sum_by", "SELECT year, income_group, indicator_name, sum(value)::DOUBLE AS value FROM flows GROUP BY ALL")
+def _(f, spark, sf):
+    return groups.sum_by(f, ["year", "income_group", "indicator_name"]).withColumn("value", F.col("value").cast("double"))
+
+
+@register("a02_group_total", f"SELECT year, indicator_name, 'Seven' AS donor_name, sum(value)::DOUBLE AS value FROM flows WHERE donor_code IN {_isin(MEMBERS)} GROUP BY ALL")
+def _(f, spark, sf):
+    return groups.group_total(f, MEMBERS, "donor_code", ["year", "indicator_name"], "donor_name", "Seven").withColumn("value", F.col("value").cast("double"))
+
+
+@register("a03_attribute_total", "SELECT year, CASE income_group WHEN 'LIC' THEN 'Low income' WHEN 'LMIC' THEN 'Lower middle income' ELSE income_group END AS recipient_name, sum(value)::DOUBLE AS value FROM flows GROUP BY ALL")
+def _(f, spark, sf):
+    labels = table(spark, INCOME.items(), "code string, name string")
+    return groups.attribute_total(f, "income_group", ["year"], "recipient_name", labels).withColumn("value", F.col("value").cast("double"))
+
+
+@register("a04_recipient_group_totals", "SELECT year, indicator_name, g AS recipient_name, sum(value)::DOUBLE AS value FROM flows JOIN rlab ON code = recipient_code GROUP BY ALL", SQL_RECIPIENTS)
+def _(f, spark, sf):
+    return groups.recipient_group_totals(f, recipient_labels(), ["year", "indicator_name"]).withColumn("value", F.col("value").cast("double"))
+
+
+@register("a05_donor_group_totals", "SELECT year, indicator_name, g AS donor_name, sum(value)::DOUBLE AS value FROM flows JOIN labels ON code = donor_code GROUP BY ALL", SQL_LABELS)
+def _(f, spark, sf):
+    return groups.donor_group_totals(f, DONORS, ["year", "indicator_name"]).withColumn("value", F.col("value").cast("double"))
+
+
+@register("a06_bloc_total", f"SELECT year, 'Bloc' AS donor_name, sum(value)::DOUBLE AS value FROM (SELECT year, value FROM flows WHERE indicator_name = 'A' AND donor_code IN {_isin(MEMBERS)} UNION ALL SELECT year, value FROM flows WHERE indicator_name = 'R' AND donor_code IN {_isin(MEMBERS)} AND channel_code NOT IN (2, 3)) GROUP BY year")
+def _(f, spark, sf):
+    return groups.bloc_total(f.where("indicator_name = 'A'"), f.where("indicator_name = 'R'"), MEMBERS, (2, 3), ["year"], "Bloc").withColumn("value", F.col("value").cast("double"))
+
+
+@register("a07_all_bilateral_total", f", x AS (SELECT year, CASE donor_code WHEN 24 THEN 'Scaled' ELSE donor_name END AS donor_name, donor_code, sum(value) AS value FROM flows GROUP BY ALL) SELECT year, donor_name, value::DOUBLE AS value FROM x WHERE donor_name <> 'Scaled' UNION ALL SELECT year, 'All bilateral', sum(value)::DOUBLE FROM x WHERE donor_name = 'Scaled' OR donor_code IN {_isin(MEMBERS)} GROUP BY year")
+def _(f, spark, sf):
+    rows = groups.sum_by(f.withColumn("donor_name", F.when(F.col("donor_code") == 24, "Scaled").otherwise(F.col("donor_name"))), ["year", "donor_code", "donor_name"])
+    return groups.all_bilateral_total(rows, MEMBERS, "Scaled", ["year"], "All bilateral").withColumn("value", F.col("value").cast("double"))
+
+
+@register("a09_widen_currency_price", "SELECT year, indicator_name, " + ", ".join(f"round(sum(round({v}, 4)), 2)::DOUBLE AS {v}" for v in views.VALUES) + " FROM (SELECT year, indicator_name, donor_code, " + ", ".join(f"sum({v}) AS {v}" for v in views.VALUES) + " FROM conv GROUP BY ALL) GROUP BY ALL")
+def _(f, spark, sf):
+    wide = currency.convert_currencies(groups.sum_by(f, ["year", "donor_code", "indicator_name"]), tables.rates(spark, sf))
+    long = currency.to_long(wide, ["year", "donor_code", "indicator_name"])
+    return currency.widen_currency_price(long, ["year", "indicator_name"]).withColumns(money(*views.VALUES))
+
+
+@register("a10_derive_measure", ", w AS (SELECT year, donor_name, sum(value) FILTER (indicator_name = 'N') AS n, sum(value) FILTER (indicator_name = 'A') AS a FROM flows GROUP BY ALL) SELECT year, donor_name, 'N' AS indicator_name, n::DOUBLE AS value FROM w WHERE n IS NOT NULL UNION ALL SELECT year, donor_name, 'A', a::DOUBLE FROM w WHERE a IS NOT NULL UNION ALL SELECT year, donor_name, 'N less A', (n - coalesce(a, 0))::DOUBLE FROM w WHERE n IS NOT NULL")
+def _(f, spark, sf):
+    rows = groups.sum_by(f, ["year", "donor_name", "indicator_name"])
+    return report.non_part(rows, ["year", "donor_name"], "N", "A", "N less A").withColumn("value", F.col("value").cast("double"))
+
+
+SERIES_SQL = f"""sv AS (SELECT year, donor_name, recipient_name, indicator_name, CASE s WHEN 'Food' THEN 'Production' WHEN 'Unallocated/unspecified' THEN NULL ELSE 'Social' END AS sector_name, s AS sub_sector_name, sum(value) AS value
+  FROM (SELECT *, {SQL_SUB} AS s FROM flows) GROUP BY ALL
+), ser AS (SELECT year, donor_name, recipient_name, 'Both' AS indicator_name, sector_name, sub_sector_name, sum(value)::DOUBLE / 1e6 AS value FROM sv WHERE donor_name = 'NATION_7' AND recipient_name IN ('NATION_3', 'NATION_8', 'NATION_12') AND recipient_name = 'NATION_3' AND indicator_name IN ('A', 'N') AND year BETWEEN 1996 AND 2000 GROUP BY ALL)"""
+
+
+def _sector_rows(f, spark):
+    named = joins.lookup(f, sub_sectors(spark), "purpose_code", "sub_sector_name", "Unallocated/unspecified")
+    rows = groups.sum_by(named, ["year", "donor_name", "recipient_name", "indicator_name", "sub_sector_name"])
+    return joins.lookup(rows, sectors(spark), "sub_sector_name", "sector_name")
+
+
+def _series(f, spark):
+    rows = _sector_rows(f, spark).withColumns({"value_usd_current": F.col("value"), "value_eur_current": F.col("value"), "pct_of_donor": F.lit(0.5), "pct_of_recipient": F.lit(0.25)})
+    return query.sector_series(rows, "NATION_7", "NATION_3", ["A", "N"], "eur", "current", (1996, 2000), "Both")
+
+
+@register("a11_sector_series", "SELECT year, donor_name, recipient_name, indicator_name, sector_name, sub_sector_name, round(value, 6) AS value FROM ser", SERIES_SQL)
+def _(f, spark, sf):
+    return _series(f, spark).select("year", "donor_name", "recipient_name", "indicator_name", "sector_name", "sub_sector_name", F.round("value", 6).alias("value"))
+
+
+@register("a12_sector_totals", "SELECT coalesce(sector_name, 'Other') AS sector_name, indicator_name, round(sum(value), 5) AS value FROM ser GROUP BY ALL", SERIES_SQL)
+def _(f, spark, sf):
+    return query.sector_totals(_series(f, spark)).withColumn("value", F.round("value", 5))
+
+
+@register("a13_collapse_years", "SELECT year, coalesce(sector_name, 'none') AS sector_name, round(sum(value), 5) AS value FROM ser GROUP BY ALL", SERIES_SQL)
+def _(f, spark, sf):
+    out = query.collapse_years(_series(f, spark).withColumn("sector_name", F.coalesce("sector_name", F.lit("none"))), ["sector_name"])
+    return out.select("year", "sector_name", F.round("value", 5).alias("value"))
+
+
+@register("a14_year_by_group_table", "SELECT year, sum(value) FILTER (region = 'ASIA')::DOUBLE AS \"ASIA\", sum(value) FILTER (region = 'EUROPE')::DOUBLE AS \"EUROPE\" FROM flows GROUP BY year")
+def _(f, spark, sf):
+    return reshape.year_by_group_table(f, "region", ["ASIA", "EUROPE"]).select("year", F.col("ASIA").cast("double").alias("ASIA"), F.col("EUROPE").cast("double").alias("EUROPE"))
+
+
+AGG_SQL = "SELECT 'donor' AS dimension, donor_name AS key, NULL::VARCHAR AS key2, sum(value)::DOUBLE AS total, count(*) AS n FROM flows GROUP BY donor_name UNION ALL SELECT 'year', year::VARCHAR, NULL, sum(value)::DOUBLE, count(*) FROM flows GROUP BY year UNION ALL SELECT 'indicator', indicator_name, NULL, sum(value)::DOUBLE, count(*) FROM flows GROUP BY indicator_name UNION ALL SELECT 'sector', income_group, NULL, sum(value)::DOUBLE, count(*) FROM flows WHERE income_group IS NOT NULL GROUP BY income_group UNION ALL SELECT 'donor_sector', donor_name, income_group, sum(value)::DOUBLE, count(*) FROM flows WHERE income_group IS NOT NULL GROUP BY ALL"
+
+
+def _release(f):
+    return f.select("year", "donor_name", "indicator_name", F.col("income_group").alias("sector_name"), "value")
+
+
+@register("a15_release_aggregates", AGG_SQL)
+def _(f, spark, sf):
+    return release.release_aggregates(_release(f), "value").withColumn("total", F.col("total").cast("double"))
+
+
+@register("a16_presence_sets", f"SELECT dimension, string_agg(key, ',' ORDER BY key) AS vals FROM ({AGG_SQL}) WHERE key2 IS NULL GROUP BY dimension")
+def _(f, spark, sf):
+    return release.presence_sets(release.release_aggregates(_release(f), "value")).select("dimension", F.array_join("values", ",").alias("vals"))
+
+
+@register("a17_distribution", "SELECT round(min(v), 4) AS min, round(max(v), 4) AS max, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.75), 4) AS p75 FROM (SELECT value::DOUBLE AS v FROM flows)")
+def _(f, spark, sf):
+    return release.distribution(f, "value").select(*[F.round(c, 4).alias(c) for c in ("min", "max", "median", "p25", "p75")])
+
+
+CHANGES_SQL = "ch AS (SELECT donor, year, t, lag(t) OVER w AS p, lag(year) OVER w AS py, (t - lag(t) OVER w) / nullif(lag(t) OVER w, 0) AS c FROM (SELECT donor_name AS donor, year, sum(value)::DOUBLE AS t FROM flows GROUP BY ALL) WINDOW w AS (PARTITION BY donor ORDER BY year))"
+
+
+@register("a18_historical_variation", "SELECT donor, round(avg(c), 6) AS mean, round(coalesce(stddev_samp(c), 0), 6) AS std FROM ch WHERE c IS NOT NULL GROUP BY donor UNION ALL SELECT NULL, round(avg(c), 6), round(stddev_pop(c), 6) FROM ch WHERE c IS NOT NULL", CHANGES_SQL)
+def _(f, spark, sf):
+    return release.historical_variation(f, "value").select("donor", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@register("a19_purpose_group_totals", f"SELECT year, recipient_code, {SQL_SUB.replace(chr(39) + 'Unallocated/unspecified' + chr(39), 'NULL')} AS sector, sum(value)::DOUBLE AS value FROM flows GROUP BY ALL")
+def _(f, spark, sf):
+    return impute.purpose_group_totals(f, "sector", {"sector": sub_sectors(spark)}, ["year"], by_recipient=True).withColumn("value", F.col("value").cast("double"))
+
+
+@register("a20_latest_year_topics", "SELECT topic, donor_name, sum(value)::DOUBLE AS value FROM (SELECT 'all' AS topic, * FROM flows UNION ALL SELECT 'health', * FROM flows WHERE purpose_code IN (12, 13) UNION ALL SELECT 'food', * FROM flows WHERE purpose_code IN (31)) WHERE year = (SELECT max(year) FROM flows) GROUP BY ALL")
+def _(f, spark, sf):
+    return impute.latest_year_topic_totals(f, {"all": None, "health": (12, 13), "food": (31,)}).withColumn("value", F.col("value").cast("double"))
+
+
+COVER_SQL = f"mem AS (SELECT 'Seven' AS group_name, n_nationkey AS member_code FROM nation WHERE n_nationkey IN {_isin(MEMBERS)} UNION ALL SELECT 'Gone', 99), seen AS (SELECT DISTINCT year, purpose_code, donor_code FROM flows WHERE channel_code = 1 AND donor_code <> 19), cb AS (SELECT group_name, count(DISTINCT (year, purpose_code)) AS n FROM seen JOIN mem ON donor_code = member_code GROUP BY ALL)"
+
+
+@register("a21_coverage_report", "SELECT m.group_name, m.member_code, (cb.n - count(seen.year)) AS n_missing, count(seen.year) = 0 AS never FROM mem m JOIN cb ON cb.group_name = m.group_name LEFT JOIN seen ON seen.donor_code = m.member_code GROUP BY m.group_name, m.member_code, cb.n", COVER_SQL)
+def _(f, spark, sf):
+    members = N.groups_table(spark, {"Seven": MEMBERS, "Gone": (99,)})
+    return groups.coverage_report(f.where("channel_code = 1 and donor_code <> 19"), members, "donor_code", ["year", "purpose_code"])
+
+
+@register("a21_coverage_summary", "SELECT group_name, count(*) AS n_combos, count(*) FILTER (k < 7) AS n_incomplete FROM (SELECT group_name, year, purpose_code, count(*) AS k FROM seen JOIN mem ON donor_code = member_code GROUP BY ALL) GROUP BY group_name", COVER_SQL)
+def _(f, spark, sf):
+    members = N.groups_table(spark, {"Seven": MEMBERS, "Gone": (99,)})
+    return groups.coverage_summary(f.where("channel_code = 1 and donor_code <> 19"), members, "donor_code", ["year", "purpose_code"])
+
+
+@register("a22_aid_mix", ", w AS (SELECT year, donor_name, sum(value) AS total, sum(value) FILTER (indicator_name = 'A') AS a, sum(value) FILTER (indicator_name = 'R' AND donor_name <> 'NATION_7') AS r FROM flows GROUP BY ALL), m AS (SELECT year, sum(r) AS s FROM w WHERE donor_name <> 'NATION_7' GROUP BY year) SELECT year, donor_name, (total - coalesce(a, 0) - coalesce(CASE WHEN donor_name = 'NATION_7' AND r IS NULL THEN s ELSE r END, 0))::DOUBLE AS other FROM w JOIN m USING (year)")
+def _(f, spark, sf):
+    w = f.groupBy("year", "donor_name").agg(F.sum("value").alias("total"), F.sum(F.when(F.col("indicator_name") == "A", F.col("value"))).alias("a"), F.sum(F.when((F.col("indicator_name") == "R") & (F.col("donor_name") != "NATION_7"), F.col("value"))).alias("r"))
+    return report.aid_mix(w, ["a", "r"], aggregate="NATION_7", missing="r").select("year", "donor_name", F.col("other").cast("double").alias("other"))
+
+
+@register("a23_append_total_entity", "SELECT year, donor_name, sum(value)::DOUBLE AS value FROM flows GROUP BY ALL UNION ALL SELECT year, 'All', sum(value)::DOUBLE FROM flows GROUP BY year")
+def _(f, spark, sf):
+    return groups.append_total_entity(groups.sum_by(f, ["year", "donor_name"]), ["year"], "donor_name", "All").withColumn("value", F.col("value").cast("double"))
+
+
+SHARES_SQL = "sp AS (SELECT channel_code, year, purpose_code, sum(value) AS v FROM flows WHERE indicator_name = 'R' GROUP BY ALL), sm AS (SELECT a.channel_code, t.year, a.purpose_code, sum(a.v) AS v FROM sp a JOIN (SELECT DISTINCT channel_code, year FROM sp) t ON t.channel_code = a.channel_code AND a.year BETWEEN t.year - 2 AND t.year GROUP BY ALL), sh AS (SELECT channel_code, year, purpose_code, round(v::DOUBLE / sum(v) OVER (PARTITION BY channel_code, year)::DOUBLE, 9) AS share FROM sm)"
+
+
+@register("a25_channel_spending_shares", "SELECT channel_code, year, purpose_code, round(share, 6) AS share FROM sh", SHARES_SQL)
+def _(f, spark, sf):
+    return impute.channel_spending_shares(f.where("indicator_name = 'R'"), by=["purpose_code"]).withColumn("share", F.round("share", 6))
+
+
+@register("a24_imputed_multilateral", "SELECT g.year, g.donor_name, sh.purpose_code, round(sum(g.v::DOUBLE * share), 2) AS value FROM (SELECT year, donor_name, channel_code, sum(value) AS v FROM flows WHERE indicator_name = 'A' GROUP BY ALL) g JOIN sh ON sh.channel_code = g.channel_code AND sh.year = g.year GROUP BY ALL", SHARES_SQL)
+def _(f, spark, sf):
+    sh = impute.channel_spending_shares(f.where("indicator_name = 'R'"), by=["purpose_code"])
+    return impute.imputed_multilateral(f.where("indicator_name = 'A'"), sh, ["year", "donor_name", "purpose_code"]).withColumn("value", F.round("value", 2))
+
+
+@register("a26_combine_indicators", "SELECT year, donor_name, 'Total' AS indicator_name, sum(value)::DOUBLE AS value FROM flows GROUP BY ALL")
+def _(f, spark, sf):
+    return groups.combine_indicators(f, ["year", "donor_name", "indicator_name"], "Total").withColumn("value", F.col("value").cast("double"))
+
+
+# --- windows ------------------------------------------------------------------------
+
+
+@register("w01_pct_change", "SELECT donor AS donor_name, year, round(c, 6) AS pct_change FROM ch", CHANGES_SQL)
+def _(f, spark, sf):
+    return shares.pct_change(groups.sum_by(f, ["year", "donor_name"]), ["donor_name"]).select("donor_name", "year", "pct_change")
+
+
+@register("w02_share_of_group_total", "SELECT year, donor_name, round(v::DOUBLE / sum(v) OVER (PARTITION BY year)::DOUBLE, 6) AS share FROM (SELECT year, donor_name, sum(value) AS v FROM flows GROUP BY ALL)")
+def _(f, spark, sf):
+    return shares.share_of_group_total(groups.sum_by(f, ["year", "donor_name"]), ["year"], "share").select("year", "donor_name", "share")
+
+
+@register("w03_share_of_reference_total", ", x AS (SELECT year, donor_name, income_group, indicator_name, sum(value) AS v FROM flows GROUP BY ALL), t AS (SELECT year, income_group, sum(v) AS v FROM x WHERE donor_name = 'NATION_7' GROUP BY ALL) SELECT x.year, donor_name, x.income_group, indicator_name, round(x.v::DOUBLE / t.v::DOUBLE, 6) AS share FROM x LEFT JOIN t ON t.year = x.year AND t.income_group IS NOT DISTINCT FROM x.income_group")
+def _(f, spark, sf):
+    x = groups.sum_by(f, ["year", "donor_name", "income_group", "indicator_name"])
+    return shares.share_of_reference_total(x, "donor_name", "NATION_7", ["year", "income_group"], "share").drop("value")
+
+
+@register("w04_share_of_indicator", ", x AS (SELECT year, donor_name, indicator_name, sum(value) AS v FROM flows GROUP BY ALL) SELECT x.year, x.donor_name, x.indicator_name, round(x.v::DOUBLE / t.v::DOUBLE, 6) AS share FROM x LEFT JOIN x t ON t.year = x.year AND t.donor_name = x.donor_name AND t.indicator_name = 'N'")
+def _(f, spark, sf):
+    return shares.share_of_indicator(groups.sum_by(f, ["year", "donor_name", "indicator_name"]), "N", ["year", "donor_name"], "share").drop("value")
+
+
+@register("w05_share_of_gni", "SELECT year, donor_name, round(v::DOUBLE / g.value::DOUBLE, 5) AS pct_of_gni, round(v::DOUBLE / g.value::DOUBLE * 100, 2) AS gni_percent, round(greatest((20000.0 - v::DOUBLE / g.value::DOUBLE * 100) / 100 * g.value::DOUBLE, 0.0), -1) AS shortfall FROM (SELECT year, donor_name, sum(value) AS v FROM flows GROUP BY ALL) JOIN gni g USING (year, donor_name)")
+def _(f, spark, sf):
+    return shares.share_of_gni(groups.sum_by(f, ["year", "donor_name"]), tables.gni(spark, sf), target=20000.0).withColumn("shortfall", F.round("shortfall", -1)).drop("value")
+
+
+@register("w06_yoy_scores", ", s AS (SELECT donor, count(*) AS n, avg(c) FILTER (year < 2000) AS m, stddev_samp(c) FILTER (year < 2000) AS s, max(c) FILTER (year = 2000 AND py = 1999) AS c FROM ch WHERE year <= 2000 GROUP BY donor) SELECT donor, round(c, 6) AS change, round(m, 6) AS mean, round(s, 6) AS std, round((c - m) / s, 6) AS z FROM s WHERE n >= 4 AND s > 0 AND c IS NOT NULL", CHANGES_SQL)
+def _(f, spark, sf):
+    return release.yoy_scores(f, 2000, "value").select("donor", *[F.round(c, 6).alias(c) for c in ("change", "mean", "std", "z")])
+
+
+@register("w07_order_by_total", ", t AS (SELECT region, row_number() OVER (ORDER BY sum(value) DESC, region) AS rank FROM flows GROUP BY region) SELECT DISTINCT year, region, rank::INTEGER AS rank FROM flows JOIN t USING (region)")
+def _(f, spark, sf):
+    return shares.order_by_total(groups.sum_by(f, ["year", "region"]), "region").drop("value")
+
+
+@register("w08_sector_year_share", "SELECT year, region, sum(sum(value)) OVER (PARTITION BY year)::DOUBLE AS year_total FROM flows GROUP BY year, region")
+def _(f, spark, sf):
+    return shares.sector_year_share(groups.sum_by(f, ["year", "region"])).select("year", "region", F.col("year_total").cast("double").alias("year_total"))
+
+
+# --- sorts, sets --------------------------------------------------------------------
+
+
+@register("o01_pinned_sort", "SELECT year, donor_name, row_number() OVER (ORDER BY CASE WHEN donor_name = 'NATION_7' THEN 0 ELSE 1 END, year, donor_name)::INTEGER AS position FROM (SELECT DISTINCT year, donor_name FROM flows)")
+def _(f, spark, sf):
+    rows = f.select("year", "donor_name").distinct()
+    return report.ranked(rows, report.pinned_order(F.col("donor_name"), "NATION_7", F.asc("year"), F.asc("donor_name")))
+
+
+@register("o02_gni_table", "SELECT year, donor_name, pct_of_gni, row_number() OVER (ORDER BY year DESC, pct_of_gni DESC NULLS LAST, donor_name)::INTEGER AS position FROM (SELECT year, donor_name, CASE WHEN donor_name <> 'NATION_7' THEN round(v::DOUBLE / g.value::DOUBLE, 5) END AS pct_of_gni FROM (SELECT year, donor_name, sum(value) AS v FROM flows GROUP BY ALL) JOIN gni g USING (year, donor_name))")
+def _(f, spark, sf):
+    return report.gni_table(groups.sum_by(f, ["year", "donor_name"]), tables.gni(spark, sf), blank="NATION_7").drop("value")
+
+
+@register("o03_top_k", "SELECT donor_name, sum(value)::DOUBLE AS value FROM flows GROUP BY donor_name ORDER BY 2 DESC, 1 LIMIT 5")
+def _(f, spark, sf):
+    rows = groups.sum_by(f, ["donor_name"]).withColumn("value", F.col("value").cast("double"))
+    return report.top_k(rows, [F.desc("value"), F.asc("donor_name")], 5)
+
+
+@register("o03_first_names", ", n AS (SELECT DISTINCT region, recipient_name AS x FROM flows), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY x) AS k, count(*) OVER (PARTITION BY region) AS c FROM n) SELECT region, string_agg(x, ', ' ORDER BY x) FILTER (k <= 3) || CASE WHEN max(c) > 3 THEN ' (+' || (max(c) - 3) || ' more)' ELSE '' END AS names FROM r GROUP BY region")
+def _(f, spark, sf):
+    return f.groupBy("region").agg(report.first_names("recipient_name", 3).alias("names"))
+
+
+@register("u01_union_by_name", "SELECT year, donor_name, donor_code, sum(value)::DOUBLE AS value FROM flows GROUP BY ALL UNION ALL SELECT year, 'All', NULL, sum(value)::DOUBLE FROM flows GROUP BY year")
+def _(f, spark, sf):
+    out = reshape.union_by_name(groups.sum_by(f, ["year", "donor_name", "donor_code"]), groups.sum_by(f, ["year"]).withColumn("donor_name", F.lit("All")))
+    return out.withColumn("value", F.col("value").cast("double"))
+
+
+@register("u02_splice", "SELECT year, donor_name, sum(value)::DOUBLE AS value FROM flows WHERE (indicator_name = 'R' AND (year < 1998 OR channel_code = 7)) OR (indicator_name = 'N' AND NOT (year < 1998 OR channel_code = 7)) GROUP BY ALL")
+def _(f, spark, sf):
+    rows = reshape.splice(f, "indicator_name", "R", "N", 1998, always_before=[7], item_col="channel_code")
+    return groups.sum_by(rows, ["year", "donor_name"]).withColumn("value", F.col("value").cast("double"))
+
+
+@register("u03_distinct_on", "SELECT year, donor_name, purpose_code, value::DOUBLE AS value FROM (SELECT *, row_number() OVER (PARTITION BY year, donor_name ORDER BY value DESC, purpose_code) AS k FROM flows) WHERE k = 1")
+def _(f, spark, sf):
+    out = reshape.distinct_on(f.select("year", "donor_name", "purpose_code", "value"), ["year", "donor_name"], [F.desc("value"), F.asc("purpose_code")])
+    return out.withColumn("value", F.col("value").cast("double"))
+
+
+@register("u05_fill_missing", ", x AS (SELECT year, donor_name, indicator_name, sum(value) AS value FROM flows WHERE purpose_code = 11 AND channel_code < 3 GROUP BY ALL) SELECT y.year, s.donor_name, s.indicator_name, coalesce(x.value, 0)::DOUBLE AS value FROM years y, (SELECT DISTINCT donor_name, indicator_name FROM x) s LEFT JOIN x ON x.year = y.year AND x.donor_name = s.donor_name AND x.indicator_name = s.indicator_name")
+def _(f, spark, sf):
+    x = groups.sum_by(f.where("purpose_code = 11 and channel_code < 3"), ["year", "donor_name", "indicator_name"])
+    return reshape.fill_missing(x, tables.YEARS, ["donor_name", "indicator_name"], {"value": 0}).withColumn("value", F.col("value").cast("double"))
+
+
+# --- functions ----------------------------------------------------------------------
+
+
+@register("f01_normalize_unspecified", ", n AS (SELECT DISTINCT recipient_name || CASE recipient_code % 5 WHEN 0 THEN ', regional' WHEN 1 THEN ' unspecified' WHEN 2 THEN ', unspecified' WHEN 3 THEN ' Regional and Unspecified' ELSE '' END AS name FROM flows) SELECT name, regexp_replace(regexp_replace(name, ',?\\s+regional$', ', unspecified'), '([^,\\s])\\s+unspecified$', '\\1, unspecified') AS normal FROM n")
+def _(f, spark, sf):
+    tail = F.element_at(F.array(*map(F.lit, [", regional", " unspecified", ", unspecified", " Regional and Unspecified", ""])), (F.col("recipient_code") % 5 + 1).cast("int"))
+    return f.select(F.concat("recipient_name", tail).alias("name")).distinct().select("name", N.normalize_unspecified(F.col("name")).alias("normal"))
+
+
+@register("f02_slugify", "SELECT DISTINCT c_name AS name, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer")
+def _(f, spark, sf):
+    names = tables.read(spark, sf, "customer").select(F.col("c_name").alias("name")).distinct()
+    return N.add_slug(names, "name", "slug")
+
+
+@register("f02_slug_collisions", "SELECT trim(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '-') AS slug, string_agg(n, ';' ORDER BY n) AS names FROM (SELECT DISTINCT unnest([r_name, r_name || '!']) AS n FROM region) GROUP BY slug HAVING count(*) > 1")
+def _(f, spark, sf):
+    names = tables.read(spark, sf, "region").select(F.explode(F.array(F.col("r_name"), F.concat("r_name", F.lit("!")))).alias("name"))
+    return N.slug_collisions(N.add_slug(names, "name", "slug"), "name", "slug").withColumn("names", F.array_join("names", ";"))
+
+
+@register("f03_to_units", "SELECT year, donor_name, (round(sum(value), 2)::DECIMAL(18,2) * 100)::BIGINT AS units FROM flows GROUP BY ALL")
+def _(f, spark, sf):
+    return groups.sum_by(f, ["year", "donor_name"]).select("year", "donor_name", S.to_units(F.col("value"), 100).alias("units"))
+
+
+@register("f05_formats", "SELECT year, CASE WHEN v >= 1000 THEN format('{:,.2f} billion', v / 1000) ELSE format('{:,.1f} million', v) END AS amount FROM (SELECT year, round(sum(value)::DOUBLE / 1e6, 3) AS v FROM flows GROUP BY year)")
+def _(f, spark, sf):
+    return groups.sum_by(f, ["year"]).select("year", S.format_amount(F.round(S.to_millions(F.col("value")), 3)).alias("amount"))
+
+
+@register("f06_rounding", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4, 1) AS even, round(l_quantity / 4, 1) AS up FROM lineitem")
+def _(f, spark, sf):
+    q = F.col("l_quantity") / 4
+    return tables.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.rounded(q, 1, half_even=True).alias("even"), S.rounded(q, 1).alias("up"))
+
+
+@register("f07_keys", "SELECT DISTINCT donor_name || '|' || region AS key, donor_name AS a, region AS b FROM flows")
+def _(f, spark, sf):
+    keys = f.select(S.join_key(F.col("donor_name"), F.col("region")).alias("key")).distinct()
+    a, b = S.split_key(F.col("key"))
+    return keys.select("key", a.alias("a"), b.alias("b"))
+
+
+@register("f08_finite", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_totalprice END AS v FROM orders")
+def _(f, spark, sf):
+    v = F.when(F.col("o_orderkey") % 3 == 0, float("nan")).when(F.col("o_orderkey") % 3 == 1, float("inf")).otherwise(F.col("o_totalprice"))
+    return tables.read(spark, sf, "orders").select("o_orderkey", io.finite(v).alias("v"))
+
+
+# --- release ------------------------------------------------------------------------
+
+
+RELEASE_SQL = "cur AS (SELECT * FROM flows WHERE donor_code <> 4 AND NOT (donor_code = 7 AND year = 2001)), prev AS (SELECT year, donor_code, donor_name, income_group, indicator_name, value * (CASE WHEN donor_code = 9 THEN 2 ELSE 1 END) AS value FROM flows WHERE donor_code <> 11 AND year < 2001)"
+
+
+def _two_releases(f):
+    cur = f.where("donor_code <> 4 and not (donor_code = 7 and year = 2001)")
+    prev = f.where("donor_code <> 11 and year < 2001").withColumn("value", F.col("value") * F.when(F.col("donor_code") == 9, 2).otherwise(1))
+    return _release(cur), _release(prev)
+
+
+@register("v03_duplicate_keys", "SELECT year, donor_name, indicator_name, count(*) AS n FROM flows WHERE purpose_code = 3 AND channel_code = 2 GROUP BY ALL HAVING count(*) > 1")
+def _(f, spark, sf):
+    return release.duplicate_keys(f.where("purpose_code = 3 and channel_code = 2"), ["year", "donor_name", "indicator_name", "absent_column"])
+
+
+@register("v01_to_v07_gates", "SELECT 'd' AS dataset, unnest(['critical_dimensions', 'names_populated', 'no_duplicate_keys', 'not_empty', 'value_bounds', 'values_populated']) AS \"check\", unnest([false, false, false, true, true, true]) AS passed")
+def _(f, spark, sf):
+    df = f.select("year", "donor_name", "indicator_name", F.col("income_group").alias("sector_name"), F.col("value").alias("value_usd"))
+    out = release.check_not_empty(df, "d")
+    for g in (release.check_no_duplicate_keys(df, ["year", "donor_name"], "d"), release.check_value_columns_populated(df, "d"), release.check_value_bounds(df, "d"), release.check_names_populated(df, "d"), release.check_critical_dimensions(df, ["NATION_7", "ATLANTIS"], 2000, "d")):
+        out = out.unionByName(g)
+    return out.drop("errors")
+
+
+@register("v09_release_drift", "SELECT CASE WHEN abs(x) > 0.4 THEN 'high' ELSE 'medium' END AS level, k AS entity, round(x, 6) AS metric FROM (SELECT p.k, (coalesce(c.v, 0) - p.v) / p.v AS x FROM (SELECT donor_name AS k, sum(value)::DOUBLE AS v FROM prev GROUP BY 1) p LEFT JOIN (SELECT donor_name AS k, sum(value)::DOUBLE AS v FROM cur GROUP BY 1) c USING (k)) WHERE abs(x) > 0.2", RELEASE_SQL)
+def _(f, spark, sf):
+    now, was = (release.release_aggregates(x, "value") for x in _two_releases(f))
+    return release.detect_release_drift(now, was).select("level", "entity", F.round("metric", 6).alias("metric"))
+
+
+@register("v10_missing_expected_data", "SELECT donor_name AS entity FROM cur GROUP BY 1 HAVING count(*) FILTER (year = 2000) > 0 AND (count(*) FILTER (year = 2001) = 0 OR sum(value) FILTER (year = 2001) = 0)", RELEASE_SQL)
+def _(f, spark, sf):
+    return release.detect_missing_expected_data(_two_releases(f)[0], 2001, "value").select("entity")
+
+
+@register("v11_new_or_removed", "SELECT 'info' AS level, donor_name AS entity FROM (SELECT DISTINCT donor_name FROM cur EXCEPT SELECT donor_name FROM prev) UNION ALL SELECT 'medium', donor_name FROM (SELECT DISTINCT donor_name FROM prev EXCEPT SELECT donor_name FROM cur)", RELEASE_SQL)
+def _(f, spark, sf):
+    now, was = (release.release_aggregates(x, "value") for x in _two_releases(f))
+    return release.detect_new_or_removed_entities(now, was).select("level", "entity")
+
+
+@register("v12_row_count_change", ", x AS (SELECT (SELECT count(*) FROM cur) AS a, (SELECT count(*) FROM prev) AS b) SELECT CASE WHEN abs((a - b) / b) > 0.3 THEN 'high' ELSE 'medium' END AS level, round((a - b)::DOUBLE / b, 6) AS metric FROM x WHERE abs((a - b)::DOUBLE / b) > 0.001", RELEASE_SQL)
+def _(f, spark, sf):
+    now, was = _two_releases(f)
+    one = now.agg(F.count("*").alias("now")).join(F.broadcast(was.agg(F.count("*").alias("was"))))
+    return release.detect_row_count_change(F.col("now"), F.col("was"), one, medium=0.001).select("level", F.round("metric", 6).alias("metric"))
+
+
+@register("v13_indicator_gaps", "SELECT 'high' AS level, 'R' AS entity")
+def _(f, spark, sf):
+    now, was = _two_releases(f)
+    return release.detect_indicator_coverage_gaps(release.release_aggregates(now.where("indicator_name <> 'R'"), "value"), release.release_aggregates(was, "value")).select("level", "entity")
+
+
+@register("v14_sector_drift", ", x AS (SELECT donor_name || '|' || income_group AS k, p.v AS p, coalesce(c.v, 0) AS c FROM (SELECT donor_name, income_group, sum(value)::DOUBLE AS v FROM prev WHERE income_group IS NOT NULL GROUP BY ALL) p LEFT JOIN (SELECT donor_name, income_group, sum(value)::DOUBLE AS v FROM cur GROUP BY ALL) c USING (donor_name, income_group)), y AS (SELECT income_group AS k, p.v AS p, coalesce(c.v, 0) AS c FROM (SELECT income_group, sum(value)::DOUBLE AS v FROM prev WHERE income_group IS NOT NULL GROUP BY ALL) p LEFT JOIN (SELECT income_group, sum(value)::DOUBLE AS v FROM cur GROUP BY ALL) c USING (income_group)) SELECT CASE WHEN abs((c - p) / p) > 0.6 THEN 'high' ELSE 'medium' END AS level, k AS entity, round((c - p) / p, 6) AS metric FROM x WHERE abs((c - p) / p) > 0.4 UNION ALL SELECT CASE WHEN abs((c - p) / p) > 0.4 THEN 'high' ELSE 'medium' END, k, round((c - p) / p, 6) FROM y WHERE abs((c - p) / p) > 0.2", RELEASE_SQL)
+def _(f, spark, sf):
+    now, was = (release.release_aggregates(x, "value") for x in _two_releases(f))
+    return release.detect_sector_drift(now, was).select("level", "entity", F.round("metric", 6).alias("metric"))
+
+
+TOPIC_SQL = RELEASE_SQL + ", tp AS (SELECT p.k, (coalesce(c.v, 0) - p.v) / p.v AS x FROM (SELECT donor_name AS k, sum(value)::DOUBLE AS v FROM prev GROUP BY 1) p LEFT JOIN (SELECT donor_name AS k, sum(value)::DOUBLE AS v FROM cur GROUP BY 1) c USING (k)), st AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM tp)"
+
+
+def _topic(df):
+    return df.groupBy(F.col("donor_name").alias("donor")).agg(F.sum("value").cast("double").alias("total"))
+
+
+@register("v15_topic_drift", "SELECT CASE WHEN abs((x - m) / s) > 3 OR abs(x) > 0.4 THEN 'high' ELSE 'medium' END AS level, k AS entity, round(x, 6) AS metric FROM tp, st WHERE abs((x - m) / s) > 2 OR abs(x) > 0.2", TOPIC_SQL)
+def _(f, spark, sf):
+    now, was = map(_topic, _two_releases(f))
+    return release.detect_topic_drift(now, was).select("level", "entity", F.round("metric", 6).alias("metric"))
+
+
+@register("v16_missing_critical", "SELECT 'high' AS level, n_name AS entity FROM nation WHERE n_nationkey = 4")
+def _(f, spark, sf):
+    now, was = map(_topic, _two_releases(f))
+    names = [r[0] for r in tables.read(spark, sf, "nation").where("n_nationkey in (3, 4, 11)").select("n_name").collect()]
+    return release.detect_missing_critical(now, was, names).select("level", "entity")
+
+
+@register("v17_new_entities_summary", "SELECT 'info' AS level, 'new donors: ' || n_name AS message FROM nation WHERE n_nationkey = 11")
+def _(f, spark, sf):
+    now, was = map(_topic, _two_releases(f))
+    return release.detect_new_entities_summary(now, was).select("level", "message")
+
+
+@register("v18_snapshot_release", f"SELECT 'r1' AS release, * FROM ({AGG_SQL}) UNION ALL SELECT 'r1', 'stats', k, NULL, round(v, 4), (SELECT count(*) FROM flows) FROM (SELECT unnest(['row_count', 'first_year', 'last_year', 'min', 'max', 'p25', 'median', 'p75']) AS k, unnest([count(*)::DOUBLE, min(year), max(year), min(value)::DOUBLE, max(value)::DOUBLE, quantile_cont(value::DOUBLE, 0.25), quantile_cont(value::DOUBLE, 0.5), quantile_cont(value::DOUBLE, 0.75)]) AS v FROM flows)")
+def _(f, spark, sf):
+    out = release.snapshot_release(_release(f), "r1", ["year", "donor_name"], "value")
+    return out.withColumn("total", F.round("total", 4)).select("release", "dimension", "key", "key2", "total", "n")
+
+
+@register("v19_previous_release", "SELECT '2000' AS release")
+def _(f, spark, sf):
+    releases = f.groupBy(F.col("year").cast("string").alias("release")).agg(F.max(F.make_date("year", F.lit(1), F.lit(1))).alias("computed_at"))
+    return release.previous_release(releases, "2001").select("release")
+
+
+@register("v20_v21_validation_summary", ", d AS (SELECT donor_name FROM cur GROUP BY 1 HAVING count(*) FILTER (year = 2000) > 0 AND count(*) FILTER (year = 2001) = 0), p AS (SELECT DISTINCT donor_name FROM prev EXCEPT SELECT donor_name FROM cur), n AS (SELECT DISTINCT donor_name FROM cur EXCEPT SELECT donor_name FROM prev) SELECT 'high' AS level, count(*) AS n FROM d UNION ALL SELECT 'medium', count(*) FROM p UNION ALL SELECT 'info', count(*) FROM n", RELEASE_SQL)
+def _(f, spark, sf):
+    now, was = _two_releases(f)
+    gates, warnings = release.validate_dataset(now, "d", now.schema, ["year"], "value", previous=release.snapshot_release(was, "r1", ["year"], "value"), year=2001)
+    return release.warning_summary(warnings.where("check in ('missing_data', 'entities')"))
+
+
+# --- queries and reports ----------------------------------------------------------------
+
+
+@register("p05_drill_down", "SELECT year, donor_name, recipient_name, indicator_name, round(sum(value_eur_constant)::DOUBLE / 1e6, 6) AS value FROM conv WHERE donor_name = 'NATION_7' AND recipient_name = 'NATION_3' AND indicator_name IN ('A', 'N') AND year BETWEEN 1996 AND 2000 GROUP BY ALL")
+def _(f, spark, sf):
+    wide = currency.convert_currencies(groups.sum_by(f, ["year", "donor_code", "donor_name", "recipient_name", "indicator_name"]), tables.rates(spark, sf))
+    return query.drill_down(wide, "NATION_7", ["A", "N"], "eur", "constant", (1996, 2000), "NATION_3").withColumn("value", F.round("value", 6))
+
+
+@register("p09_unit_select", "SELECT year, donor_name, round(v::DOUBLE / sum(v) OVER (PARTITION BY year)::DOUBLE * 100, 6) AS shown FROM (SELECT year, donor_name, sum(value) AS v FROM flows GROUP BY ALL)")
+def _(f, spark, sf):
+    rows = shares.sector_year_share(groups.sum_by(f, ["year", "donor_name"]))
+    return query.unit_select(rows, "donor", denominators={"donor": "year_total"}).select("year", "donor_name", F.round("shown", 6).alias("shown"))
+
+
+@register("vw5_headline", "SELECT year, donor AS donor_name, round(c, 6) AS pct_change, CASE WHEN c < 0 THEN 'fell' ELSE 'rose' END AS direction FROM ch WHERE year = 2000", CHANGES_SQL)
+def _(f, spark, sf):
+    totals = groups.sum_by(f, ["year", "donor_name"]).withColumn("value", S.to_millions(F.col("value")))
+    return report.headline(totals, 2000).select("year", "donor_name", F.round("pct_change", 6).alias("pct_change"), "direction")
+
+
+@register("vw5_africa_share", "SELECT year, sum(value) FILTER (region = 'AFRICA')::DOUBLE AS value, sum(value)::DOUBLE AS total, round(sum(value) FILTER (region = 'AFRICA')::DOUBLE / sum(value)::DOUBLE, 4) AS share FROM flows GROUP BY year")
+def _(f, spark, sf):
+    return report.group_share_series(f, "region", "AFRICA").withColumns({"value": F.col("value").cast("double"), "total": F.col("total").cast("double")})
+
+
+@register("vw5_income_split", "SELECT income_group, round(sum(value)::DOUBLE / sum(sum(value)) OVER ()::DOUBLE, 4) AS share FROM flows WHERE year = (SELECT max(year) FROM flows) GROUP BY income_group")
+def _(f, spark, sf):
+    return report.split_latest(f, "income_group").select("income_group", "share")
+
+
+@register("vw5_country_series", "SELECT year, donor_name, sum(value)::DOUBLE AS value FROM flows WHERE recipient_name = 'NATION_3' GROUP BY ALL UNION ALL SELECT year, 'All', sum(value)::DOUBLE FROM flows WHERE recipient_name = 'NATION_3' GROUP BY year")
+def _(f, spark, sf):
+    return report.country_series(f, "NATION_3", "All").withColumn("value", F.col("value").cast("double"))
+
+
+@register("f09_key_numbers", """SELECT '{"flows":{' || string_agg('"' || year || '":{"value":"' || v || '"}', ',' ORDER BY year) || '}}' AS numbers FROM (SELECT year, round(sum(value), 0)::BIGINT AS v FROM flows GROUP BY year)""")
+def _(f, spark, sf):
+    rows = groups.sum_by(f, ["year"]).withColumn("value", F.round("value", 0).cast("long"))
+    return S.key_numbers(rows, "flows", "year", ["value"]).select(F.to_json("numbers").alias("numbers"))
+
+
+# --- whole views ---------------------------------------------------------------------------
+
+
+def _units(v: str) -> str:
+    return f"(round({v}, 2)::DECIMAL(18,2) * 100)::BIGINT AS {v}"
+
+
+_SUMS = ", ".join(f"sum({v}) AS {v}" for v in views.VALUES)
+_UNITS = ", ".join(map(_units, views.VALUES))
+BOTH_SQL = f"{SQL_LABELS}, {SQL_RECIPIENTS}, dl AS (SELECT g, code FROM labels UNION ALL SELECT n_name, n_nationkey FROM nation), rl AS (SELECT g, code FROM rlab UNION ALL SELECT n_name, n_nationkey FROM nation)"
+
+
+@register(
+    "vw1_financing_view",
+    f""", i AS (SELECT year, donor_code, indicator_name, {_SUMS} FROM conv GROUP BY ALL UNION ALL SELECT year, donor_code, 'Total ODA', {_SUMS} FROM conv GROUP BY ALL),
+x AS (SELECT year, g AS donor_name, indicator_name, {_SUMS} FROM i JOIN dl ON code = donor_code GROUP BY ALL),
+gg AS (SELECT year, g AS donor_name, sum(value) AS gni FROM gni JOIN dl ON code = donor_code GROUP BY ALL)
+SELECT x.year, x.donor_name, x.indicator_name, CASE WHEN x.year < 1998 THEN 'Flows' ELSE 'Grant equivalents' END AS type, {", ".join(f"(round(x.{v}, 2)::DECIMAL(18,2) * 100)::BIGINT AS {v}" for v in views.VALUES)},
+  round(x.value_usd_current::DOUBLE / t.value_usd_current::DOUBLE, 6) AS pct_of_total_oda, round(x.value_usd_current::DOUBLE / gg.gni::DOUBLE, 5) AS pct_of_gni
+FROM x JOIN x t ON t.year = x.year AND t.donor_name = x.donor_name AND t.indicator_name = 'Total ODA' LEFT JOIN gg ON gg.year = x.year AND gg.donor_name = x.donor_name""",
+    BOTH_SQL,
+)
+def _(f, spark, sf):
+    return views.financing_view(f, tables.rates(spark, sf), tables.gni(spark, sf), settings())
+
+
+_VIEW = f"x AS (SELECT year, d.g AS donor_name, r.g AS recipient_name, indicator_name, {_SUMS} FROM (SELECT year, donor_code, recipient_code, indicator_name, {_SUMS} FROM conv GROUP BY ALL) JOIN dl d ON d.code = donor_code JOIN rl r ON r.code = recipient_code GROUP BY ALL)"
+
+
+@register(
+    "vw2_recipients_view",
+    f""", {_VIEW}, a AS (SELECT year, recipient_name, sum(value_usd_current) AS t FROM x WHERE donor_name = 'All donors' GROUP BY ALL), b AS (SELECT year, donor_name, sum(value_usd_current) AS t FROM x WHERE recipient_name = 'All recipients' GROUP BY ALL)
+SELECT x.year, x.donor_name, x.recipient_name, indicator_name, {_UNITS}, round(value_usd_current::DOUBLE / a.t::DOUBLE, 6) AS pct_total_recipient, round(value_usd_current::DOUBLE / b.t::DOUBLE, 6) AS pct_total_donor
+FROM x LEFT JOIN a ON a.year = x.year AND a.recipient_name = x.recipient_name LEFT JOIN b ON b.year = x.year AND b.donor_name = x.donor_name""",
+    BOTH_SQL,
+)
+def _(f, spark, sf):
+    return views.recipients_view(f, tables.rates(spark, sf), settings())
+
+
+@register(
+    "vw3_marker_view",
+    f""", x AS (SELECT year, d.g AS donor_name, r.g AS recipient_name, marker AS indicator_name, {_SUMS} FROM (SELECT year, donor_code, recipient_code, marker, {_SUMS} FROM conv GROUP BY ALL) JOIN dl d ON d.code = donor_code JOIN rl r ON r.code = recipient_code GROUP BY ALL)
+SELECT year, donor_name, recipient_name, indicator_name, {_UNITS}, round(value_usd_current::DOUBLE / sum(value_usd_current) OVER (PARTITION BY year, donor_name, recipient_name)::DOUBLE, 6) AS pct_of_total_oda FROM x""",
+    BOTH_SQL,
+)
+def _(f, spark, sf):
+    return views.marker_view(f.withColumn("indicator_name", F.col("marker")), tables.rates(spark, sf), settings())
+
+
+@register(
+    "vw4_sectors_view",
+    f""", x AS (SELECT year, d.g AS donor_name, r.g AS recipient_name, indicator_name, sub_sector_name, {_SUMS} FROM (SELECT year, donor_code, recipient_code, indicator_name, {SQL_SUB} AS sub_sector_name, {_SUMS} FROM conv GROUP BY ALL) JOIN dl d ON d.code = donor_code JOIN rl r ON r.code = recipient_code GROUP BY ALL),
+a AS (SELECT year, recipient_name, sum(value_usd_current) AS t FROM x WHERE donor_name = 'All donors' GROUP BY ALL), b AS (SELECT year, donor_name, sum(value_usd_current) AS t FROM x WHERE recipient_name = 'All recipients' GROUP BY ALL)
+SELECT x.year, x.donor_name, x.recipient_name, indicator_name, CASE sub_sector_name WHEN 'Food' THEN 'Production' WHEN 'Unallocated/unspecified' THEN 'Unallocated/unspecified' ELSE 'Social' END AS sector_name, sub_sector_name, {_UNITS},
+  round(value_usd_current::DOUBLE / a.t::DOUBLE, 6) AS pct_of_recipient, round(value_usd_current::DOUBLE / b.t::DOUBLE, 6) AS pct_of_donor,
+  trim(regexp_replace(lower(x.donor_name), '[^a-z0-9]+', '-', 'g'), '-') AS donor_slug, trim(regexp_replace(lower(x.recipient_name), '[^a-z0-9]+', '-', 'g'), '-') AS recipient_slug
+FROM x LEFT JOIN a ON a.year = x.year AND a.recipient_name = x.recipient_name LEFT JOIN b ON b.year = x.year AND b.donor_name = x.donor_name""",
+    BOTH_SQL,
+)
+def _(f, spark, sf):
+    return views.sectors_view(f, tables.rates(spark, sf), sub_sectors(spark), sectors(spark), settings())
+
+
+@register(
+    "vw6_purpose_extract",
+    "SELECT year, indicator_name, donor_code, donor_name, purpose_code, channel_name, split_part(k, '_', 2) AS currency, split_part(k, '_', 3) AS price, round(v, 2)::DOUBLE AS value FROM (SELECT year, indicator_name, donor_code, donor_name, purpose_code, CASE channel_code WHEN 1 THEN 'Public' WHEN 2 THEN 'Private' ELSE 'Other' END AS channel_name, "
+    + ", ".join(f"sum({v})::DECIMAL(38,10) AS {v}" for v in views.VALUES)
+    + f" FROM conv WHERE donor_code < 5 GROUP BY ALL) UNPIVOT (v FOR k IN ({', '.join(views.VALUES)}))",
+)
+def _(f, spark, sf):
+    channels = table(spark, [(1, "Public"), (2, "Private")], "code int, name string")
+    return views.purpose_extract(f.where("donor_code < 5"), tables.rates(spark, sf), channels).withColumns(money("value"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
