@@ -115,7 +115,7 @@ def _windows_of(size: int, literal: int, lengths: np.ndarray | None, keep: np.nd
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids = batch.column("id")
             for b in W.blocks(batch.column("text")):
                 t = templates(b.data, b.offsets)
                 if not len(t.token):
@@ -141,7 +141,7 @@ def _windows_of(size: int, literal: int, lengths: np.ndarray | None, keep: np.nd
                     values.append(W.signed(t.value[s : s + n][here]).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[b.first_row : b.last_row][row]),
+                        ids.take(pa.array(row + b.first_row)),
                         pa.array((start - t.words.first[row]).astype(np.int32)),
                         pa.array(length.astype(np.int32)),
                         pa.array(tokens[row].astype(np.int32)),

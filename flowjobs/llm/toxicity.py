@@ -179,6 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, held: tuple[int, int], sample: int
     lift = F.log(p / F.lit(pos) / (q / F.lit(n - pos)))
     chosen = by.select("f", "pos", "n", (F.abs(lift) / F.sqrt(1 / p + 1 / q)).alias("z")).orderBy(F.desc("z"), "f").limit(features)
     chosen = np.sort(np.array([r[0] for r in chosen.select("f").collect()], np.int64).view(np.uint64))
+    if not len(chosen):
+        return Model(chosen, chosen, np.zeros(0), float(np.log(pos / (n - pos))))
 
     def numbers(batches):
         for batch in batches:
