@@ -584,9 +584,9 @@ def _(f, spark, sf):
     return N.add_slug(names, "name", "slug")
 
 
-@register("f02_slug_collisions", "SELECT trim(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '-') AS slug, string_agg(n, ';' ORDER BY n) AS names FROM (SELECT DISTINCT unnest([r_name, r_name || '!']) AS n FROM region) GROUP BY slug HAVING count(*) > 1")
+@register("f02_slug_collisions", "SELECT trim(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '-') AS slug, string_agg(n, ';' ORDER BY n) AS names FROM (SELECT DISTINCT unnest([c_name, c_name || '!']) AS n FROM customer) GROUP BY slug HAVING count(*) > 1")
 def _(f, spark, sf):
-    names = tables.read(spark, sf, "region").select(F.explode(F.array(F.col("r_name"), F.concat("r_name", F.lit("!")))).alias("name"))
+    names = tables.read(spark, sf, "customer").select(F.explode(F.array(F.col("c_name"), F.concat("c_name", F.lit("!")))).alias("name"))
     return N.slug_collisions(N.add_slug(names, "name", "slug"), "name", "slug").withColumn("names", F.array_join("names", ";"))
 
 
