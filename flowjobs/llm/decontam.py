@@ -22,6 +22,8 @@ from .tables import cut
 WINDOW = 8
 #: of a window's tokens at least so many are no placeholders (fewer in shorter items: half)
 LITERAL = 5
+#: items shorter than a window are also found without their first token, from so many tokens on
+HEADLESS = 5
 #: an item counts as leaked from so many of its tokens in one run on, or this share of them
 RUN_TOKENS, SHARE = 13, 0.5
 #: up to so many benchmark windows travel to the tasks as a filter (8 bytes each)
@@ -96,13 +98,14 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
 
 
 def _windows(t: Templates, size: int, literal: int):
-    """(first token, tokens, hash) of each window; a row with fewer tokens is one window."""
+    """(first token, tokens, hash) of each window. A row with fewer tokens is one window, and one without
+    its first token, which is a name within a sentence and none at the start of one."""
     seq = W.Sequences(t.token)
     n = t.words.counts
     at = W.window_starts(t.words, size)
-    short = np.flatnonzero((n > 0) & (n < size))
-    start = np.concatenate([at, t.words.first[short]])
-    length = np.concatenate([np.full(len(at), size), n[short]])
+    short, headless = np.flatnonzero((n > 0) & (n < size)), np.flatnonzero((n >= HEADLESS) & (n < size))
+    start = np.concatenate([at, t.words.first[short], t.words.first[headless] + 1])
+    length = np.concatenate([np.full(len(at), size), n[short], n[headless] - 1])
     slots = np.append(0, np.cumsum(t.slot))
     plain = length - (slots[start + length] - slots[start])
     ok = plain >= np.minimum(literal, (length + 1) // 2)

@@ -186,9 +186,9 @@ def test_decontamination(make, spark):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "what is seven plus eight")], "item_id long, text string")
     other = ITEM.replace("120", "1,500").replace("35 km", "7.5 miles").replace("Anna", "Zoe").replace("Paris", "Rome")
     clash = ITEM.replace("Bob gets off", "Anna gets off")
-    rows = [(1, f"x. {ITEM} y."), (2, f"some text then {other}"), (3, "a train leaves"), (4, None), (5, ""), (None, ITEM), (7, "so what is seven plus eight then"), (8, ITEM), (8, ITEM), (9, " ".join(VOCAB * 30))]
+    rows = [(1, f"x. {ITEM} y."), (2, f"some text then {other}"), (3, "a train leaves"), (4, None), (5, ""), (None, ITEM), (7, "so what is seven plus eight then"), (10, "He said: tell me, What is seven plus eight?"), (8, ITEM), (8, ITEM), (9, " ".join(VOCAB * 30))]
     got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontam.find_leaks(make(rows), bench).collect()}
-    assert got == {(1, 1): True, (2, 1): False, (None, 1): True, (7, 4): True, (8, 1): True}
+    assert got == {(1, 1): True, (2, 1): False, (None, 1): True, (7, 4): True, (10, 4): True, (8, 1): True}
     twice = spark.createDataFrame([(1, "Did Anna give 5 apples to Bob before Anna took 5 pears and Bob sold 9 plums to Eve")], "item_id long, text string")
     same = "Did Kim give 6 apples to Lou before Kim took 6 pears and Lou sold 9 plums to Eve"
     torn = "Did Kim give 6 apples to Lou before Max took 6 pears and Lou sold 9 plums to Eve"
@@ -255,4 +255,6 @@ def test_empty_tables(make, op):
 
 def test_cut_needs_no_recompute(spark, sf_dir):
     df = cut(read(spark, sf_dir, "benchmark"))
+    other = cut(df)
+    assert other.count() == df.count()
     assert "parquet" in df._jdf.queryExecution().toString().lower() and df.count() == read(spark, sf_dir, "benchmark").count()
