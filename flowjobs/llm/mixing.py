@@ -77,7 +77,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat:
     parts = cut(parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("lead")))
     targets = source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeat, share)
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("p.source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    rows = F.broadcast(parts.alias("p").join(F.broadcast(targets.alias("t")), F.col("p.source").eqNullSafe(F.col("t.source"))).select(
+    # Written, so that Spark knows its size and broadcasts it only if it is small.
+    rows = cut(parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select(
         F.col("p.__part").alias("__p"), F.col("p.source").alias("__s"), F.col("before").alias("__before"), unit.alias("__unit"), "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("__rate")
     ))
     at = F.col("__before") + F.col("__place")
