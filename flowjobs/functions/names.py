@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +15,17 @@ def normalize_unspecified(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r",?\s+regional$", ", unspecified"), r"(?<!,)\s+unspecified$", ", unspecified")
 
 
-def slug_of(name: str | None) -> str | None:
-    if name is None:
-        return None
-    ascii_only = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower()
-    return "-".join("".join(c if c.isascii() and c.isalnum() else " " for c in ascii_only).split())
-
-
 def add_slug(df: DataFrame, name_col: str, out: str) -> DataFrame:
-    """Slug of each name. Spark has no NFKD, so Python sees each distinct name once and the table is joined back."""
-    import pandas as pd
+    """Slug of each name, null for null. Spark has no NFKD; Python works out each distinct name of a batch once."""
 
-    def slugs(batches):
-        for batch in batches:
-            text = batch["__name"].map(lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower())
-            yield pd.DataFrame({"__name": batch["__name"], out: text.str.replace(r"[^a-z0-9]+", "-", regex=True).str.strip("-")})
+    @F.pandas_udf("string")
+    def slugs(names: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(names)
+        plain = pd.Series([unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower() for n in distinct], dtype=object)
+        made = plain.str.replace(r"[^a-z0-9]+", "-", regex=True).str.strip("-") if len(plain) else plain
+        return pd.Series([made[c] if c >= 0 else None for c in codes], dtype=object)
 
-    names = df.select(F.col(name_col).alias("__name")).where(F.col(name_col).isNotNull()).distinct()
-    table = names.mapInPandas(slugs, f"__name string, `{out}` string")
-    return df.join(table, df[name_col] == table["__name"], "left").drop("__name")
+    return df.withColumn(out, slugs(F.col(name_col)))
 
 
 def slug_collisions(df: DataFrame, name_col: str, slug_col: str) -> DataFrame:
@@ -48,10 +41,20 @@ def check_slugs(df: DataFrame, name_col: str, slug_col: str) -> DataFrame:
     return df
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of literal rows whose size Spark knows, so that joins to it are broadcast by its own check."""
+    import pyarrow as pa
+
+    types = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(",")]
+    columns = [pa.array([r[i] for r in rows], types[kind]) for i, (_, kind) in enumerate(fields)]
+    return spark.createDataFrame(pa.table(columns, names=[name for name, _ in fields]))
+
+
 def groups_table(spark: SparkSession, groups: Mapping[str, Sequence], code_type: str = "int") -> DataFrame:
     """(position, group_name, member_code) of named code lists, in their order."""
     rows = [(i, name, code) for i, (name, codes) in enumerate(groups.items()) for code in codes]
-    return spark.createDataFrame(rows, f"position int, group_name string, member_code {code_type}")
+    return small_table(spark, rows, f"position int, group_name string, member_code {code_type}")
 
 
 def invert_groups(groups: DataFrame) -> DataFrame:

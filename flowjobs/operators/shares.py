@@ -35,8 +35,13 @@ def share_of_small_totals(df: DataFrame, keys: Sequence[str], out: str, value: s
 
 
 def share_of_reference_total(df: DataFrame, filter_col: str, reference: str, keys: Sequence[str], out: str, value: str = "value", places: int = 6) -> DataFrame:
-    """Value over the reference entity's total of all indicators in the same group; null where it has none."""
-    return share_of_small_totals(df, keys, out, value, F.col(filter_col) == reference, places)
+    """Value over the reference entity's total of all indicators in the same group; null where it has none.
+
+    A window, so that the plan above is made once. Its groups hold aggregated rows;
+    for groups of raw rows use :func:`share_of_small_totals` with ``where``.
+    """
+    total = F.sum(F.when(F.col(filter_col) == reference, F.col(value))).over(Window.partitionBy(*keys))
+    return df.withColumn(out, ratio(F.col(value), total, places))
 
 
 def share_of_indicator(df: DataFrame, indicator: str, keys: Sequence[str], out: str, value: str = "value", indicator_col: str = "indicator_name", places: int = 6) -> DataFrame:

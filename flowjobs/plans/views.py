@@ -96,11 +96,12 @@ def sectors_view(flows: DataFrame, rates: DataFrame, sub_sectors: DataFrame, sec
     exploded labels is the only large shuffle besides the first.
     """
     named = lookup(flows, sub_sectors, "purpose_code", "sub_sector_name", unallocated)
-    keys = ["year", "indicator_name", "sub_sector_name"]
+    named = lookup(named, sectors, "sub_sector_name", "sector_name", unallocated)
+    keys = ["year", "indicator_name", "sub_sector_name", "sector_name"]
     base = groups.sum_by(named, [*keys, "donor_code", "donor_name", "recipient_code", "recipient_name", "region", "income_group"])
     wide = currency.convert_currencies(base, rates)
     every = groups.with_all_totals(wide, groups.donor_labels(s.donor_groups), s.recipient_labels, keys, VALUES)
-    every = lookup(every, sectors, "sub_sector_name", "sector_name", unallocated).where(F.coalesce(*VALUES).isNotNull())
+    every = every.where(F.coalesce(*VALUES).isNotNull())
     every = shares.share_of_reference_total(every, "donor_name", s.reference_donor, ["year", "recipient_name"], "pct_of_recipient", "value_usd_current")
     every = shares.share_of_reference_total(every, "recipient_name", s.reference_recipient, ["year", "donor_name"], "pct_of_donor", "value_usd_current")
     extra = ["pct_of_recipient", "pct_of_donor"]

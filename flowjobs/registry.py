@@ -73,7 +73,7 @@ def money(*columns: str) -> dict[str, Column]:
 
 
 def table(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    return N.small_table(spark, list(rows), schema)
 
 
 def sub_sectors(spark: SparkSession) -> DataFrame:
