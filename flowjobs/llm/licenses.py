@@ -149,3 +149,36 @@ def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
 
 def digest(docs: DataFrame) -> DataFrame:
     return scan_licenses(docs)
+
+
+def oracle_sql() -> str:
+    """The scan in SQL: k-grams as text, diagonals, gaps of over SLACK between them."""
+    grams = _template_grams([*PHRASES, *NOTICES], GRAM)
+    labels = [x[1] for x in (*PHRASES, *NOTICES)]
+    rows = ", ".join(f"({size}, {i}, '{labels[i]}', {words}, {at}, '{gram}')" for size, _, i, words, at, gram in grams)
+    sizes = ", ".join(str(s) for s in sorted({g[0] for g in grams}))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM documents
+), t(size, template, label, words, at_word, gram) AS (VALUES {rows}
+), g AS (
+  SELECT doc_id, size, i - 1 AS pos, array_to_string(list_slice(a, i, i + size - 1), ' ') AS gram
+  FROM (SELECT doc_id, a, size, unnest(range(1, len(a) - size + 2)) AS i FROM d, (SELECT unnest([{sizes}]) AS size))
+), h AS (
+  SELECT g.doc_id, g.pos, t.*, g.pos - t.at_word AS diagonal FROM g JOIN t ON t.size = g.size AND t.gram = g.gram
+), m AS (
+  SELECT *, CASE WHEN before IS NULL OR diagonal - before > {SLACK} OR (size = words AND diagonal <> before) THEN 1 ELSE 0 END AS new
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal, pos) AS before FROM h)
+), p AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal, pos) AS span FROM m
+), s AS (
+  SELECT doc_id, template, label, min(pos) AS first_word, count(DISTINCT at_word)::DOUBLE / max(words - size + 1) AS share FROM p GROUP BY doc_id, template, label, span HAVING share >= {COVER}
+), r AS (
+  SELECT doc_id, count(*) FILTER (WHERE template < {len(PHRASES)}) AS n_base, min(first_word) FILTER (WHERE template < {len(PHRASES)}) AS first_word, max(first_word) FILTER (WHERE template < {len(PHRASES)}) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE template < {len(PHRASES)}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, least(max(share), 1.0) AS score
+  FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, len(a)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6)::DOUBLE AS score
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""

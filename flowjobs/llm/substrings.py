@@ -209,3 +209,21 @@ def remove_duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int =
 
 def digest(docs: DataFrame) -> DataFrame:
     return remove_duplicate_windows(docs).drop("kept_text")
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents
+), w AS (
+  SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM d
+), s AS (
+  SELECT doc_id, i, array_to_string(list_slice(a, i, i + 34), ' ') AS seq FROM (SELECT doc_id, a, unnest(range(1, len(a) - 33)) AS i FROM d)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY seq) AS n FROM s) WHERE n > 1
+), c AS (
+  SELECT w.doc_id, w.i, w.word, count(r.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i
+), k AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.a)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
