@@ -229,13 +229,14 @@ def _(f, spark, sf):
     return joins.same_total(f, named, "value").select("rows_before", "rows_after", "same")
 
 
-CLASSIFIED_SQL = """cnt AS (SELECT recipient_code, year, segment, count(*) AS n FROM flows WHERE (recipient_code + year) % 3 <> 0 GROUP BY ALL
-), cls AS (SELECT recipient_code, year, CASE WHEN recipient_code % 6 = 5 THEN NULL ELSE segment END AS segment FROM (SELECT *, row_number() OVER (PARTITION BY recipient_code, year ORDER BY n DESC, segment) AS k FROM cnt) WHERE k = 1
+CLASSIFIED_SQL = """cnt AS (SELECT recipient_code, year, segment, count(*) AS n FROM flows WHERE year < 2000 GROUP BY ALL
+), cls AS (SELECT recipient_code, year, CASE WHEN recipient_code IN (SELECT recipient_code FROM flows WHERE region = 'EUROPE') THEN NULL ELSE segment END AS segment FROM (SELECT *, row_number() OVER (PARTITION BY recipient_code, year ORDER BY n DESC, segment) AS k FROM cnt) WHERE k = 1
 ), fin AS (SELECT recipient_code, arg_max({'s': segment}, year)['s'] AS segment FROM cls GROUP BY recipient_code)"""
 
 
 def _classified(f):
-    rows = f.where((F.col("recipient_code") + F.col("year")) % 3 != 0).withColumn("segment", F.when(F.col("recipient_code") % 6 == 5, None).otherwise(F.col("segment")))
+    # Classifications come late, and Europe has none: the gaps to fill.
+    rows = f.where("year < 2000").withColumn("segment", F.when(F.col("region") == "EUROPE", None).otherwise(F.col("segment")))
     return classify.modal_classification(rows, ["recipient_code", "year"], ["segment"])
 
 
@@ -278,9 +279,9 @@ def _(f, spark, sf):
     return groups.sum_by(wide, ["year", "donor_name"], *views.VALUES).withColumns(money(*views.VALUES))
 
 
-@register("j09_code_duplicates", "SELECT year, segment, min(donor_code) AS donor_code, count(DISTINCT v) > 1 AS conflict FROM (SELECT year, segment, donor_code, sum(value) AS v FROM flows WHERE donor_code < 3 GROUP BY ALL) GROUP BY ALL")
+@register("j09_code_duplicates", "SELECT year, segment, min(donor_code) AS donor_code, count(DISTINCT v) > 1 AS conflict FROM (SELECT year, segment, donor_code, sum(value) AS v FROM flows GROUP BY ALL) GROUP BY ALL")
 def _(f, spark, sf):
-    rows = groups.sum_by(f.where("donor_code < 3"), ["year", "segment", "donor_code"])
+    rows = groups.sum_by(f, ["year", "segment", "donor_code"])
     kept, conflicts = joins.resolve_code_duplicates(rows, ["year", "segment"], "donor_code", "value")
     flag = conflicts.select("year", "segment", F.lit(True).alias("conflict"))
     return kept.join(flag, ["year", "segment"], "left").select("year", "segment", "donor_code", F.coalesce("conflict", F.lit(False)).alias("conflict"))
@@ -295,9 +296,9 @@ def _weights(spark):
     return table(spark, [(y, (y - 1990) * 10) for y in range(1995, 2000)], "year int, pct int").select("year", (F.col("pct").cast("decimal(6,2)") * F.lit(0.01).cast("decimal(4,2)")).alias("weight"))
 
 
-@register("j11_scale_institutions", f"SELECT year, donor_name, round(sum(CASE WHEN donor_code IN {_isin(INSTITUTION)} AND year < 2000 THEN value * ((year - 1990) * 10)::DECIMAL(6,2) * 0.01::DECIMAL(4,2) ELSE value END), 2)::DOUBLE AS value FROM flows WHERE donor_code > 20 GROUP BY ALL")
+@register("j11_scale_institutions", f"SELECT year, donor_name, round(sum(CASE WHEN donor_code IN {_isin(INSTITUTION)} AND year < 2000 THEN value * ((year - 1990) * 10)::DECIMAL(6,2) * 0.01::DECIMAL(4,2) ELSE value END), 2)::DOUBLE AS value FROM flows GROUP BY ALL")
 def _(f, spark, sf):
-    out = groups.scale_institutions(f.where("donor_code > 20"), _weights(spark), INSTITUTION)
+    out = groups.scale_institutions(f, _weights(spark), INSTITUTION)
     return groups.sum_by(out, ["year", "donor_name"]).withColumns(money("value"))
 
 
@@ -431,19 +432,19 @@ def _(f, spark, sf):
     return impute.latest_year_topic_totals(f, {"all": None, "health": (12, 13), "food": (31,)}).withColumn("value", F.col("value").cast("double"))
 
 
-COVER_SQL = f"mem AS (SELECT 'Seven' AS group_name, n_nationkey AS member_code FROM nation WHERE n_nationkey IN {_isin(MEMBERS)} UNION ALL SELECT 'Gone', 99), seen AS (SELECT DISTINCT year, purpose_code, donor_code FROM flows WHERE channel_code = 1 AND donor_code <> 19), cb AS (SELECT group_name, count(DISTINCT (year, purpose_code)) AS n FROM seen JOIN mem ON donor_code = member_code GROUP BY ALL)"
+COVER_SQL = f"mem AS (SELECT 'Seven' AS group_name, n_nationkey AS member_code FROM nation WHERE n_nationkey IN {_isin(MEMBERS)} UNION ALL SELECT 'Gone', 99), seen AS (SELECT DISTINCT year, purpose_code, channel_code, donor_code FROM flows), cb AS (SELECT group_name, count(DISTINCT (year, purpose_code, channel_code)) AS n FROM seen JOIN mem ON donor_code = member_code GROUP BY ALL)"
 
 
 @register("a21_coverage_report", "SELECT m.group_name, m.member_code, (cb.n - count(seen.year)) AS n_missing, count(seen.year) = 0 AS never FROM mem m JOIN cb ON cb.group_name = m.group_name LEFT JOIN seen ON seen.donor_code = m.member_code GROUP BY m.group_name, m.member_code, cb.n", COVER_SQL)
 def _(f, spark, sf):
     members = N.groups_table(spark, {"Seven": MEMBERS, "Gone": (99,)})
-    return groups.coverage_report(f.where("channel_code = 1 and donor_code <> 19"), members, "donor_code", ["year", "purpose_code"])
+    return groups.coverage_report(f, members, "donor_code", ["year", "purpose_code", "channel_code"])
 
 
-@register("a21_coverage_summary", "SELECT group_name, count(*) AS n_combos, count(*) FILTER (k < 7) AS n_incomplete FROM (SELECT group_name, year, purpose_code, count(*) AS k FROM seen JOIN mem ON donor_code = member_code GROUP BY ALL) GROUP BY group_name", COVER_SQL)
+@register("a21_coverage_summary", "SELECT group_name, count(*) AS n_combos, count(*) FILTER (k < 7) AS n_incomplete FROM (SELECT group_name, year, purpose_code, channel_code, count(*) AS k FROM seen JOIN mem ON donor_code = member_code GROUP BY ALL) GROUP BY group_name", COVER_SQL)
 def _(f, spark, sf):
     members = N.groups_table(spark, {"Seven": MEMBERS, "Gone": (99,)})
-    return groups.coverage_summary(f.where("channel_code = 1 and donor_code <> 19"), members, "donor_code", ["year", "purpose_code"])
+    return groups.coverage_summary(f, members, "donor_code", ["year", "purpose_code", "channel_code"])
 
 
 @register("a22_aid_mix", ", w AS (SELECT year, donor_name, sum(value) AS total, sum(value) FILTER (indicator_name = 'A') AS a, sum(value) FILTER (indicator_name = 'R' AND donor_name <> 'NATION_7') AS r FROM flows GROUP BY ALL), m AS (SELECT year, sum(r) AS s FROM w WHERE donor_name <> 'NATION_7' GROUP BY year) SELECT year, donor_name, (total - coalesce(a, 0) - coalesce(CASE WHEN donor_name = 'NATION_7' AND r IS NULL THEN s ELSE r END, 0))::DOUBLE AS other FROM w JOIN m USING (year)")
@@ -563,10 +564,10 @@ def _(f, spark, sf):
     return out.withColumn("value", F.col("value").cast("double"))
 
 
-@register("u05_fill_missing", ", x AS (SELECT year, donor_name, indicator_name, sum(value) AS value FROM flows WHERE purpose_code = 11 AND channel_code < 3 GROUP BY ALL) SELECT y.year, s.donor_name, s.indicator_name, coalesce(x.value, 0)::DOUBLE AS value FROM years y, (SELECT DISTINCT donor_name, indicator_name FROM x) s LEFT JOIN x ON x.year = y.year AND x.donor_name = s.donor_name AND x.indicator_name = s.indicator_name")
+@register("u05_fill_missing", ", x AS (SELECT year, donor_name, recipient_name, purpose_code, sum(value) AS value FROM flows GROUP BY ALL) SELECT y.year, s.donor_name, s.recipient_name, s.purpose_code, coalesce(x.value, 0)::DOUBLE AS value FROM years y, (SELECT DISTINCT donor_name, recipient_name, purpose_code FROM x) s LEFT JOIN x ON x.year = y.year AND x.donor_name = s.donor_name AND x.recipient_name = s.recipient_name AND x.purpose_code = s.purpose_code")
 def _(f, spark, sf):
-    x = groups.sum_by(f.where("purpose_code = 11 and channel_code < 3"), ["year", "donor_name", "indicator_name"])
-    return reshape.fill_missing(x, tables.YEARS, ["donor_name", "indicator_name"], {"value": 0}).withColumn("value", F.col("value").cast("double"))
+    x = groups.sum_by(f, ["year", "donor_name", "recipient_name", "purpose_code"])
+    return reshape.fill_missing(x, tables.YEARS, ["donor_name", "recipient_name", "purpose_code"], {"value": 0}).withColumn("value", F.col("value").cast("double"))
 
 
 # --- functions ----------------------------------------------------------------------
@@ -631,9 +632,9 @@ def _two_releases(f):
     return _release(cur), _release(prev)
 
 
-@register("v03_duplicate_keys", "SELECT year, donor_name, indicator_name, count(*) AS n FROM flows WHERE purpose_code = 3 AND channel_code = 2 GROUP BY ALL HAVING count(*) > 1")
+@register("v03_duplicate_keys", "SELECT year, donor_name, indicator_name, purpose_code, channel_code, count(*) AS n FROM flows GROUP BY ALL HAVING count(*) > 1")
 def _(f, spark, sf):
-    return release.duplicate_keys(f.where("purpose_code = 3 and channel_code = 2"), ["year", "donor_name", "indicator_name", "absent_column"])
+    return release.duplicate_keys(f, ["year", "donor_name", "indicator_name", "purpose_code", "channel_code", "absent_column"])
 
 
 @register("v01_to_v07_gates", "SELECT 'd' AS dataset, unnest(['critical_dimensions', 'names_populated', 'no_duplicate_keys', 'not_empty', 'value_bounds', 'values_populated']) AS \"check\", unnest([false, false, false, true, true, true]) AS passed")
@@ -836,11 +837,11 @@ def _(f, spark, sf):
     "vw6_purpose_extract",
     "SELECT year, indicator_name, donor_code, donor_name, purpose_code, channel_name, split_part(k, '_', 2) AS currency, split_part(k, '_', 3) AS price, round(v, 2)::DOUBLE AS value FROM (SELECT year, indicator_name, donor_code, donor_name, purpose_code, CASE channel_code WHEN 1 THEN 'Public' WHEN 2 THEN 'Private' ELSE 'Other' END AS channel_name, "
     + ", ".join(f"sum({v})::DECIMAL(38,10) AS {v}" for v in views.VALUES)
-    + f" FROM conv WHERE donor_code < 5 GROUP BY ALL) UNPIVOT (v FOR k IN ({', '.join(views.VALUES)}))",
+    + f" FROM conv GROUP BY ALL) UNPIVOT (v FOR k IN ({', '.join(views.VALUES)}))",
 )
 def _(f, spark, sf):
     channels = table(spark, [(1, "Public"), (2, "Private")], "code int, name string")
-    return views.purpose_extract(f.where("donor_code < 5"), tables.rates(spark, sf), channels).withColumns(money("value"))
+    return views.purpose_extract(f, tables.rates(spark, sf), channels).withColumns(money("value"))
 
 
 def queries() -> dict[str, Query]:
