@@ -35,7 +35,7 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: links have 100 * intersection >= PERCENT * union
 PERCENT = 85
 SMALL = 64
-BLOCK = 2048
+BLOCK = 1024
 
 _LONGS = [f"g{i}" for i in range(SYMBOLS // 4)]
 _ORDERS = W.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))

@@ -15,8 +15,19 @@ _SHIPPED: set[str] = set()
 _WRITTEN: dict[str, list[str]] = {}
 
 
+#: Bytes of texts that go to a Python worker at once, where the session does not say otherwise.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_DEFAULT = 16 << 20, "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    """Prepare a session: send this package to the executors, once per application, and keep the batches of texts small.
+
+    Long texts fill batches; each is held several times over by the executor and its
+    Python workers. A batch size that the session has set itself stays.
+    """
+    if spark.conf.get(BATCH, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[2]
