@@ -20,7 +20,7 @@ from . import words as W
 from .tables import cut
 
 WINDOW = 8
-#: of a window's tokens at least so many are no placeholders (fewer in shorter items: half)
+#: a window is rich with so many plain tokens, which are no placeholders (in a shorter one: half)
 LITERAL = 5
 #: items shorter than a window are also found without their first token, from so many tokens on
 HEADLESS = 5
@@ -36,6 +36,7 @@ UNITS = (
     "cent cents dollar dollars euro euros usd eur gbp percent degree degrees mph kmh kph watt watts volt volts joule joules hertz hz kw kwh gb mb kb"
 ).split()
 _NUMBER, _NAME, _UNIT = (W.mix(np.array([i], np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))[0] for i in (1, 2, 3))
+_BY_VALUE = np.uint64(0x5851F42D4C957F2D)
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?:;\n\r\""]] = True
 _DIGIT = np.zeros(256, bool)
@@ -97,85 +98,153 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     return Templates(words, token, value, number | unit | name)
 
 
-def _windows(t: Templates, size: int, literal: int):
-    """(first token, tokens, hash) of each window. A row with fewer tokens is one window, and one without
+@dataclass
+class Found:
+    """Windows of a block. A window without a plain token is hashed by value, since its template says nothing."""
+
+    start: np.ndarray
+    length: np.ndarray
+    hash: np.ndarray
+    by_value: np.ndarray
+
+    def take(self, at: np.ndarray) -> Found:
+        return Found(self.start[at], self.length[at], self.hash[at], self.by_value[at])
+
+
+def _hashes(t: Templates):
+    """Functions of (start, end): hashes of template windows and of windows by value, which never meet."""
+    by_token, by_value = W.Sequences(t.token), W.Sequences(t.value)
+    return by_token.ranges, lambda start, end: W.mix(by_value.ranges(start, end) ^ _BY_VALUE)
+
+
+def _bridges(t: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, tokens) of each run of ``size`` slots or more, with the plain tokens beside it."""
+    row = t.words.row
+    edge = np.ones(len(row) + 1, bool)
+    edge[1:-1] = (t.slot[1:] != t.slot[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(edge)
+    start, end = at[:-1], at[1:]
+    long = t.slot[start] & (end - start >= size)
+    start, end = start[long], end[long]
+    r = row[start]
+    start, end = np.maximum(start - 1, t.words.first[r]), np.minimum(end + 1, t.words.first[r + 1])
+    return start, end - start
+
+
+def _item_windows(t: Templates, size: int) -> Found:
+    """All windows of each item. A row with fewer tokens is one window, and one without
     its first token, which is a name within a sentence and none at the start of one."""
-    seq = W.Sequences(t.token)
     n = t.words.counts
     at = W.window_starts(t.words, size)
     short, headless = np.flatnonzero((n > 0) & (n < size)), np.flatnonzero((n >= HEADLESS) & (n < size))
-    start = np.concatenate([at, t.words.first[short], t.words.first[headless] + 1])
-    length = np.concatenate([np.full(len(at), size), n[short], n[headless] - 1])
+    long, longer = _bridges(t, size)
+    start = np.concatenate([at, t.words.first[short], t.words.first[headless] + 1, long])
+    length = np.concatenate([np.full(len(at), size), n[short], n[headless] - 1, longer])
     slots = np.append(0, np.cumsum(t.slot))
-    plain = length - (slots[start + length] - slots[start])
-    ok = plain >= np.minimum(literal, (length + 1) // 2)
-    start, length = start[ok], length[ok]
-    return start, length, seq.ranges(start, start + length)
+    by_value = slots[start + length] - slots[start] == length
+    template, value = _hashes(t)
+    return Found(start, length, np.where(by_value, value(start, start + length), template(start, start + length)), by_value)
+
+
+def _text_windows(t: Templates, lengths: list[tuple[int, bool]], keep: np.ndarray | None) -> Found:
+    """All windows of these (tokens, by value) with hashes in ``keep``."""
+    template, value = _hashes(t)
+    found = []
+    for n, by_value in lengths:
+        at = W.window_starts(t.words, n)
+        h = (value if by_value else template)(at, at + n)
+        if keep is not None:
+            hit = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h
+            at, h = at[hit], h[hit]
+        found.append((at, np.full(len(at), n), h, np.full(len(at), by_value)))
+    return Found(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _rows(t: Templates, f: Found, literal: int, ids: pa.Array, first_row: int) -> pa.RecordBatch:
+    row = np.searchsorted(t.words.first, f.start, "right") - 1
+    plain = np.append(0, np.cumsum(~t.slot))
+    base, before, until = plain[t.words.first[row]], plain[f.start], plain[f.start + f.length]
+    names, values = [], []
+    for s, n, whole in zip(f.start.tolist(), f.length.tolist(), f.by_value.tolist(), strict=True):
+        here = slice(None) if whole else t.slot[s : s + n]
+        names.append((t.token[s : s + n][here] == _NAME).tolist())
+        values.append(W.signed(np.ascontiguousarray(t.value[s : s + n][here])).tolist())
+    return pa.RecordBatch.from_arrays(
+        [
+            ids.take(pa.array(row + first_row)),
+            pa.array((f.start - t.words.first[row]).astype(np.int32)),
+            pa.array(f.length.astype(np.int32)),
+            pa.array(t.words.counts[row].astype(np.int32)),
+            pa.array(W.signed(f.hash)),
+            pa.array(f.by_value),
+            pa.array((before - base).astype(np.int32)),
+            pa.array((until - base).astype(np.int32)),
+            pa.array(until - before >= np.minimum(literal, (f.length + 1) // 2)),
+            pa.array(names, pa.list_(pa.bool_())),
+            pa.array(values, pa.list_(pa.int64())),
+        ],
+        ["id", "pos", "length", "tokens", "hash", "by_value", "before", "until", "rich", "names", "vals"],
+    )
 
 
-def _windows_of(size: int, literal: int, lengths: np.ndarray | None, keep: np.ndarray | None):
-    """Window rows (id, pos, hash, slots, values). ``keep``: only windows with these hashes; ``lengths``: window sizes to look for."""
+def _windows_of(literal: int, windows):
+    """Window rows of the texts: where it stands, hash, plain tokens of the text before it and up to its end, slots' values."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id")
             for b in W.blocks(batch.column("text")):
                 t = templates(b.data, b.offsets)
-                if not len(t.token):
-                    continue
-                tokens = t.words.counts
-                if lengths is None:
-                    found = [_windows(t, size, literal)]
-                else:
-                    found = []
-                    for n in lengths:
-                        at = W.window_starts(t.words, int(n))
-                        found.append((at, np.full(len(at), n), W.Sequences(t.token).ranges(at, at + int(n))))
-                start, length, h = (np.concatenate(x) for x in zip(*found, strict=True))
-                if keep is not None and len(h):
-                    at = np.searchsorted(keep, h)
-                    hit = keep[np.minimum(at, len(keep) - 1)] == h
-                    start, length, h = start[hit], length[hit], h[hit]
-                row = np.searchsorted(t.words.first, start, "right") - 1
-                spots, values = [], []
-                for s, n in zip(start.tolist(), length.tolist(), strict=True):
-                    here = np.flatnonzero(t.slot[s : s + n])
-                    spots.append(here.tolist())
-                    values.append(W.signed(t.value[s : s + n][here]).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(row + b.first_row)),
-                        pa.array((start - t.words.first[row]).astype(np.int32)),
-                        pa.array(length.astype(np.int32)),
-                        pa.array(tokens[row].astype(np.int32)),
-                        pa.array(W.signed(h)),
-                        pa.array(spots, pa.list_(pa.int32())),
-                        pa.array(values, pa.list_(pa.int64())),
-                    ],
-                    ["id", "pos", "length", "tokens", "hash", "spots", "vals"],
-                )
+                if len(t.token):
+                    yield _rows(t, windows(t), literal, batch.column("id"), b.first_row)
 
     return run
 
 
-_ROWS = "id long, pos int, length int, tokens int, hash long, spots array<int>, vals array<long>"
+_ROWS = "id long, pos int, length int, tokens int, hash long, by_value boolean, before int, until int, rich boolean, names array<boolean>, vals array<long>"
 
 
-def _filter(spark: SparkSession, items: DataFrame) -> tuple[np.ndarray | None, np.ndarray]:
-    """The windows' hashes where they are few enough to travel, and the window lengths that occur."""
-    lengths = np.array(sorted(r[0] for r in items.select("length").distinct().collect()), np.int64)
+def _filter(spark: SparkSession, items: DataFrame) -> tuple[np.ndarray | None, list[tuple[int, bool]]]:
+    """The windows' hashes where they are few enough to travel, and the (tokens, by value) that occur."""
+    lengths = sorted((r[0], r[1]) for r in items.select("length", "by_value").distinct().collect())
     hashes = items.select("hash").distinct()
     if hashes.count() > FILTER_WINDOWS:
         return None, lengths
     return np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)), lengths
 
 
+def _alignments(joined: DataFrame, run_tokens: int, share: float) -> DataFrame:
+    """The alignments of ``joined`` windows that are long enough and fill their slots consistently."""
+    where = ["doc_id", "item_id", "diagonal"]
+    slots = joined.where(F.size("item_vals") > 0).select(*where, F.explode(F.arrays_zip("item_vals", "doc_vals", "names")).alias("s"))
+    same = F.col("s.doc_vals") == F.col("s.item_vals")
+    slots = slots.groupBy(*where, "s.item_vals").agg(F.min("s.doc_vals").alias("lo"), F.max("s.doc_vals").alias("hi"), F.min(same).alias("same"), F.min(same | ~F.col("s.names")).alias("same_names"))
+    slots = slots.groupBy(*where).agg(F.max(F.col("lo") != F.col("hi")).alias("clash"), F.min("same").alias("same"), F.min("same_names").alias("same_names"))
+    # Runs along an alignment: windows that overlap or touch.
+    along = Window.partitionBy(*where).orderBy("pos")
+    seen = joined.groupBy(*where, "pos").agg(F.max(F.col("pos") + F.col("length")).alias("end"), F.max("tokens").alias("tokens"), F.min("before").alias("before"), F.max("until").alias("until"))
+    reach = F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    seen = seen.withColumn("new", (F.col("pos") > reach).cast("int")).withColumn("run", F.sum("new").over(along))
+    runs = seen.groupBy(*where, "run").agg(F.min("pos").alias("from"), F.max("end").alias("to"), F.max("tokens").alias("tokens"), (F.max("until") - F.min("before")).alias("plain"))
+    length = F.col("to") - F.col("from")
+    lines = runs.groupBy(*where).agg(F.max(length).alias("run_tokens"), F.sum(length).alias("covered"), F.min("from").alias("from"), F.max("tokens").alias("tokens"), F.sum("plain").alias("plain"))
+    on = F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("l.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("l.diagonal") == F.col("s.diagonal"))
+    lines = lines.alias("l").join(slots.alias("s"), on, "left").where(~F.coalesce("s.clash", F.lit(False)))
+    yes = F.lit(True)
+    lines = lines.select("l.*", F.coalesce("s.same", yes).alias("verbatim"), F.coalesce("s.same_names", yes).alias("same_names"), (F.col("l.covered") / F.col("l.tokens")).alias("share"))
+    return lines.where((F.col("run_tokens") >= run_tokens) | (F.col("share") >= share))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, run_tokens: int = RUN_TOKENS, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, first_token, run_tokens, share, verbatim), one row for each benchmark item that a document holds.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. An item leaks if,
     along one alignment with consistent slots, a run of ``run_tokens`` of its
-    template tokens or ``share`` of them (at least one window) stands in the text;
+    template tokens or ``share`` of them (at least one window) stands in the text.
+    All windows count, however many of their tokens are placeholders. So that no
+    clean text is taken for a copy, one of these must hold too: the alignment's rich
+    windows alone are that long; all slots hold the item's own values; ``window`` of
+    its tokens are plain; the whole item stands there with ``literal`` plain tokens,
+    or with one, its own names and HEADLESS tokens (numbers and units may differ);
     run_tokens and share are those of the best alignment, verbatim tells whether all
     slots hold the item's own values. Null and empty texts hold nothing. Rows with
     one doc_id are one document; a null id stays null and groups with other nulls.
@@ -184,31 +253,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     emit only windows that can join; beyond that all windows take part in the join.
     """
     spark = docs.sparkSession
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_windows_of(window, literal, None, None), _ROWS))
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_windows_of(literal, lambda t: _item_windows(t, window)), _ROWS))
     keep, lengths = _filter(spark, items)
-    if not len(lengths):
-        lengths = np.array([window])
+    if not lengths:
+        lengths = [(window, False)]
     if keep is not None and not len(keep):
         keep = np.zeros(1, np.uint64)
-    hits = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_windows_of(window, literal, lengths, keep), _ROWS)
+    hits = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_windows_of(literal, lambda t: _text_windows(t, lengths, keep)), _ROWS)
     hits = hits.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", "length", F.col("vals").alias("doc_vals"))
-    item = items.select(F.col("id").alias("item_id"), "pos", "tokens", "hash", "length", F.col("vals").alias("item_vals"))
+    item = items.select(F.col("id").alias("item_id"), "pos", "tokens", "hash", "length", "before", "until", "rich", "names", F.col("vals").alias("item_vals"))
     joined = cut(hits.join(item, ["hash", "length"]).withColumn("diagonal", F.col("doc_pos") - F.col("pos")))
-    where = ["doc_id", "item_id", "diagonal"]
-    slots = joined.where(F.size("item_vals") > 0).select(*where, F.explode(F.arrays_zip("item_vals", "doc_vals")).alias("s"))
-    slots = slots.groupBy(*where, "s.item_vals").agg(F.min("s.doc_vals").alias("lo"), F.max("s.doc_vals").alias("hi"), F.min(F.col("s.doc_vals") == F.col("s.item_vals")).alias("same"))
-    slots = slots.groupBy(*where).agg(F.max(F.col("lo") != F.col("hi")).alias("clash"), F.min("same").alias("same"))
-    # Runs along an alignment: windows that overlap or touch.
-    along = Window.partitionBy(*where).orderBy("pos")
-    seen = joined.groupBy(*where, "pos").agg(F.max("length").alias("length"), F.max("tokens").alias("tokens"))
-    seen = seen.withColumn("new", (F.col("pos") > F.coalesce(F.lag(F.col("pos") + F.col("length")).over(along), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(along))
-    runs = seen.groupBy(*where, "run").agg(F.min("pos").alias("from"), F.max(F.col("pos") + F.col("length")).alias("to"), F.max("tokens").alias("tokens"))
-    lines = runs.groupBy(*where).agg(F.max(F.col("to") - F.col("from")).alias("run_tokens"), F.sum(F.col("to") - F.col("from")).alias("covered"), F.min("from").alias("from"), F.max("tokens").alias("tokens"))
-    lines = lines.alias("l").join(
-        slots.alias("s"), F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("l.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("l.diagonal") == F.col("s.diagonal")), "left"
-    )
-    lines = lines.where(~F.coalesce("s.clash", F.lit(False))).select("l.*", F.coalesce("s.same", F.lit(True)).alias("verbatim"), (F.col("l.covered") / F.col("l.tokens")).alias("share"))
-    good = lines.where((F.col("run_tokens") >= run_tokens) | (F.col("share") >= share))
+    whole, plain = F.col("covered") == F.col("tokens"), F.col("plain")
+    sure = F.col("verbatim") | (plain >= window) | (whole & ((plain >= literal) | (F.col("same_names") & (plain > 0) & (F.col("tokens") >= HEADLESS))))
+    good = _alignments(joined, run_tokens, share).where(sure).unionAll(_alignments(joined.where("rich"), run_tokens, share))
     best = F.max(F.struct(F.col("share"), F.col("run_tokens"), F.col("verbatim"), (-(F.col("diagonal") + F.col("from"))).alias("at"))).alias("b")
     return good.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.at")).cast("int").alias("first_token"), F.col("b.run_tokens").cast("int").alias("run_tokens"), F.round("b.share", 6).alias("share"), F.col("b.verbatim").alias("verbatim")
