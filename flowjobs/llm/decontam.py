@@ -9,7 +9,7 @@ brings the values in its slots; an item whose slots are filled inconsistently
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from .tables import cut
 WINDOW = 8
 #: a window is rich with so many plain tokens, which are no placeholders (in a shorter one: half)
 LITERAL = 5
-#: items shorter than a window are also found without their first token, from so many tokens on
+#: items up to a window long are also found without their first token, from so many tokens on
 HEADLESS = 5
 #: an item counts as leaked from so many of its tokens in one run on, or this share of them
 RUN_TOKENS, SHARE = 13, 0.5
@@ -61,6 +61,8 @@ class Templates:
     #: of each token: hash of what stands in the text
     value: np.ndarray
     slot: np.ndarray
+    #: of each token: a capitalised word that only where it stands, at the start of a sentence, keeps from being a name
+    leads: np.ndarray
 
 
 def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
@@ -69,7 +71,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     words = W.split(low, offsets, W.ALNUM)
     start, end, first = words.start, words.end, words.first
     if not len(start):
-        return Templates(words, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))
+        return Templates(words, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool))
     digits = np.append(0, np.cumsum(_DIGIT[low]))
     number = _DIGIT[low[start]] & (digits[end] - digits[start] >= (end - start + 1) // 2)
     row = words.row
@@ -89,13 +91,14 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     inside[1:] &= stops[start[1:]] == stops[end[:-1]]
     upper = (data[start] >= 0x41) & (data[start] <= 0x5A)
     second = data[np.minimum(start + 1, len(data) - 1)]
-    name = inside & upper & (end - start > 1) & ~((second >= 0x41) & (second <= 0x5A)) & ~number
+    capital = upper & (end - start > 1) & ~((second >= 0x41) & (second <= 0x5A)) & ~number
+    name = inside & capital
     at = np.searchsorted(_UNIT_HASHES, value)
     unit = np.zeros(len(start), bool)
     unit[1:] = same[1:] & number[:-1]
     unit &= _UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == value
     token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return Templates(words, token, value, number | unit | name)
+    return Templates(words, token, value, number | unit | name, capital & ~inside)
 
 
 @dataclass
@@ -132,11 +135,11 @@ def _bridges(t: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _item_windows(t: Templates, size: int) -> Found:
-    """All windows of each item. A row with fewer tokens is one window, and one without
-    its first token, which is a name within a sentence and none at the start of one."""
+    """All windows of each item. A row with fewer tokens is one window. A row of up to
+    ``size`` tokens is also one without its first token, which may be another name."""
     n = t.words.counts
     at = W.window_starts(t.words, size)
-    short, headless = np.flatnonzero((n > 0) & (n < size)), np.flatnonzero((n >= HEADLESS) & (n < size))
+    short, headless = np.flatnonzero((n > 0) & (n < size)), np.flatnonzero((n >= HEADLESS) & (n <= size))
     long, longer = _bridges(t, size)
     start = np.concatenate([at, t.words.first[short], t.words.first[headless] + 1, long])
     length = np.concatenate([np.full(len(at), size), n[short], n[headless] - 1, longer])
@@ -146,6 +149,17 @@ def _item_windows(t: Templates, size: int) -> Found:
     return Found(start, length, np.where(by_value, value(start, start + length), template(start, start + length)), by_value)
 
 
+def _as_name(t: Templates, size: int) -> tuple[Templates, Found]:
+    """The rows with their capitalised first token as a name, and the windows that hold it so."""
+    first = t.words.first[:-1][t.words.counts > 0]
+    first = first[t.leads[first]]
+    token, slot = t.token.copy(), t.slot.copy()
+    token[first], slot[first] = _NAME, True
+    named = replace(t, token=token, slot=slot)
+    f = _item_windows(named, size)
+    return named, f.take(np.flatnonzero(np.isin(f.start, first)))
+
+
 def _text_windows(t: Templates, lengths: list[tuple[int, bool]], keep: np.ndarray | None) -> Found:
     """All windows of these (tokens, by value) with hashes in ``keep``."""
     template, value = _hashes(t)
@@ -160,7 +174,8 @@ def _text_windows(t: Templates, lengths: list[tuple[int, bool]], keep: np.ndarra
     return Found(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _rows(t: Templates, f: Found, literal: int, ids: pa.Array, first_row: int) -> pa.RecordBatch:
+def _rows(t: Templates, f: Found, literal: int, ids: pa.Array, first_row: int, named: bool = False) -> pa.RecordBatch:
+    """``named``: the first tokens are taken as names. They count as plain tokens before the window, and rows under HEADLESS tokens must match verbatim."""
     row = np.searchsorted(t.words.first, f.start, "right") - 1
     plain = np.append(0, np.cumsum(~t.slot))
     base, before, until = plain[t.words.first[row]], plain[f.start], plain[f.start + f.length]
@@ -177,9 +192,9 @@ def _rows(t: Templates, f: Found, literal: int, ids: pa.Array, first_row: int) -
             pa.array(t.words.counts[row].astype(np.int32)),
             pa.array(W.signed(f.hash)),
             pa.array(f.by_value),
-            pa.array((before - base).astype(np.int32)),
-            pa.array((until - base).astype(np.int32)),
-            pa.array(until - before >= np.minimum(literal, (f.length + 1) // 2)),
+            pa.array((before - base + named).astype(np.int32)),
+            pa.array((until - base + named).astype(np.int32)),
+            pa.array((until - before >= np.minimum(literal, (f.length + 1) // 2)) & ~(named & (t.words.counts[row] < HEADLESS))),
             pa.array(names, pa.list_(pa.bool_())),
             pa.array(values, pa.list_(pa.int64())),
         ],
@@ -187,7 +202,7 @@ def _rows(t: Templates, f: Found, literal: int, ids: pa.Array, first_row: int) -
     )
 
 
-def _windows_of(literal: int, windows):
+def _windows_of(literal: int, windows, as_name=None):
     """Window rows of the texts: where it stands, hash, plain tokens of the text before it and up to its end, slots' values."""
 
     def run(batches):
@@ -196,6 +211,8 @@ def _windows_of(literal: int, windows):
                 t = templates(b.data, b.offsets)
                 if len(t.token):
                     yield _rows(t, windows(t), literal, batch.column("id"), b.first_row)
+                    if as_name:
+                        yield _rows(*as_name(t), literal, batch.column("id"), b.first_row, named=True)
 
     return run
 
@@ -240,7 +257,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. An item leaks if,
     along one alignment with consistent slots, a run of ``run_tokens`` of its
     template tokens or ``share`` of them (at least one window) stands in the text.
-    All windows count, however many of their tokens are placeholders. So that no
+    An item's capitalised first token matches as a word and as a name, since it is
+    one where the item stands within a sentence. All windows count, however many of their tokens are placeholders. So that no
     clean text is taken for a copy, one of these must hold too: the alignment's rich
     windows alone are that long; all slots hold the item's own values; ``window`` of
     its tokens are plain; the whole item stands there with ``literal`` plain tokens,
@@ -253,7 +271,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     emit only windows that can join; beyond that all windows take part in the join.
     """
     spark = docs.sparkSession
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_windows_of(literal, lambda t: _item_windows(t, window)), _ROWS))
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_windows_of(literal, lambda t: _item_windows(t, window), lambda t: _as_name(t, window)), _ROWS))
     keep, lengths = _filter(spark, items)
     if not lengths:
         lengths = [(window, False)]

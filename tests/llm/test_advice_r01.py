@@ -46,3 +46,11 @@ def test_verbatim_items_without_a_literal_rule(spark):
     got = found(spark, docs, items)
     assert len(want) >= 60 and want <= set(got)
     assert all(got[k][0] == 1.0 for k in want)
+
+
+def test_items_within_a_sentence(spark):
+    items = [(1, "What is the largest planet around the sun"), (2, "Who was first"), (3, "Name three long rivers"), (4, "Why did the old dog run from home"), (5, "Anna ate seven old apples and two pears"), (6, "The Old Man And The Grey Sea Of Winter")]
+    docs = [(i, f"quiz, {t} again") for i, t in items] + [(10, "Kim ate seven old apples and two pears"), (11, "so Kim ate seven old apples and two pears"), (12, "quiz, Bob was first"), (13, "quiz, The New Art Museum Of Modern Rome And Paris")]
+    got = found(spark, docs, items)
+    assert {k for k in got if k[0] < 10} == {(i, i) for i in range(1, 7)} and all(got[i, i] == (1.0, len(t.split()), True) for i, t in items)
+    assert {k for k in got if k[0] >= 10} == {(10, 5), (11, 5)} and got[11, 5] == (1.0, 8, False)
