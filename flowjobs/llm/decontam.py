@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import cut
+from .tables import cut, row_key
 
 WINDOW = 8
 #: a window is rich with so many plain tokens, which are no placeholders (in a shorter one: half)
@@ -174,11 +174,12 @@ def _text_windows(t: Templates, lengths: list[tuple[int, bool]], keep: np.ndarra
     return Found(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _rows(t: Templates, f: Found, literal: int, ids: pa.Array, first_row: int, named: bool = False) -> pa.RecordBatch:
+def _rows(t: Templates, f: Found, literal: int, batch: pa.RecordBatch, first_row: int, named: bool = False) -> pa.RecordBatch:
     """``named``: the first tokens are taken as names. They count as plain tokens before the window, and rows under HEADLESS tokens must match verbatim."""
     row = np.searchsorted(t.words.first, f.start, "right") - 1
     plain = np.append(0, np.cumsum(~t.slot))
     base, before, until = plain[t.words.first[row]], plain[f.start], plain[f.start + f.length]
+    at = pa.array(row + first_row)
     names, values = [], []
     for s, n, whole in zip(f.start.tolist(), f.length.tolist(), f.by_value.tolist(), strict=True):
         here = slice(None) if whole else t.slot[s : s + n]
@@ -186,7 +187,8 @@ def _rows(t: Templates, f: Found, literal: int, ids: pa.Array, first_row: int, n
         values.append(W.signed(np.ascontiguousarray(t.value[s : s + n][here])).tolist())
     return pa.RecordBatch.from_arrays(
         [
-            ids.take(pa.array(row + first_row)),
+            batch.column("id").take(at),
+            batch.column("rowkey").take(at),
             pa.array((f.start - t.words.first[row]).astype(np.int32)),
             pa.array(f.length.astype(np.int32)),
             pa.array(t.words.counts[row].astype(np.int32)),
@@ -198,7 +200,7 @@ def _rows(t: Templates, f: Found, literal: int, ids: pa.Array, first_row: int, n
             pa.array(names, pa.list_(pa.bool_())),
             pa.array(values, pa.list_(pa.int64())),
         ],
-        ["id", "pos", "length", "tokens", "hash", "by_value", "before", "until", "rich", "names", "vals"],
+        ["id", "rowkey", "pos", "length", "tokens", "hash", "by_value", "before", "until", "rich", "names", "vals"],
     )
 
 
@@ -210,14 +212,14 @@ def _windows_of(literal: int, windows, as_name=None):
             for b in W.blocks(batch.column("text")):
                 t = templates(b.data, b.offsets)
                 if len(t.token):
-                    yield _rows(t, windows(t), literal, batch.column("id"), b.first_row)
+                    yield _rows(t, windows(t), literal, batch, b.first_row)
                     if as_name:
-                        yield _rows(*as_name(t), literal, batch.column("id"), b.first_row, named=True)
+                        yield _rows(*as_name(t), literal, batch, b.first_row, named=True)
 
     return run
 
 
-_ROWS = "id long, pos int, length int, tokens int, hash long, by_value boolean, before int, until int, rich boolean, names array<boolean>, vals array<long>"
+_ROWS = "id long, rowkey long, pos int, length int, tokens int, hash long, by_value boolean, before int, until int, rich boolean, names array<boolean>, vals array<long>"
 
 
 def _filter(spark: SparkSession, items: DataFrame) -> tuple[np.ndarray | None, list[tuple[int, bool]]]:
@@ -231,7 +233,7 @@ def _filter(spark: SparkSession, items: DataFrame) -> tuple[np.ndarray | None, l
 
 def _alignments(joined: DataFrame, run_tokens: int, share: float) -> DataFrame:
     """The alignments of ``joined`` windows that are long enough and fill their slots consistently."""
-    where = ["doc_id", "item_id", "diagonal"]
+    where = ["doc_id", "rowkey", "item_id", "diagonal"]
     slots = joined.where(F.size("item_vals") > 0).select(*where, F.explode(F.arrays_zip("item_vals", "doc_vals", "names")).alias("s"))
     same = F.col("s.doc_vals") == F.col("s.item_vals")
     slots = slots.groupBy(*where, "s.item_vals").agg(F.min("s.doc_vals").alias("lo"), F.max("s.doc_vals").alias("hi"), F.min(same).alias("same"), F.min(same | ~F.col("s.names")).alias("same_names"))
@@ -244,13 +246,31 @@ def _alignments(joined: DataFrame, run_tokens: int, share: float) -> DataFrame:
     runs = seen.groupBy(*where, "run").agg(F.min("pos").alias("from"), F.max("end").alias("to"), F.max("tokens").alias("tokens"), (F.max("until") - F.min("before")).alias("plain"))
     length = F.col("to") - F.col("from")
     lines = runs.groupBy(*where).agg(F.max(length).alias("run_tokens"), F.sum(length).alias("covered"), F.min("from").alias("from"), F.max("tokens").alias("tokens"), F.sum("plain").alias("plain"))
-    on = F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("l.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("l.diagonal") == F.col("s.diagonal"))
+    on = (F.col("l.rowkey") == F.col("s.rowkey")) & F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("l.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("l.diagonal") == F.col("s.diagonal"))
     lines = lines.alias("l").join(slots.alias("s"), on, "left").where(~F.coalesce("s.clash", F.lit(False)))
     yes = F.lit(True)
     lines = lines.select("l.*", F.coalesce("s.same", yes).alias("verbatim"), F.coalesce("s.same_names", yes).alias("same_names"), (F.col("l.covered") / F.col("l.tokens")).alias("share"))
     return lines.where((F.col("run_tokens") >= run_tokens) | (F.col("share") >= share))
 
 
+def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, literal: int, run_tokens: int, share: float) -> DataFrame:
+    """The alignments that make an item leak: doc_id, rowkey, item_id, diagonal, from, run_tokens, share, verbatim."""
+    spark = docs.sparkSession
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text", F.lit(0).cast("long").alias("rowkey")).mapInArrow(_windows_of(literal, lambda t: _item_windows(t, window), lambda t: _as_name(t, window)), _ROWS))
+    keep, lengths = _filter(spark, items)
+    if not lengths:
+        lengths = [(window, False)]
+    if keep is not None and not len(keep):
+        keep = np.zeros(1, np.uint64)
+    hits = docs.select(F.col("doc_id").cast("long").alias("id"), "text", row_key().alias("rowkey")).mapInArrow(_windows_of(literal, lambda t: _text_windows(t, lengths, keep)), _ROWS)
+    hits = hits.select(F.col("id").alias("doc_id"), "rowkey", F.col("pos").alias("doc_pos"), "hash", "length", F.col("vals").alias("doc_vals"))
+    item = items.select(F.col("id").alias("item_id"), "pos", "tokens", "hash", "length", "before", "until", "rich", "names", F.col("vals").alias("item_vals"))
+    joined = cut(hits.join(item, ["hash", "length"]).withColumn("diagonal", F.col("doc_pos") - F.col("pos")))
+    whole, plain = F.col("covered") == F.col("tokens"), F.col("plain")
+    sure = F.col("verbatim") | (plain >= window) | (whole & ((plain >= literal) | (F.col("same_names") & (plain > 0) & (F.col("tokens") >= HEADLESS))))
+    return _alignments(joined, run_tokens, share).where(sure).unionAll(_alignments(joined.where("rich"), run_tokens, share))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, run_tokens: int = RUN_TOKENS, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, first_token, run_tokens, share, verbatim), one row for each benchmark item that a document holds.
 
@@ -258,42 +278,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     along one alignment with consistent slots, a run of ``run_tokens`` of its
     template tokens or ``share`` of them (at least one window) stands in the text.
     An item's capitalised first token matches as a word and as a name, since it is
-    one where the item stands within a sentence. All windows count, however many of their tokens are placeholders. So that no
-    clean text is taken for a copy, one of these must hold too: the alignment's rich
-    windows alone are that long; all slots hold the item's own values; ``window`` of
-    its tokens are plain; the whole item stands there with ``literal`` plain tokens,
-    or with one, its own names and HEADLESS tokens (numbers and units may differ);
+    one where the item stands within a sentence. All windows count, however many of
+    their tokens are placeholders. So that no clean text is taken for a copy, one of
+    these must hold too: the alignment's rich windows alone are that long; all slots
+    hold the item's own values; ``window`` of its tokens are plain; the whole item
+    stands there with ``literal`` plain tokens, or with one, its own names and
+    HEADLESS tokens (numbers and units may differ).
     run_tokens and share are those of the best alignment, verbatim tells whether all
-    slots hold the item's own values. Null and empty texts hold nothing. Rows with
-    one doc_id are one document; a null id stays null and groups with other nulls.
-    Benchmark texts that share an item_id are one item. An empty benchmark gives no
+    slots hold the item's own values. Null and empty texts hold nothing. Each
+    row is searched by itself, and what the rows of one doc_id hold is put together;
+    a null id stays null. Benchmark texts that share an item_id are one item. An empty benchmark gives no
     rows. Up to FILTER_WINDOWS benchmark windows are sent to the tasks, which then
     emit only windows that can join; beyond that all windows take part in the join.
     """
-    spark = docs.sparkSession
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_windows_of(literal, lambda t: _item_windows(t, window), lambda t: _as_name(t, window)), _ROWS))
-    keep, lengths = _filter(spark, items)
-    if not lengths:
-        lengths = [(window, False)]
-    if keep is not None and not len(keep):
-        keep = np.zeros(1, np.uint64)
-    hits = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_windows_of(literal, lambda t: _text_windows(t, lengths, keep)), _ROWS)
-    hits = hits.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", "length", F.col("vals").alias("doc_vals"))
-    item = items.select(F.col("id").alias("item_id"), "pos", "tokens", "hash", "length", "before", "until", "rich", "names", F.col("vals").alias("item_vals"))
-    joined = cut(hits.join(item, ["hash", "length"]).withColumn("diagonal", F.col("doc_pos") - F.col("pos")))
-    whole, plain = F.col("covered") == F.col("tokens"), F.col("plain")
-    sure = F.col("verbatim") | (plain >= window) | (whole & ((plain >= literal) | (F.col("same_names") & (plain > 0) & (F.col("tokens") >= HEADLESS))))
-    good = _alignments(joined, run_tokens, share).where(sure).unionAll(_alignments(joined.where("rich"), run_tokens, share))
+    good = _leaks(docs, benchmark, window, literal, run_tokens, share)
     best = F.max(F.struct(F.col("share"), F.col("run_tokens"), F.col("verbatim"), (-(F.col("diagonal") + F.col("from"))).alias("at"))).alias("b")
     return good.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.at")).cast("int").alias("first_token"), F.col("b.run_tokens").cast("int").alias("run_tokens"), F.round("b.share", 6).alias("share"), F.col("b.verbatim").alias("verbatim")
     )
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark item, with all their columns."""
-    leaking = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaking")).distinct()
-    return docs.join(leaking, docs["doc_id"].eqNullSafe(F.col("__leaking")), "left_anti")
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, run_tokens: int = RUN_TOKENS, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs`` whose document holds no benchmark item, with all their columns.
+
+    Rows with one doc_id are one document; a row with a null id is one by itself.
+    """
+    good = _leaks(docs, benchmark, window, literal, run_tokens, share)
+    leaking = good.select(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", "rowkey").alias("__leaking")).distinct()
+    own = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), row_key()))
+    return own.join(leaking, (own["doc_id"].isNull() == F.col("__null")) & (own["__key"] == F.col("__leaking")), "left_anti").drop("__key")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

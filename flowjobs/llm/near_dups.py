@@ -248,19 +248,8 @@ def _large_links(members: DataFrame, classes: DataFrame, docs: DataFrame, size:
     return cut(placed.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_cells(percent), "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, rowkey, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a text's set
-    is its distinct runs of ``shingle`` words (a shorter text is one run as a
-    whole). Two texts are linked with 100 * intersection >= percent * union;
-    component_id is the smallest doc_id reached over links, kept marks its row.
-    Texts without words and null texts are linked with nothing: they keep their own
-    id. Equal texts are always linked. A null doc_id counts only if a component has
-    no other; such rows are not kept unless they have no words. Other columns are
-    not read. ``small`` and ``block`` set how buckets are worked through, not what is
-    found.
-    """
+def _components(docs: DataFrame, shingle: int, percent: int, small: int, block: int) -> DataFrame:
+    """doc_id, rowkey, n, component (null without words), component_id of each row of ``docs``."""
     own = docs.select("doc_id", "text", row_key().alias("rowkey"))
     rows = cut(own.mapInArrow(_sets_of(shingle), f"doc_id long, rowkey long, n long, node long, {_SIG}"))
     classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("rowkey").alias("rowkey"), F.max("n").alias("n"), *(F.min(g).alias(g) for g in _LONGS)))
@@ -272,19 +261,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     named = classes.select("node", "doc_id").join(reached, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     named = cut(named)
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(lowest, "component").select("node", "component_id")
-    return rows.select("doc_id", "rowkey", "n", "node").join(named, "node", "left").select(
+    named = named.join(lowest, "component").select("node", "component", "component_id")
+    component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.select("doc_id", "rowkey", "n", "node").join(named, "node", "left").select("doc_id", "rowkey", "n", "component", component_id)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, rowkey, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; a text's set
+    is its distinct runs of ``shingle`` words (a shorter text is one run as a
+    whole). Two texts are linked with 100 * intersection >= percent * union;
+    component_id is the smallest doc_id reached over links, kept marks its row.
+    Texts without words and null texts are linked with nothing: they keep their own
+    id. Equal texts are always linked. A null doc_id counts only if a component has
+    no other; such rows are not marked as kept unless they have no words
+    (:func:`keep_one` keeps one of them). Other columns are not read. ``small`` and
+    ``block`` set how buckets are worked through, not what is found.
+    """
+    return _components(docs, shingle, percent, small, block).select(
         "doc_id",
         "rowkey",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(F.col("node").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"),
+        "component_id",
+        F.when(F.col("component").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns; of rows that stand twice, one."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("rowkey").alias("__kept")).distinct()
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """One row of each component of :func:`near_duplicates`, with all its columns.
+
+    It is the row with the smallest doc_id (null last), then the smallest row key.
+    Rows without words all stay; of rows that stand twice, one does.
+    """
+    rows = _components(docs, shingle, percent, small, block)
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rowkey")).alias("lowest")
+    kept = rows.where("component is not null").groupBy("component").agg(lowest).select(F.col("lowest.rowkey").alias("__kept"))
+    kept = kept.unionAll(rows.where("component is null").select("rowkey").distinct())
     keyed = docs.withColumn("__key", row_key())
     first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").withColumn("__n", first).where("__n = 1").drop("__key", "__n")

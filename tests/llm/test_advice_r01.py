@@ -7,7 +7,9 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from flowjobs.llm import decontam  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from flowjobs.llm import decontam, near_dups  # noqa: E402
 
 COST = "If 3 kg cost 12 dollars and 5 kg cost 20 dollars, what do 9 kg cost?"
 SUM = "Compute 12 + 35 * 4 - 7 / 2"
@@ -54,3 +56,17 @@ def test_items_within_a_sentence(spark):
     got = found(spark, docs, items)
     assert {k for k in got if k[0] < 10} == {(i, i) for i in range(1, 7)} and all(got[i, i] == (1.0, len(t.split()), True) for i, t in items)
     assert {k for k in got if k[0] >= 10} == {(10, 5), (11, 5)} and got[11, 5] == (1.0, 8, False)
+
+
+def test_stages_keep_clean_rows_with_null_ids(spark):
+    item = "What is the largest planet around the sun"
+    same = " ".join(f"w{i}" for i in range(60))
+    twice = "Did Anna give 5 apples to Bob before Anna took 5 pears and Bob sold 9 plums to Eve"
+    torn = twice.replace("Anna took", "Max took")
+    rows = [(None, "a clean text that stands once"), (None, f"so {item} then"), (None, same), (None, same + " more"), (3, same + " and x"), (None, "other " + same.replace("w", "v")), (None, "another " + same.replace("w", "v")), (None, torn), (None, twice), (4, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    left = {tuple(r) for r in decontam.drop_leaking(docs, bench).collect()}
+    assert left == {r for r in rows if item not in r[1] and r[1] != twice}
+    kept = sorted(tuple(r) for r in near_dups.keep_one(docs).where("text like '%w1 %' or text like '%v1 %' or doc_id = 4 or text like 'a clean%'").select(F.coalesce("doc_id", F.lit(-1)), F.substring("text", 1, 1)).collect())
+    assert len(kept) == 4 and {k for k in kept if k[0] > 0} == {(3, "w"), (4, "x")} and sum(k == (-1, "o") or k == (-1, "a") for k in kept) == 2
