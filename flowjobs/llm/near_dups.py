@@ -3,11 +3,12 @@
 A text's distinct shingles give a signature of SYMBOLS symbols of b = 16 bits
 (minima of SYMBOLS hash orders). Two sets of similarity s differ in each symbol
 with chance 1 - s. The signature is split into CHUNKS chunks; by pigeonhole two
-signatures at distance CHUNKS * (ERRORS + 1) - 1 or less agree in some chunk but
-for at most ERRORS symbols, so each chunk is indexed once for every choice of
-ERRORS symbols left out. With 32 symbols, 8 chunks and 1 error that guarantees
-all pairs up to distance 15; a pair of similarity 0.85 lies beyond it with a
-chance of 3 in a million. Every pair found is confirmed on the full sets.
+signatures at distance CHUNKS * (errors + 1) - 1 or less agree in some chunk but
+for at most ``errors`` symbols, so each chunk is indexed once for every choice of
+that many symbols left out. The distance follows from the similarity: a pair that
+just reaches it lies beyond with a chance of at most MISSED. At 0.85 that is
+distance 15 with 1 error, at 0.8 distance 18 with 2. Every pair found is confirmed
+on the full sets.
 
 Texts with equal sets are one class from the start. A bucket of up to SMALL
 classes gives all its pairs that are near enough by signature. A larger one is
@@ -19,6 +20,7 @@ emits grows with its members, not with their pairs.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,13 @@ from .components import connected_components
 from .tables import cut, row_key
 
 SHINGLE = 5
-SYMBOLS, CHUNKS, ERRORS = 32, 8, 1
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
+SYMBOLS, CHUNKS = 32, 8
+#: chance to miss a pair that just reaches the similarity
+MISSED = 4e-6
 #: links have 100 * intersection >= PERCENT * union
 PERCENT = 85
+#: the same where one document of each group is kept
+KEEP_PERCENT = 80
 SMALL = 64
 BLOCK = 1024
 
@@ -42,6 +47,21 @@ _ORDERS = W.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9FB
 _SIG = ", ".join(f"{g} long" for g in _LONGS)
 
 
+def distance(percent: int) -> int:
+    """The least distance that signatures of pairs with this similarity exceed with a chance of at most MISSED."""
+    differ, beyond = 1 - percent / 100, 0.0
+    for d in range(SYMBOLS, 0, -1):
+        beyond += comb(SYMBOLS, d) * differ**d * (1 - differ) ** (SYMBOLS - d)
+        if beyond > MISSED:
+            return d
+    return 0
+
+
+def errors(percent: int) -> int:
+    """Symbols of a chunk to leave out, so that all pairs up to :func:`distance` share an index row."""
+    return distance(percent) // CHUNKS
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each row, rows one after another, and their numbers."""
     words = W.split(data, offsets, W.SPACED)
@@ -92,29 +112,33 @@ def _symbols(batch) -> np.ndarray:
     return np.ascontiguousarray(longs).view(np.uint16).reshape(len(longs), SYMBOLS)
 
 
-def _index(batches):
-    """The index rows of each class: one for each chunk and each choice of symbols left out."""
+def _index(left_out: int):
+    """The index rows of each class: one for each chunk and each choice of ``left_out`` symbols."""
     step = SYMBOLS // CHUNKS
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = _symbols(batch).astype(np.uint64)
-        for chunk in range(CHUNKS):
-            for out in combinations(range(step), ERRORS):
-                key = np.full(len(sig), 1 + chunk * 4096 + sum(1 << i for i in out), np.uint64)
-                for i in range(step):
-                    if i not in out:
-                        key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, chunk * step + i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(key)), batch.column("node"), batch.column("n"), *(batch.column(g) for g in _LONGS)],
-                    ["key", "node", "n", *_LONGS],
-                )
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _symbols(batch).astype(np.uint64)
+            for chunk in range(CHUNKS):
+                for out in combinations(range(step), left_out):
+                    key = np.full(len(sig), 1 + chunk * 4096 + sum(1 << i for i in out), np.uint64)
+                    for i in range(step):
+                        if i not in out:
+                            key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, chunk * step + i])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(W.signed(key)), batch.column("node"), batch.column("n"), *(batch.column(g) for g in _LONGS)],
+                        ["key", "node", "n", *_LONGS],
+                    )
+
+    return run
 
 
 def _near(sig, n, i, j, percent: int) -> np.ndarray:
     small, big = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     ok = small * 100 >= big * percent
-    ok[ok] = (sig[i[ok]] != sig[j[ok]]).sum(axis=1) <= DISTANCE
+    ok[ok] = (sig[i[ok]] != sig[j[ok]]).sum(axis=1) <= distance(percent)
     return ok
 
 
@@ -253,7 +277,7 @@ def _components(docs: DataFrame, shingle: int, percent: int, small: int, block:
     own = docs.select("doc_id", "text", row_key().alias("rowkey"))
     rows = cut(own.mapInArrow(_sets_of(shingle), f"doc_id long, rowkey long, n long, node long, {_SIG}"))
     classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("rowkey").alias("rowkey"), F.max("n").alias("n"), *(F.min(g).alias(g) for g in _LONGS)))
-    index = classes.mapInArrow(_index, f"key long, node long, n long, {_SIG}")
+    index = classes.mapInArrow(_index(errors(percent)), f"key long, node long, n long, {_SIG}")
     found = cut(index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets(percent, small), "key long, a long, b long, large boolean"))
     links = _links(found.where("not large"), classes, own, shingle, percent)
     more = _large_links(found.where("large").select("key", F.col("a").alias("node")), classes, own, shingle, percent, block)
@@ -288,7 +312,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = KEEP_PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row of each component of :func:`near_duplicates`, with all its columns.
 
     It is the row with the smallest doc_id (null last), then the smallest row key.
@@ -304,7 +328,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, sm
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE_SQL = r"""

@@ -7,6 +7,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
+import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from flowjobs.llm import decontam, near_dups  # noqa: E402
@@ -70,3 +72,28 @@ def test_stages_keep_clean_rows_with_null_ids(spark):
     assert left == {r for r in rows if item not in r[1] and r[1] != twice}
     kept = sorted(tuple(r) for r in near_dups.keep_one(docs).where("text like '%w1 %' or text like '%v1 %' or doc_id = 4 or text like 'a clean%'").select(F.coalesce("doc_id", F.lit(-1)), F.substring("text", 1, 1)).collect())
     assert len(kept) == 4 and {k for k in kept if k[0] > 0} == {(3, "w"), (4, "x")} and sum(k == (-1, "o") or k == (-1, "a") for k in kept) == 2
+
+
+def test_stage_links_from_a_similarity_of_0_8(spark):
+    # One word of 60 changed in the middle: 51 of 61 shingles in common, 0.836.
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:30], "other", *words[31:]]
+    # Changes of 0.75 stay apart: 48 of 64.
+    far = [f"v{i}" for i in range(60)]
+    apart = [*far[:20], "other", "x", "y", "z", *far[24:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(apart))], "doc_id long, text string")
+    assert {r["doc_id"] for r in near_dups.keep_one(docs).collect()} == {1, 3, 4}
+    assert {r["doc_id"] for r in near_dups.digest(docs).where("kept").collect()} == {1, 2, 3, 4}
+
+
+def test_signatures_up_to_the_distance_share_an_index_row():
+    rnd = np.random.default_rng(4)
+    for percent, left_out in ((85, 1), (80, 2)):
+        assert near_dups.errors(percent) == left_out
+        for _ in range(200):
+            a = rnd.integers(0, 1 << 16, near_dups.SYMBOLS).astype(np.uint16)
+            b = a.copy()
+            b[rnd.choice(near_dups.SYMBOLS, near_dups.distance(percent), replace=False)] ^= np.uint16(1)
+            longs = np.stack([a, b]).view(np.int64)
+            rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([9, 9]), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(8))], ["node", "n", *(f"g{i}" for i in range(8))])
+            assert any(k[0] == k[1] for k in (x.column("key").to_pylist() for x in near_dups._index(left_out)([rows])))
