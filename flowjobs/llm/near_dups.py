@@ -1,69 +1,73 @@
 """MinHash near-dedup by a multi-index Hamming join (operator 4).
 
-A text's distinct shingles give a signature of SYMBOLS symbols of b = 16 bits
-(minima of SYMBOLS hash orders). Two sets of similarity s differ in each symbol
-with chance 1 - s. The signature is split into CHUNKS chunks; by pigeonhole two
-signatures at distance CHUNKS * (errors + 1) - 1 or less agree in some chunk but
-for at most ``errors`` symbols, so each chunk is indexed once for every choice of
-that many symbols left out. The distance follows from the similarity: a pair that
-just reaches it lies beyond with a chance of at most MISSED. At 0.85 that is
-distance 15 with 1 error, at 0.8 distance 18 with 2. Every pair found is confirmed
-on the full sets.
-
-Texts with equal sets are one class from the start. A bucket of up to SMALL
-classes gives all its pairs that are near enough by signature. A larger one is
-compared block by block on the full sets, where no pairs leave the task but links
-that connect members not yet connected: all its links are tested, and what it
-emits grows with its members, not with their pairs.
+A text's distinct shingles give a signature of b = 16 bit symbols (minima of as
+many hash orders), four symbols a chunk. Two sets of similarity s differ in each
+symbol with chance 1 - s. By pigeonhole two signatures at distance
+2 * chunks - 1 or less agree in some chunk but for at most one symbol, so each
+chunk is indexed four times, once without each of its symbols. The number of
+chunks follows from the similarity: a pair that just reaches it lies beyond that
+distance with a chance of at most MISSED. At 0.85 that is 8 chunks and distance
+15, at 0.8 it is 12 chunks and distance 23. Every link is confirmed on the full
+sets.
+
+Texts with equal sets are one class from the start (128 bits of the whole set).
+The buckets of the index are worked through in three rounds, each of which leaves
+out pairs that are connected already:
+
+1. each class and the smallest of the representatives of its buckets,
+2. each class and all other representatives of its buckets,
+3. all pairs of the members of a bucket that still lie in different components.
+
+A pair is a link if its signatures are within the distance and its sets reach the
+similarity, whatever the size of its buckets. Components do not depend on the
+order. Large buckets of the last round are dealt over cells of two blocks; members
+of a bucket's largest component meet the others only, never each other.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import hashlib
+from functools import reduce
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .tables import cut, row_key
+from .tables import cut, free_name, numbered
 
 SHINGLE = 5
-SYMBOLS, CHUNKS = 32, 8
 #: chance to miss a pair that just reaches the similarity
 MISSED = 4e-6
 #: links have 100 * intersection >= PERCENT * union
 PERCENT = 85
 #: the same where one document of each group is kept
 KEEP_PERCENT = 80
-SMALL = 64
-BLOCK = 1024
+#: members of a bucket whose pairs leave the task; larger buckets are compared in cells of blocks of BLOCK
+SMALL, BLOCK = 64, 256
+_ORDERS = W.mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
-_LONGS = [f"g{i}" for i in range(SYMBOLS // 4)]
-_ORDERS = W.mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
-_SIG = ", ".join(f"{g} long" for g in _LONGS)
 
+def chunks_for(percent: int) -> int:
+    """The least number of chunks with which a pair of this similarity is missed with a chance of at most MISSED."""
+    differ = 1 - percent / 100
+    for chunks in range(2, 128):
+        n = 4 * chunks
+        if sum(comb(n, d) * differ**d * (1 - differ) ** (n - d) for d in range(2 * chunks, n + 1)) <= MISSED:
+            return chunks
+    raise ValueError("no signature of up to 508 symbols finds pairs of so low a similarity")
 
-def distance(percent: int) -> int:
-    """The least distance that signatures of pairs with this similarity exceed with a chance of at most MISSED."""
-    differ, beyond = 1 - percent / 100, 0.0
-    for d in range(SYMBOLS, 0, -1):
-        beyond += comb(SYMBOLS, d) * differ**d * (1 - differ) ** (SYMBOLS - d)
-        if beyond > MISSED:
-            return d
-    return 0
 
-
-def errors(percent: int) -> int:
-    """Symbols of a chunk to leave out, so that all pairs up to :func:`distance` share an index row."""
-    return distance(percent) // CHUNKS
+def distance(chunks: int) -> int:
+    """Signatures up to this distance share an index row."""
+    return 2 * chunks - 1
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each row, rows one after another, and their numbers."""
+    """Hashes of the distinct shingles of each row, sorted, rows one after another, and their numbers."""
     words = W.split(data, offsets, W.SPACED)
     seq = W.Sequences(W.word_hashes(data, words))
     n = words.counts
@@ -75,146 +79,155 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return np.concatenate(sets) if sets else h, np.array([len(x) for x in sets], np.int64)
 
 
-def signatures(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(SYMBOLS 16-bit symbols, hash of the set) of each non-empty set."""
+def signatures(h: np.ndarray, count: np.ndarray, chunks: int) -> np.ndarray:
+    """4 * ``chunks`` symbols of 16 bits for each non-empty set."""
     lead = (np.cumsum(count) - count)[count > 0]
-    out = np.zeros((len(lead), SYMBOLS), np.uint16)
-    if len(lead):
-        for i in range(SYMBOLS):
-            low = np.minimum.reduceat((h ^ _ORDERS[2 * i]) * (_ORDERS[2 * i + 1] | np.uint64(1)), lead)
-            out[:, i] = (W.mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
-        return out, np.add.reduceat(W.mix(h + np.uint64(0x51ED270B)), lead)
-    return out, np.zeros(0, np.uint64)
+    out = np.zeros((len(lead), 4 * chunks), np.uint16)
+    for i in range(4 * chunks if len(lead) else 0):
+        low = np.minimum.reduceat((h ^ _ORDERS[2 * i]) * (_ORDERS[2 * i + 1] | np.uint64(1)), lead)
+        out[:, i] = (W.mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+    return out
+
+
+def _names(chunks: int) -> list[str]:
+    return [f"g{i}" for i in range(chunks)]
+
 
+def _sets_of(size: int, chunks: int):
+    """Number of shingles, 128 bits of the set, and signature of each row."""
 
-def _sets_of(size: int):
     def run(batches):
         for batch in batches:
             for b in W.blocks(batch.column("text")):
                 h, count = shingles(W.LOWER[b.data], b.offsets, size)
-                sig, node = signatures(h, count)
                 full = count > 0
-                at = np.zeros(b.n, np.int64)
-                at[full] = W.signed(node)
-                longs = np.zeros((b.n, len(_LONGS)), np.int64)
-                longs[full] = sig.view(np.int64)
+                ends = np.append(0, np.cumsum(count))
+                whole = np.zeros((b.n, 2), np.int64)
+                for row in np.flatnonzero(full):
+                    whole[row] = np.frombuffer(hashlib.blake2b(h[ends[row] : ends[row + 1]], digest_size=16).digest(), np.int64)
+                sig = np.zeros((b.n, chunks), np.int64)
+                sig[full] = signatures(h, count, chunks).view(np.int64)
                 part = batch.slice(b.first_row, b.n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("rowkey"), pa.array(count), pa.array(at, mask=~full), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(len(_LONGS)))],
-                    ["doc_id", "rowkey", "n", "node", *_LONGS],
+                    [part.column("doc_id"), part.column("uid"), pa.array(count), *(pa.array(np.ascontiguousarray(whole[:, i]), mask=~full) for i in (0, 1)), *(pa.array(np.ascontiguousarray(sig[:, i])) for i in range(chunks))],
+                    ["doc_id", "uid", "n", "d1", "d2", *_names(chunks)],
                 )
 
     return run
 
 
-def _symbols(batch) -> np.ndarray:
-    longs = np.stack([batch.column(g).to_numpy(zero_copy_only=False) for g in _LONGS], axis=1)
-    return np.ascontiguousarray(longs).view(np.uint16).reshape(len(longs), SYMBOLS)
+def index_keys(chunks: int) -> Column:
+    """The index rows of a class: each chunk without each of its four symbols."""
+    without = [~(0xFFFF << 16 * i) for i in range(3)] + [(1 << 48) - 1]
+    return F.array(*(F.xxhash64(F.lit(4 * c + i), F.col(g).bitwiseAND(F.lit(m).cast("long"))) for c, g in enumerate(_names(chunks)) for i, m in enumerate(without)))
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Symbols in which two chunks differ."""
+    symbols = [0xFFFF << 16 * i for i in range(3)] + [-(1 << 48)]
+    return reduce(Column.__add__, [(a.bitwiseXOR(b).bitwiseAND(F.lit(m).cast("long")) != 0).cast("int") for m in symbols])
+
+
+def _near(pairs: DataFrame, classes: DataFrame, chunks: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose signatures are within the distance and whose set sizes allow the similarity."""
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), *(F.col(g).alias(f"{g}_{s}") for g in _names(chunks)))
+    apart = reduce(Column.__add__, [_differ(F.col(f"{g}_a"), F.col(f"{g}_b")) for g in _names(chunks)])
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (apart <= distance(chunks))).select("a", "b")
+
+
+def _full_sets(size: int):
+    def run(batches):
+        for batch in batches:
+            for b in W.blocks(batch.column("text")):
+                h, count = shingles(W.LOWER[b.data], b.offsets, size)
+                ends = np.append(0, np.cumsum(count)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(b.first_row, b.n), pa.ListArray.from_arrays(pa.array(ends), pa.array(W.signed(h)))], ["node", "set"])
+
+    return run
+
 
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-def _index(left_out: int):
-    """The index rows of each class: one for each chunk and each choice of ``left_out`` symbols."""
-    step = SYMBOLS // CHUNKS
 
+def _confirm(percent: int):
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = _symbols(batch).astype(np.uint64)
-            for chunk in range(CHUNKS):
-                for out in combinations(range(step), left_out):
-                    key = np.full(len(sig), 1 + chunk * 4096 + sum(1 << i for i in out), np.uint64)
-                    for i in range(step):
-                        if i not in out:
-                            key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, chunk * step + i])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(W.signed(key)), batch.column("node"), batch.column("n"), *(batch.column(g) for g in _LONGS)],
-                        ["key", "node", "n", *_LONGS],
-                    )
+            a, b = batch.column("set_a"), batch.column("set_b")
+            keep = [_reaches(a[i].values.to_numpy(), b[i].values.to_numpy(), percent) for i in range(batch.num_rows)]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
     return run
 
 
-def _near(sig, n, i, j, percent: int) -> np.ndarray:
-    small, big = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    ok = small * 100 >= big * percent
-    ok[ok] = (sig[i[ok]] != sig[j[ok]]).sum(axis=1) <= distance(percent)
-    return ok
+def _sets(nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(node, set): the full set of each class. A class is named by one of its rows."""
+    texts = rows.select(F.col("uid").alias("node"), "text").join(nodes.select("node").distinct(), "node")
+    return cut(texts.select("node", "text").mapInArrow(_full_sets(size), "node long, set array<long>"))
 
 
-def _buckets(percent: int, most: int):
-    """Pairs of buckets with up to ``most`` members; member rows of larger ones. Input is sorted by key."""
+def _links(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) of a written table that reach the similarity on their full sets."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))), rows, size)
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    return cut(joined.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
 
-    def out(key, a, b, large):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), large))], ["key", "a", "b", "large"])
 
-    def work(rows, streamed, last):
-        """Batches to emit, the rows of a bucket that may go on, and the key of a large bucket that may."""
-        key, node, n, sig = rows
+def _bucket_pairs(batches):
+    """Pairs (a, b) of the members of each bucket that lie in different components. Input: key, node, component, sorted by key."""
+
+    def pairs(key, node, component):
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        lead = np.flatnonzero(new)
-        size = np.diff(np.append(lead, len(key)))
-        bucket = np.repeat(np.arange(len(lead)), size)
-        large = size > most
-        large[0] |= streamed == key[0]
-        end = len(key) if last or large[-1] else lead[-1]
-        small = ~large[bucket[:end]]
-        pairs, batches = [], []
-        for o in range(1, min(most, end)):
-            i = np.flatnonzero((bucket[: end - o] == bucket[o:end]) & small[: end - o])
+        bucket = np.cumsum(new)
+        a, b = [node[:0]], [node[:0]]
+        for o in range(1, len(key)):
+            i = np.flatnonzero(bucket[:-o] == bucket[o:])
             if not len(i):
                 break
-            i = i[_near(sig, n, i, i + o, percent)]
-            pairs.append((node[i], node[i + o]))
-        if pairs:
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            batches.append(out(np.zeros(len(a), np.int64), a, b, False))
-        member = np.flatnonzero(large[bucket])
-        batches.append(out(key[member], node[member], node[member], True))
-        held = None if end == len(key) else tuple(x[end:] for x in rows)
-        return batches, held, key[-1] if large[-1] else None
-
-    def run(batches):
-        held = streamed = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = (*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n")), _symbols(batch))
-            if held is not None:
-                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-            made, held, streamed = work(rows, streamed, last=False)
-            yield from made
+            i = i[component[i] != component[i + o]]
+            a.append(np.minimum(node[i], node[i + o]))
+            b.append(np.maximum(node[i], node[i + o]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "component")]
         if held is not None:
-            yield from work(held, None, last=True)[0]
-
-    return run
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last:
+            yield pairs(*(x[:last] for x in rows))
+        held = [x[last:] for x in rows]
+    if held is not None:
+        yield pairs(*held)
 
 
-def _cells(percent: int):
-    """Links within each cell (key, i, j) of two blocks of a large bucket, on the full sets.
+def _cells(chunks: int, percent: int):
+    """Links within each cell (key, i, j) of two blocks of a large bucket, by signatures and then on the full sets.
 
-    Of the links between two groups of members that are already connected in the
-    cell one is enough, so a cell gives fewer links than it has members.
+    Of the links between two components that the cell has already connected one is
+    enough, so a cell gives fewer links than it has members.
     """
 
     def run(key, table):
         _, i_block, j_block = (k.as_py() for k in key)
-        node, block = (table.column(c).to_numpy() for c in ("node", "block"))
+        node, block, component, n = (table.column(c).to_numpy() for c in ("node", "block", "component", "n"))
+        sig = np.ascontiguousarray(np.stack([table.column(g).to_numpy() for g in _names(chunks)], axis=1)).view(np.uint16)
         sets = table.column("set").combine_chunks()
-        offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
-        shingle, count = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1], np.diff(offsets)
-        marked = np.zeros(len(shingle) + 1, np.int8)
-        group = np.arange(len(node))
+        group = component.copy()
         links = []
         for i in np.flatnonzero(block == i_block):
-            mine = shingle[offsets[i] : offsets[i + 1]]
-            marked[mine] = 1
-            both = np.add.reduceat(marked[shingle], offsets[:-1], dtype=np.int64)
-            marked[mine] = 0
-            near = 100 * both >= percent * (count + count[i] - both)
-            for j in np.flatnonzero(near & (block == j_block) & (group != group[i])):
-                if group[j] != group[i]:
+            apart = (block == j_block) & (group != group[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            at = np.flatnonzero(apart)
+            at = at[(sig[at] != sig[i]).sum(axis=1) <= distance(chunks)]
+            for j in at:
+                if group[j] != group[i] and _reaches(sets[i].values.to_numpy(), sets[j].values.to_numpy(), percent):
                     links.append((node[i], node[j]))
                     group[group == group[j]] = group[i]
         a, b = np.array(links, np.int64).reshape(-1, 2).T
@@ -223,75 +236,66 @@ def _cells(percent: int):
     return run
 
 
-def _full_sets(size: int):
-    def run(batches):
-        for batch in batches:
-            for b in W.blocks(batch.column("text")):
-                h, count = shingles(W.LOWER[b.data], b.offsets, size)
-                ends = np.append(0, np.cumsum(count)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(b.first_row, b.n), pa.ListArray.from_arrays(pa.array(ends), pa.array(W.signed(h)))], ["node", "set"])
-
-    return run
-
-
-def _confirm(percent: int):
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column("set_a"), batch.column("set_b")
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
-
-    return run
-
-
-def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(node, set): the full set of each class."""
-    texts = docs.select("rowkey", "text").join(classes.join(nodes, "node").select("node", "rowkey"), "rowkey")
-    return cut(texts.select("node", "text").mapInArrow(_full_sets(size), "node long, set array<long>"))
-
-
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the similarity on their full sets."""
-    pairs = cut(pairs.select("a", "b").distinct())
-    sets = _sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs, size)
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return cut(joined.mapInArrow(_confirm(percent), "a long, b long"))
-
-
-def _large_links(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Links that connect the members (key, node) of each large bucket as all its links do."""
-    sets = _sets(members.select("node").distinct(), classes, docs, size)
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return cut(placed.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_cells(percent), "a long, b long").distinct())
-
-
-def _components(docs: DataFrame, shingle: int, percent: int, small: int, block: int) -> DataFrame:
-    """doc_id, rowkey, n, component (null without words), component_id of each row of ``docs``."""
-    own = docs.select("doc_id", "text", row_key().alias("rowkey"))
-    rows = cut(own.mapInArrow(_sets_of(shingle), f"doc_id long, rowkey long, n long, node long, {_SIG}"))
-    classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("rowkey").alias("rowkey"), F.max("n").alias("n"), *(F.min(g).alias(g) for g in _LONGS)))
-    index = classes.mapInArrow(_index(errors(percent)), f"key long, node long, n long, {_SIG}")
-    found = cut(index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets(percent, small), "key long, a long, b long, large boolean"))
-    links = _links(found.where("not large"), classes, own, shingle, percent)
-    more = _large_links(found.where("large").select("key", F.col("a").alias("node")), classes, own, shingle, percent, block)
-    reached = cut(connected_components(links.unionAll(more)))
-    named = classes.select("node", "doc_id").join(reached, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    named = cut(named)
+def _large_links(members: DataFrame, classes: DataFrame, rows: DataFrame, size: int, chunks: int, percent: int, block: int) -> DataFrame:
+    """Links that connect the members (key, node, component) of large buckets as all their links do."""
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"))
+    up = lambda c: F.ceil(c / F.lit(block)).cast("int")
+    parts = cut(parts.select("key", F.col("main.component").alias("main"), up(F.col("c") - F.col("main.c")).alias("others"), up(F.col("main.c")).alias("mains")))
+    is_main, spread = F.col("component") == F.col("main"), F.xxhash64("node")
+    placed = members.join(parts, "key").withColumn("block", F.when(is_main, F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("others"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.col("others") + F.when(is_main, F.lit(0)).otherwise(F.col("mains")) - 1)
+    placed = placed.withColumn("other", F.explode(meets)).select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sets = _sets(members.select("node"), rows, size).join(classes.select("node", "n", *_names(chunks)), "node")
+    return cut(placed.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_cells(chunks, percent), "a long, b long"))
+
+
+def _connect(classes: DataFrame, rows: DataFrame, size: int, chunks: int, percent: int, small: int, block: int) -> DataFrame:
+    """(node, component) of each class that has a link."""
+    index = classes.select("node", F.explode(index_keys(chunks)).alias("key"))
+    buckets = cut(index.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("c")).where("c > 1"))
+    members = cut(index.join(buckets, "key").where("node <> rep").select("key", "node", "rep", "c"))
+    stars = cut(_near(members.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), classes, chunks, percent))
+    # Round 1: the smallest representative of each class.
+    lowest = cut(stars.groupBy("a").agg(F.min("b").alias("b")))
+    links = _links(lowest, rows, size, percent)
+    # Round 2: the other representatives, where two steps along the links so far do not lead to the same class.
+    up = links.select(F.col("a").alias("node"), F.col("b").alias("top"))
+    up = up.join(up.select(F.col("node").alias("top"), F.col("top").alias("higher")), "top", "left").select("node", F.coalesce("higher", "top").alias("top"))
+    top = lambda s: up.select(F.col("node").alias(s), F.col("top").alias(f"top_{s}"))
+    more = stars.join(lowest, ["a", "b"], "left_anti").join(top("a"), "a", "left").join(top("b"), "b", "left")
+    more = cut(more.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b"))
+    links = links.unionAll(_links(more, rows, size, percent))
+    reached = cut(connected_components(links))
+    # Round 3: what is not connected in a bucket. Its representative has met all members.
+    left = members.where("c > 2").join(reached, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    left = cut(left)
+    torn = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    left = cut(left.join(torn.select("key", "c"), "key"))
+    pairs = left.where(F.col("c") <= small).select("key", "node", "component").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs, "a long, b long").distinct()
+    rest = _links(cut(_near(pairs, classes, chunks, percent)), rows, size, percent)
+    large = left.where(F.col("c") > small).select("key", "node", "component")
+    if not large.isEmpty():
+        rest = rest.unionAll(_large_links(large, classes, rows, size, chunks, percent, block))
+    return reached if rest.isEmpty() else cut(connected_components(links.unionAll(rest)))
+
+
+def _components(own: DataFrame, shingle: int, percent: int, small: int, block: int) -> DataFrame:
+    """doc_id, uid, n, component (null without words), component_id of each row of a written table (doc_id, text, uid)."""
+    chunks = chunks_for(percent)
+    longs = ", ".join(f"{g} long" for g in _names(chunks))
+    rows = cut(own.mapInArrow(_sets_of(shingle, chunks), f"doc_id long, uid long, n long, d1 long, d2 long, {longs}"))
+    classes = cut(rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("node"), F.max("n").alias("n"), *(F.min(g).alias(g) for g in _names(chunks))))
+    reached = _connect(classes, own, shingle, chunks, percent, small, block)
+    named = classes.select("d1", "d2", "node", "doc_id").join(reached, "node", "left").select("d1", "d2", "doc_id", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(lowest, "component").select("node", "component", "component_id")
-    component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return rows.select("doc_id", "rowkey", "n", "node").join(named, "node", "left").select("doc_id", "rowkey", "n", "component", component_id)
+    named = cut(named.join(lowest, "component").select("d1", "d2", "component", "component_id"))
+    component_id = F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.select("doc_id", "uid", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", "uid", "n", "component", component_id)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, rowkey, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text's set
     is its distinct runs of ``shingle`` words (a shorter text is one run as a
@@ -300,12 +304,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Texts without words and null texts are linked with nothing: they keep their own
     id. Equal texts are always linked. A null doc_id counts only if a component has
     no other; such rows are not marked as kept unless they have no words
-    (:func:`keep_one` keeps one of them). Other columns are not read. ``small`` and
-    ``block`` set how buckets are worked through, not what is found.
+    (:func:`keep_one` keeps one of them). Rows that stand twice are rows of their
+    own. Other columns are not read. ``small`` and ``block`` set how buckets are
+    worked through, not what is found.
     """
-    return _components(docs, shingle, percent, small, block).select(
+    own = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return _components(own, shingle, percent, small, block).select(
         "doc_id",
-        "rowkey",
         F.col("n").alias("n_shingles"),
         "component_id",
         F.when(F.col("component").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"),
@@ -315,16 +320,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = KEEP_PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row of each component of :func:`near_duplicates`, with all its columns.
 
-    It is the row with the smallest doc_id (null last), then the smallest row key.
-    Rows without words all stay; of rows that stand twice, one does.
+    It is one with the smallest doc_id, null last. Rows without words (null and empty
+    texts among them) all stay. Of rows that stand twice one stays. An empty table
+    gives an empty table.
     """
-    rows = _components(docs, shingle, percent, small, block)
-    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rowkey")).alias("lowest")
-    kept = rows.where("component is not null").groupBy("component").agg(lowest).select(F.col("lowest.rowkey").alias("__kept"))
-    kept = kept.unionAll(rows.where("component is null").select("rowkey").distinct())
-    keyed = docs.withColumn("__key", row_key())
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").withColumn("__n", first).where("__n = 1").drop("__key", "__n")
+    uid = free_name(docs, "uid")
+    full = numbered(docs, uid)
+    rows = _components(full.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(uid).alias("uid")), shingle, percent, small, block)
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("lowest")
+    rows = cut(rows.select("uid", "doc_id", "component"))
+    kept = rows.where("component is not null").groupBy("component").agg(lowest).select(F.col("lowest.uid").alias(uid))
+    kept = cut(kept.unionAll(rows.where("component is null").select(F.col("uid").alias(uid))))
+    return full.join(kept, uid, "left_semi").drop(uid)
 
 
 def digest(docs: DataFrame) -> DataFrame:

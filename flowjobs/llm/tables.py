@@ -1,4 +1,4 @@
-"""Reading driver tables, cutting lineage, row keys."""
+"""Reading driver tables, cutting lineage, row numbers."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UNSET_DIR: dict[str, str] = {}
@@ -41,14 +41,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what setCheckpointDir was given.
 
-    Only where the session has none (a local session, as in tests) is a folder
-    made on this machine.
+    Only a local session, as in tests, may have none: it gets a folder on this machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _UNSET_DIR:
         _UNSET_DIR[app] = tempfile.mkdtemp(prefix="flowjobs-")
@@ -68,19 +70,42 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete what :func:`cut` has written in this application. Call it once the results are written."""
+def numbered(df: DataFrame, name: str = "uid") -> DataFrame:
+    """``df`` with a number of its own for each row, written with it: the number is the same in all later steps."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what :func:`cut` has written in this application. Call it once the results are written.
+
+    ``since`` leaves the first tables, ``keep`` the last ones.
+    """
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    end = len(written) - keep
+    for path in written[since:end]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+    del written[since:end]
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """64-bit key of a row's id and text; rows equal in both share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def written(spark: SparkSession) -> int:
+    """Tables that :func:`cut` has written in this application and that are still there."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def row_key(id_col="doc_id", text_col="text"):
+    return F.xxhash64(F.col(id_col), F.col(text_col))

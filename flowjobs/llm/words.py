@@ -7,6 +7,7 @@ not a Python call. Hashes are 64 bits wide and the same in every process.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,21 +50,6 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        have = np.full(max(n, BLOCK_BYTES + 1), base, U64)
-        have[0] = 1
-        _powers[kind] = have = np.cumprod(have, dtype=U64)
-    return have[:n]
-
-
 @dataclass
 class Block:
     """Rows ``first_row`` up to ``last_row`` of a batch, as bytes."""
@@ -138,16 +124,45 @@ def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, offsets))
 
 
+#: a longer range is hashed by blake2b, one by one
+_LONG = 256
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+
+
 class Hasher:
-    """Hashes of any byte ranges of a block, from one running sum."""
+    """Hashes of byte ranges of a block, eight bytes at a time.
+
+    Each step is a bijection of what was read before and of the next eight bytes,
+    so ranges of one length up to eight bytes never meet, and longer ones meet by
+    chance alone: no arrangement of letters cancels out, as it can in a polynomial.
+    """
 
     def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE[data] * _power("up", len(data)), dtype=U64, out=self.sums[1:])
+        self.data = data
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * _power("down", len(self.sums))[start]
-        return mix(h + (end - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        size = end - start
+        h = mix(size.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64(0x9E3779B97F4A7C15))
+        at, left, open_ = start, size, None
+        long = size > _LONG
+        if long.any():
+            for i in np.flatnonzero(long):
+                h[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+            open_ = np.flatnonzero(~long)
+            at, left = at[open_], left[open_]
+        while len(at):
+            now = mix((h if open_ is None else h[open_]) ^ (self.eight[at] & _TAIL[np.minimum(left, 8)]))
+            if open_ is None:
+                h = now
+                open_ = np.arange(len(h))
+            else:
+                h[open_] = now
+            more = left > 8
+            open_, at, left = open_[more], at[more] + 8, left[more] - 8
+        return h
 
 
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
@@ -155,15 +170,38 @@ def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
 
 
 class Sequences:
-    """Hashes of any runs of words, from one running sum over the word hashes."""
+    """Hashes of any runs of words.
+
+    Runs of 1, 2, 4, ... words are hashed by pairs; any other run is the two such
+    runs that cover it from its start and from its end, with its length.
+    """
 
     def __init__(self, hashes: np.ndarray):
-        self.sums = np.zeros(len(hashes) + 1, U64)
-        np.cumsum(hashes * _power("up", len(hashes)), dtype=U64, out=self.sums[1:])
+        self.levels = [hashes]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            half, below = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(_pair(below[:-half], below[half:]) if len(below) > half else below[:0])
+        return self.levels[k]
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * _power("down", len(self.sums))[start]
-        return mix(h + (end - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        size = end - start
+        out = np.zeros(len(start), U64)
+        if not len(start):
+            return out
+        level = np.frexp(np.maximum(size, 1).astype(float))[1] - 1
+        for k in np.unique(level):
+            mine = slice(None) if (level == level[0]).all() else np.flatnonzero(level == k)
+            at, n, h = start[mine], size[mine], self._level(int(k))
+            some = np.minimum(n, 1)
+            out[mine] = mix(_pair(h[at * some], h[(at + n - (1 << int(k))) * some]) + n.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        return out
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a = (a ^ (a >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+    return (a ^ (a >> U64(32))) + (b ^ (b >> U64(31))) * U64(0x94D049BB133111EB)
 
 
 def window_starts(words: Words, size: int) -> np.ndarray:

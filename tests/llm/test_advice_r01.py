@@ -8,7 +8,6 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 import numpy as np  # noqa: E402
-import pyarrow as pa  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from flowjobs.llm import decontam, near_dups  # noqa: E402
@@ -86,14 +85,19 @@ def test_stage_links_from_a_similarity_of_0_8(spark):
     assert {r["doc_id"] for r in near_dups.digest(docs).where("kept").collect()} == {1, 2, 3, 4}
 
 
-def test_signatures_up_to_the_distance_share_an_index_row():
+def test_signatures_up_to_the_distance_share_an_index_row(spark):
     rnd = np.random.default_rng(4)
-    for percent, left_out in ((85, 1), (80, 2)):
-        assert near_dups.errors(percent) == left_out
-        for _ in range(200):
-            a = rnd.integers(0, 1 << 16, near_dups.SYMBOLS).astype(np.uint16)
+    assert [near_dups.chunks_for(p) for p in (85, 80)] == [8, 12]
+    for chunks in (8, 12):
+        rows = []
+        for _ in range(100):
+            a = rnd.integers(0, 1 << 16, 4 * chunks).astype(np.uint16)
             b = a.copy()
-            b[rnd.choice(near_dups.SYMBOLS, near_dups.distance(percent), replace=False)] ^= np.uint16(1)
-            longs = np.stack([a, b]).view(np.int64)
-            rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([9, 9]), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(8))], ["node", "n", *(f"g{i}" for i in range(8))])
-            assert any(k[0] == k[1] for k in (x.column("key").to_pylist() for x in near_dups._index(left_out)([rows])))
+            b[rnd.choice(4 * chunks, near_dups.distance(chunks), replace=False)] ^= np.uint16(1)
+            rows += [a.view(np.int64).tolist() + b.view(np.int64).tolist()]
+        names = near_dups._names(chunks)
+        df = spark.createDataFrame(rows, ", ".join(f"{g}_{s} long" for s in "ab" for g in names))
+        keys = [df.select(*(F.col(f"{g}_{s}").alias(g) for g in names)).select(near_dups.index_keys(chunks).alias("k")).collect() for s in "ab"]
+        assert all(set(x["k"]) & set(y["k"]) for x, y in zip(*keys, strict=True))
+        apart = df.select(sum(near_dups._differ(F.col(f"{g}_a"), F.col(f"{g}_b")) for g in names).alias("d")).collect()
+        assert {r["d"] for r in apart} == {near_dups.distance(chunks)}

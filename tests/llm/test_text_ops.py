@@ -122,6 +122,30 @@ def test_large_group_of_near_copies(make):
     assert [got[i] for i in range(150)] == root
 
 
+def test_thousands_of_near_copies_in_one_bucket(make):
+    """5,000 different near copies and a family of texts that look alike but are no copies."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        w[rnd.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    # Three quarters of the words in common: within the distance, under the similarity.
+    family = [f"v{i}" for i in range(300)]
+    rows += [(10_000 + i, " ".join([*family, *(f"y{i}_{j}" for j in range(80))])) for i in range(200)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.digest(make(rows)).collect()}
+    assert got == {i: 0 if i < 5000 else i for i, _ in rows}
+
+
+def test_long_words_with_one_polynomial_hash_stay_apart(make):
+    # A word over a and b in which all powers cancel out, and its mirror image.
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.digest(make([(1, word), (2, mirror), (3, word)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_kept_rows_carry_their_columns(docs):
     kept = near_dups.keep_one(docs)
     assert kept.columns == docs.columns
