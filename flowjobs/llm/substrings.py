@@ -1,15 +1,18 @@
 """Substring dedup by relative Lempel-Ziv factors (operator 9).
 
-Every text is factored against the reference blocks of all texts, itself
-included. The index of reference blocks is distributed: each text is cut into
-blocks around content-chosen anchors (the smallest hash of ``GRAM`` consecutive
-words within a window), so equal passages are cut alike wherever they stand. A
-block holds the run of windows that chose its anchor.
-
-A factor is grown greedily from blocks: a block whose words stand elsewhere is
-copied whole, so all its windows are duplicates. A block whose anchor stands
-elsewhere but whose words differ there lies at a factor boundary; only there are
-windows compared one by one. The windows of both kinds are the duplicate spans.
+The reference is the text of all documents, each for the others and for itself. Its
+index is distributed: a text is cut into blocks around content-chosen anchors (the
+smallest hash of ``GRAM`` consecutive words within a window), so equal passages are
+cut alike wherever they stand. A block holds the run of windows that chose its
+anchor and is looked up by anchor and content, 128 bits together.
+
+A text is then parsed greedily. At each place that the index knows, the two
+outermost places with the same words are tried as references, and the one that can
+be copied furthest, block by block at a constant offset, becomes a factor. Blocks
+whose anchor stands elsewhere with other words around it lie at the borders of
+factors: there, and only there, windows are looked up one by one, so a factor
+reaches to the last word that its reference shares. Factors of ``window`` words and
+more are the duplicate spans; shorter ones hold no window and are none.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import cut, row_key
+from .tables import cut, numbered
 
 WINDOW = 35
 #: words of an anchor; a window holds WINDOW - GRAM + 1 of them
 GRAM = 8
 
-_LOW = np.uint64((1 << 24) - 1)
-_BLOCKS = "whole boolean, anchor long, content long, rowkey long, start int, n int, copies long"
+_LOW = np.uint64((1 << 32) - 1)
+_BLOCKS = "anchor long, content long, uid long, start int, n int"
 
 
 def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -47,13 +50,13 @@ def reference_blocks(data: np.ndarray, offsets: np.ndarray, size: int, gram: int
     hashes = W.word_hashes(data, words)
     at = W.window_starts(words, size)
     if not len(at):
-        return words, hashes, None
+        return words, None
     seq = W.Sequences(hashes)
     g = np.arange(len(hashes) - gram + 1)
     grams = seq.ranges(g, g + gram)
     packed = (grams & ~_LOW) | (g.astype(np.uint64) & _LOW)
     low = _sliding_min(packed, size - gram + 1)[at]
-    anchor = at + ((low & _LOW).astype(np.int64) - at) % (1 << 24)
+    anchor = (low & _LOW).astype(np.int64)
     row = words.row[at]
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
@@ -61,154 +64,180 @@ def reference_blocks(data: np.ndarray, offsets: np.ndarray, size: int, gram: int
     n = np.diff(np.append(lead, len(at)))
     start = at[lead]
     content = W.mix(seq.ranges(start, start + n + size - 1) + (anchor[lead] - start).astype(np.uint64))
-    return words, hashes, (row[lead], start, n, grams[anchor[lead]], content)
+    return words, (row[lead], start, n, grams[anchor[lead]], content)
 
 
 def _blocks_of(size: int, gram: int):
     def run(batches):
         for batch in batches:
-            parts = []
-            keys = batch.column("rowkey").to_numpy(zero_copy_only=False)
+            keys = batch.column("uid").to_numpy(zero_copy_only=False)
             for b in W.blocks(batch.column("text")):
-                words, _, found = reference_blocks(b.data, b.offsets, size, gram)
+                words, found = reference_blocks(b.data, b.offsets, size, gram)
                 if found is None:
                     continue
                 row, start, n, anchor, content = found
-                parts.append((keys[b.first_row : b.last_row][row], start - words.first[row], n, W.signed(anchor), W.signed(content)))
-            if not parts:
-                continue
-            key, start, n, anchor, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-            # Copies within one batch meet here: one row of them stands for all, the others are settled.
-            order = np.lexsort((content, anchor))
-            a, c = anchor[order], content[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-            lead = np.flatnonzero(new)
-            copies = np.diff(np.append(lead, len(order)))
-            settled = np.repeat(copies, copies) > 1
-            for whole, pick, count in ((False, order[lead], copies), (True, order[settled], np.zeros(settled.sum(), np.int64))):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pick), whole)), pa.array(anchor[pick]), pa.array(content[pick]), pa.array(key[pick]), pa.array(start[pick].astype(np.int32)), pa.array(n[pick].astype(np.int32)), pa.array(count.astype(np.int64))],
-                    ["whole", "anchor", "content", "rowkey", "start", "n", "copies"],
+                    [pa.array(W.signed(anchor)), pa.array(W.signed(content)), pa.array(keys[b.first_row : b.last_row][row]), pa.array((start - words.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["anchor", "content", "uid", "start", "n"],
                 )
 
     return run
 
 
 def _windows_of(size: int):
-    """One row for each window of the blocks listed for a text."""
+    """One row for each window of the blocks listed for a text, each with the places of its block."""
 
     def run(batches):
         for batch in batches:
-            keys = batch.column("rowkey").to_numpy(zero_copy_only=False)
+            keys = batch.column("uid").to_numpy(zero_copy_only=False)
             listed = batch.column("blocks")
+            ends = listed.offsets.to_numpy()
+            anchor, start, n, places = (listed.values.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "start", "n", "places"))
             for b in W.blocks(batch.column("text")):
                 words = W.split(b.data, b.offsets, W.SPACED)
                 seq = W.Sequences(W.word_hashes(b.data, words))
-                key, start, weight = [], [], []
-                for row in range(b.n):
-                    for x in listed[b.first_row + row].as_py():
-                        s = np.arange(x["start"], x["start"] + x["n"])
-                        key.append(np.full(len(s), keys[b.first_row + row]))
-                        start.append(s + words.first[row])
-                        weight.append(np.full(len(s), x["copies"]))
-                if not key:
-                    continue
-                key, at, weight = np.concatenate(key), np.concatenate(start), np.concatenate(weight)
-                base = words.first[np.searchsorted(words.first, at, "right") - 1]
+                mine = np.arange(ends[b.first_row], ends[b.last_row])
+                row = np.repeat(np.arange(b.n), np.diff(ends[b.first_row : b.last_row + 1]))
+                k = n[mine]
+                each = np.repeat(np.arange(len(mine)), k)
+                at = start[mine][each] + np.arange(len(each)) - (np.cumsum(k) - k)[each]
+                absolute = at + words.first[row[each]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array((at - base).astype(np.int32)), pa.array(weight), pa.array(W.signed(seq.ranges(at, at + size)))],
-                    ["rowkey", "start", "copies", "content"],
+                    [pa.array(anchor[mine][each]), pa.array(W.signed(seq.ranges(absolute, absolute + size))), pa.array(keys[b.first_row : b.last_row][row[each]]), pa.array(at.astype(np.int32)), pa.array(places[mine][each])],
+                    ["anchor", "content", "uid", "start", "places"],
                 )
 
     return run
 
 
-def _covered(n_words: int, spans, size: int) -> np.ndarray:
-    gone = np.zeros(n_words + 1, np.int64)
-    if spans:
-        start = np.array([x["start"] for x in spans])
-        end = start + np.array([x["n"] for x in spans]) + size - 1
-        np.add.at(gone, start, 1)
-        np.add.at(gone, end, -1)
-    return np.cumsum(gone)[:-1] > 0
+def parse(hits: list[dict], size: int) -> list[tuple[int, int, int, int]]:
+    """(first word, words, uid, first word there) of each factor of a text, greedily.
 
+    ``hits`` are runs of windows (start, n) that stand at ``lo`` and at ``hi``
+    (uid, start) too; one of the two may be the run itself. A factor copies on as long
+    as the next run of windows begins where it ends and can be copied from the same
+    document at the same offset.
+    """
+    hits = sorted(hits, key=lambda x: x["start"])
+    sources = [{(p["uid"], p["start"] - x["start"]) for p in (x["lo"], x["hi"])} for x in hits]
+    out, i = [], 0
+    while i < len(hits):
+        far, source = i, min(sources[i])
+        for s in sorted(sources[i]):
+            j = i + 1
+            while j < len(hits) and hits[j]["start"] == hits[j - 1]["start"] + hits[j - 1]["n"] and s in sources[j]:
+                j += 1
+            if j > far:
+                far, source = j, s
+        start = hits[i]["start"]
+        out.append((start, hits[far - 1]["start"] + hits[far - 1]["n"] - start + size - 1, source[0], start + source[1]))
+        i = far
+    return out
+
+
+def _without_itself(uid: int, hits: list[dict]) -> list[dict]:
+    """The hits, with a place that is the hit itself replaced by the other one."""
+    for x in hits:
+        for own, other in (("lo", "hi"), ("hi", "lo")):
+            if x[own]["uid"] == uid and x[own]["start"] == x["start"]:
+                x[own] = x[other]
+    return hits
+
+
+def _parsed(uid: int, listed, size: int) -> list[tuple[int, int, int, int]]:
+    hits = listed.as_py()
+    return parse(_without_itself(uid, hits), size) if hits else []
+
+
+def _factors_of(size: int):
+    def run(batches):
+        for batch in batches:
+            rows = [(doc, *f) for doc, uid, listed in zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), batch.column("hits"), strict=True) for f in _parsed(uid, listed, size)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "words", "source", "source_start"])
 
-def _digest(size: int):
+    return run
+
+
+def _removed(size: int, with_text: bool):
     def run(batches):
         for batch in batches:
-            spans = batch.column("spans")
-            out = []
+            uids, hits = batch.column("uid").to_pylist(), batch.column("hits")
+            n_words, n_removed, digests, kept = [], [], [], []
             for b in W.blocks(batch.column("text")):
-                words = W.split(b.data, b.offsets, W.SPACED)
                 for row in range(b.n):
-                    lo, hi = words.first[row], words.first[row + 1]
-                    listed = spans[b.first_row + row].as_py()
-                    kept = b.text(row).split()
-                    removed = 0
-                    if listed:
-                        gone = _covered(hi - lo, listed, size)
-                        removed = int(gone.sum())
-                        kept = [w for w, g in zip(kept, gone, strict=True) if not g]
-                    out.append((int(hi - lo), removed, b" ".join(kept)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out]), pa.array([x[2].decode() for x in out])],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
+                    words = b.text(row).split()
+                    found = _parsed(uids[b.first_row + row], hits[b.first_row + row], size)
+                    n_words.append(len(words))
+                    gone = np.zeros(len(words), bool)
+                    for start, length, _, _ in found:
+                        gone[start : start + length] = True
+                    n_removed.append(int(gone.sum()))
+                    text = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if found else words)
+                    digests.append(hashlib.sha256(text).hexdigest())
+                    kept.append(text.decode() if with_text else None)
+            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if with_text else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
 
     return run
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Windows of ``window`` words that start at two or more places: (rowkey, start, n), n windows from word ``start`` on.
+def _copied(own: DataFrame, window: int, gram: int) -> DataFrame:
+    """Runs of windows of the written table ``own`` (text, uid) that stand at two or more places: uid, start, n, lo, hi.
 
-    ``docs`` has rowkey and text. Rows with one rowkey are copies of each other.
-    """
-    blocks = cut(docs.select("rowkey", "text").mapInArrow(_blocks_of(window, gram), _BLOCKS))
-    open_blocks = blocks.where(~F.col("whole"))
-    shared = (
-        open_blocks.groupBy("anchor")
-        .agg(F.sum("copies").alias("places"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-        .where("places > 1")
-        .select("anchor", (F.col("c0") != F.col("c1")).alias("mixed"))
-    )
-    hits = cut(open_blocks.join(shared, "anchor").select("content", "anchor", "rowkey", "start", "n", "copies", "mixed"))
-    # One place stands for each different block of a mixed anchor; all others are copies of it.
-    kinds = hits.where("mixed").groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("rowkey", "start", "n")).alias("at"))
-    kinds = cut(kinds.select("anchor", "content", "copies", "at.*"))
-    copied = (
-        hits.where(~F.col("mixed"))
-        .select("rowkey", "start", "n")
-        .unionAll(hits.where("mixed").join(kinds.where("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("rowkey", "start", "n"))
-    )
-    listed = kinds.groupBy("rowkey").agg(F.collect_list(F.struct("start", "n", "copies")).alias("blocks"))
-    texts = docs.select("rowkey", "text").join(listed, "rowkey")
-    # A row that stands twice lists its blocks twice; distinct places count once, with their copies.
-    at_edges = cut(texts.mapInArrow(_windows_of(window), "rowkey long, start int, copies long, content long").distinct())
-    twice = at_edges.groupBy("content").agg(F.sum("copies").alias("places")).where("places > 1")
-    edges = at_edges.join(twice, "content", "left_semi").select("rowkey", "start", F.lit(1).cast("int").alias("n"))
-    return copied.unionAll(edges).unionAll(blocks.where("whole").select("rowkey", "start", "n"))
-
-
-def remove_duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text of each row of ``docs`` (doc_id, text).
-
-    Words are runs of anything but ASCII white space. Each word goes that lies in
-    a run of ``window`` words which also starts at another place, in the same row
-    or another one. Null text: no words. Rows that stand twice are copies of each
-    other. Texts under ``window`` words stay whole. Other columns are not read.
+    lo and hi are the first and the last of the places (uid, start).
     """
+    blocks = cut(own.select("uid", "text").mapInArrow(_blocks_of(window, gram), _BLOCKS))
+    shared = blocks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("c > 1")
+    hits = cut(blocks.join(shared.select("anchor", (F.col("c0") != F.col("c1")).alias("mixed")), "anchor"))
+    place = F.struct("uid", "start")
+    ends = [F.min(place).alias("lo"), F.max(place).alias("hi")]
+    # The places of each block. One place stands for all where an anchor has different blocks.
+    kinds = cut(hits.groupBy("anchor", "content").agg(F.count("*").alias("places"), F.first("mixed").alias("mixed"), F.first("n").alias("n"), *ends))
+    whole = hits.join(kinds.where("places > 1").select("anchor", "content", "lo", "hi"), ["anchor", "content"]).select("uid", "start", "n", "lo", "hi")
+    listed = kinds.where("mixed").groupBy(F.col("lo.uid").alias("uid")).agg(F.collect_list(F.struct("anchor", F.col("lo.start").alias("start"), "n", "places")).alias("blocks"))
+    at_borders = cut(own.select("uid", "text").join(listed, "uid").mapInArrow(_windows_of(window), "anchor long, content long, uid long, start int, places long"))
+    twice = at_borders.groupBy("anchor", "content").agg(F.count("*").alias("kinds"), *ends).where("kinds > 1")
+    # A block that stands at several places is copied as a whole anyway.
+    borders = at_borders.where("places = 1").join(twice, ["anchor", "content"]).select("uid", "start", F.lit(1).alias("n"), "lo", "hi")
+    return whole.unionAll(borders)
+
+
+def _with_hits(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with numbers, and (uid, hits), the runs of windows of each that stand elsewhere too."""
     if not 1 <= gram <= window:
         raise ValueError("an anchor must fit into a window")
-    own = docs.select("doc_id", "text", row_key().alias("rowkey"))
-    spans = duplicate_spans(own, window, gram).groupBy("rowkey").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    return own.join(spans, "rowkey", "left").select("doc_id", "text", "spans").mapInArrow(
-        _digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    )
+    own = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return own, _copied(own, window, gram).groupBy("uid").agg(F.collect_list(F.struct("start", "n", "lo", "hi")).alias("hits"))
+
+
+def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, start, words, source_doc_id, source_start): the factors of each row of ``docs`` (doc_id, text).
+
+    ``words`` words from word ``start`` on (counted from 0) stand from word
+    ``source_start`` of a row with id source_doc_id on, which may be the row itself at
+    another place. A factor has ``window`` words at least; factors may overlap.
+    """
+    own, hits = _with_hits(docs, window, gram)
+    found = own.select("doc_id", "uid").join(hits, "uid").select("doc_id", "uid", "hits").mapInArrow(_factors_of(window), "doc_id long, start long, words long, source long, source_start long")
+    return found.join(own.select(F.col("uid").alias("source"), F.col("doc_id").alias("source_doc_id")), "source").select("doc_id", "start", "words", "source_doc_id", "source_start")
+
+
+def remove_duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text of each row of ``docs`` (doc_id, text).
+
+    Words are runs of anything but ASCII white space. Each word goes that lies in a
+    factor: in a run of ``window`` words or more which also starts at another place, in
+    the same row or another one. Null text: no words. Rows that stand twice are
+    copies of each other. Texts under ``window`` words stay whole. An empty table gives
+    an empty table. Other columns are not read.
+    """
+    own, hits = _with_hits(docs, window, gram)
+    return own.join(hits, "uid", "left").select("doc_id", "uid", "text", "hits").mapInArrow(_removed(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return remove_duplicate_windows(docs).drop("kept_text")
+    return remove_duplicate_windows(docs, with_text=False)
 
 
 ORACLE_SQL = r"""
