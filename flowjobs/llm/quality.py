@@ -5,13 +5,23 @@ statistics of a text's bytes and words, by the non-negative unbiased risk
 
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
-with the class prior estimated from the labelled rows. A two-parameter logistic
-fit on labelled rows turns the margin into a probability.
+The class prior is estimated from positives and unlabelled text alone: where the
+score is above a threshold, unlabelled text is at least as dense as prior times the
+positives, so the least ratio of the two shares bounds the prior, and reaches it
+where some scores are had by good text only.
+
+A first fit takes bounded samples. Bin edges, the prior and then PASSES Newton steps
+take all unlabelled text of the training folds: with the logistic loss the risk is
+convex, and each step sums its slope over all rows, one pass over 27 bytes a row.
+
+Negative labels are no part of that fit. They are used in one place: a two-parameter
+logistic fit on labelled rows of the training folds turns the margin into a
+probability.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +31,12 @@ from pyspark.sql import functions as F
 from . import words as W
 from .tables import cut
 
-#: at most so many labelled rows, and so many unlabelled ones, fit the model
+#: at most so many labelled rows fit the model, and so many unlabelled ones start it
 SAMPLE = 20_000
 BINS = 16
+#: steps over all unlabelled text after the first fit
+PASSES = 3
+RIDGE = 1e-3
 THRESHOLD = 0.7
 
 _CLASSES = ("lower", "upper", "digit", "space", "newline", "other_byte", "stop", "comma", "pipe", "bang", "star", "dollar", "amp", "percent", "hash", "quote", "bracket", "mark", "control")
@@ -89,14 +102,18 @@ class Model:
     edges: np.ndarray
     weights: np.ndarray
     bias: float
-    scale: float
-    shift: float
+    scale: float = 1.0
+    shift: float = 0.0
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The bin of each feature of each row."""
+        return np.stack([np.searchsorted(self.edges[f], x[:, f], "right") for f in range(x.shape[1])], axis=1)
+
+    def margin_of(self, cells: np.ndarray) -> np.ndarray:
+        return self.bias + self.weights[np.arange(cells.shape[1]), cells].sum(axis=1)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        z = np.full(len(x), self.bias)
-        for f in range(x.shape[1]):
-            z += self.weights[f, np.searchsorted(self.edges[f], x[:, f], "right")]
-        return z
+        return self.margin_of(self.cells(x))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.scale * self.margin(x) + self.shift)
@@ -106,28 +123,51 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> Model:
-    """Minimise the non-negative risk with the logistic loss, by full-batch Adam."""
-    both = np.concatenate([positive, unlabelled])
-    edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.copy()
-    k = both.shape[1]
-    cell = lambda x: np.stack([np.searchsorted(edges[f], x[:, f], "right") + f * BINS for f in range(k)], axis=1)
-    p, u = cell(positive), cell(unlabelled)
-    w, m, v = (np.zeros(k * BINS + 1) for _ in range(3))
+def _slope(cells: np.ndarray, err: np.ndarray) -> np.ndarray:
+    """Sums of ``err`` over the rows in each bin of each feature, and over all rows."""
+    k = cells.shape[1]
+    return np.append(np.bincount((cells + np.arange(k) * BINS).ravel(), weights=np.repeat(err, k), minlength=k * BINS), err.sum())
 
-    def slope(cells, err):
-        return np.append(np.bincount(cells.ravel(), weights=np.repeat(err, k), minlength=k * BINS), err.sum())
 
+def _slope_and_loss(model: Model, cells: np.ndarray) -> np.ndarray:
+    """The sums of :func:`_slope` of the loss with label 0, and of that loss itself."""
+    z = model.margin_of(cells)
+    return np.append(_slope(cells, _sigmoid(z)), np.logaddexp(0, z).sum())
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, edges: np.ndarray | None = None, rounds: int = 400, rate: float = 0.05, ridge: float = RIDGE) -> Model:
+    """Minimise the non-negative risk with the logistic loss, by full-batch Adam."""
+    if edges is None:
+        edges = np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.copy()
+    k = positive.shape[1]
+    model = Model(edges, np.zeros((k, BINS)), 0.0)
+    p, u = model.cells(positive), model.cells(unlabelled)
+    flat_p, flat_u = (c + np.arange(k) * BINS for c in (p, u))
+    w, m, v = (np.zeros(k * BINS + 1) for _ in range(3))
     for step in range(1, rounds + 1):
-        zp, zu = w[p].sum(axis=1) + w[-1], w[u].sum(axis=1) + w[-1]
+        zp, zu = w[flat_p].sum(axis=1) + w[-1], w[flat_u].sum(axis=1) + w[-1]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = slope(u, _sigmoid(zu) / len(zu)) - prior * slope(p, _sigmoid(zp) / len(zp))
+        of_negative = _slope(u, _sigmoid(zu) / len(zu)) - prior * _slope(p, _sigmoid(zp) / len(zp))
         # A negative part under zero is overfitting: step back on it alone.
-        g = -of_negative if negative < 0 else prior * slope(p, (_sigmoid(zp) - 1) / len(zp)) + of_negative
+        g = -of_negative if negative < 0 else prior * _slope(p, (_sigmoid(zp) - 1) / len(zp)) + of_negative
         g += ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(edges, w[:-1].reshape(k, BINS), float(w[-1]), 1.0, 0.0)
+    return Model(edges, w[:-1].reshape(k, BINS), float(w[-1]))
+
+
+def curvature(model: Model, cells: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Second derivatives of the risk on a sample of unlabelled rows; positives have none with the logistic loss."""
+    p = _sigmoid(model.margin_of(cells))
+    size = cells.shape[1] * BINS + 1
+    h = ridge * np.eye(size)
+    for at in range(0, len(cells), 4096):
+        c = cells[at : at + 4096]
+        x = np.zeros((len(c), size))
+        x[np.arange(len(c))[:, None], c + np.arange(c.shape[1]) * BINS] = 1
+        x[:, -1] = 1
+        h += (x * (p[at : at + 4096] * (1 - p[at : at + 4096]) / len(cells))[:, None]).T @ x
+    return h
 
 
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray, rounds: int = 60) -> Model:
@@ -138,25 +178,109 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, rounds: int = 60) -> M
         p = _sigmoid(z @ w)
         h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
         w -= np.linalg.solve(h, z.T @ (p - y) + 1e-3 * (w - [1.0, 0.0]))
-    return Model(model.edges, model.weights, model.bias, float(w[0]), float(w[1]))
+    return replace(model, scale=float(w[0]), shift=float(w[1]))
+
+
+def estimated_prior(above_positive: np.ndarray, above_unlabelled: np.ndarray, n_positive: int, n_unlabelled: int) -> float:
+    """The least ratio of shares above a threshold, from the numbers above each. Each share gives way by one standard error."""
+    p, u = above_positive / n_positive, above_unlabelled / n_unlabelled
+    low = p - np.sqrt(p * (1 - p) / n_positive)
+    high = u + np.sqrt(u * (1 - u) / n_unlabelled)
+    ok = low > 0.1
+    return float(np.clip((high[ok] / low[ok]).min(), 0.01, 0.99)) if ok.any() else 0.5
+
+
+def _by_hash(ids: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` ids, those with the lowest hash. A threshold on the hash keeps all but about so many from being sorted."""
+    n = ids.count()
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 33).cast("double") / F.lit(2.0**31)
+    few = ids if n <= sample else ids.where(share < 1.2 * sample / n)
+    return few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def _known(labels: DataFrame, column: str, held: tuple[int, int], sample: int, pick) -> DataFrame:
+    """(doc_id, y) of at most ``sample`` labelled ids of the training folds."""
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).where(~held_out(F.col("doc_id"), *held))
+    return cut(_by_hash(ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(pick(column).cast("double").alias("y")), sample))
+
+
+def _matrix(df: DataFrame, column: str, kind) -> np.ndarray:
+    flat = df.select(column).toArrow().column(column).combine_chunks().flatten()
+    return np.asarray(flat.to_numpy(zero_copy_only=False), kind).reshape(-1, len(FEATURES))
+
+
+def _cells_of(model: Model):
+    def run(batches):
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            c = model.cells(x).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in c], pa.binary())], ["cells"])
+
+    return run
+
+
+def _rows_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, len(FEATURES)).astype(np.int64)
+
+
+def _sums_of(make):
+    """One row of sums for each partition, as (place, value)."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                one = make(_rows_of(batch.column("cells")))
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["place", "value"])
+
+    return run
 
 
-def _table(df: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``sample`` rows (features, y), those with the lowest hash of their id."""
-    rows = df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("features", "y").toArrow()
-    x = np.array(rows.column("features").combine_chunks().flatten(), np.float32).reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)), np.float32)
-    return x, rows.column("y").to_numpy()
+def _sum(cells: DataFrame, make, size: int) -> np.ndarray:
+    """Sums over all rows. ``make`` gives those of a block of rows; ``size`` numbers come to the driver."""
+    out = np.zeros(size)
+    for r in cells.mapInArrow(_sums_of(make), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+        out[r["place"]] = r["value"]
+    return out
 
 
 def _learn(rows: DataFrame, labels: DataFrame, held: tuple[int, int], sample: int) -> Model | None:
-    """The model from a table of features; None without a labelled good row."""
-    fold = held_out(F.col("doc_id"), *held)
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    x, y = _table(rows.where(~fold).join(known, "doc_id"), sample)
+    """The model from a written table of features; None without a labelled good row."""
+    training = rows.where(~held_out(F.col("doc_id"), *held))
+    known = _known(labels, "quality", held, sample, F.min)
+    # Rows of one id count once, as their mean: at most ``sample`` rows come to the driver, whatever repeats.
+    each = training.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.array(*(F.avg(F.get("features", F.lit(i))) for i in range(len(FEATURES)))).alias("features"))
+    each = cut(each)
+    y = each.select("y").toArrow().column("y").to_numpy()
+    x = _matrix(each, "features", np.float32)
     if not (y == 1).any():
         return None
-    unlabelled, _ = _table(rows.where(~fold).withColumn("y", F.lit(0.0)), sample)
-    model = fit(x[y == 1], unlabelled, min(0.99, float((y == 1).mean())))
+    edges = training.select(*(F.percentile_approx(F.get("features", F.lit(i)), [(j + 1) / BINS for j in range(BINS - 1)], 2000).alias(f"e{i}") for i in range(len(FEATURES)))).first()
+    edges = np.array([list(e) for e in edges], float)
+    n = training.count()
+    start = training if n <= sample else training.where(F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 31)) < int((1 << 31) * 0.9 * sample / n)).limit(sample)
+    started = _matrix(start, "features", np.float32)
+    positive = x[y == 1]
+    # The labelled share only starts the search for the prior.
+    first = fit(positive, started, 0.5, edges)
+    cells = cut(training.mapInArrow(_cells_of(first), "cells binary"))
+    at = np.unique(np.quantile(first.margin(positive), np.linspace(0, 0.9, 46)))
+    above = _sum(cells, lambda c: (first.margin_of(c)[:, None] >= at).sum(axis=0).astype(float), len(at))
+    prior = estimated_prior((first.margin(positive)[:, None] >= at).sum(axis=0), above, len(positive), n)
+    model = fit(positive, started, prior, edges)
+    p = model.cells(positive)
+    mine = _slope(p, np.ones(len(p)) / len(p))
+    # Steps on the risk over all rows, with the curvature of the sample.
+    inverse = np.linalg.inv(curvature(model, model.cells(started)))
+    for _ in range(PASSES):
+        sums = _sum(cells, lambda c, m=model: _slope_and_loss(m, c), len(FEATURES) * BINS + 2) / n
+        if sums[-1] < prior * np.logaddexp(0, model.margin_of(p)).mean():
+            break  # the negative part is under zero: a step would overfit
+        w = np.append(model.weights.ravel(), model.bias)
+        w = w - inverse @ (sums[:-1] - prior * mine + RIDGE * w)
+        model = replace(model, weights=w[:-1].reshape(-1, BINS), bias=float(w[-1]))
     return calibrate(model, x, y) if (y == 0).any() else model
 
 
@@ -165,10 +289,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4
 
     ``labels`` has doc_id and quality, 1 for good text; the lowest counts where an id
     has several. Ids with crc32 % held[0] == held[1] are never learned from. The fit
-    takes at most ``sample`` labelled and ``sample`` unlabelled rows. score is the
-    chance that the label is 1; predicted is 1 from ``threshold`` on. Null and empty
-    texts are scored on features of zero. Without a labelled good row nothing can be
-    rejected: all scores are 1. Only the text is an input of a score.
+    takes at most ``sample`` labelled ids, of rows that share an id their mean, and all
+    unlabelled rows (``sample`` of them to start from). score is the chance that the
+    label is 1; predicted is 1 from ``threshold`` on. Null and empty texts are scored
+    on features of zero. Repeated rows are scored each. Without a labelled good row
+    nothing can be rejected: all scores are 1. An empty table gives no rows. Only the
+    text is an input of a score.
     """
     rows = cut(docs.select("doc_id", "text").mapInArrow(_features_of, "doc_id long, features array<float>"))
     model = _learn(rows, labels, held, sample)
@@ -188,7 +314,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4
 def keep_good(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2), sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that :func:`score_quality` predicts 1, with all their columns.
 
-    The model goes to the texts, not the scores to the texts: no text is shuffled.
+    The model goes to the texts, not the scores to the texts: no text is shuffled. Rows
+    with null or empty texts, null ids and repeated rows are judged by their text like
+    all others; without a labelled good row all rows stay.
     """
     rows = cut(docs.select("doc_id", "text").mapInArrow(_features_of, "doc_id long, features array<float>"))
     model = _learn(rows, labels, held, sample)
