@@ -1,9 +1,9 @@
 """Counterfactual-regularised toxicity classifier (operator 10).
 
 A logistic model over words and repeated word beginnings. For each labelled
-sentence that names an identity group, a counterfactual swaps the term for
-another one; the training objective adds a penalty on the change of the score,
-so a neutral mention of a group moves no score.
+sentence that names an identity group, counterfactuals swap its terms for others of
+the same language, word class and number; the training objective adds a penalty on
+the change of the score, so a neutral mention of a group moves no score.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .quality import _sigmoid, held_out
+from .quality import _known, _sigmoid, held_out
 from .tables import cut
 
 #: at most so many labelled rows fit the model, on so many features at most
@@ -27,12 +27,28 @@ PENALTY = 1.0
 #: beginnings of words, in bytes, that are counted up to LEVELS times
 PREFIXES, LEVELS = (4, 5, 7), 3
 
-#: Identity terms that may stand for one another, fixed values.
-IDENTITY = (
-    "women men woman man girls boys muslims christians jews hindus buddhists atheists muslim christian jewish hindu buddhist "
-    "black white asian latino arab african european american mexican immigrants refugees foreigners gay lesbian straight bisexual "
-    "transgender queer disabled deaf blind elderly young frauen männer juden muslime christen femmes hommes juifs musulmans mujeres hombres judíos musulmanes"
-).split()
+#: Identity terms, fixed values: those of one line may stand for one another (one language, word class and number).
+IDENTITY = tuple(
+    line.split()
+    for line in (
+        "women men girls boys",
+        "woman man girl boy",
+        "muslims christians jews hindus buddhists atheists",
+        "muslim christian jewish hindu buddhist",
+        "asians africans europeans americans mexicans arabs immigrants refugees foreigners",
+        "asian african european american mexican arab latino",
+        "gay lesbian bisexual transgender queer heterosexual",
+        "frauen männer mädchen jungen",
+        "juden muslime christen hindus buddhisten",
+        "femmes hommes filles garçons",
+        "juifs musulmans chrétiens hindous bouddhistes",
+        "mujeres hombres chicas chicos",
+        "judíos musulmanes cristianos hindúes budistas",
+    )
+)
+#: counterfactuals of a sentence: each term moves on by so many places in its line
+SWAPS = (1, 2)
+_OTHERS = [f"swapped{by}" for by in SWAPS]
 
 
 def _hash_of(words) -> np.ndarray:
@@ -90,9 +106,13 @@ def word_features(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None
     return rows, found
 
 
-def _swaps() -> dict:
-    """Each term's hash and the term that takes its place."""
-    return {int(h): t for h, t in zip(_hash_of(IDENTITY), [*IDENTITY[1:], IDENTITY[0]], strict=True)}
+def _swaps(by: int) -> dict:
+    """Each term's hash and the term ``by`` places on in its line; the first line of a term counts."""
+    out: dict[int, str] = {}
+    for line in IDENTITY:
+        for i, h in enumerate(_hash_of(line)):
+            out.setdefault(int(h), line[(i + by) % len(line)])
+    return out
 
 
 def _lists(n: int, rows: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -102,9 +122,9 @@ def _lists(n: int, rows: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def _train_rows(batches):
-    """Features of each labelled row, and of its counterfactual where it names a group."""
-    swap = _swaps()
-    terms = np.array(list(swap), np.uint64)
+    """Features of each labelled row, and of its counterfactuals where it names a group."""
+    swaps = [_swaps(by) for by in SWAPS]
+    terms = np.array(list(swaps[0]), np.uint64)
     for batch in batches:
         for b in W.blocks(batch.column("text")):
             r, f = word_features(b.data, b.offsets)
@@ -112,13 +132,12 @@ def _train_rows(batches):
             words = W.split(low, b.offsets, W.ALNUM)
             named = np.zeros(b.n, bool)
             named[words.row[np.isin(W.word_hashes(low, words), terms)]] = True
-            if named.any():
-                r2, f2 = word_features(b.data, b.offsets, swap=swap)
+            other = []
+            for swap in swaps:
+                r2, f2 = word_features(b.data, b.offsets, swap=swap) if named.any() else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
                 mine = named[r2]
-                r2, f2 = r2[mine], f2[mine]
-            else:
-                r2, f2 = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("y").slice(b.first_row, b.n), _lists(b.n, r, f), pa.array(named), _lists(b.n, r2, f2)], ["y", "features", "named", "swapped"])
+                other.append(_lists(b.n, r2[mine], f2[mine]))
+            yield pa.RecordBatch.from_arrays([batch.column("y").slice(b.first_row, b.n), _lists(b.n, r, f), pa.array(named), *other], ["y", "features", "named", *_OTHERS])
 
 
 def _marks(features: np.ndarray) -> np.ndarray:
@@ -142,11 +161,11 @@ class Model:
         return _sigmoid(z)
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, swapped: dict[int, np.ndarray], size: int, penalty: float = PENALTY, rounds: int = 300, rate: float = 0.05, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias over feature numbers: logistic loss, ridge, and penalty * mean squared change of the margin on counterfactuals."""
+def fit(x: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int, np.ndarray]], size: int, penalty: float = PENALTY, rounds: int = 300, rate: float = 0.05, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias over feature numbers: logistic loss, ridge, and penalty * mean squared change of the margin on counterfactuals, (row, its features) each."""
     at = np.concatenate([np.asarray(i, np.int64) for i in x]) if x else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(x)), [len(i) for i in x])
-    pairs = [(i, s) for i, s in swapped.items()]
+    pairs = swapped
     cf_at = np.concatenate([np.concatenate([x[i], s]) for i, s in pairs]).astype(np.int64) if pairs else np.zeros(0, np.int64)
     cf_row = np.repeat(np.arange(len(pairs)), [len(x[i]) + len(s) for i, s in pairs])
     cf_sign = np.concatenate([np.concatenate([np.ones(len(x[i])), -np.ones(len(s))]) for i, s in pairs]) if pairs else np.zeros(0)
@@ -165,11 +184,11 @@ def fit(x: list[np.ndarray], y: np.ndarray, swapped: dict[int, np.ndarray], size
 
 
 def train(docs: DataFrame, labels: DataFrame, held: tuple[int, int], sample: int, features: int, penalty: float) -> Model:
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"), *held)).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # Under ``sample`` ids and labels: a bounded table.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text")
-    rows = cut(rows.mapInArrow(_train_rows, "y double, features array<long>, named boolean, swapped array<long>"))
+    known = _known(labels, "toxic", held, sample, F.max)
+    # At most ``sample`` ids. Of rows with one id one text is learned from, that with the lowest hash: so many rows at most, whatever repeats.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    lists = ", ".join(f"{c} array<long>" for c in _OTHERS)
+    rows = cut(rows.select("y", "text").mapInArrow(_train_rows, f"y double, features array<long>, named boolean, {lists}"))
     totals = rows.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
     n, pos = totals["n"], totals["pos"] or 0.0
     if not n or not 0 < pos < n:
@@ -185,18 +204,19 @@ def train(docs: DataFrame, labels: DataFrame, held: tuple[int, int], sample: int
     def numbers(batches):
         for batch in batches:
             cols = [batch.column("y")]
-            for name in ("features", "swapped"):
+            for name in ("features", *_OTHERS):
                 out = []
                 for x in batch.column(name):
                     h = x.values.to_numpy().view(np.uint64) if len(x) else np.zeros(0, np.uint64)
                     at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
                     out.append(at[chosen[at] == h].tolist())
                 cols.append(pa.array(out, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*cols, batch.column("named")], ["y", "x", "swapped", "named"])
+            yield pa.RecordBatch.from_arrays([*cols, batch.column("named")], ["y", "x", *_OTHERS, "named"])
 
-    got = rows.mapInArrow(numbers, "y double, x array<int>, swapped array<int>, named boolean").toArrow().to_pydict()
+    lists = ", ".join(f"{c} array<int>" for c in _OTHERS)
+    got = rows.mapInArrow(numbers, f"y double, x array<int>, {lists}, named boolean").toArrow().to_pydict()
     x = [np.array(i, np.int64) for i in got["x"]]
-    swapped = {i: np.array(s, np.int64) for i, (s, named) in enumerate(zip(got["swapped"], got["named"], strict=True)) if named}
+    swapped = [(i, np.array(got[c][i], np.int64)) for c in _OTHERS for i, named in enumerate(got["named"]) if named]
     weights, bias = fit(x, np.array(got["y"]), swapped, len(chosen), penalty)
     return Model(_marks(chosen), chosen, weights, bias)
 
@@ -206,7 +226,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (
 
     ``labels`` has doc_id and toxic, 1 for toxic text; the highest counts where an id
     has several. Ids with crc32 % held[0] == held[1] are never learned from. The fit
-    takes at most ``sample`` labelled rows and the ``features`` most telling features.
+    takes at most ``sample`` labelled ids, one text each, and the ``features`` features
+    that tell most, of those that MIN_ROWS of these texts have. Repeated rows are
+    scored each; an empty table gives no rows.
     score is the chance that the label is 1; predicted is 1 from ``threshold`` on.
     Null and empty texts score the bias alone; so do all texts where no row is
     labelled or all are labelled alike. Only the text is an input of a score.
