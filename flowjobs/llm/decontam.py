@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import cut, row_key
+from .tables import cut, free_name, numbered
 
 WINDOW = 8
 #: a window is rich with so many plain tokens, which are no placeholders (in a shorter one: half)
@@ -188,7 +188,7 @@ def _rows(t: Templates, f: Found, literal: int, batch: pa.RecordBatch, first_row
     return pa.RecordBatch.from_arrays(
         [
             batch.column("id").take(at),
-            batch.column("rowkey").take(at),
+            batch.column("uid").take(at),
             pa.array((f.start - t.words.first[row]).astype(np.int32)),
             pa.array(f.length.astype(np.int32)),
             pa.array(t.words.counts[row].astype(np.int32)),
@@ -200,7 +200,7 @@ def _rows(t: Templates, f: Found, literal: int, batch: pa.RecordBatch, first_row
             pa.array(names, pa.list_(pa.bool_())),
             pa.array(values, pa.list_(pa.int64())),
         ],
-        ["id", "rowkey", "pos", "length", "tokens", "hash", "by_value", "before", "until", "rich", "names", "vals"],
+        ["id", "uid", "pos", "length", "tokens", "hash", "by_value", "before", "until", "rich", "names", "vals"],
     )
 
 
@@ -219,7 +219,7 @@ def _windows_of(literal: int, windows, as_name=None):
     return run
 
 
-_ROWS = "id long, rowkey long, pos int, length int, tokens int, hash long, by_value boolean, before int, until int, rich boolean, names array<boolean>, vals array<long>"
+_ROWS = "id long, uid long, pos int, length int, tokens int, hash long, by_value boolean, before int, until int, rich boolean, names array<boolean>, vals array<long>"
 
 
 def _filter(spark: SparkSession, items: DataFrame) -> tuple[np.ndarray | None, list[tuple[int, bool]]]:
@@ -228,12 +228,12 @@ def _filter(spark: SparkSession, items: DataFrame) -> tuple[np.ndarray | None, l
     hashes = items.select("hash").distinct()
     if hashes.count() > FILTER_WINDOWS:
         return None, lengths
-    return np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)), lengths
+    return np.sort(hashes.toArrow().column("hash").to_numpy().view(np.uint64)), lengths
 
 
 def _alignments(joined: DataFrame, run_tokens: int, share: float) -> DataFrame:
     """The alignments of ``joined`` windows that are long enough and fill their slots consistently."""
-    where = ["doc_id", "rowkey", "item_id", "diagonal"]
+    where = ["doc_id", "uid", "item_id", "item", "diagonal"]
     slots = joined.where(F.size("item_vals") > 0).select(*where, F.explode(F.arrays_zip("item_vals", "doc_vals", "names")).alias("s"))
     same = F.col("s.doc_vals") == F.col("s.item_vals")
     slots = slots.groupBy(*where, "s.item_vals").agg(F.min("s.doc_vals").alias("lo"), F.max("s.doc_vals").alias("hi"), F.min(same).alias("same"), F.min(same | ~F.col("s.names")).alias("same_names"))
@@ -246,7 +246,7 @@ def _alignments(joined: DataFrame, run_tokens: int, share: float) -> DataFrame:
     runs = seen.groupBy(*where, "run").agg(F.min("pos").alias("from"), F.max("end").alias("to"), F.max("tokens").alias("tokens"), (F.max("until") - F.min("before")).alias("plain"))
     length = F.col("to") - F.col("from")
     lines = runs.groupBy(*where).agg(F.max(length).alias("run_tokens"), F.sum(length).alias("covered"), F.min("from").alias("from"), F.max("tokens").alias("tokens"), F.sum("plain").alias("plain"))
-    on = (F.col("l.rowkey") == F.col("s.rowkey")) & F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("l.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("l.diagonal") == F.col("s.diagonal"))
+    on = [F.col(f"l.{c}") == F.col(f"s.{c}") for c in ("uid", "item", "diagonal")]
     lines = lines.alias("l").join(slots.alias("s"), on, "left").where(~F.coalesce("s.clash", F.lit(False)))
     yes = F.lit(True)
     lines = lines.select("l.*", F.coalesce("s.same", yes).alias("verbatim"), F.coalesce("s.same_names", yes).alias("same_names"), (F.col("l.covered") / F.col("l.tokens")).alias("share"))
@@ -254,17 +254,18 @@ def _alignments(joined: DataFrame, run_tokens: int, share: float) -> DataFrame:
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, literal: int, run_tokens: int, share: float) -> DataFrame:
-    """The alignments that make an item leak: doc_id, rowkey, item_id, diagonal, from, run_tokens, share, verbatim."""
+    """The alignments of one row of ``docs`` (doc_id, text, uid) and one of ``benchmark`` that make it leak: doc_id, uid, item_id, item, diagonal, from, run_tokens, share, verbatim."""
     spark = docs.sparkSession
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text", F.lit(0).cast("long").alias("rowkey")).mapInArrow(_windows_of(literal, lambda t: _item_windows(t, window), lambda t: _as_name(t, window)), _ROWS))
+    own = benchmark.select(F.col("item_id").cast("long").alias("id"), "text", F.monotonically_increasing_id().alias("uid"))
+    items = cut(own.mapInArrow(_windows_of(literal, lambda t: _item_windows(t, window), lambda t: _as_name(t, window)), _ROWS))
     keep, lengths = _filter(spark, items)
     if not lengths:
         lengths = [(window, False)]
     if keep is not None and not len(keep):
         keep = np.zeros(1, np.uint64)
-    hits = docs.select(F.col("doc_id").cast("long").alias("id"), "text", row_key().alias("rowkey")).mapInArrow(_windows_of(literal, lambda t: _text_windows(t, lengths, keep)), _ROWS)
-    hits = hits.select(F.col("id").alias("doc_id"), "rowkey", F.col("pos").alias("doc_pos"), "hash", "length", F.col("vals").alias("doc_vals"))
-    item = items.select(F.col("id").alias("item_id"), "pos", "tokens", "hash", "length", "before", "until", "rich", "names", F.col("vals").alias("item_vals"))
+    hits = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "uid").mapInArrow(_windows_of(literal, lambda t: _text_windows(t, lengths, keep)), _ROWS)
+    hits = hits.select(F.col("id").alias("doc_id"), "uid", F.col("pos").alias("doc_pos"), "hash", "length", F.col("vals").alias("doc_vals"))
+    item = items.select(F.col("id").alias("item_id"), F.col("uid").alias("item"), "pos", "tokens", "hash", "length", "before", "until", "rich", "names", F.col("vals").alias("item_vals"))
     joined = cut(hits.join(item, ["hash", "length"]).withColumn("diagonal", F.col("doc_pos") - F.col("pos")))
     whole, plain = F.col("covered") == F.col("tokens"), F.col("plain")
     sure = F.col("verbatim") | (plain >= window) | (whole & ((plain >= literal) | (F.col("same_names") & (plain > 0) & (F.col("tokens") >= HEADLESS))))
@@ -285,13 +286,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     stands there with ``literal`` plain tokens, or with one, its own names and
     HEADLESS tokens (numbers and units may differ).
     run_tokens and share are those of the best alignment, verbatim tells whether all
-    slots hold the item's own values. Null and empty texts hold nothing. Each
-    row is searched by itself, and what the rows of one doc_id hold is put together;
-    a null id stays null. Benchmark texts that share an item_id are one item. An empty benchmark gives no
+    slots hold the item's own values. Null and empty texts hold nothing, an empty table
+    gives no rows. Each row is searched by itself, against each row of the benchmark by
+    itself; the best alignment of the rows with one doc_id and one item_id counts, so
+    repeated rows change nothing; a null id stays null. An empty benchmark gives no
     rows. Up to FILTER_WINDOWS benchmark windows are sent to the tasks, which then
     emit only windows that can join; beyond that all windows take part in the join.
     """
-    good = _leaks(docs, benchmark, window, literal, run_tokens, share)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("uid"))
+    good = _leaks(own, benchmark, window, literal, run_tokens, share)
     best = F.max(F.struct(F.col("share"), F.col("run_tokens"), F.col("verbatim"), (-(F.col("diagonal") + F.col("from"))).alias("at"))).alias("b")
     return good.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.at")).cast("int").alias("first_token"), F.col("b.run_tokens").cast("int").alias("run_tokens"), F.round("b.share", 6).alias("share"), F.col("b.verbatim").alias("verbatim")
@@ -301,12 +304,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, run_tokens: int = RUN_TOKENS, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` whose document holds no benchmark item, with all their columns.
 
-    Rows with one doc_id are one document; a row with a null id is one by itself.
+    Rows with one doc_id are one document: if one of them leaks, all go. A row with a
+    null id is a document by itself. Null and empty texts stay. An empty benchmark
+    drops nothing.
     """
-    good = _leaks(docs, benchmark, window, literal, run_tokens, share)
-    leaking = good.select(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", "rowkey").alias("__leaking")).distinct()
-    own = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), row_key()))
-    return own.join(leaking, (own["doc_id"].isNull() == F.col("__null")) & (own["__key"] == F.col("__leaking")), "left_anti").drop("__key")
+    uid = free_name(docs, "uid")
+    full = numbered(docs, uid)
+    good = _leaks(full.select("doc_id", "text", F.col(uid).alias("uid")), benchmark, window, literal, run_tokens, share)
+    by_id = good.where("doc_id is not null").select(F.col("doc_id").alias("leaking")).distinct()
+    by_row = good.where("doc_id is null").select(F.col("uid").alias("leaking")).distinct()
+    leaking = cut(by_id.withColumn("whole", F.lit(True)).unionAll(by_row.withColumn("whole", F.lit(False))))
+    whole, key = full["doc_id"].isNotNull(), F.coalesce(full["doc_id"].cast("long"), full[uid])
+    return full.join(leaking, (whole == leaking["whole"]) & (key == leaking["leaking"]), "left_anti").drop(uid)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
