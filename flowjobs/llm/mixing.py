@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, shuffle_parts
+from .tables import cut, numbered, shuffle_parts
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEAT = 3
@@ -35,7 +35,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
     Sources in code point order, null last, weigh ``weights`` in turn. A target
     stops at ``max_repeat`` times its source's size; what is above is shared anew
     by weight, so all other targets are one level times the weight. The level is
-    found from running sums over the sources sorted by the level that fills them.
+    found from running sums over the sources sorted by the level that fills them. One
+    task ranks the sources: a row of some tens of bytes each, so millions of them fit,
+    not one for each document.
     """
     one = Window.partitionBy()
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -89,10 +91,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat:
 
 
 def emit_copies(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` once for each of its copies, with its own columns. Options as in :func:`mix_sources`."""
-    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("__row"))
-    mixed = mix_sources(packed, size_col="size", **options).where("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    """The mix itself: each row of ``docs`` once for each of its copies, with its own columns. Options as in :func:`mix_sources`.
+
+    Words are counted once; ids, sources and sizes alone are put in order, and the
+    copies are joined back to the rows. Null texts have no words: a source of such
+    texts alone has no copies. An empty table gives an empty table.
+    """
+    full = numbered(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), word_count(F.col("text")).alias("words")))
+    slim = full.select("uid", F.col("id").alias("doc_id"), F.col("of").alias("source"), F.col("words").alias("size"))
+    mixed = mix_sources(slim, size_col="size", **options).where("copies > 0").select("uid", "copies")
+    return full.select("uid", "row").join(mixed, "uid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

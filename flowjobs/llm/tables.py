@@ -105,7 +105,3 @@ def written(spark: SparkSession) -> int:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def row_key(id_col="doc_id", text_col="text"):
-    return F.xxhash64(F.col(id_col), F.col(text_col))

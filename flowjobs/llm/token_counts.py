@@ -13,6 +13,7 @@ import base64
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from . import words as W
 
@@ -117,12 +118,18 @@ def _counts_of(vocabulary, pattern: str, rule: str):
     return run
 
 
+def _has_sections(docs: DataFrame) -> bool:
+    """Whether ``docs`` has a column sections of (start, end) spans; any other column of that name is not read."""
+    kind = docs.schema["sections"].dataType if "sections" in docs.columns else None
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and {"start", "end"} <= set(kind.elementType.names)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, rule: str = "most") -> DataFrame:
     """(doc_id, section, start_char, end_char, n_tokens, n_crossing), one row for each section of each row.
 
     ``docs`` has doc_id and text, and may have sections, an array of (start, end)
-    character spans; without them, or where they are null, the sections are the
-    lines, each with its newline. Tokens outside all sections are on a row with
+    character spans (a column of that name and another type is not read); without
+    them, or where they are null, the sections are the lines, each with its newline. Tokens outside all sections are on a row with
     section -1 that spans the text. n_crossing counts the tokens across a border of
     the section; ``rule`` says which sections they count for. Null and empty texts
     are one empty line without tokens. Sections may not overlap. Repeated rows are
@@ -134,7 +141,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     spark: SparkSession = docs.sparkSession
     with open(vocabulary, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
-    columns = ["doc_id", "text", *(["sections"] if "sections" in docs.columns else [])]
+    columns = ["doc_id", "text", *(["sections"] if _has_sections(docs) else [])]
     kind = "double" if rule == "split" else "long"
     return docs.select(*columns).mapInArrow(
         _counts_of(ranks, pattern, rule), f"doc_id long, section int, start_char int, end_char int, n_tokens {kind}, n_crossing int"
