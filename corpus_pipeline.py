@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All stages return the columns of
-documents.
+documents, and any further ones that docs has. An empty table stays empty. Null ids,
+null and empty texts and repeated rows are allowed in all stages; what becomes of
+them is said at each.
 """
 
 from __future__ import annotations
@@ -10,35 +12,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowjobs.llm import decontam, lines, mixing, near_dups, quality
-from flowjobs.llm.tables import cut, read, ship
+from flowjobs.llm.tables import clean, cut, read, ship, written
 
 
 def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Each row is judged by its text alone; null counts as empty."""
     ship(spark)
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; every document stays."""
+    """Lines that an earlier document holds go; every row stays, null texts as null. Rows with one doc_id are one document, a null id comes last."""
     ship(spark)
     return lines.without_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 or more) stays, the one with the smallest doc_id."""
+    """One row of each group of near duplicates (similarity 0.8 or more) stays, one with the smallest doc_id, null last. Texts without words all stay."""
     ship(spark)
     return near_dups.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their id; a row with a null id is a document by itself."""
     ship(spark)
     return decontam.drop_leaking(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the target of its source asks, up to three times."""
+    """Each row as often as the target of its source asks, up to three times; a null source is one of its own. Texts without words weigh nothing and go by their place."""
     ship(spark)
     return mixing.emit_copies(docs)
 
@@ -56,7 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents. What a stage has written besides its result is deleted with it, and all of it on a failure."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    before = written(spark)
+    try:
+        for _, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir))
+            clean(spark, before, keep=1)
+    except BaseException:
+        clean(spark, before)
+        raise
     return docs
