@@ -8,24 +8,36 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: How a trailing "regional" and a bare "unspecified" are found, and what stands for both: fixed values.
+REGIONAL, UNSPECIFIED, NORMAL = r",?\s+regional$", r"(?<!,)\s+unspecified$", ", unspecified"
 
 
 def normalize_unspecified(name: Column) -> Column:
     """A trailing "regional" or bare "unspecified" becomes ", unspecified"."""
-    return F.regexp_replace(F.regexp_replace(name, r",?\s+regional$", ", unspecified"), r"(?<!,)\s+unspecified$", ", unspecified")
+    return F.regexp_replace(F.regexp_replace(name, REGIONAL, NORMAL), UNSPECIFIED, NORMAL)
+
 
+@F.pandas_udf(T.StringType())
+def slugs(names: pd.Series) -> pd.Series:
+    """Spark has no NFKD: Python works it out, each distinct name of a batch once."""
+    codes, distinct = pd.factorize(names)
+    plain = pd.Series([unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower() for n in distinct], dtype=object)
+    made = plain.str.replace(r"[^a-z0-9]+", "-", regex=True).str.strip("-") if len(plain) else plain
+    return pd.Series([made[c] if c >= 0 else None for c in codes], dtype=object)
 
-def add_slug(df: DataFrame, name_col: str, out: str) -> DataFrame:
-    """Slug of each name, null for null. Spark has no NFKD; Python works out each distinct name of a batch once."""
 
-    @F.pandas_udf("string")
-    def slugs(names: pd.Series) -> pd.Series:
-        codes, distinct = pd.factorize(names)
-        plain = pd.Series([unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower() for n in distinct], dtype=object)
-        made = plain.str.replace(r"[^a-z0-9]+", "-", regex=True).str.strip("-") if len(plain) else plain
-        return pd.Series([made[c] if c >= 0 else None for c in codes], dtype=object)
+def add_slug(df: DataFrame, name_col: str, out: str, names: DataFrame | None = None) -> DataFrame:
+    """Slug of each name, null for null. Python sees each distinct name once, never the rows.
 
-    return df.withColumn(out, slugs(F.col(name_col)))
+    ``names`` is a table whose column ``name_col`` holds all names, where it is at hand
+    for less than the distinct names of ``df`` cost.
+    """
+    table = (df if names is None else names).select(F.col(name_col).alias("__name")).where("__name is not null").distinct()
+    table = table.select("__name", slugs("__name").alias(out))
+    return df.join(table, df[name_col] == F.col("__name"), "left").drop("__name")
 
 
 def slug_collisions(df: DataFrame, name_col: str, slug_col: str) -> DataFrame:

@@ -38,10 +38,14 @@ def labels_of(code: Column, groups: Mapping[str, Sequence]) -> Column:
     return F.filter(F.array(*[F.when(code.isin(list(codes)), F.lit(g)) for g, codes in groups.items()]), lambda g: g.isNotNull())
 
 
-def exploded_totals(df: DataFrame, labels: Column, keys: Sequence[str], name_col: str, values: Sequence[str] = ("value",)) -> DataFrame:
-    """One group-by over all groups that rows belong to. Rows are summed to (keys, labels) before they are repeated per label."""
-    fine = sum_by(df.withColumn("__labels", F.array_sort(labels)), [*keys, "__labels"], *values)
-    return sum_by(fine.withColumn(name_col, F.explode("__labels")), [*keys, name_col], *values)
+def exploded_totals(df: DataFrame, labels: Column, keys: Sequence[str], name_col: str, values: Sequence[str] = ("value",), by: Sequence[str] = ()) -> DataFrame:
+    """One group-by over all groups that rows belong to.
+
+    Rows are first summed to the keys and to ``by``, the columns that the labels are
+    made of; only the few rows left get labels and are repeated for each of them.
+    """
+    fine = sum_by(df, list(dict.fromkeys([*keys, *by])), *values)
+    return sum_by(fine.withColumn("__name", F.explode(labels)).select(*keys, F.col("__name").alias(name_col), *values), [*keys, name_col], *values)
 
 
 def donor_labels(groups: Mapping[str, Sequence], code_col: str = "donor_code") -> Column:
@@ -49,7 +53,7 @@ def donor_labels(groups: Mapping[str, Sequence], code_col: str = "donor_code") -
 
 
 def donor_group_totals(df: DataFrame, groups: Mapping[str, Sequence], keys: Sequence[str], code_col: str = "donor_code", name_col: str = "donor_name", values: Sequence[str] = ("value",)) -> DataFrame:
-    return exploded_totals(df, donor_labels(groups, code_col), keys, name_col, values)
+    return exploded_totals(df, donor_labels(groups, code_col), keys, name_col, values, [code_col])
 
 
 def recipient_labels(
@@ -72,13 +76,17 @@ def recipient_labels(
     return F.array_distinct(F.concat(F.filter(F.array(*parts), lambda x: x.isNotNull()), labels_of(F.col(code_col), groups)))
 
 
-def recipient_group_totals(df: DataFrame, labels: Column, keys: Sequence[str], name_col: str = "recipient_name", values: Sequence[str] = ("value",)) -> DataFrame:
-    return exploded_totals(df, labels, keys, name_col, values)
+def recipient_group_totals(
+    df: DataFrame, labels: Column, keys: Sequence[str], name_col: str = "recipient_name", values: Sequence[str] = ("value",), by: Sequence[str] = ("recipient_code", "region", "income_group")
+) -> DataFrame:
+    """``by`` names the columns that ``labels`` is made of."""
+    return exploded_totals(df, labels, keys, name_col, values, by)
 
 
 def with_all_totals(df: DataFrame, donors: Column, recipients: Column, keys: Sequence[str], values: Sequence[str] = ("value",), donor_name: str = "donor_name", recipient_name: str = "recipient_name") -> DataFrame:
     """Rows and all their donor and recipient aggregates, in one group-by over the product of both label sets."""
     own = [F.array_sort(F.array_append(donors, F.col(donor_name))).alias("__d"), F.array_sort(F.array_append(recipients, F.col(recipient_name))).alias("__r")]
+    # Entities with the same labels and another name stay apart; those that share all labels meet before they are repeated.
     fine = df.select(*keys, *own, *values).groupBy(*keys, "__d", "__r").agg(*[zero_sum(v).alias(v) for v in values])
     exploded = fine.withColumn(donor_name, F.explode("__d")).withColumn(recipient_name, F.explode("__r"))
     return sum_by(exploded, [*keys, donor_name, recipient_name], *values)

@@ -51,11 +51,42 @@ def presence_sets(aggregates: DataFrame) -> DataFrame:
     return aggregates.where("key2 is null").groupBy("dimension").agg(F.sort_array(F.collect_set("key")).alias("values"))
 
 
-def distribution(df: DataFrame, value: str, approx: bool = False) -> DataFrame:
-    """One row: min, max, median and quartiles. ``approx`` keeps a sketch instead of all values, for very large data."""
+def exact_quantiles(df: DataFrame, value: str, at: Sequence[float]) -> DataFrame:
+    """One row of columns q0, q1, ...: the quantiles of the non-null values, interpolated between ranks.
+
+    Values are range-partitioned and sorted; a row's rank is its place in its partition
+    and the rows of the partitions before, so no task holds more than its range.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    values = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    ranged = values.repartitionByRange(parts, "v").sortWithinPartitions("v").select("v", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    # One row for each partition.
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("part", before.alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    ranks = [(F.col("total") - 1) * F.lit(float(q)) for q in at]
+    rank = F.col("before") + F.col("place")
+    picked = ranged.join(counts, "part").withColumn("rank", rank).where(F.col("rank").isin(*[f(r).cast("long") for r in ranks for f in (F.floor, F.ceil)]))
+    one = picked.agg(
+        *[F.max(F.when(F.col("rank") == f(r).cast("long"), F.col("v"))).alias(f"{name}{i}") for i, r in enumerate(ranks) for name, f in (("lo", F.floor), ("hi", F.ceil))],
+        *[F.max(r - F.floor(r)).alias(f"part{i}") for i, r in enumerate(ranks)],
+    )
+    return one.select(*[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(at))])
+
+
+def quartiles(df: DataFrame, value: str, accuracy: int | None = None) -> DataFrame:
+    """One row q0, q1, q2. With ``accuracy`` a sketch of one pass: the rank of each is off by rows / accuracy at most."""
+    if accuracy is None:
+        return exact_quantiles(df, value, (0.25, 0.5, 0.75))
+    q = F.percentile_approx(F.col(value).cast("double"), [0.25, 0.5, 0.75], accuracy)
+    return df.agg(q.alias("q")).select(*[F.col("q")[i].alias(f"q{i}") for i in range(3)])
+
+
+def distribution(df: DataFrame, value: str, accuracy: int | None = None) -> DataFrame:
+    """One row: min, max, median and quartiles, exact or, with ``accuracy``, as in :func:`quartiles`."""
     v = F.col(value).cast("double")
-    q = F.percentile_approx(v, [0.25, 0.5, 0.75], 100_000) if approx else F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q")).select("min", "max", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
+    # Two tables of one row.
+    return df.agg(F.min(v).alias("min"), F.max(v).alias("max")).join(F.broadcast(quartiles(df, value, accuracy))).select("min", "max", F.col("q1").alias("median"), F.col("q0").alias("p25"), F.col("q2").alias("p75"))
 
 
 def yearly_changes(df: DataFrame, value: str, donor: str = "donor_name", year: str = "year") -> DataFrame:
@@ -74,17 +105,19 @@ def historical_variation(df: DataFrame, value: str) -> DataFrame:
     return by.unionByName(overall)
 
 
-def snapshot_release(df: DataFrame, release: str, keys: Sequence[str], value: str) -> DataFrame:
-    """The release as rows (release, dimension, key, key2, total, n): aggregates, row count, year range and distribution."""
+def snapshot_release(df: DataFrame, release: str, keys: Sequence[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """The release as rows (release, dimension, key, key2, total, n): aggregates, row count, year range and distribution.
+
+    ``accuracy`` is that of the quartiles, exact where it is None.
+    """
     missing = [k for k in keys if k not in df.columns]
     if missing:
         raise ValueError(f"declared key columns are missing: {', '.join(missing)}")
     agg = release_aggregates(df, value).select("dimension", "key", "key2", F.col("total").cast("double").alias("total"), "n")
     v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     year = F.col("year") if "year" in df.columns else F.lit(None)
-    one = df.agg(F.count("*").alias("n"), F.min(year).cast("double").alias("first"), F.max(year).cast("double").alias("last"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q"))
-    facts = {"row_count": F.col("n").cast("double"), "first_year": F.col("first"), "last_year": F.col("last"), "min": F.col("min"), "max": F.col("max"), "p25": F.col("q")[0], "median": F.col("q")[1], "p75": F.col("q")[2]}
+    one = df.agg(F.count("*").alias("n"), F.min(year).cast("double").alias("first"), F.max(year).cast("double").alias("last"), F.min(v).alias("min"), F.max(v).alias("max")).join(F.broadcast(quartiles(df, value, accuracy)))
+    facts = {"row_count": F.col("n").cast("double"), "first_year": F.col("first"), "last_year": F.col("last"), "min": F.col("min"), "max": F.col("max"), "p25": F.col("q0"), "median": F.col("q1"), "p75": F.col("q2")}
     stats = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), x.alias("total")) for k, x in facts.items()])).alias("s"), "n").select(F.lit("stats").alias("dimension"), "s.key", F.lit(None).cast("string").alias("key2"), "s.total", "n")
     return agg.unionByName(stats).withColumns({"release": F.lit(release), "total": finite(F.col("total"))})
 
@@ -119,8 +152,26 @@ def _gate(df: DataFrame, dataset: str, check: str, error: Column) -> DataFrame:
     return df.select(F.lit(dataset).alias("dataset"), F.lit(check).alias("check"), error.isNull().alias("passed"), F.coalesce(error, F.lit("")).alias("errors"))
 
 
+#: A gate: its name, the aggregates it needs, and its error, which is null where it passes.
+Gate = tuple[str, dict[str, Column], Column]
+
+
+def gates_of(df: DataFrame, dataset: str, gates: Sequence[Gate]) -> DataFrame:
+    """A row for each gate, from one pass over the data."""
+    needed = {name: c for _, aggregates, _ in gates for name, c in aggregates.items()}
+    one = df.agg(*[c.alias(name) for name, c in needed.items()])
+    rows = F.array(*[F.struct(F.lit(check).alias("check"), error.alias("error")) for check, _, error in gates])
+    return one.select(F.explode(rows).alias("g")).select(
+        F.lit(dataset).alias("dataset"), F.col("g.check").alias("check"), F.col("g.error").isNull().alias("passed"), F.coalesce("g.error", F.lit("")).alias("errors")
+    )
+
+
+def _not_empty() -> Gate:
+    return "not_empty", {"__rows": F.count("*")}, F.when(F.col("__rows") == 0, F.lit("no rows"))
+
+
 def check_not_empty(df: DataFrame, dataset: str = "") -> DataFrame:
-    return _gate(df.limit(1).agg(F.count("*").alias("n")), dataset, "not_empty", F.when(F.col("n") == 0, "no rows"))
+    return gates_of(df.limit(1), dataset, [_not_empty()])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -142,37 +193,52 @@ def _value_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("value_")]
 
 
+def _values_populated(df: DataFrame) -> Gate:
+    cols = _value_columns(df)
+    bad = F.concat_ws(", ", *[F.when((F.col(f"__count_{c}") == 0) & (F.col("__rows") > 0), F.lit(c)) for c in cols])
+    return "values_populated", {"__rows": F.count("*"), **{f"__count_{c}": F.count(c) for c in cols}}, F.when(bad != "", F.concat(F.lit("only nulls in "), bad))
+
+
 def check_value_columns_populated(df: DataFrame, dataset: str = "") -> DataFrame:
+    return gates_of(df, dataset, [_values_populated(df)])
+
+
+def _value_bounds(df: DataFrame, most: float) -> Gate:
     cols = _value_columns(df)
-    one = df.agg(F.count("*").alias("__n"), *[F.count(c).alias(c) for c in cols])
-    bad = F.concat_ws(", ", *[F.when((F.col(c) == 0) & (F.col("__n") > 0), F.lit(c)) for c in cols])
-    return _gate(one, dataset, "values_populated", F.when(bad != "", F.concat(F.lit("only nulls in "), bad)))
+    bad = F.concat_ws(", ", *[F.when(F.col(f"__max_{c}") > most, F.lit(c)) for c in cols])
+    return "value_bounds", {"__rows": F.count("*"), **{f"__max_{c}": F.max(c) for c in cols}}, F.when(bad != "", F.concat(F.lit("too large in "), bad))
 
 
 def check_value_bounds(df: DataFrame, dataset: str = "", most: float = MAX_VALUE) -> DataFrame:
     """Negative values are normal; only the upper bound is checked."""
-    cols = _value_columns(df)
-    one = df.agg(F.count("*").alias("__n"), *[F.max(c).alias(c) for c in cols])
-    bad = F.concat_ws(", ", *[F.when(F.col(c) > most, F.lit(c)) for c in cols])
-    return _gate(one, dataset, "value_bounds", F.when(bad != "", F.concat(F.lit("too large in "), bad)))
+    return gates_of(df, dataset, [_value_bounds(df, most)])
 
 
-def check_names_populated(df: DataFrame, dataset: str = "", names: Sequence[str] = tuple(c for c in DIMENSIONS.values() if c != "year")) -> DataFrame:
-    """No null names; tells how many and the first ten years."""
+NAMES = tuple(c for c in DIMENSIONS.values() if c != "year")
+
+
+def _names_populated(df: DataFrame, names: Sequence[str]) -> Gate:
     cols = [c for c in names if c in df.columns]
-    stats = [x for c in cols for x in (F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.array_join(F.slice(F.sort_array(F.collect_set(F.when(F.col(c).isNull(), F.col("year")))), 1, 10), ", ").alias(f"y_{c}"))]
-    one = df.agg(F.count("*").alias("__n"), *stats)
-    bad = F.concat_ws("; ", *[F.when(F.col(f"n_{c}") > 0, F.concat(F.lit(f"{c}: "), F.col(f"n_{c}").cast("string"), F.lit(" null in "), F.col(f"y_{c}"))) for c in cols])
-    return _gate(one, dataset, "names_populated", F.when(bad != "", bad))
+    years = lambda c: F.array_join(F.slice(F.sort_array(F.collect_set(F.when(F.col(c).isNull(), F.col("year")))), 1, 10), ", ")
+    bad = F.concat_ws("; ", *[F.when(F.col(f"__null_{c}") > 0, F.concat(F.lit(f"{c}: "), F.col(f"__null_{c}").cast("string"), F.lit(" null in "), F.col(f"__years_{c}"))) for c in cols])
+    return "names_populated", {"__rows": F.count("*"), **{f"__null_{c}": F.count_if(F.col(c).isNull()) for c in cols}, **{f"__years_{c}": years(c) for c in cols}}, F.when(bad != "", bad)
+
+
+def check_names_populated(df: DataFrame, dataset: str = "", names: Sequence[str] = NAMES) -> DataFrame:
+    """No null names; tells how many and the first ten years."""
+    return gates_of(df, dataset, [_names_populated(df, names)])
+
+
+def _critical_dimensions(critical: Sequence[str], previous_year: int | None) -> Gate:
+    year = F.when(F.coalesce("__last", F.lit(-1)) < previous_year, F.concat(F.lit("latest year fell to "), F.coalesce(F.col("__last").cast("string"), F.lit("none")))) if previous_year is not None else F.lit(None).cast("string")
+    absent = F.concat_ws(", ", *[F.when(F.coalesce(f"__has_{i}", F.lit(0)) == 0, F.lit(d)) for i, d in enumerate(critical)]) if critical else F.lit("")
+    bad = F.concat_ws("; ", year, F.when(absent != "", F.concat(F.lit("missing donors: "), absent)))
+    return "critical_dimensions", {"__last": F.max("year"), **{f"__has_{i}": F.max((F.col("donor_name") == d).cast("int")) for i, d in enumerate(critical)}}, F.when(bad != "", bad)
 
 
 def check_critical_dimensions(df: DataFrame, critical: Sequence[str], previous_year: int | None, dataset: str = "") -> DataFrame:
     """The latest year may not fall back, and critical donors must be there."""
-    one = df.agg(F.max("year").alias("last"), *[F.max((F.col("donor_name") == d).cast("int")).alias(f"__{i}") for i, d in enumerate(critical)])
-    year = F.when(F.coalesce("last", F.lit(-1)) < previous_year, F.concat(F.lit("latest year fell to "), F.coalesce(F.col("last").cast("string"), F.lit("none")))) if previous_year is not None else F.lit(None).cast("string")
-    absent = F.concat_ws(", ", *[F.when(F.coalesce(f"__{i}", F.lit(0)) == 0, F.lit(d)) for i, d in enumerate(critical)]) if critical else F.lit("")
-    bad = F.concat_ws("; ", year, F.when(absent != "", F.concat(F.lit("missing donors: "), absent)))
-    return _gate(one, dataset, "critical_dimensions", F.when(bad != "", bad))
+    return gates_of(df, dataset, [_critical_dimensions(critical, previous_year)])
 
 
 # --- detectors ----------------------------------------------------------------
@@ -297,15 +363,17 @@ def entity_names_summary(df: DataFrame, name: str, k: int = 20) -> DataFrame:
 
 
 def validate_dataset(df: DataFrame, dataset: str, expected: T.StructType, keys: Sequence[str], value: str, previous: DataFrame | None = None, critical: Sequence[str] = (), year: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(gates, warnings). Detectors run even if a gate fails. ``previous`` is a snapshot of the release before."""
-    df = df.cache()
+    """(gates, warnings). Detectors run even if a gate fails. ``previous`` is a snapshot of the release before.
+
+    All gates but schema and keys come from one pass. Nothing is cached: a caller that
+    reads both results often caches ``df`` itself and releases it.
+    """
     previous_year = None
     if previous is not None:
         row = previous.where("dimension = 'stats' and key = 'last_year'").select("total").first()
         previous_year = None if row is None or row[0] is None else int(row[0])
-    gates = check_schema(df, expected, dataset)
-    for g in (check_not_empty(df, dataset), check_no_duplicate_keys(df, keys, dataset), check_value_columns_populated(df, dataset), check_value_bounds(df, dataset), check_names_populated(df, dataset), check_critical_dimensions(df, critical, previous_year, dataset)):
-        gates = gates.unionByName(g)
+    one_pass = [_not_empty(), _values_populated(df), _value_bounds(df, MAX_VALUE), _names_populated(df, NAMES), _critical_dimensions(critical, previous_year)]
+    gates = check_schema(df, expected, dataset).unionByName(gates_of(df, dataset, one_pass)).unionByName(check_no_duplicate_keys(df, keys, dataset))
     latest = year if year is not None else df.agg(F.max("year")).first()[0]
     warnings = None
     if latest is not None:

@@ -56,7 +56,7 @@ def financing_view(flows: DataFrame, rates: DataFrame, gni: DataFrame, s: Settin
     all_in = groups.sum_by(base, ["year", "donor_code", "donor_name"]).withColumn("indicator_name", F.lit(s.total_indicator))
     wide = currency.convert_currencies(base.unionByName(all_in), rates)
     labels = F.array_append(groups.donor_labels(s.donor_groups), F.col("donor_name"))
-    summed = _drop_empty(groups.exploded_totals(wide, labels, keys, "donor_name", VALUES), VALUES)
+    summed = _drop_empty(groups.exploded_totals(wide, labels, keys, "donor_name", VALUES, ["donor_code", "donor_name"]), VALUES)
     summed = shares.share_of_indicator(summed, s.total_indicator, ["year", "donor_name"], "pct_of_total_oda", "value_usd_current")
     incomes = shares.gni_with_groups(gni, groups.donor_labels(s.donor_groups))
     summed = shares.share_of_gni(summed, incomes, value="value_usd_current").withColumn("type", flow_type(F.col("year"), s.cutoff))
@@ -106,7 +106,10 @@ def sectors_view(flows: DataFrame, rates: DataFrame, sub_sectors: DataFrame, sec
     every = shares.share_of_reference_total(every, "recipient_name", s.reference_recipient, ["year", "donor_name"], "pct_of_donor", "value_usd_current")
     extra = ["pct_of_recipient", "pct_of_donor"]
     if slugs:
-        every = add_slug(add_slug(every, "donor_name", "donor_slug"), "recipient_name", "recipient_slug")
+        for name, code, labels in (("donor_name", ["donor_code"], groups.donor_labels(s.donor_groups)), ("recipient_name", ["recipient_code", "region", "income_group"], s.recipient_labels)):
+            # Names come from the sums before rows are repeated: entities and their groups.
+            named = base.select(*code, name).distinct().select(F.explode(F.array_append(labels, F.col(name))).alias(name))
+            every = add_slug(every, name, name.replace("_name", "_slug"), named)
         extra += ["donor_slug", "recipient_slug"]
     return _published(every, ["year", "donor_name", "recipient_name", "indicator_name", "sector_name", "sub_sector_name"], extra, s.factor)
 

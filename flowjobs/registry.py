@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tables
 from .functions import names as N
@@ -118,6 +119,52 @@ def _(f, spark, sf):
     return df.groupBy(F.year("o_orderdate").alias("year"), "o_orderpriority").agg(F.count("*").alias("n"))
 
 
+def _by_year(f):
+    return groups.sum_by(f, ["year", "donor_name"]).withColumn("value", F.round("value", 2).cast("double"))
+
+
+_BY_YEAR_SQL = "SELECT year, donor_name, round(sum(value), 2)::DOUBLE AS value FROM flows GROUP BY ALL"
+
+
+@register("s02_read_csv_input", _BY_YEAR_SQL)
+def _(f, spark, sf):
+    path = io.scratch_path(spark, "input.csv")
+    _by_year(f).write.csv(path, header=True)
+    return io.read_csv_input(spark, path, "year int, donor_name string, value double")
+
+
+@register("s03_write_single_parquet", "SELECT year, donor_name, value, 1::BIGINT AS files FROM (" + _BY_YEAR_SQL + ")")
+def _(f, spark, sf):
+    path = io.scratch_path(spark, "view.parquet")
+    io.write_single_parquet(_by_year(f), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.count("*").alias("files"))
+    return spark.read.parquet(path).join(F.broadcast(files))
+
+
+def _partitioned(f, spark):
+    path = io.scratch_path(spark, "view")
+    rows = groups.sum_by(f, ["year", "donor_name", "recipient_name"]).select("year", "value", F.lower("donor_name").alias("donor_slug"), F.lower("recipient_name").alias("recipient_slug"))
+    io.write_partitioned(rows, path, ["donor_slug", "recipient_slug"])
+    return path
+
+
+@register("s04_write_partitioned", "SELECT year, lower(donor_name) AS donor_slug, lower(recipient_name) AS recipient_slug, sum(value)::DOUBLE AS value FROM flows GROUP BY ALL")
+def _(f, spark, sf):
+    return spark.read.parquet(_partitioned(f, spark)).withColumn("value", F.col("value").cast("double"))
+
+
+@register("s05_read_partitions", "SELECT year, lower(donor_name) AS donor_slug, lower(recipient_name) AS recipient_slug, sum(value)::DOUBLE AS value FROM flows WHERE donor_name IN ('NATION_7', 'NATION_3') AND recipient_name = 'NATION_8' GROUP BY ALL")
+def _(f, spark, sf):
+    return io.read_partitions(spark, _partitioned(f, spark), ["nation_7", "nation_3", None, "atlantis"], ["nation_8"]).withColumn("value", F.col("value").cast("double"))
+
+
+@register("s06_write_csv_report", "SELECT year, donor_name, value::VARCHAR AS value FROM (SELECT year::VARCHAR AS year, donor_name, round(sum(value), 0)::BIGINT AS value FROM flows GROUP BY ALL)")
+def _(f, spark, sf):
+    path = io.scratch_path(spark, "report.csv")
+    io.write_csv_report(groups.sum_by(f, ["year", "donor_name"]).withColumn("value", F.round("value", 0).cast("long")), path)
+    return spark.read.csv(path, header=True)
+
+
 @register("s08_narrow_types", "SELECT year::SMALLINT AS year, donor_name, sum(value)::DECIMAL(38,4)::FLOAT AS value_usd, count(*) AS value_n FROM flows GROUP BY ALL")
 def _(f, spark, sf):
     out = f.groupBy("year", "donor_name").agg(F.sum("value").alias("value_usd"), F.count("*").alias("value_n"))
@@ -223,10 +270,11 @@ def _(f, spark, sf):
     return out.withColumn("value", F.col("value").cast("double")).select("year", "donor_name", "gni", "value")
 
 
-@register("j04_same_total", "SELECT count(*) AS rows_before, count(*) AS rows_after, true AS same FROM flows")
+@register("j04_same_total", f", x AS (SELECT f.value FROM flows f LEFT JOIN (SELECT DISTINCT purpose_code, {SQL_SUB} AS sub FROM flows) s ON s.purpose_code = f.purpose_code), a AS (SELECT count(*) AS n, sum(value) AS t FROM flows), b AS (SELECT count(*) AS n, sum(value) AS t FROM x) SELECT a.n AS rows_before, b.n AS rows_after, a.t = b.t AS same, a.t::DOUBLE AS total_before, b.t::DOUBLE AS total_after FROM a, b")
 def _(f, spark, sf):
     named = joins.lookup(f, sub_sectors(spark), "purpose_code", "sub", "none")
-    return joins.same_total(f, named, "value").select("rows_before", "rows_after", "same")
+    out = joins.same_total(f, named, "value")
+    return out.select("rows_before", "rows_after", "same", F.col("total_before").cast("double").alias("total_before"), F.col("total_after").cast("double").alias("total_after"))
 
 
 CLASSIFIED_SQL = """cnt AS (SELECT recipient_code, year, segment, count(*) AS n FROM flows WHERE year < 2000 GROUP BY ALL
@@ -381,15 +429,23 @@ def _(f, spark, sf):
     return query.sector_totals(_series(f, spark)).withColumn("value", F.round("value", 5))
 
 
+@register("o04_ordered_sector_totals", ", t AS (SELECT coalesce(sector_name, 'Other') AS sector_name, indicator_name, sum(value) AS v FROM ser GROUP BY ALL) SELECT sector_name, indicator_name, round(v, 5) AS value, row_number() OVER (ORDER BY v DESC, sector_name, indicator_name)::INTEGER AS position FROM t", SERIES_SQL)
+def _(f, spark, sf):
+    return report.ordered_totals(query.sector_totals(_series(f, spark)), "value", "sector_name", "indicator_name").withColumn("value", F.round("value", 5))
+
+
 @register("a13_collapse_years", "SELECT year, coalesce(sector_name, 'none') AS sector_name, round(sum(value), 5) AS value FROM ser GROUP BY ALL", SERIES_SQL)
 def _(f, spark, sf):
     out = query.collapse_years(_series(f, spark).withColumn("sector_name", F.coalesce("sector_name", F.lit("none"))), ["sector_name"])
     return out.select("year", "sector_name", F.round("value", 5).alias("value"))
 
 
-@register("a14_year_by_group_table", "SELECT year, sum(value) FILTER (region = 'ASIA')::DOUBLE AS \"ASIA\", sum(value) FILTER (region = 'EUROPE')::DOUBLE AS \"EUROPE\" FROM flows GROUP BY year")
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@register("a14_year_by_group_table", "SELECT year, " + ", ".join(f"sum(value) FILTER (region = '{r}')::DOUBLE AS \"{r}\"" for r in REGIONS) + " FROM flows GROUP BY year")
 def _(f, spark, sf):
-    return reshape.year_by_group_table(f, "region", ["ASIA", "EUROPE"]).select("year", F.col("ASIA").cast("double").alias("ASIA"), F.col("EUROPE").cast("double").alias("EUROPE"))
+    return reshape.year_by_group_table(f, "region", REGIONS).select("year", *[F.col(r).cast("double").alias(r) for r in REGIONS])
 
 
 AGG_SQL = "SELECT 'donor' AS dimension, donor_name AS key, NULL::VARCHAR AS key2, sum(value)::DOUBLE AS total, count(*) AS n FROM flows GROUP BY donor_name UNION ALL SELECT 'year', year::VARCHAR, NULL, sum(value)::DOUBLE, count(*) FROM flows GROUP BY year UNION ALL SELECT 'indicator', indicator_name, NULL, sum(value)::DOUBLE, count(*) FROM flows GROUP BY indicator_name UNION ALL SELECT 'sector', income_group, NULL, sum(value)::DOUBLE, count(*) FROM flows WHERE income_group IS NOT NULL GROUP BY income_group UNION ALL SELECT 'donor_sector', donor_name, income_group, sum(value)::DOUBLE, count(*) FROM flows WHERE income_group IS NOT NULL GROUP BY ALL"
@@ -637,13 +693,51 @@ def _(f, spark, sf):
     return release.duplicate_keys(f, ["year", "donor_name", "indicator_name", "purpose_code", "channel_code", "absent_column"])
 
 
-@register("v01_to_v07_gates", "SELECT 'd' AS dataset, unnest(['critical_dimensions', 'names_populated', 'no_duplicate_keys', 'not_empty', 'value_bounds', 'values_populated']) AS \"check\", unnest([false, false, false, true, true, true]) AS passed")
+GATES_SQL = """dup AS (SELECT year::VARCHAR || '|' || donor_name AS k, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 1
+), bad AS (SELECT (SELECT count(*) FROM g) AS n, (SELECT count(value_usd) FROM g) AS filled, (SELECT max(value_usd) FROM g) AS most, (SELECT max(year) FROM g) AS last,
+  (SELECT 'no_duplicates' WHERE NOT EXISTS (FROM dup)) AS unique_keys, (SELECT sum(n)::BIGINT::VARCHAR || ' rows share keys: ' FROM dup) || (SELECT string_agg(k, ', ' ORDER BY k) FROM (SELECT k FROM dup ORDER BY k LIMIT 5)) AS keys,
+  (SELECT string_agg(c || ': ' || k || ' null in ' || y, '; ' ORDER BY o) FROM (
+    SELECT 1 AS o, 'donor_name' AS c, count(*) AS k, (SELECT string_agg(year::VARCHAR, ', ' ORDER BY year) FROM (SELECT DISTINCT year FROM g WHERE donor_name IS NULL ORDER BY year LIMIT 10)) AS y FROM g WHERE donor_name IS NULL
+    UNION ALL SELECT 2, 'indicator_name', count(*), (SELECT string_agg(year::VARCHAR, ', ' ORDER BY year) FROM (SELECT DISTINCT year FROM g WHERE indicator_name IS NULL ORDER BY year LIMIT 10)) FROM g WHERE indicator_name IS NULL
+    UNION ALL SELECT 3, 'sector_name', count(*), (SELECT string_agg(year::VARCHAR, ', ' ORDER BY year) FROM (SELECT DISTINCT year FROM g WHERE sector_name IS NULL ORDER BY year LIMIT 10)) FROM g WHERE sector_name IS NULL) WHERE k > 0) AS names,
+  (SELECT string_agg(d, ', ' ORDER BY o) FROM (SELECT 1 AS o, 'NATION_7' AS d UNION ALL SELECT 2, 'ATLANTIS') WHERE d NOT IN (SELECT donor_name FROM g WHERE donor_name IS NOT NULL)) AS absent
+), err AS (SELECT 'not_empty' AS "check", CASE WHEN n = 0 THEN 'no rows' END AS e FROM bad
+  UNION ALL SELECT 'no_duplicate_keys', keys FROM bad
+  UNION ALL SELECT 'values_populated', CASE WHEN filled = 0 AND n > 0 THEN 'only nulls in value_usd' END FROM bad
+  UNION ALL SELECT 'value_bounds', CASE WHEN most > 1e15 THEN 'too large in value_usd' END FROM bad
+  UNION ALL SELECT 'names_populated', names FROM bad
+  UNION ALL SELECT 'critical_dimensions', nullif(concat_ws('; ', CASE WHEN last < PREVIOUS THEN 'latest year fell to ' || last END, 'missing donors: ' || absent), '') FROM bad)"""
+
+
+def _gated(f):
+    return f.select("year", "donor_name", "indicator_name", F.col("income_group").alias("sector_name"), F.col("value").alias("value_usd"))
+
+
+@register("v01_check_schema", "SELECT 'd' AS dataset, 'schema' AS \"check\", false AS passed, 'missing column currency; year is int, not string' AS errors, count(*) AS n FROM flows")
 def _(f, spark, sf):
-    df = f.select("year", "donor_name", "indicator_name", F.col("income_group").alias("sector_name"), F.col("value").alias("value_usd"))
+    df = _gated(f)
+    gate = release.check_schema(df, T.StructType.fromDDL("currency string, year string, donor_name string, value_usd double"), "d")
+    return gate.join(F.broadcast(df.agg(F.count("*").alias("n"))))
+
+
+@register(
+    "v02_to_v07_gates",
+    "SELECT 'd' AS dataset, \"check\", e IS NULL AS passed, coalesce(e, '') AS errors FROM err",
+    "g AS (SELECT year, donor_name, indicator_name, income_group AS sector_name, value AS value_usd FROM flows), " + GATES_SQL.replace("PREVIOUS", "2000"),
+)
+def _(f, spark, sf):
+    df = _gated(f)
     out = release.check_not_empty(df, "d")
     for g in (release.check_no_duplicate_keys(df, ["year", "donor_name"], "d"), release.check_value_columns_populated(df, "d"), release.check_value_bounds(df, "d"), release.check_names_populated(df, "d"), release.check_critical_dimensions(df, ["NATION_7", "ATLANTIS"], 2000, "d")):
         out = out.unionByName(g)
-    return out.drop("errors")
+    return out
+
+
+@register("v08_yoy_anomalies", ", s AS (SELECT donor, count(*) AS n, avg(c) FILTER (year < 2000) AS m, stddev_samp(c) FILTER (year < 2000) AS s, max(c) FILTER (year = 2000 AND py = 1999) AS c FROM ch WHERE year <= 2000 GROUP BY donor), z AS (SELECT donor, (c - m) / s AS z FROM s WHERE n >= 4 AND s > 0 AND c IS NOT NULL) SELECT 'd' AS dataset, 'yoy' AS \"check\", donor AS entity, CASE WHEN abs(z) > 0.5 THEN 'high' ELSE 'medium' END AS level, round(z, 6) AS metric FROM z WHERE abs(z) > 0.25", CHANGES_SQL)
+def _(f, spark, sf):
+    # Lower levels than the usual 2 and 3, so that even donors show up.
+    out = release.detect_yoy_anomalies(f, 2000, "value", "d", medium=0.25, high=0.5)
+    return out.select("dataset", "check", "entity", "level", F.round("metric", 6).alias("metric"))
 
 
 @register("v09_release_drift", "SELECT CASE WHEN abs(x) > 0.4 THEN 'high' ELSE 'medium' END AS level, k AS entity, round(x, 6) AS metric FROM (SELECT p.k, (coalesce(c.v, 0) - p.v) / p.v AS x FROM (SELECT donor_name AS k, sum(value)::DOUBLE AS v FROM prev GROUP BY 1) p LEFT JOIN (SELECT donor_name AS k, sum(value)::DOUBLE AS v FROM cur GROUP BY 1) c USING (k)) WHERE abs(x) > 0.2", RELEASE_SQL)
@@ -670,7 +764,7 @@ def _(f, spark, sf):
     return release.detect_row_count_change(F.col("now"), F.col("was"), one, medium=0.001).select("level", F.round("metric", 6).alias("metric"))
 
 
-@register("v13_indicator_gaps", "SELECT 'high' AS level, 'R' AS entity")
+@register("v13_indicator_gaps", "SELECT CASE WHEN c.t IS NULL THEN 'high' ELSE 'medium' END AS level, p.indicator_name AS entity FROM (SELECT DISTINCT indicator_name FROM prev) p LEFT JOIN (SELECT indicator_name, sum(value) AS t FROM cur WHERE indicator_name <> 'R' GROUP BY ALL) c USING (indicator_name) WHERE c.t IS NULL OR c.t = 0", RELEASE_SQL)
 def _(f, spark, sf):
     now, was = _two_releases(f)
     return release.detect_indicator_coverage_gaps(release.release_aggregates(now.where("indicator_name <> 'R'"), "value"), release.release_aggregates(was, "value")).select("level", "entity")
@@ -695,14 +789,14 @@ def _(f, spark, sf):
     return release.detect_topic_drift(now, was).select("level", "entity", F.round("metric", 6).alias("metric"))
 
 
-@register("v16_missing_critical", "SELECT 'high' AS level, n_name AS entity FROM nation WHERE n_nationkey = 4")
+@register("v16_missing_critical", "SELECT 'high' AS level, p.donor_name AS entity FROM (SELECT donor_name, sum(value) AS t FROM prev WHERE donor_name IN (SELECT n_name FROM nation WHERE n_nationkey IN (3, 4, 11)) GROUP BY ALL HAVING sum(value) > 0) p LEFT JOIN (SELECT donor_name, sum(value) AS t FROM cur GROUP BY ALL) c USING (donor_name) WHERE coalesce(c.t, 0) = 0", RELEASE_SQL)
 def _(f, spark, sf):
     now, was = map(_topic, _two_releases(f))
     names = [r[0] for r in tables.read(spark, sf, "nation").where("n_nationkey in (3, 4, 11)").select("n_name").collect()]
     return release.detect_missing_critical(now, was, names).select("level", "entity")
 
 
-@register("v17_new_entities_summary", "SELECT 'info' AS level, 'new donors: ' || n_name AS message FROM nation WHERE n_nationkey = 11")
+@register("v17_new_entities_summary", ", n AS (SELECT DISTINCT donor_name AS x FROM cur WHERE donor_name NOT IN (SELECT donor_name FROM prev)), k AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM n) SELECT 'info' AS level, 'new donors: ' || string_agg(x, ', ' ORDER BY x) FILTER (k <= 5) || CASE WHEN count(*) > 5 THEN ' and ' || (count(*) - 5) || ' others' ELSE '' END AS message FROM k HAVING count(*) > 0", RELEASE_SQL)
 def _(f, spark, sf):
     now, was = map(_topic, _two_releases(f))
     return release.detect_new_entities_summary(now, was).select("level", "message")
@@ -714,17 +808,65 @@ def _(f, spark, sf):
     return out.withColumn("total", F.round("total", 4)).select("release", "dimension", "key", "key2", "total", "n")
 
 
-@register("v19_previous_release", "SELECT '2000' AS release")
+@register("v19_previous_release", "SELECT release FROM (SELECT year::VARCHAR AS release, max(make_date(year, 1, 1)) AS computed_at FROM flows GROUP BY year) WHERE release <> '2001' ORDER BY computed_at DESC, release DESC LIMIT 1")
 def _(f, spark, sf):
     releases = f.groupBy(F.col("year").cast("string").alias("release")).agg(F.max(F.make_date("year", F.lit(1), F.lit(1))).alias("computed_at"))
     return release.previous_release(releases, "2001").select("release")
 
 
-@register("v20_v21_validation_summary", ", d AS (SELECT donor_name FROM cur GROUP BY 1 HAVING count(*) FILTER (year = 2000) > 0 AND count(*) FILTER (year = 2001) = 0), p AS (SELECT DISTINCT donor_name FROM prev EXCEPT SELECT donor_name FROM cur), n AS (SELECT DISTINCT donor_name FROM cur EXCEPT SELECT donor_name FROM prev) SELECT 'high' AS level, count(*) AS n FROM d UNION ALL SELECT 'medium', count(*) FROM p UNION ALL SELECT 'info', count(*) FROM n", RELEASE_SQL)
-def _(f, spark, sf):
+ALL_WARNINGS_SQL = """agg_c AS (SELECT 'donor' AS d, donor_name AS k, NULL AS k2, sum(value)::DOUBLE AS t FROM cur GROUP BY ALL UNION ALL SELECT 'indicator', indicator_name, NULL, sum(value)::DOUBLE FROM cur GROUP BY ALL UNION ALL SELECT 'sector', income_group, NULL, sum(value)::DOUBLE FROM cur WHERE income_group IS NOT NULL GROUP BY ALL UNION ALL SELECT 'donor_sector', donor_name, income_group, sum(value)::DOUBLE FROM cur WHERE income_group IS NOT NULL GROUP BY ALL
+), agg_p AS (SELECT 'donor' AS d, donor_name AS k, NULL AS k2, sum(value)::DOUBLE AS t FROM prev GROUP BY ALL UNION ALL SELECT 'indicator', indicator_name, NULL, sum(value)::DOUBLE FROM prev GROUP BY ALL UNION ALL SELECT 'sector', income_group, NULL, sum(value)::DOUBLE FROM prev WHERE income_group IS NOT NULL GROUP BY ALL UNION ALL SELECT 'donor_sector', donor_name, income_group, sum(value)::DOUBLE FROM prev WHERE income_group IS NOT NULL GROUP BY ALL
+), mv AS (SELECT p.d, p.k, p.k2, (coalesce(c.t, 0) - p.t) / p.t AS x FROM agg_p p LEFT JOIN agg_c c ON c.d = p.d AND c.k = p.k AND c.k2 IS NOT DISTINCT FROM p.k2 WHERE p.t <> 0
+), cc AS (SELECT donor, year, (t - lag(t) OVER w) / nullif(lag(t) OVER w, 0) AS c, lag(year) OVER w AS py FROM (SELECT donor_name AS donor, year, sum(value)::DOUBLE AS t FROM cur GROUP BY ALL) WINDOW w AS (PARTITION BY donor ORDER BY year)
+), zz AS (SELECT donor, (max(c) FILTER (year = 2001 AND py = 2000) - avg(c) FILTER (year < 2001)) / nullif(stddev_samp(c) FILTER (year < 2001), 0) AS z, count(*) AS n, count(*) FILTER (year < 2001) AS b FROM cc WHERE year <= 2001 GROUP BY donor
+), rows AS (SELECT (SELECT count(*) FROM cur)::DOUBLE AS a, (SELECT count(*) FROM prev)::DOUBLE AS b
+), warned AS (
+  SELECT CASE WHEN abs(z) > 3 THEN 'high' ELSE 'medium' END AS level, 'yoy' AS "check", donor AS entity, z AS metric FROM zz WHERE abs(z) > 2 AND n >= 4 AND b >= 3
+  UNION ALL SELECT 'high', 'missing_data', donor_name, NULL FROM cur GROUP BY donor_name HAVING count(*) FILTER (year = 2000) > 0 AND (count(*) FILTER (year = 2001) = 0 OR sum(value) FILTER (year = 2001) = 0)
+  UNION ALL SELECT CASE WHEN abs(x) > 0.4 THEN 'high' ELSE 'medium' END, 'release_drift', k, x FROM mv WHERE d = 'donor' AND abs(x) > 0.2
+  UNION ALL SELECT CASE WHEN abs(x) > 0.4 THEN 'high' ELSE 'medium' END, 'sector_drift', k, x FROM mv WHERE d = 'sector' AND abs(x) > 0.2
+  UNION ALL SELECT CASE WHEN abs(x) > 0.6 THEN 'high' ELSE 'medium' END, 'sector_drift', k || '|' || k2, x FROM mv WHERE d = 'donor_sector' AND abs(x) > 0.4
+  UNION ALL SELECT 'info', 'entities', k, NULL FROM (SELECT d, k FROM agg_c WHERE k2 IS NULL EXCEPT SELECT d, k FROM agg_p WHERE k2 IS NULL)
+  UNION ALL SELECT CASE WHEN d = 'sector' THEN 'high' ELSE 'medium' END, 'entities', k, NULL FROM (SELECT d, k FROM agg_p WHERE k2 IS NULL EXCEPT SELECT d, k FROM agg_c WHERE k2 IS NULL)
+  UNION ALL SELECT CASE WHEN c.t IS NULL THEN 'high' ELSE 'medium' END, 'indicator_coverage', p.k, NULL FROM agg_p p LEFT JOIN agg_c c ON c.d = p.d AND c.k = p.k WHERE p.d = 'indicator' AND coalesce(c.t, 0) = 0
+  UNION ALL SELECT CASE WHEN abs((a - b) / b) > 0.3 THEN 'high' ELSE 'medium' END, 'row_count', NULL, (a - b) / b FROM rows WHERE abs((a - b) / b) > 0.15)"""
+
+
+def _validated(f):
     now, was = _two_releases(f)
-    gates, warnings = release.validate_dataset(now, "d", now.schema, ["year"], "value", previous=release.snapshot_release(was, "r1", ["year"], "value"), year=2001)
-    return release.warning_summary(warnings.where("check in ('missing_data', 'entities')"))
+    now = now.withColumn("value_usd", F.col("value"))
+    return release.validate_dataset(now, "d", now.drop("value").schema, ["year", "donor_name"], "value", previous=release.snapshot_release(was, "r1", ["year"], "value"), critical=["NATION_7", "ATLANTIS"], year=2001)
+
+
+@register(
+    "v20_validate_dataset_gates",
+    "SELECT 'd' AS dataset, \"check\", e IS NULL AS passed, coalesce(e, '') AS errors FROM err UNION ALL SELECT 'd', 'schema', true, ''",
+    RELEASE_SQL + ", g AS (SELECT year, donor_name, indicator_name, income_group AS sector_name, value AS value_usd FROM cur), " + GATES_SQL.replace("PREVIOUS", "(SELECT max(year) FROM prev)"),
+)
+def _(f, spark, sf):
+    return _validated(f)[0]
+
+
+@register("v20_validate_dataset_warnings", "SELECT 'd' AS dataset, level, \"check\", entity, round(metric, 6) AS metric FROM warned", RELEASE_SQL + ", " + ALL_WARNINGS_SQL)
+def _(f, spark, sf):
+    return _validated(f)[1].select("dataset", "level", "check", "entity", F.round("metric", 6).alias("metric"))
+
+
+@register("v21_warning_summary", "SELECT level, count(*) AS n FROM warned GROUP BY level", RELEASE_SQL + ", " + ALL_WARNINGS_SQL)
+def _(f, spark, sf):
+    return release.warning_summary(_validated(f)[1])
+
+
+@register("s07_manifest", f"SELECT release, dimension, key, key2, total, n FROM (SELECT 'r1' AS release, * FROM ({AGG_SQL})) WHERE dimension <> 'donor_sector' UNION ALL SELECT 'r2', dimension, key, key2, total, n FROM ({AGG_SQL}) WHERE dimension = 'donor'")
+def _(f, spark, sf):
+    path = io.scratch_path(spark, "manifest")
+    agg = release.release_aggregates(_release(f), "value").select(F.lit("r1").alias("release"), "dimension", "key", "key2", F.col("total").cast("double").alias("total"), "n")
+    none = io.load_manifest(spark, path).count()
+    io.save_manifest(agg, path)
+    io.save_manifest(agg.where("dimension = 'donor'").withColumn("release", F.lit("r2")), path)
+    # Saved again, a release replaces itself and leaves the other one.
+    io.save_manifest(agg.where("dimension <> 'donor_sector'"), path)
+    return io.load_manifest(spark, path).where(F.lit(none == 0)).select("release", "dimension", "key", "key2", "total", "n")
 
 
 # --- queries and reports ----------------------------------------------------------------
@@ -763,6 +905,77 @@ def _(f, spark, sf):
     return report.country_series(f, "NATION_3", "All").withColumn("value", F.col("value").cast("double"))
 
 
+@register("vw5_sector_series", f"SELECT year, sub, sum(value)::DOUBLE AS value, round(sum(value)::DOUBLE / sum(sum(value)) OVER (PARTITION BY year)::DOUBLE, 4) AS share FROM (SELECT year, {SQL_SUB} AS sub, value FROM flows) GROUP BY year, sub")
+def _(f, spark, sf):
+    named = joins.lookup(f, sub_sectors(spark), "purpose_code", "sub", "Unallocated/unspecified")
+    return report.part_series(named, ["year"], "sub").withColumn("value", F.col("value").cast("double"))
+
+
+@register("vw5_key_sector_shares", f""", x AS (SELECT year, donor_name, {SQL_SUB} AS sub, value FROM flows), y AS (SELECT year, donor_name, sub, sum(value) AS v FROM x GROUP BY ALL UNION ALL SELECT year, 'All donors', sub, sum(value) FROM x GROUP BY ALL), z AS (SELECT *, round(v::DOUBLE / sum(v) OVER (PARTITION BY year, donor_name)::DOUBLE, 4) AS s FROM y)
+SELECT year, donor_name, max(s) FILTER (sub = 'Basic') AS "Basic", max(s) FILTER (sub = 'Health') AS "Health" FROM z GROUP BY ALL""")
+def _(f, spark, sf):
+    named = joins.lookup(f, sub_sectors(spark), "purpose_code", "sub", "Unallocated/unspecified")
+    return report.part_shares_wide(named, "sub", ["Basic", "Health"], "All donors")
+
+
+@register("vw5_gni_key_number", ", x AS (SELECT f.year, f.donor_name, f.v, g.value::DOUBLE AS g, round(f.v / g.value::DOUBLE, 6) AS s FROM (SELECT year, donor_name, sum(value)::DOUBLE AS v FROM flows GROUP BY ALL) f JOIN gni g USING (year, donor_name)), y AS (SELECT *, lag(s) OVER (PARTITION BY donor_name ORDER BY year) AS p FROM x) SELECT year, donor_name, s AS oda_gni, round(g * 2000 - v, 1) AS distance, round((s - p) / p, 4) AS centre FROM y WHERE year = 2000")
+def _(f, spark, sf):
+    return report.gni_key_number(groups.sum_by(f, ["year", "donor_name"]), tables.gni(spark, sf), 2000, target=2000)
+
+
+@register("vw5_gni_series", "SELECT year, donor_name, v::DOUBLE AS value, CASE WHEN donor_name <> 'NATION_3' THEN round(v::DOUBLE / g.value::DOUBLE, 5) END AS pct_of_gni, row_number() OVER (ORDER BY CASE WHEN donor_name = 'NATION_7' THEN 0 ELSE 1 END, year, donor_name)::INTEGER AS position FROM (SELECT year, donor_name, sum(value) AS v FROM flows GROUP BY ALL) JOIN gni g USING (year, donor_name)")
+def _(f, spark, sf):
+    rows = groups.sum_by(f, ["year", "donor_name"])
+    return report.gni_series(rows, tables.gni(spark, sf), "NATION_7", blank="NATION_3").withColumn("value", F.col("value").cast("double"))
+
+
+TO_ONE_SQL = "one AS (SELECT year, donor_name, sum(value) AS v FROM flows WHERE recipient_name = 'NATION_3' AND ((indicator_name = 'N' AND year <= 1998) OR (indicator_name = 'R' AND year >= 1998) OR indicator_name = 'A') GROUP BY ALL), to_one AS (SELECT year, donor_name, v FROM one UNION ALL SELECT year, 'All donors', sum(v) FROM one GROUP BY year)"
+
+
+def _to_one(f):
+    part = lambda i: f.where((F.col("indicator_name") == i) & (F.col("recipient_name") == "NATION_3")).select("year", "donor_name", "value")
+    return report.recipient_total(part("N"), part("R"), part("A"), 1998, "All donors")
+
+
+@register("vw5_recipient_total", "SELECT year, donor_name, v::DOUBLE AS value FROM to_one", TO_ONE_SQL)
+def _(f, spark, sf):
+    return _to_one(f).withColumn("value", F.col("value").cast("double"))
+
+
+PARTS_SQL = "topic AS (SELECT year, donor_name, round(sum(value), 2)::DECIMAL(18,2) AS v FROM flows WHERE purpose_code IN (18, 19, 20) GROUP BY ALL), side AS (SELECT year, donor_name, v FROM topic UNION ALL SELECT year, 'All donors', sum(v) FROM topic GROUP BY year)"
+
+
+def _side(f, spark):
+    """A side input as it comes: a CSV of one row for each year and donor, and all donors' sum under one more name."""
+    path = io.scratch_path(spark, "side.csv")
+    rows = groups.sum_by(f.where(F.col("purpose_code").isin(18, 19, 20)), ["year", "donor_name"])
+    rows.select("year", "donor_name", F.round("value", 2).cast("decimal(18,2)").alias("topic")).write.csv(path, header=True)
+    side = io.read_csv_input(spark, path, "year int, donor_name string, topic decimal(18,2)").withColumnRenamed("topic", "value")
+    return groups.append_total_entity(side, ["year"], "donor_name", "All donors")
+
+
+@register("vw5_side_input_total", "SELECT year, donor_name, v::DOUBLE AS value FROM side", PARTS_SQL)
+def _(f, spark, sf):
+    return _side(f, spark).withColumn("value", F.col("value").cast("double"))
+
+
+@register(
+    "vw5_total_less_parts",
+    """, x AS (SELECT t.year, t.donor_name, t.v AS total, coalesce(o.v, 0) AS to_one, coalesce(s.v, 0) AS topic, coalesce(h.v, 0) AS home FROM (SELECT year, donor_name, sum(value) AS v FROM flows GROUP BY ALL UNION ALL SELECT year, 'All donors', sum(value) FROM flows GROUP BY year) t
+  LEFT JOIN to_one o USING (year, donor_name) LEFT JOIN side s USING (year, donor_name) LEFT JOIN (SELECT year, donor_name, sum(value) AS v FROM flows WHERE channel_code = 7 GROUP BY ALL) h USING (year, donor_name)),
+y AS (SELECT year, donor_name, total, to_one, topic, CASE WHEN donor_name = 'All donors' AND year = (SELECT max(year) FROM x) THEN (SELECT sum(home) FROM x i WHERE i.year = x.year AND donor_name <> 'All donors') ELSE home END AS home FROM x)
+SELECT year, donor_name, total::DOUBLE AS total, to_one::DOUBLE AS to_one, topic::DOUBLE AS topic, home::DOUBLE AS home, CASE WHEN year <> 2001 THEN round(total - to_one - topic - home, 1)::DOUBLE END AS other, CASE WHEN year = 2001 THEN round(total - to_one - topic - home, 1)::DOUBLE END AS preliminary,
+  row_number() OVER (ORDER BY CASE WHEN donor_name = 'All donors' THEN 0 ELSE 1 END, year, donor_name)::INTEGER AS position FROM y""",
+    f"{TO_ONE_SQL}, {PARTS_SQL}",
+)
+def _(f, spark, sf):
+    total = groups.append_total_entity(groups.sum_by(f, ["year", "donor_name"]), ["year"], "donor_name", "All donors")
+    # The total entity reports no such part itself.
+    home = groups.sum_by(f.where("channel_code = 7"), ["year", "donor_name"])
+    out = report.total_less_parts(total, {"to_one": _to_one(f), "topic": _side(f, spark), "home": home}, "All donors", own_sum=["home"], preliminary=2001)
+    return out.withColumns({c: F.col(c).cast("double") for c in ("total", "to_one", "topic", "home", "other", "preliminary")})
+
+
 @register("f09_key_numbers", """SELECT '{"flows":{' || string_agg('"' || year || '":{"value":"' || v || '"}', ',' ORDER BY year) || '}}' AS numbers FROM (SELECT year, round(sum(value), 0)::BIGINT AS v FROM flows GROUP BY year)""")
 def _(f, spark, sf):
     rows = groups.sum_by(f, ["year"]).withColumn("value", F.round("value", 0).cast("long"))

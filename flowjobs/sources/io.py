@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_FILE = 1_000_000
+#: A release snapshot in long form.
+MANIFEST = "dimension string, key string, key2 string, total double, n long, release string"
+_LOCAL_DIR: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what setCheckpointDir was given.
+
+    Only a local session, as in tests, may have none: it gets a folder on this machine.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL_DIR.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="flowjobs-"))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/flowjobs-{uuid.uuid4().hex}/{name}"
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -54,8 +79,8 @@ def _writer(df: DataFrame, level: int):
 
 
 def write_single_parquet(df: DataFrame, path: str, level: int = 9) -> None:
-    """A small view as one zstd file."""
-    _writer(df.coalesce(1), level).parquet(path)
+    """A small view as one zstd file. Only its rows meet in one task, not the work that makes them."""
+    _writer(df.repartition(1), level).parquet(path)
 
 
 def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str], level: int = 9, rows_per_file: int = ROWS_PER_FILE) -> None:
@@ -75,7 +100,8 @@ def read_partitions(spark: SparkSession, base: str, donors: Sequence[str] | None
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A small report as one CSV file with a header."""
+    df.repartition(1).write.mode("overwrite").csv(path, header=True)
 
 
 def finite(c: Column) -> Column:
@@ -85,13 +111,20 @@ def finite(c: Column) -> Column:
 
 
 def save_manifest(totals: DataFrame, path: str) -> None:
-    """A release snapshot in long form, by release; NaN and infinite numbers become null."""
+    """Release snapshots in long form, a folder for each release. Saving a release again replaces it and no other. NaN and infinite numbers become null."""
     numbers = {f.name: finite(F.col(f.name)) for f in totals.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)}
-    (totals.withColumns(numbers) if numbers else totals).write.mode("append").partitionBy("release").parquet(path)
+    writer = (totals.withColumns(numbers) if numbers else totals).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("release").parquet(path)
 
 
 def load_manifest(spark: SparkSession, path: str, release: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path).withColumn("release", F.col("release").cast("string"))
+    """All releases saved at ``path``, or one of them; an empty table where nothing has been saved."""
+    try:
+        df = spark.read.parquet(path).withColumn("release", F.col("release").cast("string"))
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        df = spark.createDataFrame([], MANIFEST)
     return df if release is None else df.where(F.col("release") == release)
 
 

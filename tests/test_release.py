@@ -125,3 +125,41 @@ def test_drill_down_and_units(spark):
     mix = spark.createDataFrame([(2020, "All", 10.0, None), (2020, "A", 6.0, 2.0), (2020, "B", 4.0, 1.0)], "year int, donor_name string, total double, part double")
     out = {r["donor_name"]: r["other"] for r in report.aid_mix(mix, ["part"], aggregate="All", missing="part").collect()}
     assert out == {"All": 7.0, "A": 4.0, "B": 3.0}
+
+
+def test_quantiles_are_exact_without_one_task(spark):
+    import numpy as np
+
+    values = np.random.default_rng(0).normal(size=4321).round(2).tolist()
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = release.exact_quantiles(df.repartition(7), "v", (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)).first()
+    assert np.allclose(list(got), np.quantile(values, (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)))
+    near = release.quartiles(df, "v", accuracy=1000).first()
+    assert np.allclose(list(near), np.quantile(values, (0.25, 0.5, 0.75)), atol=0.02)
+
+
+def test_manifest_of_nothing_and_a_release_saved_twice(spark, tmp_path):
+    path = str(tmp_path / "none")
+    assert io.load_manifest(spark, path).count() == 0 and "release" in io.load_manifest(spark, path, "r1").columns
+    row = lambda release_name, total: spark.createDataFrame([("donor", "a", None, total, 1, release_name)], io.MANIFEST)
+    for name, total in (("r1", 1.0), ("r2", 2.0), ("r1", 3.0)):
+        io.save_manifest(row(name, total), path)
+    assert sorted((r["release"], r["total"]) for r in io.load_manifest(spark, path).collect()) == [("r1", 3.0), ("r2", 2.0)]
+
+
+def test_gates_take_one_pass(spark):
+    df = spark.createDataFrame([(2000, "A", None, 1.0), (2001, None, "S", None)], "year int, donor_name string, sector_name string, value_usd double")
+    gates, _ = release.validate_dataset(df, "d", df.schema, ["year"], "value_usd", critical=["A", "B"], year=2001)
+    got = {r["check"]: (r["passed"], r["errors"]) for r in gates.collect()}
+    assert got == {
+        "schema": (True, ""), "not_empty": (True, ""), "values_populated": (True, ""), "value_bounds": (True, ""), "no_duplicate_keys": (True, ""),
+        "names_populated": (False, "donor_name: 1 null in 2001; sector_name: 1 null in 2000"), "critical_dimensions": (False, "missing donors: B"),
+    }
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import types
+
+    fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(getCheckpointDir=lambda: None, master="yarn", applicationId="a"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        io.shared_dir(fake)
