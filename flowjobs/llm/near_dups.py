@@ -19,8 +19,9 @@ out pairs that are connected already:
 3. all pairs of the members of a bucket that still lie in different components.
 
 A pair is a link if its signatures are within the distance and its sets reach the
-similarity, whatever the size of its buckets. Components do not depend on the
-order. Large buckets of the last round are dealt over cells of two blocks; members
+similarity, whatever the size of its buckets; in the last round each pair is looked
+at in the first bucket that it shares. Components do not depend on the order. Large
+buckets of the last round are dealt over cells of two blocks; members
 of a bucket's largest component meet the others only, never each other.
 """
 
@@ -122,6 +123,14 @@ def index_keys(chunks: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(4 * c + i), F.col(g).bitwiseAND(F.lit(m).cast("long"))) for c, g in enumerate(_names(chunks)) for i, m in enumerate(without)))
 
 
+def _first_shared(differ: np.ndarray) -> np.ndarray:
+    """The first index row that two signatures share, from where they differ (pairs x symbols); -1 for none."""
+    chunks = differ.reshape(len(differ), differ.shape[1] // 4, 4)
+    shared = chunks.sum(axis=2) <= 1
+    first = shared.argmax(axis=1)
+    return np.where(shared.any(axis=1), 4 * first + chunks[np.arange(len(differ)), first].argmax(axis=1), -1)
+
+
 def _differ(a: Column, b: Column) -> Column:
     """Symbols in which two chunks differ."""
     symbols = [0xFFFF << 16 * i for i in range(3)] + [-(1 << 48)]
@@ -163,25 +172,33 @@ def _confirm(percent: int):
     return run
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+
+
 def _sets(nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """(node, set): the full set of each class. A class is named by one of its rows."""
-    texts = rows.select(F.col("uid").alias("node"), "text").join(nodes.select("node").distinct(), "node")
+    # Written first: Spark then knows how few they are, and moves texts only where they are many.
+    nodes = cut(nodes.select("node").distinct())
+    texts = rows.select(F.col("uid").alias("node"), "text").join(nodes, "node")
     return cut(texts.select("node", "text").mapInArrow(_full_sets(size), "node long, set array<long>"))
 
 
-def _links(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) of a written table that reach the similarity on their full sets."""
-    sets = _sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))), rows, size)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return cut(joined.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
 
 
-def _bucket_pairs(batches):
-    """Pairs (a, b) of the members of each bucket that lie in different components. Input: key, node, component, sorted by key."""
+def _bucket_pairs(chunks: int, percent: int):
+    """Pairs (a, b) of the members of each bucket that are near, lie in different components and share no index row before this one.
+
+    Input: slot, key, node, component, n and signature, sorted by slot and key.
+    """
 
-    def pairs(key, node, component):
+    def pairs(slot, key, node, component, n, sig):
         new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
+        new[1:] = (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])
         bucket = np.cumsum(new)
         a, b = [node[:0]], [node[:0]]
         for o in range(1, len(key)):
@@ -189,45 +206,72 @@ def _bucket_pairs(batches):
             if not len(i):
                 break
             i = i[component[i] != component[i + o]]
+            differ = sig[i] != sig[i + o]
+            near = (differ.sum(axis=1) <= distance(chunks)) & (100 * np.minimum(n[i], n[i + o]) >= percent * np.maximum(n[i], n[i + o]))
+            i = i[near & (_first_shared(differ) == slot[i])]
             a.append(np.minimum(node[i], node[i + o]))
             b.append(np.maximum(node[i], node[i + o]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "component")]
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "key", "node", "component", "n")]
+            rows.append(_symbols(batch, chunks))
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            last = len(rows[1])
+            while last and rows[1][last - 1] == rows[1][-1] and rows[0][last - 1] == rows[0][-1]:
+                last -= 1
+            if last:
+                yield pairs(*(x[:last] for x in rows))
+            held = [x[last:] for x in rows]
         if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        if last:
-            yield pairs(*(x[:last] for x in rows))
-        held = [x[last:] for x in rows]
-    if held is not None:
-        yield pairs(*held)
+            yield pairs(*held)
+
+    return run
+
+
+def _symbols(batch, chunks: int) -> np.ndarray:
+    longs = np.stack([batch.column(g).to_numpy() for g in _names(chunks)], axis=1)
+    return np.ascontiguousarray(longs).view(np.uint16).reshape(len(longs), 4 * chunks)
 
 
 def _cells(chunks: int, percent: int):
-    """Links within each cell (key, i, j) of two blocks of a large bucket, by signatures and then on the full sets.
+    """Links within each cell (slot, key, i, j) of two blocks of a large bucket, by signatures and then on the full sets.
 
     Of the links between two components that the cell has already connected one is
-    enough, so a cell gives fewer links than it has members.
+    enough, so a cell gives fewer links than it has members. Pairs that share an index
+    row before this one are left to that one.
     """
 
     def run(key, table):
-        _, i_block, j_block = (k.as_py() for k in key)
+        slot, _, i_block, j_block = (k.as_py() for k in key)
         node, block, component, n = (table.column(c).to_numpy() for c in ("node", "block", "component", "n"))
-        sig = np.ascontiguousarray(np.stack([table.column(g).to_numpy() for g in _names(chunks)], axis=1)).view(np.uint16)
+        sig = _symbols(table, chunks)
         sets = table.column("set").combine_chunks()
+        offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        shingle = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+        marked = np.zeros(len(shingle) + 1, np.int8)
         group = component.copy()
         links = []
         for i in np.flatnonzero(block == i_block):
-            apart = (block == j_block) & (group != group[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            at = np.flatnonzero(apart)
-            at = at[(sig[at] != sig[i]).sum(axis=1) <= distance(chunks)]
-            for j in at:
-                if group[j] != group[i] and _reaches(sets[i].values.to_numpy(), sets[j].values.to_numpy(), percent):
+            at = np.flatnonzero((block == j_block) & (group != group[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            differ = sig[at] != sig[i]
+            at = at[(differ.sum(axis=1) <= distance(chunks)) & (_first_shared(differ) == slot)]
+            if not len(at):
+                continue
+            mine = shingle[offsets[i] : offsets[i + 1]]
+            marked[mine] = 1
+            if len(at) > 16:
+                both = np.add.reduceat(marked[shingle], offsets[:-1], dtype=np.int64)[at]
+            else:
+                both = np.array([marked[shingle[offsets[j] : offsets[j + 1]]].sum(dtype=np.int64) for j in at])
+            marked[mine] = 0
+            for j in at[100 * both >= percent * (n[at] + n[i] - both)]:
+                if group[j] != group[i]:
                     links.append((node[i], node[j]))
                     group[group == group[j]] = group[i]
         a, b = np.array(links, np.int64).reshape(-1, 2).T
@@ -236,47 +280,51 @@ def _cells(chunks: int, percent: int):
     return run
 
 
-def _large_links(members: DataFrame, classes: DataFrame, rows: DataFrame, size: int, chunks: int, percent: int, block: int) -> DataFrame:
-    """Links that connect the members (key, node, component) of large buckets as all their links do."""
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"))
+def _large_links(members: DataFrame, classes: DataFrame, sets: DataFrame, chunks: int, percent: int, block: int) -> DataFrame:
+    """Links that connect the members (slot, key, node, component) of large buckets as all their links do."""
+    parts = members.groupBy("slot", "key", "component").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("slot", "key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"))
     up = lambda c: F.ceil(c / F.lit(block)).cast("int")
-    parts = cut(parts.select("key", F.col("main.component").alias("main"), up(F.col("c") - F.col("main.c")).alias("others"), up(F.col("main.c")).alias("mains")))
+    parts = cut(parts.select("slot", "key", F.col("main.component").alias("main"), up(F.col("c") - F.col("main.c")).alias("others"), up(F.col("main.c")).alias("mains")))
     is_main, spread = F.col("component") == F.col("main"), F.xxhash64("node")
-    placed = members.join(parts, "key").withColumn("block", F.when(is_main, F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("others"))).cast("int"))
+    placed = members.join(parts, ["slot", "key"]).withColumn("block", F.when(is_main, F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("others"))).cast("int"))
     meets = F.sequence(F.lit(0), F.col("others") + F.when(is_main, F.lit(0)).otherwise(F.col("mains")) - 1)
-    placed = placed.withColumn("other", F.explode(meets)).select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    sets = _sets(members.select("node"), rows, size).join(classes.select("node", "n", *_names(chunks)), "node")
-    return cut(placed.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_cells(chunks, percent), "a long, b long"))
+    placed = placed.withColumn("other", F.explode(meets)).select("slot", "key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sets = sets.join(classes.select("node", "n", *_names(chunks)), "node")
+    return cut(placed.join(sets, "node").groupBy("slot", "key", "i", "j").applyInArrow(_cells(chunks, percent), "a long, b long"))
 
 
 def _connect(classes: DataFrame, rows: DataFrame, size: int, chunks: int, percent: int, small: int, block: int) -> DataFrame:
     """(node, component) of each class that has a link."""
-    index = classes.select("node", F.explode(index_keys(chunks)).alias("key"))
-    buckets = cut(index.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("c")).where("c > 1"))
-    members = cut(index.join(buckets, "key").where("node <> rep").select("key", "node", "rep", "c"))
+    index = classes.select("node", F.posexplode(index_keys(chunks)).alias("slot", "key"))
+    buckets = cut(index.groupBy("slot", "key").agg(F.min("node").alias("rep"), F.count("*").alias("c")).where("c > 1"))
+    members = cut(index.join(buckets, ["slot", "key"]).where("node <> rep").select("slot", "key", "node", "rep", "c"))
     stars = cut(_near(members.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), classes, chunks, percent))
+    sets = _sets(_ends(stars), rows, size)
     # Round 1: the smallest representative of each class.
     lowest = cut(stars.groupBy("a").agg(F.min("b").alias("b")))
-    links = _links(lowest, rows, size, percent)
+    links = _links(lowest, sets, percent)
     # Round 2: the other representatives, where two steps along the links so far do not lead to the same class.
     up = links.select(F.col("a").alias("node"), F.col("b").alias("top"))
     up = up.join(up.select(F.col("node").alias("top"), F.col("top").alias("higher")), "top", "left").select("node", F.coalesce("higher", "top").alias("top"))
     top = lambda s: up.select(F.col("node").alias(s), F.col("top").alias(f"top_{s}"))
     more = stars.join(lowest, ["a", "b"], "left_anti").join(top("a"), "a", "left").join(top("b"), "b", "left")
-    more = cut(more.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b"))
-    links = links.unionAll(_links(more, rows, size, percent))
+    links = links.unionAll(_links(more.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b"), sets, percent))
     reached = cut(connected_components(links))
     # Round 3: what is not connected in a bucket. Its representative has met all members.
-    left = members.where("c > 2").join(reached, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    left = members.where("c > 2").join(reached, "node", "left").select("slot", "key", "node", "c", F.coalesce("component", "node").alias("component"))
     left = cut(left)
-    torn = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    left = cut(left.join(torn.select("key", "c"), "key"))
-    pairs = left.where(F.col("c") <= small).select("key", "node", "component").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs, "a long, b long").distinct()
-    rest = _links(cut(_near(pairs, classes, chunks, percent)), rows, size, percent)
-    large = left.where(F.col("c") > small).select("key", "node", "component")
+    torn = left.groupBy("slot", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    left = cut(left.join(cut(torn.select("slot", "key")), ["slot", "key"], "left_semi"))
+    sketches = classes.select("node", "n", *_names(chunks))
+    few = left.where(F.col("c") <= small + 1).select("slot", "key", "node", "component").join(sketches, "node")
+    few = few.repartition("slot", "key").sortWithinPartitions("slot", "key").select("slot", "key", "node", "component", "n", *_names(chunks))
+    pairs = cut(few.mapInArrow(_bucket_pairs(chunks, percent), "a long, b long"))
+    large = left.where(F.col("c") > small + 1).select("slot", "key", "node", "component")
+    sets = _sets(_ends(pairs).unionAll(large.select("node")), rows, size)
+    rest = _links(pairs, sets, percent)
     if not large.isEmpty():
-        rest = rest.unionAll(_large_links(large, classes, rows, size, chunks, percent, block))
+        rest = rest.unionAll(_large_links(large, classes, sets, chunks, percent, block))
     return reached if rest.isEmpty() else cut(connected_components(links.unionAll(rest)))
 
 

@@ -204,9 +204,9 @@ def _known(labels: DataFrame, column: str, held: tuple[int, int], sample: int, p
     return cut(_by_hash(ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(pick(column).cast("double").alias("y")), sample))
 
 
-def _matrix(df: DataFrame, column: str, kind) -> np.ndarray:
-    flat = df.select(column).toArrow().column(column).combine_chunks().flatten()
-    return np.asarray(flat.to_numpy(zero_copy_only=False), kind).reshape(-1, len(FEATURES))
+def _matrix(table: pa.Table) -> np.ndarray:
+    flat = table.column("features").combine_chunks().flatten()
+    return np.asarray(flat.to_numpy(zero_copy_only=False), np.float32).reshape(-1, len(FEATURES))
 
 
 def _cells_of(model: Model):
@@ -252,18 +252,17 @@ def _learn(rows: DataFrame, labels: DataFrame, held: tuple[int, int], sample: in
     known = _known(labels, "quality", held, sample, F.min)
     # Rows of one id count once, as their mean: at most ``sample`` rows come to the driver, whatever repeats.
     each = training.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.array(*(F.avg(F.get("features", F.lit(i))) for i in range(len(FEATURES)))).alias("features"))
-    each = cut(each)
-    y = each.select("y").toArrow().column("y").to_numpy()
-    x = _matrix(each, "features", np.float32)
+    each = each.select("y", "features").toArrow()
+    y, x = each.column("y").to_numpy(), _matrix(each)
     if not (y == 1).any():
         return None
     edges = training.select(*(F.percentile_approx(F.get("features", F.lit(i)), [(j + 1) / BINS for j in range(BINS - 1)], 2000).alias(f"e{i}") for i in range(len(FEATURES)))).first()
     edges = np.array([list(e) for e in edges], float)
     n = training.count()
     start = training if n <= sample else training.where(F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 31)) < int((1 << 31) * 0.9 * sample / n)).limit(sample)
-    started = _matrix(start, "features", np.float32)
+    started = _matrix(start.select("features").toArrow())
     positive = x[y == 1]
-    # The labelled share only starts the search for the prior.
+    # A prior of a half only starts the search for the prior.
     first = fit(positive, started, 0.5, edges)
     cells = cut(training.mapInArrow(_cells_of(first), "cells binary"))
     at = np.unique(np.quantile(first.margin(positive), np.linspace(0, 0.9, 46)))

@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_UNSET_DIR: dict[str, str] = {}
+from ..sources.io import shared_dir
+
 _SHIPPED: set[str] = set()
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -40,23 +41,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what setCheckpointDir was given.
-
-    Only a local session, as in tests, may have none: it gets a folder on this machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _UNSET_DIR:
-        _UNSET_DIR[app] = tempfile.mkdtemp(prefix="flowjobs-")
-    return _UNSET_DIR[app]
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -364,3 +364,41 @@ def test_components_of_random_graphs(spark):
         root[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in root if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_the_first_index_row_that_two_signatures_share():
+    assert near_dups._first_shared(np.zeros((0, 32), bool)).tolist() == []
+    differ = np.zeros((4, 32), bool)
+    differ[1, [0, 1]] = True  # chunk 0 differs in two symbols, chunk 1 in none
+    differ[2, 2] = True  # chunk 0 but for its third symbol
+    differ[3] = True
+    assert near_dups._first_shared(differ).tolist() == [0, 4, 2, -1]
+
+
+def test_a_large_bucket_is_compared_in_cells(make):
+    """Two families that meet in buckets: near copies within each, none between them, and some members that link to nothing."""
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        w = list(base) if i % 2 else base[:150] + [f"z{j}" for j in range(50)]
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(200)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = make(rows)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
+    root = list(range(400))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(400):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(400)}
+    for small, block in ((64, 256), (3, 16)):
+        assert {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs, small=small, block=block).collect()} == want
