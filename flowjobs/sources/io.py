@@ -28,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _LOCAL_DIR.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="flowjobs-"))
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIR:
+        _LOCAL_DIR[app] = tempfile.mkdtemp(prefix="flowjobs-")
+    return _LOCAL_DIR[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
