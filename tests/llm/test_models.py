@@ -105,7 +105,9 @@ def test_pruning_never_loses():
         q = np.floor(rnd.normal(size=6) * 100).astype(np.int64)
         s = x @ q
         for bound in np.quantile(s, [0.5, 0.9, 0.99]):
-            kept = set(topk.survivors(q, float(np.linalg.norm(q)), x, np.linalg.norm(x, axis=1), float(bound)).tolist())
+            norms, q_norm = np.linalg.norm(x, axis=1), float(np.linalg.norm(q))
+            n = topk.by_length(float(bound), q_norm, norms) if bound > 0 else len(x)
+            kept = set(topk.by_coordinates(float(bound), q, q_norm, x[:n], norms[:n]).tolist())
             assert set(np.flatnonzero(s >= bound).tolist()) <= kept
 
 
