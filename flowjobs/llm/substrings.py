@@ -188,18 +188,22 @@ def _copied(own: DataFrame, window: int, gram: int) -> DataFrame:
     lo and hi are the first and the last of the places (uid, start).
     """
     blocks = cut(own.select("uid", "text").mapInArrow(_blocks_of(window, gram), _BLOCKS))
-    shared = blocks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("c > 1")
-    hits = cut(blocks.join(shared.select("anchor", (F.col("c0") != F.col("c1")).alias("mixed")), "anchor"))
+    # Keys that occur more than once are counted alone and written before they are joined: counts are made map-side, and a
+    # key with very many places is then split by Spark like any other skewed join.
+    repeated = lambda df, *keys: cut(df.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").select(*keys))
+    hits = cut(blocks.join(repeated(blocks, "anchor"), "anchor", "left_semi"))
     place = F.struct("uid", "start")
     ends = [F.min(place).alias("lo"), F.max(place).alias("hi")]
     # The places of each block. One place stands for all where an anchor has different blocks.
-    kinds = cut(hits.groupBy("anchor", "content").agg(F.count("*").alias("places"), F.first("mixed").alias("mixed"), F.first("n").alias("n"), *ends))
-    whole = hits.join(kinds.where("places > 1").select("anchor", "content", "lo", "hi"), ["anchor", "content"]).select("uid", "start", "n", "lo", "hi")
-    listed = kinds.where("mixed").groupBy(F.col("lo.uid").alias("uid")).agg(F.collect_list(F.struct("anchor", F.col("lo.start").alias("start"), "n", "places")).alias("blocks"))
+    same = ["anchor", "content"]
+    kinds = cut(hits.groupBy(*same).agg(F.count("*").alias("places"), F.first("n").alias("n"), *ends))
+    whole = hits.join(kinds.where("places > 1").select(*same, "lo", "hi"), same).select("uid", "start", "n", "lo", "hi")
+    mixed = kinds.join(repeated(kinds, "anchor"), "anchor", "left_semi")
+    listed = mixed.groupBy(F.col("lo.uid").alias("uid")).agg(F.collect_list(F.struct("anchor", F.col("lo.start").alias("start"), "n", "places")).alias("blocks"))
     at_borders = cut(own.select("uid", "text").join(listed, "uid").mapInArrow(_windows_of(window), "anchor long, content long, uid long, start int, places long"))
-    twice = at_borders.groupBy("anchor", "content").agg(F.count("*").alias("kinds"), *ends).where("kinds > 1")
+    twice = cut(at_borders.join(repeated(at_borders, *same), same, "left_semi"))
     # A block that stands at several places is copied as a whole anyway.
-    borders = at_borders.where("places = 1").join(twice, ["anchor", "content"]).select("uid", "start", F.lit(1).alias("n"), "lo", "hi")
+    borders = twice.where("places = 1").join(twice.groupBy(*same).agg(*ends), same).select("uid", "start", F.lit(1).alias("n"), "lo", "hi")
     return whole.unionAll(borders)
 
 
