@@ -203,7 +203,7 @@ def _copied(own: DataFrame, window: int, gram: int) -> DataFrame:
     at_borders = cut(own.select("uid", "text").join(listed, "uid").mapInArrow(_windows_of(window), "anchor long, content long, uid long, start int, places long"))
     twice = cut(at_borders.join(repeated(at_borders, *same), same, "left_semi"))
     # A block that stands at several places is copied as a whole anyway.
-    borders = twice.where("places = 1").join(twice.groupBy(*same).agg(*ends), same).select("uid", "start", F.lit(1).alias("n"), "lo", "hi")
+    borders = twice.where("places = 1").join(cut(twice.groupBy(*same).agg(*ends)), same).select("uid", "start", F.lit(1).alias("n"), "lo", "hi")
     return whole.unionAll(borders)
 
 
