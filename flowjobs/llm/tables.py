@@ -89,3 +89,19 @@ def written(spark: SparkSession) -> int:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def paths(spark: SparkSession, since: int = 0) -> list[str]:
+    """The folders of these tables, ``since`` as in :func:`clean`."""
+    return _WRITTEN.get(spark.sparkContext.applicationId, [])[since:]
+
+
+def delete_unread(spark: SparkSession, folders: list[str], df: DataFrame) -> list[str]:
+    """Delete ``folders`` of :func:`cut` unless ``df`` reads one of them; returns those that are left."""
+    names = {f.rsplit("/", 1)[-1] for f in folders}
+    if not names or any(name in file for file in df.inputFiles() for name in names):
+        return folders
+    mine = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    _WRITTEN[spark.sparkContext.applicationId] = [p for p in mine if p not in folders] + [p for p in mine if p in folders]
+    clean(spark, since=len(mine) - len([p for p in mine if p in folders]))
+    return []
