@@ -9,39 +9,60 @@ them is said at each.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flowjobs.llm import decontam, lines, mixing, near_dups, quality
-from flowjobs.llm.tables import clean, cut, read, ship, written
+from flowjobs.llm.tables import clean, cut, delete_unread, paths, read, ship, written
+
+
+#: what the last stage has written for itself
+_LEFT: list[str] = []
+
+
+def _stage(work):
+    """Prepares the session, and deletes what the stage before wrote for itself once ``docs`` does not read it, as when its result has been written."""
+
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        _LEFT[:] = delete_unread(spark, _LEFT, docs)
+        before = written(spark)
+        out = work(spark, docs, sf_dir)
+        _LEFT.extend(paths(spark, before))
+        return out
+
+    return stage
 
 
+@_stage
 def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. Each row is judged by its text alone; null counts as empty."""
-    ship(spark)
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
+@_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; every row stays, null texts as null. Rows with one doc_id are one document, a null id comes last."""
-    ship(spark)
     return lines.without_repeated_lines(docs)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (similarity 0.8 or more) stays, one with the smallest doc_id, null last. Texts without words all stay."""
-    ship(spark)
     return near_dups.keep_one(docs)
 
 
+@_stage
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, with all rows of their id; a row with a null id is a document by itself."""
-    ship(spark)
     return decontam.drop_leaking(docs, read(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the target of its source asks, up to three times; a null source is one of its own. Texts without words weigh nothing and go by their place."""
-    ship(spark)
     return mixing.emit_copies(docs)
 
 
@@ -60,12 +81,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents. What a stage has written besides its result is deleted with it, and all of it on a failure."""
     docs = read(spark, sf_dir, "documents")
+    _LEFT[:] = delete_unread(spark, _LEFT, docs)
     before = written(spark)
     try:
         for _, stage in STAGES:
             docs = cut(stage(spark, docs, sf_dir))
             clean(spark, before, keep=1)
+            _LEFT.clear()
     except BaseException:
         clean(spark, before)
+        _LEFT.clear()
         raise
     return docs
