@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ from ..sources.io import shared_dir
 
 _SHIPPED: set[str] = set()
 _WRITTEN: dict[str, list[str]] = {}
+_SCRATCH: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
 
 
 #: Bytes of texts that go to a Python worker at once, where the session does not say otherwise.
@@ -50,10 +52,52 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowjobs-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (scratch := _SCRATCH.get()) is not None:
+        scratch.folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Names the folders that :func:`cut` writes inside a ``with`` block, so that they can be deleted apart from all others.
+
+    An inner block's folders that are left pass to the block around it. Nothing is
+    deleted that another block, or a call outside of any, has written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folders: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._outer = _SCRATCH.get()
+        self._token = _SCRATCH.set(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _SCRATCH.reset(self._token)
+        if kind is not None:
+            self.delete()
+        elif self._outer is not None:
+            self._outer.folders += self.folders
+
+    def delete(self, unless_read_by: DataFrame | None = None) -> None:
+        """Delete this block's folders but those that ``unless_read_by`` reads."""
+        files = unless_read_by.inputFiles() if unless_read_by is not None else []
+        read_still = {part for file in files for part in file.split("/") if part.startswith("flowjobs-")}
+        gone = [f for f in self.folders if f.rsplit("/", 1)[-1] not in read_still]
+        self.folders = [f for f in self.folders if f not in gone]
+        _delete(self.spark, gone)
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for path in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    mine = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    mine[:] = [p for p in mine if p not in folders]
+
+
 def numbered(df: DataFrame, name: str = "uid") -> DataFrame:
     """``df`` with a number of its own for each row, written with it: the number is the same in all later steps."""
     return cut(df.withColumn(name, F.monotonically_increasing_id()))
@@ -72,14 +116,8 @@ def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
 
     ``since`` leaves the first tables, ``keep`` the last ones.
     """
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    end = len(written) - keep
-    for path in written[since:end]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    del written[since:end]
+    all_of_them = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    _delete(spark, all_of_them[since : len(all_of_them) - keep])
 
 
 def written(spark: SparkSession) -> int:
@@ -89,19 +127,3 @@ def written(spark: SparkSession) -> int:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def paths(spark: SparkSession, since: int = 0) -> list[str]:
-    """The folders of these tables, ``since`` as in :func:`clean`."""
-    return _WRITTEN.get(spark.sparkContext.applicationId, [])[since:]
-
-
-def delete_unread(spark: SparkSession, folders: list[str], df: DataFrame) -> list[str]:
-    """Delete ``folders`` of :func:`cut` unless ``df`` reads one of them; returns those that are left."""
-    names = {f.rsplit("/", 1)[-1] for f in folders}
-    if not names or any(name in file for file in df.inputFiles() for name in names):
-        return folders
-    mine = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    _WRITTEN[spark.sparkContext.applicationId] = [p for p in mine if p not in folders] + [p for p in mine if p in folders]
-    clean(spark, since=len(mine) - len([p for p in mine if p in folders]))
-    return []
