@@ -14,23 +14,21 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 from flowjobs.llm import decontam, lines, mixing, near_dups, quality
-from flowjobs.llm.tables import clean, cut, delete_unread, paths, read, ship, written
-
-
-#: what the last stage has written for itself
-_LEFT: list[str] = []
+from flowjobs.llm.tables import Scratch, cut, read, ship
 
 
 def _stage(work):
-    """Prepares the session, and deletes what the stage before wrote for itself once ``docs`` does not read it, as when its result has been written."""
+    """Prepares the session, and deletes what the stage has written for itself but for what its own result reads.
+
+    The result, and anything that its caller makes of it, stays readable whatever else runs in the session.
+    """
 
     @functools.wraps(work)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        _LEFT[:] = delete_unread(spark, _LEFT, docs)
-        before = written(spark)
-        out = work(spark, docs, sf_dir)
-        _LEFT.extend(paths(spark, before))
+        with Scratch(spark) as own:
+            out = work(spark, docs, sf_dir)
+            own.delete(unless_read_by=out)
         return out
 
     return stage
@@ -79,17 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents. What a stage has written besides its result is deleted with it, and all of it on a failure."""
+    """All stages on documents. Only the result's own table is left; on a failure nothing is. Runs may be interleaved."""
     docs = read(spark, sf_dir, "documents")
-    _LEFT[:] = delete_unread(spark, _LEFT, docs)
-    before = written(spark)
-    try:
+    with Scratch(spark) as own:
         for _, stage in STAGES:
             docs = cut(stage(spark, docs, sf_dir))
-            clean(spark, before, keep=1)
-            _LEFT.clear()
-    except BaseException:
-        clean(spark, before)
-        _LEFT.clear()
-        raise
+            own.delete(unless_read_by=docs)
     return docs
