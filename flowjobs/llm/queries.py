@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontam, licenses, lines, mixing, near_dups, quality, substrings, token_counts, topk, toxicity
+from . import alignment, decontam, filter_audit, licenses, lines, mixing, near_dups, quality, substrings, token_counts, topk, toxicity
 from .tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(read(spark, sf_dir, "documents"))
 
@@ -78,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": lines.ORACLE_SQL,
         "op8_exact_top_k": topk.ORACLE_SQL,
         "op9_substring_dedup": substrings.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
     }
