@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontam, filter_audit, licenses, lines, mixing, near_dups, quality, substrings, token_counts, topk, toxicity
+from . import alignment, decontam, filter_audit, licenses, lines, mixing, near_dups, quality, substrings, token_counts, topk, toxicity, url_filter
 from .tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digest(read(spark, sf_dir, "pages"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(read(spark, sf_dir, "documents"))
 
