@@ -1,23 +1,26 @@
 """Release validation: snapshots, gates and detectors, all as rows.
 
-A snapshot is a long table (dimension, key, key2, total, n) from one pass of
-grouping sets. Most detectors compare two snapshots and never read the data again.
+A snapshot is a long table (dimension, key, key2, total, n). Whole datasets are read
+once, for the facts of :mod:`facts`; gates and detectors read those and the snapshot
+of the release before.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.io import finite
+from ..operators.impute import latest_year_topic_totals
+from ..sources.io import finite, load_manifest, save_manifest, stored
+from .facts import DIMENSIONS, NAMES, Facts, by_sets, count_bins, gather, key_hash, quantiles_of
 from .report import first_names
 
 GATE = "dataset string, check string, passed boolean, errors string"
-#: Column names of the dimensions of a release, by the name that a snapshot gives them.
-DIMENSIONS = {"donor": "donor_name", "year": "year", "indicator": "indicator_name", "recipient": "recipient_name", "sector": "sector_name", "sub_sector": "sub_sector_name"}
 MAX_VALUE = 1e15
 
 
@@ -27,23 +30,8 @@ MAX_VALUE = 1e15
 def release_aggregates(df: DataFrame, value: str, dimensions: Mapping[str, str] = DIMENSIONS, pairs: Sequence[tuple[str, str]] = (("donor", "sector"),)) -> DataFrame:
     """(dimension, key, key2, total, n) for each dimension that the data has, in one pass. Null keys are left out."""
     have = {d: c for d, c in dimensions.items() if c in df.columns}
-    pairs = [p for p in pairs if all(d in have for d in p)]
-    cols = list(have.values())
-    sets = [[c] for c in cols] + [[have[a], have[b]] for a, b in pairs]
-    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(F.grouping_id().alias("__g"), F.coalesce(F.sum(value), F.lit(0)).alias("total"), F.count("*").alias("n"))
-    name, key, key2, known = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
-    for s, label in zip(sets, [*have, *["_".join(p) for p in pairs]], strict=True):
-        # A column's bit is 1 where the set leaves it out.
-        bits = sum((c not in s) << (len(cols) - 1 - i) for i, c in enumerate(cols))
-        this = F.col("__g") == bits
-        name = F.when(this, F.lit(label)).otherwise(name)
-        key = F.when(this, F.col(s[0]).cast("string")).otherwise(key)
-        key2 = F.when(this, F.col(s[1]).cast("string") if len(s) > 1 else F.lit(None)).otherwise(key2)
-        ok = F.col(s[0]).isNotNull()
-        for c in s[1:]:
-            ok = ok & F.col(c).isNotNull()
-        known = known | (this & ok)
-    return out.where(known).select(name.alias("dimension"), key.alias("key"), key2.alias("key2"), "total", "n")
+    sets = {d: [c] for d, c in have.items()} | {f"{a}_{b}": [have[a], have[b]] for a, b in pairs if a in have and b in have}
+    return by_sets(df, sets, [F.coalesce(F.sum(value), F.lit(0)).alias("total"), F.count("*").alias("n")])
 
 
 def presence_sets(aggregates: DataFrame) -> DataFrame:
@@ -52,26 +40,9 @@ def presence_sets(aggregates: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, at: Sequence[float]) -> DataFrame:
-    """One row of columns q0, q1, ...: the quantiles of the non-null values, interpolated between ranks.
-
-    Values are range-partitioned and sorted; a row's rank is its place in its partition
-    and the rows of the partitions before, so no task holds more than its range.
-    """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    values = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    ranged = values.repartitionByRange(parts, "v").sortWithinPartitions("v").select("v", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
-    # One row for each partition.
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("part", before.alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    ranks = [(F.col("total") - 1) * F.lit(float(q)) for q in at]
-    rank = F.col("before") + F.col("place")
-    picked = ranged.join(counts, "part").withColumn("rank", rank).where(F.col("rank").isin(*[f(r).cast("long") for r in ranks for f in (F.floor, F.ceil)]))
-    one = picked.agg(
-        *[F.max(F.when(F.col("rank") == f(r).cast("long"), F.col("v"))).alias(f"{name}{i}") for i, r in enumerate(ranks) for name, f in (("lo", F.floor), ("hi", F.ceil))],
-        *[F.max(r - F.floor(r)).alias(f"part{i}") for i, r in enumerate(ranks)],
-    )
-    return one.select(*[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(at))])
+    """One row of columns q0, q1, ...: the quantiles of the non-null values, interpolated between ranks, by narrowing bins."""
+    found = quantiles_of(count_bins(df, value), df, value, at)
+    return df.sparkSession.createDataFrame([tuple(found)], ", ".join(f"q{i} double" for i in range(len(at))))
 
 
 def quartiles(df: DataFrame, value: str, accuracy: int | None = None) -> DataFrame:
@@ -84,9 +55,14 @@ def quartiles(df: DataFrame, value: str, accuracy: int | None = None) -> DataFra
 
 def distribution(df: DataFrame, value: str, accuracy: int | None = None) -> DataFrame:
     """One row: min, max, median and quartiles, exact or, with ``accuracy``, as in :func:`quartiles`."""
-    v = F.col(value).cast("double")
-    # Two tables of one row.
-    return df.agg(F.min(v).alias("min"), F.max(v).alias("max")).join(F.broadcast(quartiles(df, value, accuracy))).select("min", "max", F.col("q1").alias("median"), F.col("q0").alias("p25"), F.col("q2").alias("p75"))
+    if accuracy is not None:
+        v = F.col(value).cast("double")
+        one = df.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("q"))
+        return one.select("min", "max", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
+    # The first bins, counted once: their ends are the extremes.
+    bins = stored(count_bins(df, value), "bins")
+    p25, median, p75 = quantiles_of(bins, df, value, (0.25, 0.5, 0.75))
+    return bins.agg(F.min("low").alias("min"), F.max("high").alias("max")).select("min", "max", F.lit(median).cast("double").alias("median"), F.lit(p25).cast("double").alias("p25"), F.lit(p75).cast("double").alias("p75"))
 
 
 def yearly_changes(df: DataFrame, value: str, donor: str = "donor_name", year: str = "year") -> DataFrame:
@@ -108,18 +84,24 @@ def historical_variation(df: DataFrame, value: str) -> DataFrame:
 def snapshot_release(df: DataFrame, release: str, keys: Sequence[str], value: str, accuracy: int | None = None) -> DataFrame:
     """The release as rows (release, dimension, key, key2, total, n): aggregates, row count, year range and distribution.
 
+    ``df`` is read once for the facts, and again, in part, to narrow the quartiles.
     ``accuracy`` is that of the quartiles, exact where it is None.
     """
     missing = [k for k in keys if k not in df.columns]
     if missing:
         raise ValueError(f"declared key columns are missing: {', '.join(missing)}")
-    agg = release_aggregates(df, value).select("dimension", "key", "key2", F.col("total").cast("double").alias("total"), "n")
-    v = F.col(value).cast("double")
-    year = F.col("year") if "year" in df.columns else F.lit(None)
-    one = df.agg(F.count("*").alias("n"), F.min(year).cast("double").alias("first"), F.max(year).cast("double").alias("last"), F.min(v).alias("min"), F.max(v).alias("max")).join(F.broadcast(quartiles(df, value, accuracy)))
-    facts = {"row_count": F.col("n").cast("double"), "first_year": F.col("first"), "last_year": F.col("last"), "min": F.col("min"), "max": F.col("max"), "p25": F.col("q0"), "median": F.col("q1"), "p75": F.col("q2")}
-    stats = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), x.alias("total")) for k, x in facts.items()])).alias("s"), "n").select(F.lit("stats").alias("dimension"), "s.key", F.lit(None).cast("string").alias("key2"), "s.total", "n")
-    return agg.unionByName(stats).withColumns({"release": F.lit(release), "total": finite(F.col("total"))})
+    return snapshot_of(gather(df, value), release, accuracy)
+
+
+def snapshot_of(facts: Facts, release: str, accuracy: int | None = None) -> DataFrame:
+    """:func:`snapshot_release` of facts that have been gathered."""
+    whole = facts.whole()
+    at = (0.25, 0.5, 0.75)
+    p25, median, p75 = facts.quantiles(at) if accuracy is None else quartiles(facts.source, facts.value, accuracy).first()
+    stats = {"row_count": whole["n"], "first_year": whole["first_year"], "last_year": whole["last_year"], "min": whole["min"], "max": whole["max"], "p25": p25, "median": median, "p75": p75}
+    rows = [("stats", k, None, None if x is None else float(x), whole["n"]) for k, x in stats.items()]
+    table = facts.rows.sparkSession.createDataFrame(rows, "dimension string, key string, key2 string, total double, n long")
+    return facts.aggregates.unionByName(table).withColumns({"release": F.lit(release), "total": finite(F.col("total"))})
 
 
 def previous_release(releases: DataFrame, current: str, by_name: bool = False) -> DataFrame:
@@ -175,17 +157,31 @@ def check_not_empty(df: DataFrame, dataset: str = "") -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that repeat, null equal to null, with their rows; keys that the data lacks don't count."""
-    return df.groupBy(*[k for k in keys if k in df.columns]).agg(F.count("*").alias("n")).where("n > 1")
+    """Keys that repeat, null equal to null, with their rows; keys that the data lacks don't count.
 
+    Hashes of 64 bits are counted first; whole keys are grouped only for the rows
+    whose hash repeats, so that nothing but hashes is shuffled where keys are unique.
+    """
+    keys = [k for k in keys if k in df.columns]
+    if not keys:
+        return df.groupBy().agg(F.count("*").alias("n")).where("n > 1")
+    hashed = df.select(*keys, key_hash(df, keys).alias("__hash"))
+    repeated = hashed.groupBy("__hash").agg(F.count("*").alias("n")).where("n > 1").select("__hash")
+    return hashed.join(repeated, "__hash", "left_semi").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
-def check_no_duplicate_keys(df: DataFrame, keys: Sequence[str], dataset: str = "") -> DataFrame:
+
+def _repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: n, how many rows share keys (null for none), and sample, the first five such keys."""
     keys = [k for k in keys if k in df.columns]
     text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
     found = duplicate_keys(df, keys).select(text.alias("k"), "n")
     total = found.agg(F.sum("n").alias("n"))
     sample = found.orderBy("k").limit(5).agg(F.array_join(F.sort_array(F.collect_list("k")), ", ").alias("sample"))
-    one = total.join(F.broadcast(sample))
+    return total.join(F.broadcast(sample))
+
+
+def check_no_duplicate_keys(df: DataFrame, keys: Sequence[str], dataset: str = "") -> DataFrame:
+    one = _repeated_keys(df, keys)
     return _gate(one, dataset, "no_duplicate_keys", F.when(F.col("n").isNotNull(), F.concat(F.col("n").cast("string"), F.lit(" rows share keys: "), F.col("sample"))))
 
 
@@ -214,9 +210,6 @@ def check_value_bounds(df: DataFrame, dataset: str = "", most: float = MAX_VALUE
     return gates_of(df, dataset, [_value_bounds(df, most)])
 
 
-NAMES = tuple(c for c in DIMENSIONS.values() if c != "year")
-
-
 def _names_populated(df: DataFrame, names: Sequence[str]) -> Gate:
     cols = [c for c in names if c in df.columns]
     years = lambda c: F.array_join(F.slice(F.sort_array(F.collect_set(F.when(F.col(c).isNull(), F.col("year")))), 1, 10), ", ")
@@ -362,40 +355,160 @@ def entity_names_summary(df: DataFrame, name: str, k: int = 20) -> DataFrame:
 # --- whole report ---------------------------------------------------------------
 
 
+WARNING = "level string, dataset string, check string, entity string, message string, metric double"
+
+
+def _gates_from(facts: Facts, dataset: str, expected: T.StructType, critical: Sequence[str], previous_year: int | None) -> DataFrame:
+    """The gates of one dataset, read from its facts. Only repeated hashes make the keys be looked at again."""
+    df, whole, years = facts.source, facts.whole(), lambda found: ", ".join(map(str, found[:10]))
+    errors: dict[str, str | None] = {"not_empty": None if whole["n"] else "no rows"}
+    nulls = [c for c, most in facts.largest.items() if c.startswith("value_") and most is None and whole["n"]]
+    errors["values_populated"] = f"only nulls in {', '.join(nulls)}" if nulls else None
+    large = [c for c, most in facts.largest.items() if c.startswith("value_") and most is not None and most > MAX_VALUE]
+    errors["value_bounds"] = f"too large in {', '.join(large)}" if large else None
+    found = facts.null_names()
+    errors["names_populated"] = "; ".join(f"{c}: {found[c][0]} null in {years(found[c][1])}" for c in facts.names if c in found) or None
+    here = {r["key"] for r in facts.rows.where((F.col("dimension") == "donor") & F.col("key").isin(list(critical))).select("key").collect()}
+    absent = [d for d in critical if d not in here]
+    last = whole["last_year"]
+    fell = [f"latest year fell to {'none' if last is None else last}"] if previous_year is not None and (-1 if last is None else last) < previous_year else []
+    errors["critical_dimensions"] = "; ".join(fell + ([f"missing donors: {', '.join(absent)}"] if absent else [])) or None
+    errors["no_duplicate_keys"] = None
+    if facts.keys and facts.rows.where("dimension = 'hash'").limit(1).count():
+        row = _repeated_keys(df, facts.keys).first()
+        errors["no_duplicate_keys"] = None if row["n"] is None else f"{row['n']} rows share keys: {row['sample']}"
+    rows = [(dataset, check, error is None, error or "") for check, error in errors.items()]
+    return check_schema(df, expected, dataset).unionByName(df.sparkSession.createDataFrame(rows, GATE))
+
+
+def _warnings_from(facts: Facts, dataset: str, previous: DataFrame | None, year: int | None) -> DataFrame:
+    latest = year if year is not None else facts.whole()["last_year"]
+    found = [facts.rows.sparkSession.createDataFrame([], WARNING)]
+    if latest is not None:
+        sums = facts.donor_years
+        found += [detect_yoy_anomalies(sums, int(latest), "value", dataset), detect_missing_expected_data(sums, int(latest), "value", dataset)]
+    if previous is not None:
+        now = facts.aggregates
+        counts = previous.where("dimension = 'stats' and key = 'row_count'").agg(F.max("total").alias("was"))
+        rows = F.lit(facts.whole()["n"])
+        found += [detect_release_drift(now, previous, dataset), detect_sector_drift(now, previous, dataset), detect_new_or_removed_entities(now, previous, dataset), detect_indicator_coverage_gaps(now, previous, dataset), detect_row_count_change(rows, F.col("was"), counts, dataset)]
+    out = found[0]
+    for w in found[1:]:
+        out = out.unionByName(w)
+    return out
+
+
+def _last_year(previous: DataFrame | None) -> int | None:
+    row = None if previous is None else previous.where("dimension = 'stats' and key = 'last_year'").select("total").first()
+    return None if row is None or row[0] is None else int(row[0])
+
+
 def validate_dataset(df: DataFrame, dataset: str, expected: T.StructType, keys: Sequence[str], value: str, previous: DataFrame | None = None, critical: Sequence[str] = (), year: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(gates, warnings). Detectors run even if a gate fails. ``previous`` is a snapshot of the release before.
 
-    All gates but schema and keys come from one pass. Nothing is cached: a caller that
-    reads both results often caches ``df`` itself and releases it.
+    ``df`` is read once, for facts that are written to the shared folder and that both
+    results come from; a second time only if keys seem to repeat.
     """
-    previous_year = None
-    if previous is not None:
-        row = previous.where("dimension = 'stats' and key = 'last_year'").select("total").first()
-        previous_year = None if row is None or row[0] is None else int(row[0])
-    one_pass = [_not_empty(), _values_populated(df), _value_bounds(df, MAX_VALUE), _names_populated(df, NAMES), _critical_dimensions(critical, previous_year)]
-    gates = check_schema(df, expected, dataset).unionByName(gates_of(df, dataset, one_pass)).unionByName(check_no_duplicate_keys(df, keys, dataset))
-    latest = year if year is not None else df.agg(F.max("year")).first()[0]
-    warnings = None
-    if latest is not None:
-        warnings = detect_yoy_anomalies(df, int(latest), value, dataset).unionByName(detect_missing_expected_data(df, int(latest), value, dataset))
-    if previous is not None:
-        now = release_aggregates(df, value)
-        counts = df.agg(F.count("*").alias("now")).join(F.broadcast(previous.where("dimension = 'stats' and key = 'row_count'").agg(F.max("total").alias("was"))))
-        for w in (detect_release_drift(now, previous, dataset), detect_sector_drift(now, previous, dataset), detect_new_or_removed_entities(now, previous, dataset), detect_indicator_coverage_gaps(now, previous, dataset), detect_row_count_change(F.col("now"), F.col("was"), counts, dataset)):
-            warnings = w if warnings is None else warnings.unionByName(w)
-    if warnings is None:
-        warnings = df.sparkSession.createDataFrame([], "level string, dataset string, check string, entity string, message string, metric double")
-    return gates, warnings
+    facts = gather(df, value, keys, largest=_value_columns(df))
+    return _gates_from(facts, dataset, expected, critical, _last_year(previous)), _warnings_from(facts, dataset, previous, year)
 
 
 def validate_path(spark: SparkSession, path: str, dataset: str, expected: T.StructType, keys: Sequence[str], value: str, **options) -> tuple[DataFrame, DataFrame]:
     """As :func:`validate_dataset`; an input that can't be read is itself a failed gate."""
     try:
-        df = spark.read.parquet(path)
+        return validate_dataset(spark.read.parquet(path), dataset, expected, keys, value, **options)
     except Exception as error:  # Spark's own errors have no common class over Connect and classic
-        gates = spark.createDataFrame([(dataset, "readable", False, str(error).splitlines()[0])], GATE)
-        return gates, spark.createDataFrame([], "level string, dataset string, check string, entity string, message string, metric double")
-    return validate_dataset(df, dataset, expected, keys, value, **options)
+        return _unreadable(spark, dataset, error), spark.createDataFrame([], WARNING)
+
+
+def _unreadable(spark: SparkSession, dataset: str, error: Exception) -> DataFrame:
+    return spark.createDataFrame([(dataset, "readable", False, str(error).splitlines()[0])], GATE)
+
+
+@dataclass(frozen=True)
+class Dataset:
+    """A written view and what is expected of it."""
+
+    name: str
+    path: str
+    expected: T.StructType
+    keys: Sequence[str]
+    value: str
+    critical: Sequence[str] = ()
+    year: int | None = None
+
+
+@dataclass(frozen=True)
+class Topics:
+    """A written table of purposes (year, donor_name, purpose_code and a value) whose latest year is summed by topic; None takes all purposes."""
+
+    name: str
+    path: str
+    topics: Mapping[str, Sequence | None]
+    value: str = "value"
+    critical: Sequence[str] = ()
+
+
+def validate_all(spark: SparkSession, datasets: Sequence[Dataset], release: str, manifests: str, topics: Sequence[Topics] = (), update: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(gates, warnings) of all datasets and topic tables in one report.
+
+    Each dataset's snapshots are in a folder of its name below ``manifests``; it is
+    compared with the release of the greatest other name there, topics with the one
+    computed last. With ``update`` this release's snapshot is saved once the dataset's
+    warnings have been written. A dataset that can't be read is a failed gate of its
+    own, has no snapshot, and leaves the others alone.
+    """
+    gates, warnings = spark.createDataFrame([], GATE), spark.createDataFrame([], WARNING)
+    for check, items in ((_validate_one, datasets), (_validate_topics, topics)):
+        for d in items:
+            try:
+                one = check(spark, d, release, f"{manifests.rstrip('/')}/{d.name}", update)
+            except Exception as error:  # as in validate_path
+                one = _unreadable(spark, d.name, error), None
+            gates = gates.unionByName(one[0])
+            warnings = warnings if one[1] is None else warnings.unionByName(one[1])
+    return gates, warnings
+
+
+def _before(saved: DataFrame, release: str, by_name: bool) -> DataFrame | None:
+    """The snapshot to compare with, None where there is no other release."""
+    at = F.max(F.when((F.col("dimension") == "stats") & (F.col("key") == "computed_at"), F.col("total")))
+    last = previous_release(saved.groupBy("release").agg(at.alias("computed_at")), release, by_name).first()
+    return None if last is None else saved.where(F.col("release") == last["release"])
+
+
+def _validate_one(spark: SparkSession, d: Dataset, release: str, manifest: str, update: bool) -> tuple[DataFrame, DataFrame]:
+    df = spark.read.parquet(d.path)
+    facts = gather(df, d.value, d.keys, largest=_value_columns(df))
+    previous = _before(load_manifest(spark, manifest), release, by_name=True)
+    gates = _gates_from(facts, d.name, d.expected, d.critical, _last_year(previous))
+    warnings = stored(_warnings_from(facts, d.name, previous, d.year), "warnings")
+    if update and not [k for k in d.keys if k not in df.columns]:
+        save_manifest(snapshot_of(facts, release), manifest)
+    readable = spark.createDataFrame([(d.name, "readable", True, "")], GATE)
+    return readable.unionByName(gates), warnings
+
+
+def _validate_topics(spark: SparkSession, d: Topics, release: str, manifest: str, update: bool) -> tuple[DataFrame, DataFrame]:
+    df = spark.read.parquet(d.path)
+    totals = latest_year_topic_totals(df, d.topics, value=d.value)
+    now = stored(totals.select(F.concat(F.lit("topic:"), "topic").alias("dimension"), F.col("donor_name").alias("key"), F.lit(None).cast("string").alias("key2"), F.col(d.value).cast("double").alias("total"), F.lit(0).cast("long").alias("n")), "topics")
+    empty = now.limit(1).count() == 0
+    gates = spark.createDataFrame([(d.name, "readable", True, ""), (d.name, "not_empty", not empty, "no rows" if empty else "")], GATE)
+    previous = _before(load_manifest(spark, manifest), release, by_name=False)
+    warnings = spark.createDataFrame([] if previous is not None or empty else [("info", d.name, "baseline", None, "first release, nothing to compare with", None)], WARNING)
+    for topic in d.topics if previous is not None and not empty else ():
+        a, b = (x.where(F.col("dimension") == f"topic:{topic}").select(F.col("key").alias("donor"), "total") for x in (now, previous))
+        for found in (detect_topic_drift(a, b, d.name), detect_missing_critical(a, b, d.critical, d.name)):
+            warnings = warnings.unionByName(found.withColumn("message", F.concat(F.lit(f"{topic}: "), "message")))
+    if previous is not None and not empty:
+        a, b = (x.where("dimension like 'topic:%'").select(F.col("key").alias("donor")).distinct() for x in (now, previous))
+        warnings = warnings.unionByName(detect_new_entities_summary(a, b, d.name))
+    warnings = stored(warnings, "warnings")
+    if update and not empty:
+        at = spark.createDataFrame([("stats", "computed_at", None, time.time(), 0)], now.schema)
+        save_manifest(now.unionByName(at).withColumn("release", F.lit(release)), manifest)
+    return gates, warnings
 
 
 def warning_summary(warnings: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ ROWS_PER_FILE = 1_000_000
 #: A release snapshot in long form.
 MANIFEST = "dimension string, key string, key2 string, total double, n long, release string"
 _LOCAL_DIR: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/flowjobs-{uuid.uuid4().hex}/{name}"
+    """A path of its own in the shared folder, until :func:`clean`."""
+    path = f"{shared_dir(spark)}/flowjobs-{uuid.uuid4().hex}/{name}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; :func:`clean` deletes it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what :func:`scratch_path` has named in this application, once the results that read it are written."""
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
