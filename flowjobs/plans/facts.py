@@ -62,7 +62,8 @@ def number(value: str) -> Column:
 
 def first_bin(v: Column) -> Column:
     """A whole number that rises with ``v``: equal for values within a factor of e ** (1 / PER_E); 0 is a bin of its own."""
-    size = F.floor(F.log(F.abs(v)) * PER_E) + _ABOVE
+    # Infinities come after all other values.
+    size = F.least(F.floor(F.log(F.abs(v)) * PER_E), F.lit(750 * PER_E)) + _ABOVE
     return F.when(v > 0, size).when(v < 0, -size).when(v == 0, F.lit(0))
 
 
@@ -113,7 +114,8 @@ def quantiles_of(bins: DataFrame, df: DataFrame, value: str, at: Sequence[float]
         values = df.select(number(value).alias("v")).where(here)
         spans = values.groupBy(span.alias("span"), step.alias("step")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
         starts = {k: h["start"] for k, h in enumerate(inside)}
-    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
+    between = lambda low, high, share: low if low == high or not share else low + (high - low) * share
+    return [between(found[math.floor(p)], found[math.ceil(p)], p - math.floor(p)) for p in places]
 
 
 # --- facts ------------------------------------------------------------------------
@@ -192,5 +194,6 @@ def gather(df: DataFrame, value: str, keys: Sequence[str] = (), dimensions: Mapp
     sums = [F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("total"), F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high")]
     out = by_sets(rows, sets, sums, keep_null=["null_names"]).where("not (dimension = 'hash' and n = 1) and not (dimension = 'null_names' and key = '0')")
     written = stored(out, "facts")
-    top = seen.get
+    # An empty input may leave nothing to observe.
+    top = {} if written.isEmpty() else seen.get
     return Facts(df, value, [k for k in keys if k in df.columns], names, written, {c: top.get(f"max_{k}") for k, c in enumerate(values)})

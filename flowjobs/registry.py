@@ -682,9 +682,13 @@ def _(f, spark, sf):
 RELEASE_SQL = "cur AS (SELECT * FROM flows WHERE donor_code <> 4 AND NOT (donor_code = 7 AND year = 2001)), prev AS (SELECT year, donor_code, donor_name, income_group, indicator_name, value * (CASE WHEN donor_code = 9 THEN 2 ELSE 1 END) AS value FROM flows WHERE donor_code <> 11 AND year < 2001)"
 
 
-def _two_releases(f):
+def _two_releases_of(f):
     cur = f.where("donor_code <> 4 and not (donor_code = 7 and year = 2001)")
-    prev = f.where("donor_code <> 11 and year < 2001").withColumn("value", F.col("value") * F.when(F.col("donor_code") == 9, 2).otherwise(1))
+    return cur, f.where("donor_code <> 11 and year < 2001").withColumn("value", F.col("value") * F.when(F.col("donor_code") == 9, 2).otherwise(1))
+
+
+def _two_releases(f):
+    cur, prev = _two_releases_of(f)
     return _release(cur), _release(prev)
 
 
@@ -857,6 +861,73 @@ def _(f, spark, sf):
     return release.warning_summary(_validated(f)[1])
 
 
+#: The flow columns of a second dataset: orders by their customer's nation and priority.
+ORDER_FLOWS_SQL = "flows AS (SELECT year(o_orderdate)::INTEGER AS year, c_nationkey AS donor_code, n_name AS donor_name, c_mktsegment AS income_group, o_orderpriority AS indicator_name, o_totalprice::DECIMAL(18,2) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey)"
+
+
+def _order_flows(spark, sf):
+    t = lambda name: tables.read(spark, sf, name)
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(
+        F.year("o_orderdate").alias("year"), F.col("c_nationkey").alias("donor_code"), F.col("n_name").alias("donor_name"), F.col("c_mktsegment").alias("income_group"), F.col("o_orderpriority").alias("indicator_name"), F.col("o_totalprice").cast("decimal(18,2)").alias("value")
+    )
+
+
+TOPICS = {"basic": tuple(range(1, 21)), "food": tuple(range(30, 46)), "all": None}
+
+
+def _whole_report_sql(name: str, flows: str = "") -> str:
+    """Gates, warnings and the releases saved of one dataset."""
+    gates = GATES_SQL.replace("PREVIOUS", "(SELECT max(year) FROM prev)")
+    return f"""(WITH {flows}{RELEASE_SQL}, g AS (SELECT year, donor_name, indicator_name, income_group AS sector_name, value AS value_usd FROM cur), {gates}, {ALL_WARNINGS_SQL}
+SELECT '{name}' AS dataset, 'gate' AS kind, "check", CASE WHEN e IS NULL THEN 'passed' ELSE 'failed' END AS level, coalesce(e, '') AS entity, NULL::DOUBLE AS metric FROM err
+UNION ALL SELECT '{name}', 'gate', unnest(['readable', 'schema']), 'passed', '', NULL
+UNION ALL SELECT '{name}', 'warning', "check", level, entity, round(metric, 6) FROM warned
+UNION ALL SELECT '{name}', 'saved', release, NULL, NULL, n::DOUBLE FROM (SELECT 'r1' AS release, count(*) AS n FROM prev UNION ALL SELECT 'r2', count(*) FROM cur))"""
+
+
+_TOPIC_LISTS = ", ".join(f"('{t}', {'NULL' if codes is None else list(codes)})" for t, codes in TOPICS.items())
+
+
+@register(
+    "v20_validate_all",
+    f"""SELECT * FROM {_whole_report_sql("flows")} UNION ALL SELECT * FROM {_whole_report_sql("orders", ORDER_FLOWS_SQL + ", ")}
+UNION ALL SELECT 'absent', 'gate', 'readable', 'failed', '', NULL
+UNION ALL SELECT 'topics', 'gate', unnest(['readable', 'not_empty']), 'passed', '', NULL
+UNION ALL SELECT 'topics', 'warning', 'topic_drift', CASE WHEN abs(z) > 3 OR abs(x) > 0.4 THEN 'high' ELSE 'medium' END, donor_name, round(x, 6) FROM (
+  SELECT donor_name, x, coalesce((x - avg(x) OVER (PARTITION BY topic)) / nullif(stddev_pop(x) OVER (PARTITION BY topic), 0), 0) AS z FROM topic_moves) WHERE abs(z) > 2 OR abs(x) > 0.2
+UNION ALL SELECT 'topics', 'warning', 'missing_critical', 'high', donor_name, NULL FROM topic_moves WHERE x = -1 AND donor_name IN ('NATION_4', 'NATION_7')
+UNION ALL SELECT 'topics', 'warning', 'new_entities', 'info', NULL, n FROM (SELECT count(DISTINCT donor_name)::DOUBLE AS n FROM topic_sums s WHERE is_now AND donor_name NOT IN (SELECT donor_name FROM topic_sums WHERE NOT is_now)) WHERE n > 0
+UNION ALL SELECT 'topics', 'saved', unnest(['r1', 'r2']), NULL, NULL, NULL""",
+    f"""topics(topic, codes) AS (VALUES {_TOPIC_LISTS}),
+both_releases AS (SELECT true AS is_now, year, donor_name, purpose_code, value FROM flows WHERE donor_code <> 4 AND NOT (donor_code = 7 AND year = 2001) UNION ALL SELECT false, year, donor_name, purpose_code, value * (CASE WHEN donor_code = 9 THEN 2 ELSE 1 END) FROM flows WHERE donor_code <> 11 AND year < 2001),
+latest AS (SELECT is_now, max(year) AS year FROM both_releases GROUP BY is_now),
+topic_sums AS (SELECT is_now, topic, donor_name, sum(value)::DOUBLE AS t FROM both_releases JOIN latest USING (is_now, year) JOIN topics ON codes IS NULL OR list_contains(codes, purpose_code) GROUP BY ALL),
+topic_moves AS (SELECT topic, donor_name, (coalesce(c.t, 0) - p.t) / p.t AS x FROM topic_sums p LEFT JOIN (SELECT topic, donor_name, t FROM topic_sums WHERE is_now) c USING (topic, donor_name) WHERE NOT p.is_now AND p.t > 0)""",
+)
+def _(f, spark, sf):
+    """Two releases of two views and a topic table, one after the other; a third view is not there."""
+    path = io.scratch_path(spark, "views")
+    gated = lambda x: x.select("year", "donor_name", "indicator_name", F.col("sector_name"), F.col("value").alias("value_usd"))
+    report = None
+    for k, name in ((1, "r1"), (0, "r2")):
+        raw = _two_releases_of(f)[k]
+        gated(_release(raw)).write.parquet(f"{path}/{name}/flows")
+        raw.select("year", "donor_name", "purpose_code", "value").write.parquet(f"{path}/{name}/topics")
+        gated(_release(_two_releases_of(_order_flows(spark, sf))[k])).write.parquet(f"{path}/{name}/orders")
+        views_ = [release.Dataset(d, f"{path}/{name}/{d}", T.StructType.fromDDL("year int, donor_name string, indicator_name string, sector_name string, value_usd decimal(18,4)"), ["year", "donor_name"], "value_usd", ["NATION_7", "ATLANTIS"], None if k else 2001) for d in ("flows", "orders", "absent")]
+        report = release.validate_all(spark, views_, name, f"{path}/manifests", [release.Topics("topics", f"{path}/{name}/topics", TOPICS, critical=["NATION_4", "NATION_7"])])
+    gates, warnings = report
+    none = F.lit(None).cast("string")
+    text = F.when(F.col("check") == "readable", "").otherwise(F.col("errors"))
+    out = gates.select("dataset", F.lit("gate").alias("kind"), "check", F.when(F.col("passed"), "passed").otherwise("failed").alias("level"), text.alias("entity"), F.lit(None).cast("double").alias("metric"))
+    out = out.unionByName(warnings.select("dataset", F.lit("warning").alias("kind"), "check", "level", "entity", F.round("metric", 6).alias("metric")))
+    for d in ("flows", "orders", "topics"):
+        saved = io.load_manifest(spark, f"{path}/manifests/{d}").groupBy("release").agg(F.max(F.when(F.col("key") == "row_count", F.col("total"))).alias("metric"))
+        out = out.unionByName(saved.select(F.lit(d).alias("dataset"), F.lit("saved").alias("kind"), F.col("release").alias("check"), none.alias("level"), none.alias("entity"), "metric"))
+    return out
+
+
 @register("s07_manifest", f"SELECT release, dimension, key, key2, total, n FROM (SELECT 'r1' AS release, * FROM ({AGG_SQL})) WHERE dimension <> 'donor_sector' UNION ALL SELECT 'r2', dimension, key, key2, total, n FROM ({AGG_SQL}) WHERE dimension = 'donor'")
 def _(f, spark, sf):
     path = io.scratch_path(spark, "manifest")
