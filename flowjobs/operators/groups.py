@@ -92,6 +92,17 @@ def with_all_totals(df: DataFrame, donors: Column, recipients: Column, keys: Seq
     return sum_by(exploded, [*keys, donor_name, recipient_name], *values)
 
 
+def with_weighted_totals(df: DataFrame, donors: Column, recipients: Column, keys: Sequence[str], values: Sequence[str] = ("value",), donor_name: str = "donor_name", recipient_name: str = "recipient_name") -> DataFrame:
+    """Sums over all pairs of a row's donors and recipients, one group-by for all.
+
+    ``donors`` is an array of (name, weight): what a row counts for, and by how much.
+    ``recipients`` is an array of names. A row may count for one name several times.
+    """
+    pairs = df.withColumn("__d", F.explode(donors)).withColumn("__r", F.explode(F.array_distinct(recipients)))
+    weighted = pairs.select(*keys, F.col("__d.name").alias(donor_name), F.col("__r").alias(recipient_name), *[(F.col(v) * F.col("__d.weight")).alias(v) for v in values])
+    return sum_by(weighted, [*keys, donor_name, recipient_name], *values)
+
+
 def bloc_total(bilateral: DataFrame, imputed: DataFrame, members: Sequence, channels: Sequence, keys: Sequence[str], name: str, values: Sequence[str] = ("value",), name_col: str = "donor_name") -> DataFrame:
     """Members' and institutions' bilateral rows, and imputed rows but those that members route through the institutions' channels."""
     own = bilateral.where(F.col("donor_code").isin(list(members)))

@@ -6,7 +6,9 @@ where the library explodes labels), so that it checks the plan and not itself.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1117,6 +1119,65 @@ def _(f, spark, sf):
     return views.sectors_view(f, tables.rates(spark, sf), sub_sectors(spark), sectors(spark), settings())
 
 
+BLOC = views.Bloc("Bloc", MEMBERS, INSTITUTION, (2, 3))
+WEIGHTED_DONORS = DONORS | {"All donors": tuple(range(24))}
+_CASES = ", ".join(f"sum(w * {v}) AS {v}" for v in views.VALUES)
+
+
+@register(
+    "vw2_recipients_weighted",
+    f""", b AS (SELECT year, donor_code, recipient_code, indicator_name, {_SUMS} FROM conv GROUP BY ALL), factors AS (SELECT year, CASE WHEN year < 2000 THEN (year - 1990) * 0.1::DECIMAL(3,2) ELSE 1 END AS w FROM years),
+dw AS (SELECT g, code, 1::DECIMAL(3,2) AS w, NULL::INTEGER AS year FROM dl WHERE NOT (g = 'All donors' AND code = 24) UNION ALL SELECT 'Bloc', n_nationkey, 1, NULL FROM nation WHERE n_nationkey IN {_isin(MEMBERS)} UNION ALL SELECT g, 24, w::DECIMAL(3,2), year FROM factors, (SELECT unnest(['Bloc', 'All donors']) AS g)),
+x AS (SELECT b.year, d.g AS donor_name, r.g AS recipient_name, indicator_name, {_CASES} FROM b JOIN dw d ON d.code = donor_code AND coalesce(d.year, b.year) = b.year JOIN rl r ON r.code = recipient_code GROUP BY ALL)
+SELECT x.year, x.donor_name, x.recipient_name, indicator_name, {_UNITS}, round(value_usd_current::DOUBLE / a.t::DOUBLE, 6) AS pct_total_recipient, round(value_usd_current::DOUBLE / c.t::DOUBLE, 6) AS pct_total_donor
+FROM x LEFT JOIN (SELECT year, recipient_name, sum(value_usd_current) AS t FROM x WHERE donor_name = 'All donors' GROUP BY ALL) a ON a.year = x.year AND a.recipient_name = x.recipient_name
+LEFT JOIN (SELECT year, donor_name, sum(value_usd_current) AS t FROM x WHERE recipient_name = 'All recipients' GROUP BY ALL) c ON c.year = x.year AND c.donor_name = x.donor_name""",
+    BOTH_SQL,
+)
+def _(f, spark, sf):
+    weights = spark.createDataFrame([(y, Decimal(y - 1990) / 10) for y in range(1990, 2000)], "year int, weight decimal(3,2)")
+    s = dataclasses.replace(settings(), donor_groups=WEIGHTED_DONORS)
+    return views.recipients_view(f, tables.rates(spark, sf), s, BLOC, weights)
+
+
+#: Recipients' attributes as they are classified: a minority of rows puts them into another region, late years and one recipient have no rows.
+SEEN_SQL = """seen_rows AS (SELECT recipient_code, year, CASE WHEN channel_code = 7 THEN 'AMERICA' ELSE region END AS region FROM flows WHERE year < 2000 AND recipient_code <> 6
+), modal AS (SELECT recipient_code, year, region FROM (SELECT recipient_code, year, region, row_number() OVER (PARTITION BY recipient_code, year ORDER BY count(*) DESC, region) AS k FROM seen_rows GROUP BY recipient_code, year, region) WHERE k = 1
+), last_modal AS (SELECT recipient_code, arg_max(region, year) AS region FROM modal GROUP BY ALL
+), attr AS (SELECT k.recipient_code, k.year, CASE WHEN l.region IS NULL THEN 'Unnamed' ELSE n_name END AS recipient_name, coalesce(m.region, l.region, 'No region') AS region,
+    CASE WHEN l.region IS NULL THEN NULL ELSE CASE k.recipient_code % 4 WHEN 0 THEN 'Low income' WHEN 1 THEN 'Lower middle income' WHEN 2 THEN 'UMIC' END END AS income
+  FROM (SELECT DISTINCT recipient_code, year FROM flows) k JOIN nation ON n_nationkey = k.recipient_code LEFT JOIN modal m ON m.recipient_code = k.recipient_code AND m.year = k.year LEFT JOIN last_modal l ON l.recipient_code = k.recipient_code
+), rly AS (SELECT recipient_code, year, unnest(list_distinct(list_filter(["""
+
+
+@register(
+    "vw4_sectors_with_bloc",
+    f""", cells AS (
+  SELECT 'Bilateral' AS ind, year, donor_code, recipient_code, {SQL_SUB} AS sub, sum(value) AS v, sum(value) AS own FROM flows WHERE indicator_name = 'A' GROUP BY ALL
+  UNION ALL SELECT 'Imputed multilateral', year, donor_code, recipient_code, {SQL_SUB}, sum(value), coalesce(sum(value) FILTER (NOT (donor_code IN {_isin(MEMBERS)} AND channel_code IN (2, 3))), 0) FROM flows WHERE indicator_name = 'R' GROUP BY ALL
+), known AS (SELECT DISTINCT donor_code FROM flows WHERE indicator_name = 'A'
+), given AS (
+  SELECT ind, year, g, donor_code, recipient_code, sub, v FROM cells JOIN dl ON code = donor_code WHERE v <> 0 AND donor_code IN (FROM known)
+  UNION ALL SELECT ind, year, 'Bloc', donor_code, recipient_code, sub, own FROM cells WHERE own <> 0 AND donor_code IN {_isin((*MEMBERS, *INSTITUTION))}
+), x AS (
+  SELECT c.year, c.g AS donor_name, r.g AS recipient_name, ind AS indicator_name, sub AS sub_sector_name, {", ".join(f"sum(v{'' if v == 'value_usd_current' else f' * t.{v.replace("value", "rate")}'}) AS {v}" for v in views.VALUES)}
+  FROM given c JOIN rates t ON t.donor_code = c.donor_code AND t.year = c.year JOIN rly r ON r.recipient_code = c.recipient_code AND r.year = c.year GROUP BY ALL
+), a AS (SELECT year, recipient_name, sum(value_usd_current) AS t FROM x WHERE donor_name = 'All donors' GROUP BY ALL), b AS (SELECT year, donor_name, sum(value_usd_current) AS t FROM x WHERE recipient_name = 'All recipients' GROUP BY ALL)
+SELECT x.year, x.donor_name, x.recipient_name, indicator_name, CASE sub_sector_name WHEN 'Food' THEN 'Production' WHEN 'Unallocated/unspecified' THEN 'Unallocated/unspecified' ELSE 'Social' END AS sector_name, sub_sector_name, {_UNITS},
+  round(value_usd_current::DOUBLE / a.t::DOUBLE, 6) AS pct_of_recipient, round(value_usd_current::DOUBLE / b.t::DOUBLE, 6) AS pct_of_donor,
+  trim(regexp_replace(lower(x.donor_name), '[^a-z0-9]+', '-', 'g'), '-') AS donor_slug, trim(regexp_replace(lower(x.recipient_name), '[^a-z0-9]+', '-', 'g'), '-') AS recipient_slug
+FROM x LEFT JOIN a ON a.year = x.year AND a.recipient_name = x.recipient_name LEFT JOIN b ON b.year = x.year AND b.donor_name = x.donor_name""",
+    BOTH_SQL + ", " + SEEN_SQL
+    + "'All recipients', recipient_name, income, CASE WHEN region NOT IN ('AFRICA', 'Greater Asia') THEN region END, CASE WHEN region IN ('ASIA', 'MIDDLE EAST', 'Greater Asia') THEN 'Greater Asia' WHEN region = 'AFRICA' THEN 'AFRICA' END"
+    + "".join(f", CASE WHEN recipient_code IN {_isin(c)} THEN '{g}' END" for g, c in RECIPIENTS.items())
+    + "], lambda q: q IS NOT NULL))) AS g FROM attr)",
+)
+def _(f, spark, sf):
+    part = lambda i: f.where(F.col("indicator_name") == i).select("year", "donor_code", "donor_name", "recipient_code", "channel_code", "purpose_code", "value")
+    seen = f.where("year < 2000 and recipient_code <> 6").select("recipient_code", "year", "recipient_name", "income_group", F.when(F.col("channel_code") == 7, "AMERICA").otherwise(F.col("region")).alias("region"))
+    return views.whole_sectors_view(part("A").drop("channel_code"), part("R").drop("donor_name"), tables.rates(spark, sf), seen, sub_sectors(spark), sectors(spark), settings(), BLOC, {"recipient_name": "Unnamed", "region": "No region"})
+
+
 @register(
     "vw6_purpose_extract",
     "SELECT year, indicator_name, donor_code, donor_name, purpose_code, channel_name, split_part(k, '_', 2) AS currency, split_part(k, '_', 3) AS price, round(v, 2)::DOUBLE AS value FROM (SELECT year, indicator_name, donor_code, donor_name, purpose_code, CASE channel_code WHEN 1 THEN 'Public' WHEN 2 THEN 'Private' ELSE 'Other' END AS channel_name, "
