@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,15 +92,18 @@ def with_all_totals(df: DataFrame, donors: Column, recipients: Column, keys: Seq
     return sum_by(exploded, [*keys, donor_name, recipient_name], *values)
 
 
-def with_weighted_totals(df: DataFrame, donors: Column, recipients: Column, keys: Sequence[str], values: Sequence[str] = ("value",), donor_name: str = "donor_name", recipient_name: str = "recipient_name") -> DataFrame:
+def with_weighted_totals(df: DataFrame, donors: Column, recipients: Column | None, keys: Sequence[str], values: Sequence[str] = ("value",), donor_name: str = "donor_name", recipient_name: str = "recipient_name") -> DataFrame:
     """Sums over all pairs of a row's donors and recipients, one group-by for all.
 
     ``donors`` is an array of (name, weight): what a row counts for, and by how much.
-    ``recipients`` is an array of names. A row may count for one name several times.
+    ``recipients`` is an array of names; with None there are donors alone. A row may
+    count for one name several times.
     """
-    pairs = df.withColumn("__d", F.explode(donors)).withColumn("__r", F.explode(F.array_distinct(recipients)))
-    weighted = pairs.select(*keys, F.col("__d.name").alias(donor_name), F.col("__r").alias(recipient_name), *[(F.col(v) * F.col("__d.weight")).alias(v) for v in values])
-    return sum_by(weighted, [*keys, donor_name, recipient_name], *values)
+    pairs, names = df.withColumn("__d", F.explode(donors)), {donor_name: "__d.name"}
+    if recipients is not None:
+        pairs, names = pairs.withColumn("__r", F.explode(F.array_distinct(recipients))), names | {recipient_name: "__r"}
+    weighted = pairs.select(*keys, *[F.col(c).alias(n) for n, c in names.items()], *[(F.col(v) * F.col("__d.weight")).alias(v) for v in values])
+    return sum_by(weighted, [*keys, *names], *values)
 
 
 def bloc_total(bilateral: DataFrame, imputed: DataFrame, members: Sequence, channels: Sequence, keys: Sequence[str], name: str, values: Sequence[str] = ("value",), name_col: str = "donor_name") -> DataFrame:
@@ -142,21 +145,50 @@ def append_total_entity(df: DataFrame, keys: Sequence[str], name_col: str, name:
     return df.select(*keys, name_col, *values).unionByName(total.select(*keys, name_col, *values))
 
 
+#: members in one word of a bitmap
+_WORD = 62
+
+
+def _numbered(members: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(group_name, member_code, place, word, bit) of each group's members, and the words there are. ``members`` is a table of code lists."""
+    place = F.row_number().over(Window.partitionBy("group_name").orderBy("member_code")) - 1
+    listed = members.select("group_name", "member_code").distinct().withColumn("place", place)
+    listed = listed.withColumns({"word": F.expr(f"place div {_WORD}"), "bit": F.expr(f"shiftleft(1L, cast(place % {_WORD} as int))")})
+    return listed, list(range(int((listed.agg(F.max("word")).first()[0] or 0) + 1)))
+
+
+def member_bitmaps(df: DataFrame, listed: DataFrame, words: Sequence[int], code_col: str, by: Sequence[str]) -> DataFrame:
+    """(group_name, by, m0, ...): for each group and combination with any member, the members that it has, as bits. One group-by."""
+    seen = df.select(*by, F.col(code_col).alias("member_code")).join(listed, "member_code")
+    return seen.groupBy("group_name", *by).agg(*[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words])
+
+
 def coverage_report(df: DataFrame, members: DataFrame, code_col: str, by: Sequence[str]) -> DataFrame:
     """One row per member: combos of ``by`` with data in which it is absent, and whether it never occurs.
 
-    ``members`` has member_code and group_name; combos are those with any member of the group.
+    ``members`` has member_code and group_name; combos are those with any member of the
+    group; a group without any is left out.
     """
-    seen = df.select(*by, F.col(code_col).alias("member_code")).where("member_code is not null").distinct().join(members.select("group_name", "member_code"), "member_code")
-    combos = seen.groupBy("group_name").agg(F.count_distinct(F.struct(*by)).alias("n_combos"))
-    present = seen.groupBy("group_name", "member_code").agg(F.count("*").alias("n_present"))
-    out = members.select("group_name", "member_code").join(combos, "group_name").join(present, ["group_name", "member_code"], "left")
-    n = F.coalesce("n_present", F.lit(0))
-    return out.select("group_name", "member_code", (F.col("n_combos") - n).alias("n_missing"), (n == 0).alias("never"))
-
-
-def coverage_summary(df: DataFrame, members: DataFrame, code_col: str, by: Sequence[str]) -> DataFrame:
-    """(group_name, n_combos, n_incomplete): combos that lack at least one member."""
-    sizes = members.groupBy("group_name").agg(F.count("*").alias("size"))
-    seen = df.select(*by, F.col(code_col).alias("member_code")).distinct().join(members.select("group_name", "member_code"), "member_code")
-    return seen.groupBy("group_name", *by).agg(F.count("*").alias("n")).join(sizes, "group_name").groupBy("group_name").agg(F.count("*").alias("n_combos"), F.count_if(F.col("n") < F.col("size")).alias("n_incomplete"))
+    return _absences(df, members, code_col, by).select("group_name", "member_code", "n_missing", "never")
+
+
+def _absences(df: DataFrame, members: DataFrame, code_col: str, by: Sequence[str]) -> DataFrame:
+    listed, words = _numbered(members)
+    maps = member_bitmaps(df, listed, words, code_col, by)
+    # A count for each bit: no combination is looked at twice, and members meet a row a group.
+    has = F.array(*[F.sum(F.expr(f"shiftright(m{w}, {k}) & 1L")) for w in words for k in range(_WORD)])
+    full = listed.groupBy(F.col("group_name").alias("__g")).agg(*[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"f{w}") for w in words])
+    lacks = F.lit(False)
+    for w in words:
+        lacks = lacks | (F.col(f"m{w}") != F.col(f"f{w}"))
+    counts = maps.join(full, F.col("group_name") == F.col("__g")).groupBy("group_name").agg(F.count("*").alias("n_combos"), F.count_if(lacks).alias("n_incomplete"), has.alias("has"))
+    n = F.element_at("has", (F.col("place") + 1).cast("int"))
+    return listed.join(counts, "group_name").select("group_name", "member_code", "n_combos", "n_incomplete", (F.col("n_combos") - n).alias("n_missing"), (n == 0).alias("never"))
+
+
+def coverage_summary(df: DataFrame, members: DataFrame, code_col: str, by: Sequence[str], k: int = 5) -> DataFrame:
+    """(group_name, n_combos, n_incomplete, never, worst): combos that lack a member; members without any, and the ``k`` others absent most often, of equals the greater code first."""
+    rows = _absences(df, members, code_col, by)
+    often = F.sort_array(F.collect_list(F.when((F.col("n_missing") > 0) & ~F.col("never"), F.struct("n_missing", "member_code"))), asc=False)
+    never = F.sort_array(F.collect_list(F.when(F.col("never"), F.col("member_code"))))
+    return rows.groupBy("group_name").agg(F.first("n_combos").alias("n_combos"), F.first("n_incomplete").alias("n_incomplete"), never.alias("never"), F.slice(often, 1, k).alias("worst"))

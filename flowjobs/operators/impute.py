@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import sum_by
+from .joins import PAIRS_PER_TASK, salted_join
 
 
 def channel_spending_shares(spend: DataFrame, window: int = 3, by: Sequence[str] = ("purpose_code", "recipient_code"), channel: str = "channel_code", year_col: str = "year", value: str = "value") -> DataFrame:
@@ -25,11 +26,14 @@ def channel_spending_shares(spend: DataFrame, window: int = 3, by: Sequence[str]
     return smoothed.withColumn("share", share).withColumnRenamed("__to", year_col).select(channel, year_col, *by, "share")
 
 
-def imputed_multilateral(contributions: DataFrame, shares: DataFrame, keys: Sequence[str], channel: str = "channel_code", year_col: str = "year", value: str = "value") -> DataFrame:
-    """Core contributions spread by their channel's shares. Contributions are summed to (donor, channel, year) before the join."""
+def imputed_multilateral(contributions: DataFrame, shares: DataFrame, keys: Sequence[str], channel: str = "channel_code", year_col: str = "year", value: str = "value", pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """Core contributions spread by their channel's shares. Contributions are summed to (donor, channel, year) before the join.
+
+    A channel that dominates is cut into salts by its measured size, see :func:`joins.salted_join`.
+    """
     donors = [k for k in keys if k not in shares.columns]
     given = sum_by(contributions, list(dict.fromkeys([*donors, channel, year_col])), value)
-    spread = given.join(shares, [channel, year_col]).withColumn(value, F.col(value) * F.col("share"))
+    spread = salted_join(given, shares, [channel, year_col], pairs_per_task).withColumn(value, F.col(value) * F.col("share"))
     return sum_by(spread, keys, value)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.names import add_slug, normalize_unspecified
 from ..functions.scalars import flow_type, to_units
 from ..operators import classify, currency, groups, shares
-from ..operators.joins import lookup
+from ..operators.filters import assert_mapped, marker_rows
+from ..operators.joins import lookup, resolve_code_duplicates
 from ..sources.io import stored
 
 VALUES = currency.value_columns()
@@ -75,6 +76,49 @@ def financing_view(flows: DataFrame, rates: DataFrame, gni: DataFrame, s: Settin
     return _published(summed, ["year", "donor_name", "indicator_name", "type"], ["pct_of_total_oda", "pct_of_gni"], s.factor)
 
 
+@dataclass(frozen=True)
+class Measures:
+    """Names of the measures that a financing table has side by side."""
+
+    before: str = "net"
+    after: str = "grant_equivalent"
+    grants: str = "grants"
+
+
+def whole_financing_view(
+    rows: DataFrame, rates: DataFrame, gni: DataFrame, items: DataFrame, s: Settings, bloc: Bloc, weights: DataFrame, in_donor: Sequence = (), measures: Measures = Measures(), names: tuple[str, str] = ("Grants", "Non-grants")
+) -> DataFrame:
+    """The financing view from raw items: two measures spliced at the cutoff, shared names resolved, grants split off.
+
+    ``rows`` has year, donor_code, donor_name, item_code, measure and value; ``items``
+    (code, name) the indicators, other items are left out. Items in ``in_donor`` keep
+    the first measure in all years. Of codes that share a name the smallest counts;
+    values that disagree are a ValueError. The total indicator's grants, and what is left
+    of its spliced value without them, are two more indicators, where both are known.
+    The bloc takes its institutions by ``weights`` (year, weight). Rows are read in one
+    pass, for both measures and the grants.
+    """
+    named = lookup(rows, items, "item_code", "indicator_name").where("indicator_name is not null")
+    stays = F.col("item_code").isin(list(in_donor)) if in_donor else F.lit(False)
+    early = (F.col("year") < s.cutoff) | stays
+    spliced = ((F.col("measure") == measures.before) & early) | ((F.col("measure") == measures.after) & ~early)
+    granted = (F.col("measure") == measures.grants) & (F.col("indicator_name") == s.total_indicator)
+    keys = ["year", "donor_code", "donor_name", "indicator_name"]
+    # Kept: the few rows that items have been summed to.
+    cells = stored(named.where(spliced | granted).groupBy(*keys, "item_code").agg(F.sum(F.when(spliced, F.col("value"))).alias("value"), F.sum(F.when(granted, F.col("value"))).alias("granted")), "items")
+    kept, _ = resolve_code_duplicates(cells.where("value is not null"), keys, "item_code", "value", raise_error=True)
+    split = cells.where(F.col("indicator_name") == s.total_indicator).groupBy("year", "donor_code", "donor_name").agg(F.sum("granted").alias("granted"), F.sum("value").alias("value"))
+    parts = F.array(F.struct(F.lit(names[0]).alias("indicator_name"), F.col("granted").alias("value")), F.struct(F.lit(names[1]).alias("indicator_name"), (F.col("value") - F.col("granted")).alias("value")))
+    parts = split.select("year", "donor_code", "donor_name", F.explode(parts).alias("p")).select("year", "donor_code", "donor_name", "p.*").where("value is not null")
+    wide = currency.convert_currencies(kept.select(*keys, "value").unionByName(parts), rates)
+    labels = F.array_append(groups.donor_labels(s.donor_groups), F.col("donor_name"))
+    summed = _drop_empty(groups.with_weighted_totals(*_memberships(wide, labels, s, bloc, weights, reference=False), None, ["year", "indicator_name"], VALUES), VALUES)
+    summed = shares.share_of_indicator(summed, s.total_indicator, ["year", "donor_name"], "pct_of_total_oda", "value_usd_current")
+    incomes = shares.gni_with_groups(gni, groups.donor_labels({**s.donor_groups, bloc.name: bloc.members}))
+    summed = shares.share_of_gni(summed, incomes, value="value_usd_current").withColumn("type", flow_type(F.col("year"), s.cutoff))
+    return _published(summed, ["year", "donor_name", "indicator_name", "type"], ["pct_of_total_oda", "pct_of_gni"], s.factor)
+
+
 def recipients_view(flows: DataFrame, rates: DataFrame, s: Settings, bloc: Bloc | None = None, weights: DataFrame | None = None) -> DataFrame:
     """Donors and recipients with all their aggregates, and shares of both reference entities' totals.
 
@@ -97,8 +141,8 @@ def recipients_view(flows: DataFrame, rates: DataFrame, s: Settings, bloc: Bloc
     return _published(every, ["year", "donor_name", "recipient_name", "indicator_name"], ["pct_total_recipient", "pct_total_donor"], s.factor)
 
 
-def _memberships(df: DataFrame, labels: Column, s: Settings, bloc: Bloc, weights: DataFrame) -> tuple[DataFrame, Column]:
-    """Rows, and for each the donors that it counts for, as an array of (name, weight): plain labels, the bloc, the reference donor."""
+def _memberships(df: DataFrame, labels: Column, s: Settings, bloc: Bloc, weights: DataFrame, reference: bool = True) -> tuple[DataFrame, Column]:
+    """Rows, and for each the donors that it counts for, as an array of (name, weight): plain labels, the bloc and, if ``reference``, the reference donor."""
     small = weights.select(F.col("year").alias("__y"), F.col("weight").alias("__w"))
     kind = weights.schema["weight"].dataType
     one = F.lit(1).cast(kind)
@@ -107,7 +151,7 @@ def _memberships(df: DataFrame, labels: Column, s: Settings, bloc: Bloc, weights
     share = F.coalesce("__w", one)
     is_in = lambda codes: F.coalesce(F.col("donor_code").isin(list(codes)), F.lit(False))
     plain = F.transform(labels, lambda x: F.struct(x.alias("name"), one.alias("weight")))
-    funded = F.when(is_in(bloc.institutions), pairs((F.lit(bloc.name), share), (F.lit(s.reference_donor), share))).otherwise(none)
+    funded = F.when(is_in(bloc.institutions), pairs(*[(F.lit(n), share) for n in (bloc.name, *([s.reference_donor] if reference else []))])).otherwise(none)
     paying = F.when(is_in(bloc.members), pairs((F.lit(bloc.name), one))).otherwise(none)
     joined = df.join(small, df["year"] == F.col("__y"), "left")
     return joined, F.concat(plain, funded, paying)
@@ -117,7 +161,26 @@ def marker_view(flows: DataFrame, rates: DataFrame, s: Settings) -> DataFrame:
     """Scores of a policy marker, which partition a whole: each row's share of all scores. ``indicator_name`` is the score."""
     keys = ["year", "indicator_name"]
     base = groups.sum_by(flows, [*keys, "donor_code", "donor_name", "recipient_code", "recipient_name", "region", "income_group"])
-    wide = currency.convert_currencies(base, rates)
+    return _marker_shares(currency.convert_currencies(base, rates), s)
+
+
+def whole_marker_view(rows: DataFrame, rates: DataFrame, classified: DataFrame, s: Settings, labels: Mapping, sentinels: Mapping[str, str], marker: str = "marker", donors: Sequence | None = None, recipients: Sequence | None = None) -> DataFrame:
+    """The marker view from raw rows (year, donor_code, donor_name, recipient_code, the marker's score, value).
+
+    Scores outside ``labels`` are a ValueError, null scores are left out. Recipients
+    take their name, region and income group from ``classified``, as in
+    :func:`whole_sectors_view`.
+    """
+    known = rows.where(F.col(marker).isNotNull())
+    named = marker_rows(assert_mapped(known, marker, list(labels)), marker, dict(labels), donors, recipients)
+    base = groups.sum_by(named, ["year", "indicator_name", "donor_code", "donor_name", "recipient_code"]).where("value <> 0")
+    dim = classify.modal_classification(classified, ["recipient_code", "year"], ["recipient_name", "region", "income_group"])
+    return _marker_shares(currency.convert_currencies(classify.add_recipient_classifications(base, dim, sentinels), rates), s)
+
+
+def _marker_shares(wide: DataFrame, s: Settings) -> DataFrame:
+    """All groups' sums and each score's share of a row's scores, from converted rows."""
+    keys = ["year", "indicator_name"]
     labels = [F.array_sort(F.array_append(x, F.col(n))).alias(a) for x, n, a in ((groups.donor_labels(s.donor_groups), "donor_name", "__d"), (s.recipient_labels, "recipient_name", "__r"))]
     fine = _zero_null_sums(wide.select(*keys, *labels, *VALUES), [*keys, "__d", "__r"], VALUES)
     every = fine.withColumn("donor_name", F.explode("__d")).withColumn("recipient_name", F.explode("__r"))

@@ -104,9 +104,9 @@ def write_single_parquet(df: DataFrame, path: str, level: int = 9) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str], level: int = 9, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Hive partitions. Rows of a partition meet in one task, so each folder gets as few files as its rows allow."""
+    """Hive partitions. Rows of a folder meet in one task unless they are many: adaptive execution splits what is over its advisory size, so a folder that holds most rows is written by many tasks, and a small one is one file."""
     require_columns(df, partition_cols)
-    placed = df.repartition(*partition_cols).sortWithinPartitions(*partition_cols)
+    placed = df.hint("rebalance", *partition_cols).sortWithinPartitions(*partition_cols)
     _writer(placed, level).option("maxRecordsPerFile", rows_per_file).partitionBy(*partition_cols).parquet(path)
 
 
@@ -119,6 +119,16 @@ def read_partitions(spark: SparkSession, base: str, donors: Sequence[str] | None
     return df
 
 
+def read_partition_pairs(spark: SparkSession, base: str, selections: DataFrame, selection: str, donor_col: str = "donor_slug", recipient_col: str = "recipient_slug") -> DataFrame:
+    """The folders that one named selection asks for: pairs of slugs, not all donors with all recipients.
+
+    ``selections`` has selection, donor_slug and recipient_slug. Its rows prune folders
+    while the query runs; pairs without a folder give no rows, a pair named twice counts once.
+    """
+    wanted = selections.where(F.col("selection") == selection).select(F.col("donor_slug").alias(donor_col), F.col("recipient_slug").alias(recipient_col)).distinct()
+    return spark.read.parquet(base).join(wanted, [donor_col, recipient_col])
+
+
 def write_csv_report(df: DataFrame, path: str) -> None:
     """A small report as one CSV file with a header."""
     df.repartition(1).write.mode("overwrite").csv(path, header=True)
@@ -148,6 +158,59 @@ def load_manifest(spark: SparkSession, path: str, release: str | None = None) ->
     return df if release is None else df.where(F.col("release") == release)
 
 
+#: A manifest as one document, by release. Fixed names and nesting of the published files.
+DOCUMENT = (
+    "dataset string, releases map<string, struct<row_count bigint, year_range array<int>, aggregates map<string, map<string, double>>,"
+    " distribution map<string, double>, presence map<string, array<string>>>>"
+)
+
+
+def manifest_document(saved: DataFrame, dataset: str) -> DataFrame:
+    """One row (document): the snapshots of :func:`save_manifest` as nested maps of the type DOCUMENT.
+
+    Totals are by_{dimension}, keys of two parts are joined by ``|``; NaN and infinite
+    numbers are null at every depth. The maps are as large as the release has names,
+    not rows.
+    """
+    named = F.concat_ws("|", "key", "key2")
+    number = finite(F.col("total").cast("double"))
+    dims = saved.where("dimension <> 'stats'").groupBy("release", "dimension").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(named.alias("k"), number.alias("v"))))).alias("totals"), F.sort_array(F.collect_set(F.when(F.col("key2").isNull(), F.col("key")))).alias("names")
+    )
+    by = dims.groupBy("release").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("by_"), "dimension").alias("k"), F.map_entries("totals").alias("v"))))).alias("e"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.size("names") > 0, F.struct("dimension", "names"))))).alias("presence"),
+    ).withColumn("aggregates", F.transform_values("e", lambda _, v: F.map_from_entries(v)))
+    stat = lambda k: F.max(F.when(F.col("key") == k, number))
+    shown = ("min", "max", "median", "p25", "p75")
+    stats = saved.where("dimension = 'stats'").groupBy("release").agg(
+        stat("row_count").cast("long").alias("row_count"), F.array(stat("first_year").cast("int"), stat("last_year").cast("int")).alias("year_range"), F.create_map(*[x for k in shown for x in (F.lit(k), stat(k))]).alias("distribution")
+    )
+    body = by.join(stats, "release", "left").select("release", F.struct("row_count", "year_range", "aggregates", "distribution", "presence").alias("body"))
+    one = body.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("release", F.to_json("body", {"ignoreNullFields": "false"}).alias("body"))))).alias("releases"))
+    kind = T.StructType.fromDDL(DOCUMENT)["releases"].dataType.valueType
+    releases = F.transform_values("releases", lambda _, v: F.from_json(v, kind))
+    return one.select(F.struct(F.lit(dataset).alias("dataset"), releases.alias("releases")).alias("document"))
+
+
+def merge_documents(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row (document): the releases of both, those of ``new`` in place of their like."""
+    a, b = old.select(F.col("document").alias("a")), new.select(F.col("document").alias("b"))
+    kept = F.map_filter("a.releases", lambda k, _: ~F.array_contains(F.map_keys("b.releases"), k))
+    # Two tables of one row.
+    return a.join(F.broadcast(b)).select(F.struct(F.col("b.dataset").alias("dataset"), F.map_concat(kept, F.col("b.releases")).alias("releases")).alias("document"))
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """The document as one JSON text, nulls written out."""
+    document.select(F.to_json("document", {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """One row (document) of type DOCUMENT; a text that is no such JSON is an error."""
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", T.StructType.fromDDL(DOCUMENT), {"mode": "FAILFAST"}).alias("document"))
+
+
 def view_options(df: DataFrame, columns: Sequence[str], pinned: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(option, position, value): each column's distinct non-null values, pinned ones first in their order, the rest by name."""
     pinned = pinned or {}
