@@ -160,6 +160,18 @@ def _(f, spark, sf):
     return io.read_partitions(spark, _partitioned(f, spark), ["nation_7", "nation_3", None, "atlantis"], ["nation_8"]).withColumn("value", F.col("value").cast("double"))
 
 
+@register("s05_read_partition_pairs", "SELECT year, lower(donor_name) AS donor_slug, lower(recipient_name) AS recipient_slug, sum(value)::DOUBLE AS value FROM flows WHERE (donor_code + recipient_code) % 24 = 5 GROUP BY ALL")
+def _(f, spark, sf):
+    n = tables.read(spark, sf, "nation")
+    a, b = (n.select(F.col("n_nationkey").alias(k), F.lower("n_name").alias(f"{x}_slug")) for k, x in (("d", "donor"), ("r", "recipient")))
+    chosen = (F.when((F.col("d") + F.col("r")) % 24 == 5, "asked").otherwise("other")).alias("selection")
+    # The table of selections, as a page's options would have it; pairs over two small lists of names.
+    pairs = a.select(F.explode(F.sequence(F.lit(0), F.lit(24))).alias("r"), "d", "donor_slug").join(b, "r").select(chosen, "donor_slug", "recipient_slug")
+    path = io.scratch_path(spark, "selections")
+    pairs.write.parquet(path)
+    return io.read_partition_pairs(spark, _partitioned(f, spark), spark.read.parquet(path), "asked").withColumn("value", F.col("value").cast("double"))
+
+
 @register("s06_write_csv_report", "SELECT year, donor_name, value::VARCHAR AS value FROM (SELECT year::VARCHAR AS year, donor_name, round(sum(value), 0)::BIGINT AS value FROM flows GROUP BY ALL)")
 def _(f, spark, sf):
     path = io.scratch_path(spark, "report.csv")
@@ -272,6 +284,13 @@ def _(f, spark, sf):
     return out.withColumn("value", F.col("value").cast("double")).select("year", "donor_name", "gni", "value")
 
 
+@register("j04_checked_join", f"SELECT year, donor_name, sub, sum(value)::DOUBLE AS value FROM (SELECT year, donor_name, {SQL_SUB} AS sub, value FROM flows) GROUP BY ALL")
+def _(f, spark, sf):
+    names = sub_sectors(spark).select(F.col("code").cast("int").alias("purpose_code"), F.col("name").alias("sub"))
+    out = joins.checked_join(f.select("year", "donor_name", "purpose_code", "value"), names, ["purpose_code"], "value").withColumn("sub", F.coalesce("sub", F.lit("Unallocated/unspecified")))
+    return groups.sum_by(out, ["year", "donor_name", "sub"]).withColumn("value", F.col("value").cast("double"))
+
+
 @register("j04_same_total", f", x AS (SELECT f.value FROM flows f LEFT JOIN (SELECT DISTINCT purpose_code, {SQL_SUB} AS sub FROM flows) s ON s.purpose_code = f.purpose_code), a AS (SELECT count(*) AS n, sum(value) AS t FROM flows), b AS (SELECT count(*) AS n, sum(value) AS t FROM x) SELECT a.n AS rows_before, b.n AS rows_after, a.t = b.t AS same, a.t::DOUBLE AS total_before, b.t::DOUBLE AS total_after FROM a, b")
 def _(f, spark, sf):
     named = joins.lookup(f, sub_sectors(spark), "purpose_code", "sub", "none")
@@ -502,7 +521,29 @@ def _(f, spark, sf):
 @register("a21_coverage_summary", "SELECT group_name, count(*) AS n_combos, count(*) FILTER (k < 7) AS n_incomplete FROM (SELECT group_name, year, purpose_code, channel_code, count(*) AS k FROM seen JOIN mem ON donor_code = member_code GROUP BY ALL) GROUP BY group_name", COVER_SQL)
 def _(f, spark, sf):
     members = N.groups_table(spark, {"Seven": MEMBERS, "Gone": (99,)})
-    return groups.coverage_summary(f, members, "donor_code", ["year", "purpose_code", "channel_code"])
+    return groups.coverage_summary(f, members, "donor_code", ["year", "purpose_code", "channel_code"]).select("group_name", "n_combos", "n_incomplete")
+
+
+MANY = {"Seven": MEMBERS, "Most": tuple(range(20)), "Hundred": tuple(range(-60, 40))}
+
+
+@register(
+    "a21_coverage_gaps",
+    """SELECT group_name, n_combos, n_incomplete, coalesce(never, '') AS never, coalesce(worst, '') AS worst FROM (
+  SELECT group_name, any_value(n_combos) AS n_combos, any_value(n_incomplete) AS n_incomplete, string_agg(member_code::VARCHAR, ',' ORDER BY member_code) FILTER (n = 0) AS never, string_agg(member_code || ':' || (n_combos - n), ',' ORDER BY n, member_code DESC) FILTER (k <= 5) AS worst
+  FROM (SELECT *, CASE WHEN n > 0 AND n < n_combos THEN row_number() OVER (PARTITION BY group_name, n > 0 AND n < n_combos ORDER BY n, member_code DESC) END AS k FROM counted) GROUP BY group_name)""",
+    "mem AS (" + " UNION ALL ".join(f"SELECT '{g}' AS group_name, unnest({list(c)}) AS member_code" for g, c in MANY.items()) + """),
+here AS (SELECT DISTINCT group_name, year, recipient_code, purpose_code, member_code FROM flows JOIN mem ON donor_code = member_code),
+combos AS (SELECT group_name, year, recipient_code, purpose_code, count(*) AS k FROM here GROUP BY ALL),
+sizes AS (SELECT group_name, count(*) AS size FROM mem GROUP BY ALL),
+whole AS (SELECT group_name, count(*) AS n_combos, count(*) FILTER (k < size) AS n_incomplete FROM combos JOIN sizes USING (group_name) GROUP BY ALL),
+counted AS (SELECT m.group_name, m.member_code, n_combos, n_incomplete, count(h.year) AS n FROM mem m JOIN whole USING (group_name) LEFT JOIN here h ON h.group_name = m.group_name AND h.member_code = m.member_code GROUP BY ALL)""",
+)
+def _(f, spark, sf):
+    members = N.groups_table(spark, MANY)
+    out = groups.coverage_summary(f, members, "donor_code", ["year", "recipient_code", "purpose_code"])
+    text = F.transform("worst", lambda w: F.concat_ws(":", w["member_code"].cast("string"), w["n_missing"].cast("string")))
+    return out.select("group_name", "n_combos", "n_incomplete", F.array_join(F.col("never").cast("array<string>"), ",").alias("never"), F.array_join(text, ",").alias("worst"))
 
 
 @register("a22_aid_mix", ", w AS (SELECT year, donor_name, sum(value) AS total, sum(value) FILTER (indicator_name = 'A') AS a, sum(value) FILTER (indicator_name = 'R' AND donor_name <> 'NATION_7') AS r FROM flows GROUP BY ALL), m AS (SELECT year, sum(r) AS s FROM w WHERE donor_name <> 'NATION_7' GROUP BY year) SELECT year, donor_name, (total - coalesce(a, 0) - coalesce(CASE WHEN donor_name = 'NATION_7' AND r IS NULL THEN s ELSE r END, 0))::DOUBLE AS other FROM w JOIN m USING (year)")
@@ -530,6 +571,22 @@ def _(f, spark, sf):
     return impute.imputed_multilateral(f.where("indicator_name = 'A'"), sh, ["year", "donor_name", "purpose_code"]).withColumn("value", F.round("value", 2))
 
 
+#: nine of ten rows come through one channel
+_HOT = "CASE WHEN channel_code = 7 AND purpose_code % 3 = 0 THEN 7 ELSE 1 END"
+
+
+@register(
+    "a24_dominating_channel",
+    "SELECT g.year, g.donor_name, sh.recipient_code, sh.purpose_code, round(sum(g.v::DOUBLE * share), 2) AS value FROM (SELECT year, donor_name, channel_code, sum(value) AS v FROM hot WHERE indicator_name = 'A' GROUP BY ALL) g JOIN sh ON sh.channel_code = g.channel_code AND sh.year = g.year GROUP BY ALL",
+    f"hot AS (SELECT * REPLACE ({_HOT} AS channel_code) FROM flows), " + SHARES_SQL.replace("FROM flows", "FROM hot").replace("purpose_code", "purpose_code, recipient_code").replace("a.purpose_code, recipient_code", "a.purpose_code, a.recipient_code"),
+)
+def _(f, spark, sf):
+    hot = f.withColumn("channel_code", F.expr(_HOT))
+    sh = impute.channel_spending_shares(hot.where("indicator_name = 'R'"))
+    out = impute.imputed_multilateral(hot.where("indicator_name = 'A'"), sh, ["year", "donor_name", "recipient_code", "purpose_code"], pairs_per_task=2000)
+    return out.withColumn("value", F.round("value", 2))
+
+
 @register("a26_combine_indicators", "SELECT year, donor_name, 'Total' AS indicator_name, sum(value)::DOUBLE AS value FROM flows GROUP BY ALL")
 def _(f, spark, sf):
     return groups.combine_indicators(f, ["year", "donor_name", "indicator_name"], "Total").withColumn("value", F.col("value").cast("double"))
@@ -942,6 +999,34 @@ def _(f, spark, sf):
     return io.load_manifest(spark, path).where(F.lit(none == 0)).select("release", "dimension", "key", "key2", "total", "n")
 
 
+DOCUMENT_SQL = f"rows AS (SELECT 'r1' AS release, * FROM ({AGG_SQL})), late AS (SELECT * FROM flows WHERE year > 1997), rows2 AS (SELECT 'r2' AS release, * FROM ({AGG_SQL.replace('FROM flows', 'FROM late')}))"
+_STATS_SQL = "SELECT {r} AS release, unnest(['row_count', 'year 0', 'year 1', 'min', 'max', 'median']) AS section, NULL AS name, unnest([count(*)::DOUBLE, min(year), max(year), min(value)::DOUBLE, max(value)::DOUBLE, quantile_cont(value::DOUBLE, 0.5)]) AS value FROM {t}"
+
+
+@register(
+    "s07_manifest_document",
+    f"""SELECT release, section, name, round(value, 4) AS value FROM (
+  SELECT release, 'by_' || dimension AS section, concat_ws('|', key, key2) AS name, total AS value FROM (FROM rows UNION ALL FROM rows2)
+  UNION ALL {_STATS_SQL.format(r="'r1'", t="flows")} UNION ALL {_STATS_SQL.format(r="'r2'", t="late")}
+  UNION ALL SELECT release, 'presence ' || dimension, string_agg(key, ',' ORDER BY key), count(*) FROM (FROM rows UNION ALL FROM rows2) WHERE key2 IS NULL GROUP BY ALL)""",
+    DOCUMENT_SQL,
+)
+def _(f, spark, sf):
+    """Two releases, written, read, merged and written again; one of them replaced on the way."""
+    path = io.scratch_path(spark, "document")
+    snapshot = lambda df, name: release.snapshot_release(_release(df), name, ["year"], "value")
+    late = snapshot(f.where("year > 1997"), "r2")
+    io.write_document(io.manifest_document(snapshot(f, "r1").unionByName(late.withColumn("total", F.lit(float("nan")))), "flows"), f"{path}/1")
+    merged = io.merge_documents(io.read_document(spark, f"{path}/1"), io.manifest_document(late, "flows"))
+    io.write_document(merged, f"{path}/2")
+    each = io.read_document(spark, f"{path}/2").select(F.explode("document.releases").alias("release", "r"))
+    sums = each.select("release", F.explode("r.aggregates").alias("section", "m")).select("release", "section", F.explode("m").alias("name", "value"))
+    numbers = F.map_concat(F.map_filter("r.distribution", lambda k, _: k.isin("min", "max", "median")), F.create_map(F.lit("row_count"), F.col("r.row_count").cast("double"), F.lit("year 0"), F.col("r.year_range")[0].cast("double"), F.lit("year 1"), F.col("r.year_range")[1].cast("double")))
+    stats = each.select("release", F.explode(numbers).alias("section", "value")).select("release", "section", F.lit(None).cast("string").alias("name"), "value")
+    names = each.select("release", F.explode("r.presence").alias("d", "n")).select("release", F.concat(F.lit("presence "), "d").alias("section"), F.array_join("n", ",").alias("name"), F.size("n").cast("double").alias("value"))
+    return sums.unionByName(stats).unionByName(names).withColumn("value", F.round("value", 4))
+
+
 # --- queries and reports ----------------------------------------------------------------
 
 
@@ -1124,6 +1209,33 @@ WEIGHTED_DONORS = DONORS | {"All donors": tuple(range(24))}
 _CASES = ", ".join(f"sum(w * {v}) AS {v}" for v in views.VALUES)
 
 
+MARKERS = {"1-URGENT": "Principal", "2-HIGH": "Significant", "3-MEDIUM": "Not targeted", "4-NOT SPECIFIED": "Not screened", "5-LOW": "Not targeted"}
+_MARKER_SQL = "CASE marker " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MARKERS.items()) + " END"
+ITEMS = {1: "Total ODA", 2: "Bilateral", 3: "Refugees", 12: "Bilateral"}
+
+
+@register(
+    "vw1_financing_spliced",
+    f""", raw AS (SELECT year, donor_code, channel_code AS item, indicator_name AS m, value FROM flows UNION ALL SELECT year, donor_code, 12, indicator_name, value FROM flows WHERE channel_code = 2 AND donor_code % 2 = 0),
+cells AS (SELECT year, donor_code, CASE item WHEN 1 THEN 'Total ODA' WHEN 3 THEN 'Refugees' ELSE 'Bilateral' END AS i, item, sum(value) AS v FROM raw WHERE item IN (1, 2, 3, 12) AND CASE WHEN year < 1998 OR item = 3 THEN m = 'N' ELSE m = 'A' END GROUP BY ALL),
+kept AS (SELECT year, donor_code, i, arg_min(v, item) AS v FROM cells GROUP BY ALL), g AS (SELECT year, donor_code, sum(value) AS v FROM flows WHERE channel_code = 1 AND indicator_name = 'R' GROUP BY ALL),
+parts AS (FROM kept UNION ALL SELECT year, donor_code, 'Grants', v FROM g UNION ALL SELECT k.year, k.donor_code, 'Non-grants', k.v - g.v FROM kept k JOIN g USING (year, donor_code) WHERE i = 'Total ODA'),
+money AS (SELECT p.year, p.donor_code, i, {", ".join(f"v{'' if v == 'value_usd_current' else f' * t.{v.replace("value", "rate")}'} AS {v}" for v in views.VALUES)} FROM parts p JOIN rates t ON t.donor_code = p.donor_code AND t.year = p.year),
+dw AS (SELECT g, code, 1::DECIMAL(3,2) AS w, NULL::INTEGER AS year FROM dl UNION ALL SELECT 'Bloc', n_nationkey, 1, NULL FROM nation WHERE n_nationkey IN {_isin(MEMBERS)} UNION ALL SELECT 'Bloc', 24, CASE WHEN year < 2000 THEN (year - 1990) * 0.1::DECIMAL(3,2) ELSE 1 END, year FROM years),
+x AS (SELECT b.year, d.g AS donor_name, i AS indicator_name, {_CASES} FROM money b JOIN dw d ON d.code = donor_code AND coalesce(d.year, b.year) = b.year GROUP BY ALL),
+gg AS (SELECT year, g AS donor_name, sum(value) AS gni FROM gni JOIN (FROM dl UNION ALL SELECT 'Bloc', n_nationkey FROM nation WHERE n_nationkey IN {_isin(MEMBERS)}) ON code = donor_code GROUP BY ALL)
+SELECT x.year, x.donor_name, x.indicator_name, CASE WHEN x.year < 1998 THEN 'Flows' ELSE 'Grant equivalents' END AS type, {", ".join(f"(round(x.{v}, 2)::DECIMAL(18,2) * 100)::BIGINT AS {v}" for v in views.VALUES)},
+  round(x.value_usd_current::DOUBLE / t.value_usd_current::DOUBLE, 6) AS pct_of_total_oda, round(x.value_usd_current::DOUBLE / gg.gni::DOUBLE, 5) AS pct_of_gni
+FROM x LEFT JOIN x t ON t.year = x.year AND t.donor_name = x.donor_name AND t.indicator_name = 'Total ODA' LEFT JOIN gg ON gg.year = x.year AND gg.donor_name = x.donor_name""",
+    BOTH_SQL,
+)
+def _(f, spark, sf):
+    raw = f.select("year", "donor_code", "donor_name", F.col("channel_code").alias("item_code"), F.element_at(F.create_map(*[F.lit(x) for x in ("N", "net", "A", "grant_equivalent", "R", "grants")]), F.col("indicator_name")).alias("measure"), "value")
+    raw = raw.unionByName(raw.where("item_code = 2 and donor_code % 2 = 0").withColumn("item_code", F.lit(12)))
+    weights = spark.createDataFrame([(y, Decimal(y - 1990) / 10) for y in range(1990, 2000)], "year int, weight decimal(3,2)")
+    return views.whole_financing_view(raw, tables.rates(spark, sf), tables.gni(spark, sf), spark.createDataFrame(list(ITEMS.items()), "code int, name string"), settings(), BLOC, weights, in_donor=[3])
+
+
 @register(
     "vw2_recipients_weighted",
     f""", b AS (SELECT year, donor_code, recipient_code, indicator_name, {_SUMS} FROM conv GROUP BY ALL), factors AS (SELECT year, CASE WHEN year < 2000 THEN (year - 1990) * 0.1::DECIMAL(3,2) ELSE 1 END AS w FROM years),
@@ -1150,6 +1262,30 @@ SEEN_SQL = """seen_rows AS (SELECT recipient_code, year, CASE WHEN channel_code
 ), rly AS (SELECT recipient_code, year, unnest(list_distinct(list_filter(["""
 
 
+_RLY_SQL = SEEN_SQL + (
+    "'All recipients', recipient_name, income, CASE WHEN region NOT IN ('AFRICA', 'Greater Asia') THEN region END, CASE WHEN region IN ('ASIA', 'MIDDLE EAST', 'Greater Asia') THEN 'Greater Asia' WHEN region = 'AFRICA' THEN 'AFRICA' END"
+    + "".join(f", CASE WHEN recipient_code IN {_isin(c)} THEN '{g}' END" for g, c in RECIPIENTS.items())
+    + "], lambda q: q IS NOT NULL))) AS g FROM attr)"
+)
+SENTINELS = {"recipient_name": "Unnamed", "region": "No region"}
+
+
+def _seen(f):
+    return f.where("year < 2000 and recipient_code <> 6").select("recipient_code", "year", "recipient_name", "income_group", F.when(F.col("channel_code") == 7, "AMERICA").otherwise(F.col("region")).alias("region"))
+
+
+@register(
+    "vw3_marker_classified",
+    f""", cells AS (SELECT year, donor_code, recipient_code, {_MARKER_SQL} AS indicator_name, sum(value) AS v FROM flows WHERE donor_code <> 2 GROUP BY ALL HAVING sum(value) <> 0),
+x AS (SELECT c.year, d.g AS donor_name, r.g AS recipient_name, indicator_name, {", ".join(f"sum(v{'' if v == 'value_usd_current' else f' * t.{v.replace("value", "rate")}'}) AS {v}" for v in views.VALUES)} FROM cells c JOIN rates t ON t.donor_code = c.donor_code AND t.year = c.year JOIN dl d ON d.code = c.donor_code JOIN rly r ON r.recipient_code = c.recipient_code AND r.year = c.year GROUP BY ALL)
+SELECT year, donor_name, recipient_name, indicator_name, {_UNITS}, round(value_usd_current::DOUBLE / sum(value_usd_current) OVER (PARTITION BY year, donor_name, recipient_name)::DOUBLE, 6) AS pct_of_total_oda FROM x""",
+    BOTH_SQL + ", " + _RLY_SQL,
+)
+def _(f, spark, sf):
+    raw = f.select("year", "donor_code", "donor_name", "recipient_code", "marker", "value")
+    return views.whole_marker_view(raw, tables.rates(spark, sf), _seen(f), settings(), MARKERS, SENTINELS, donors=[k for k in range(25) if k != 2])
+
+
 @register(
     "vw4_sectors_with_bloc",
     f""", cells AS (
@@ -1167,15 +1303,11 @@ SELECT x.year, x.donor_name, x.recipient_name, indicator_name, CASE sub_sector_n
   round(value_usd_current::DOUBLE / a.t::DOUBLE, 6) AS pct_of_recipient, round(value_usd_current::DOUBLE / b.t::DOUBLE, 6) AS pct_of_donor,
   trim(regexp_replace(lower(x.donor_name), '[^a-z0-9]+', '-', 'g'), '-') AS donor_slug, trim(regexp_replace(lower(x.recipient_name), '[^a-z0-9]+', '-', 'g'), '-') AS recipient_slug
 FROM x LEFT JOIN a ON a.year = x.year AND a.recipient_name = x.recipient_name LEFT JOIN b ON b.year = x.year AND b.donor_name = x.donor_name""",
-    BOTH_SQL + ", " + SEEN_SQL
-    + "'All recipients', recipient_name, income, CASE WHEN region NOT IN ('AFRICA', 'Greater Asia') THEN region END, CASE WHEN region IN ('ASIA', 'MIDDLE EAST', 'Greater Asia') THEN 'Greater Asia' WHEN region = 'AFRICA' THEN 'AFRICA' END"
-    + "".join(f", CASE WHEN recipient_code IN {_isin(c)} THEN '{g}' END" for g, c in RECIPIENTS.items())
-    + "], lambda q: q IS NOT NULL))) AS g FROM attr)",
+    BOTH_SQL + ", " + _RLY_SQL,
 )
 def _(f, spark, sf):
     part = lambda i: f.where(F.col("indicator_name") == i).select("year", "donor_code", "donor_name", "recipient_code", "channel_code", "purpose_code", "value")
-    seen = f.where("year < 2000 and recipient_code <> 6").select("recipient_code", "year", "recipient_name", "income_group", F.when(F.col("channel_code") == 7, "AMERICA").otherwise(F.col("region")).alias("region"))
-    return views.whole_sectors_view(part("A").drop("channel_code"), part("R").drop("donor_name"), tables.rates(spark, sf), seen, sub_sectors(spark), sectors(spark), settings(), BLOC, {"recipient_name": "Unnamed", "region": "No region"})
+    return views.whole_sectors_view(part("A").drop("channel_code"), part("R").drop("donor_name"), tables.rates(spark, sf), _seen(f), sub_sectors(spark), sectors(spark), settings(), BLOC, SENTINELS)
 
 
 @register(

@@ -104,7 +104,7 @@ def write_single_parquet(df: DataFrame, path: str, level: int = 9) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str], level: int = 9, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Hive partitions. Rows of a folder meet in one task unless they are many: adaptive execution splits what is over its advisory size, so a folder that holds most rows is written by many tasks, and a small one is one file."""
+    """Hive partitions. Rows of a folder meet in one task unless they are many: adaptive execution splits what is over its advisory size, so a folder that holds most rows is written by many tasks; small folders are one file each, but for those whose shuffle partition such a folder shares."""
     require_columns(df, partition_cols)
     placed = df.hint("rebalance", *partition_cols).sortWithinPartitions(*partition_cols)
     _writer(placed, level).option("maxRecordsPerFile", rows_per_file).partitionBy(*partition_cols).parquet(path)
