@@ -37,6 +37,8 @@ COORDINATES_FROM = 0.5
 FOCUS, LOOK = 4, 8
 #: no bound yet
 NONE = np.iinfo(np.int64).min
+#: products that don't fit
+TOO_LOW, TOO_HIGH = NONE + 1, np.iinfo(np.int64).max
 _ROUNDING = 1e-9
 
 _BLOCK_COLUMNS = "part int, seq int, uids array<long>, ids array<long>, vecs binary, width int, dim int, longest double"
@@ -108,13 +110,25 @@ def _ids(listed) -> tuple[np.ndarray, np.ndarray]:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows: in doubles while every sum fits into 53 bits, else in 64-bit integers."""
+    """Exact integer products of all rows; TOO_HIGH or TOO_LOW where one does not fit into 64 bits.
+
+    In doubles while every sum fits into 53 bits, else in 64-bit integers, whose sums
+    are right but for multiples of 2^64. Where sums could be that large, doubles tell
+    which ones are, and those too near the limit to tell are added up in full.
+    """
     most = (float(np.abs(q.astype(float)).max()) if q.size else 0.0) * (float(np.abs(x.astype(float)).max()) if x.size else 0.0) * max(1, q.shape[1])
     if most < 2.0**53:
         return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    out = q @ x.T
     if most < 2.0**63:
-        return q @ x.T
-    raise OverflowError("products of these vectors may not fit into 64 bits")
+        return out
+    a, b = q.astype(np.float64), x.astype(np.float64).T
+    near, off = a @ b, (np.abs(a) @ np.abs(b)) * (q.shape[1] + 4) * 2.0**-52
+    fits = np.abs(near) + off < 2.0**63
+    out[~fits] = np.where(near[~fits] > 0, TOO_HIGH, TOO_LOW)
+    for i, j in zip(*np.nonzero(~fits & (np.abs(near) - off < 2.0**63)), strict=True):
+        out[i, j] = min(max(sum(int(u) * int(v) for u, v in zip(q[i], x[j], strict=True)), TOO_LOW), TOO_HIGH)
+    return out
 
 
 def best(score: np.ndarray, ids: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
@@ -223,14 +237,14 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     go to the smaller vec_id, null last. Vectors that are null or have null or
     non-finite components take no part; a null vec_id is no query. A shorter vector
     has zeros for what it lacks. Fewer than ``k`` candidates give fewer rows, an empty
-    table none. A scaled component beyond 64 bits raises OverflowError, and so do two
-    blocks of vectors whose greatest components times their number could make a
-    product of 2^63 or more: scores are 64-bit integers, and none is rounded.
+    table none. Scores are 64-bit integers, and none is rounded: a scaled component, or
+    a score of the result, that does not fit raises OverflowError. Products that
+    don't fit and are not returned, as a long query's with itself, do no harm.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     base = cut(base.mapInArrow(_integer_vectors(scale), "vec_id long, vec array<long>, norm double").withColumn("uid", F.monotonically_increasing_id()))
     is_query = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
-    total = base.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
+    total = base.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max("norm").alias("longest")).first()
     order = [F.desc("norm"), F.asc("uid")]
 
     def packed(rows: DataFrame, n: int, size: int) -> DataFrame:
@@ -265,6 +279,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
         began, step = began + step, step * growth
     if top is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # No product exceeds the lengths' own.
+    if total["longest"] ** 2 * (1 + _ROUNDING) >= 2.0**63 and top.where(F.col("score").isin(int(TOO_LOW), int(TOO_HIGH))).limit(1).count():
+        raise OverflowError("a score does not fit into 64 bits")
     return top.select("query_id", "rank", "vec_id", "score")
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flowjobs.llm import quality, topk, toxicity
@@ -97,6 +98,20 @@ def test_top_k(spark):
     assert list(map(tuple, topk.top_k(few).collect())) == [(0, 1, 1, 256 * 512)]
 
 
+def test_scores_near_64_bits(spark):
+    of = lambda rows: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    # The product of 50 with itself does not fit, and is not asked for.
+    rows = [(0, (2**30, 0)), (1, (0, 2**30)), (2, (1, 1)), (50, (2**32, 5)), (3, (-(2**30), 7))]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(of(rows), scale=1).collect()}
+    assert got == {(i, j): sum(a * b for a, b in zip(u, v, strict=True)) for i, u in rows if i % 50 == 0 for j, v in rows if i != j}
+    with pytest.raises(OverflowError, match="score"):
+        topk.top_k(of([*rows, (4, (2**31, 0))]), scale=1)
+    rnd = np.random.default_rng(2)
+    q, x = (rnd.integers(-(2**32), 2**32, (20, 3)) for _ in range(2))
+    exact = [[min(max(sum(int(a) * int(b) for a, b in zip(u, v, strict=True)), topk.TOO_LOW), topk.TOO_HIGH) for v in x] for u in q]
+    assert topk.products(q, x).tolist() == exact
+
+
 def test_pruning_never_loses():
     rnd = np.random.default_rng(1)
     for _ in range(50):
