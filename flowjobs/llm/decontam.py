@@ -29,12 +29,25 @@ RUN_TOKENS, SHARE = 13, 0.5
 #: up to so many benchmark windows travel to the tasks as a filter (8 bytes each)
 FILTER_WINDOWS = 2_000_000
 
-#: Units, fixed values.
+#: Units in four languages, singular and plural, fixed values.
 UNITS = (
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces ton tons "
-    "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
-    "cent cents dollar dollars euro euros usd eur gbp percent degree degrees mph kmh kph watt watts volt volts joule joules hertz hz kw kwh gb mb kb"
+    "mm cm dm m km millimeter millimeters millimetre millimetres centimeter centimeters centimetre centimetres meter meters metre metres kilometer kilometers kilometre kilometres inch inches foot feet yard yards mile miles "
+    "mg g kg gram grams gramme grammes kilogram kilograms kilogramme kilogrammes kilo kilos pound pounds ounce ounces ton tons tonne tonnes ml cl l milliliter milliliters liter liters litre litres gallon gallons cup cups "
+    "ms second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros pound pounds usd eur gbp percent degree degrees mph kmh kph "
+    "watt watts kilowatt kilowatts volt volts amp amps joule joules calorie calories hertz hz kw kwh bit bits byte bytes gb mb kb "
+    "metern kilometern zentimeter zoll meile meilen gramm kilogramm pfund tonnen litern sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad "
+    "mètre mètres kilomètre kilomètres centimètre centimètres litres seconde secondes heure heures jour jours semaine semaines mois an ans année années degré degrés "
+    "metro metros kilómetro kilómetros centímetro centímetros milla millas gramo gramos kilogramo kilogramos tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados"
 ).split()
+#: Numbers that are written out, fixed values; words that often mean something else are left out.
+NUMBER_WORDS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze quinze vingt trente quarante cinquante soixante "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce quince veinte treinta cuarenta cincuenta sesenta"
+).split()
+#: an alignment may fill one name in so many plain tokens differently
+NAMES_EVERY = 4
 _NUMBER, _NAME, _UNIT = (W.mix(np.array([i], np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))[0] for i in (1, 2, 3))
 _BY_VALUE = np.uint64(0x5851F42D4C957F2D)
 _SENTENCE_END = np.zeros(256, bool)
@@ -45,12 +58,16 @@ _JOINT = np.zeros(256, bool)
 _JOINT[[ord(c) for c in ".,"]] = True
 
 
-def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
-    return np.sort(W.word_hashes(data, W.split(data, np.array([0, len(data)]), W.ALNUM)))
+def _hashes_of(words) -> np.ndarray:
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return np.unique(W.word_hashes(data, W.split(data, np.array([0, len(data)]), W.ALNUM)))
+
+
+_UNIT_HASHES, _WRITTEN_OUT = _hashes_of(UNITS), _hashes_of(NUMBER_WORDS)
 
 
-_UNIT_HASHES = _unit_hashes()
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 @dataclass
@@ -86,6 +103,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     start, end, number, row, same = start[lead], end[last], number[lead], row[lead], same[lead]
     words = W.Words(start, end, np.searchsorted(start, offsets))
     value = W.Hasher(low).ranges(start, end)
+    number = number | _among(value, _WRITTEN_OUT)
     stops = np.append(0, np.cumsum(_SENTENCE_END[data]))
     inside = same.copy()
     inside[1:] &= stops[start[1:]] == stops[end[:-1]]
@@ -93,10 +111,9 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     second = data[np.minimum(start + 1, len(data) - 1)]
     capital = upper & (end - start > 1) & ~((second >= 0x41) & (second <= 0x5A)) & ~number
     name = inside & capital
-    at = np.searchsorted(_UNIT_HASHES, value)
     unit = np.zeros(len(start), bool)
     unit[1:] = same[1:] & number[:-1]
-    unit &= _UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == value
+    unit &= _among(value, _UNIT_HASHES) & ~number
     token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
     return Templates(words, token, value, number | unit | name, capital & ~inside)
 
@@ -232,12 +249,20 @@ def _filter(spark: SparkSession, items: DataFrame) -> tuple[np.ndarray | None, l
 
 
 def _alignments(joined: DataFrame, run_tokens: int, share: float) -> DataFrame:
-    """The alignments of ``joined`` windows that are long enough and fill their slots consistently."""
+    """The alignments of ``joined`` windows that are long enough and fill their slots consistently.
+
+    One value of the item never stands for two of the text, and two names of the item
+    never for one; numbers may coincide. Where a text calls things by other names, the
+    plain tokens must be NAMES_EVERY times as many as the names: else, as where nouns
+    have capitals, it is another text of the same form.
+    """
     where = ["doc_id", "uid", "item_id", "item", "diagonal"]
     slots = joined.where(F.size("item_vals") > 0).select(*where, F.explode(F.arrays_zip("item_vals", "doc_vals", "names")).alias("s"))
     same = F.col("s.doc_vals") == F.col("s.item_vals")
     slots = slots.groupBy(*where, "s.item_vals").agg(F.min("s.doc_vals").alias("lo"), F.max("s.doc_vals").alias("hi"), F.min(same).alias("same"), F.min(same | ~F.col("s.names")).alias("same_names"))
-    slots = slots.groupBy(*where).agg(F.max(F.col("lo") != F.col("hi")).alias("clash"), F.min("same").alias("same"), F.min("same_names").alias("same_names"))
+    names = joined.where(F.exists("names", lambda x: x)).select(*where, F.explode(F.arrays_zip("item_vals", "doc_vals", "names")).alias("s")).where("s.names")
+    merged = names.groupBy(*where, "s.doc_vals").agg((F.min("s.item_vals") != F.max("s.item_vals")).alias("merged")).groupBy(*where).agg(F.max("merged").alias("merged"))
+    slots = slots.groupBy(*where).agg(F.max(F.col("lo") != F.col("hi")).alias("clash"), F.min("same").alias("same"), F.min("same_names").alias("same_names"), F.count_if(~F.col("same_names")).alias("renamed"))
     # Runs along an alignment: windows that overlap or touch.
     along = Window.partitionBy(*where).orderBy("pos")
     seen = joined.groupBy(*where, "pos").agg(F.max(F.col("pos") + F.col("length")).alias("end"), F.max("tokens").alias("tokens"), F.min("before").alias("before"), F.max("until").alias("until"))
@@ -247,7 +272,9 @@ def _alignments(joined: DataFrame, run_tokens: int, share: float) -> DataFrame:
     length = F.col("to") - F.col("from")
     lines = runs.groupBy(*where).agg(F.max(length).alias("run_tokens"), F.sum(length).alias("covered"), F.min("from").alias("from"), F.max("tokens").alias("tokens"), F.sum("plain").alias("plain"))
     on = [F.col(f"l.{c}") == F.col(f"s.{c}") for c in ("uid", "item", "diagonal")]
-    lines = lines.alias("l").join(slots.alias("s"), on, "left").where(~F.coalesce("s.clash", F.lit(False)))
+    also = [F.col(f"l.{c}") == F.col(f"m.{c}") for c in ("uid", "item", "diagonal")]
+    lines = lines.alias("l").join(slots.alias("s"), on, "left").join(merged.alias("m"), also, "left").where(~F.coalesce("s.clash", F.lit(False)) & ~F.coalesce("m.merged", F.lit(False)))
+    lines = lines.where(F.coalesce("s.renamed", F.lit(0)) * NAMES_EVERY <= F.col("l.plain"))
     yes = F.lit(True)
     lines = lines.select("l.*", F.coalesce("s.same", yes).alias("verbatim"), F.coalesce("s.same_names", yes).alias("same_names"), (F.col("l.covered") / F.col("l.tokens")).alias("share"))
     return lines.where((F.col("run_tokens") >= run_tokens) | (F.col("share") >= share))
@@ -279,7 +306,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     along one alignment with consistent slots, a run of ``run_tokens`` of its
     template tokens or ``share`` of them (at least one window) stands in the text.
     An item's capitalised first token matches as a word and as a name, since it is
-    one where the item stands within a sentence. All windows count, however many of
+    one where the item stands within a sentence. A name is a capitalised word: texts
+    that write names in small letters are found only with the item's own. All windows count, however many of
     their tokens are placeholders. So that no clean text is taken for a copy, one of
     these must hold too: the alignment's rich windows alone are that long; all slots
     hold the item's own values; ``window`` of its tokens are plain; the whole item

@@ -16,12 +16,14 @@ def template(text):
     low = raw.translate(LOW)
     spans = [m.span() for m in WORD.finditer(low)]
     number = lambda s, e: chr(low[s]).isdigit() and sum(48 <= b < 58 for b in low[s:e]) * 2 >= e - s
+    written = {w.encode() for w in decontam.NUMBER_WORDS}
     joined = []
     for s, e in spans:
         if joined and joined[-1][2] and number(s, e) and s - joined[-1][1] == 1 and low[s - 1 : s] in (b".", b","):
             joined[-1] = (joined[-1][0], e, True)
         else:
             joined.append((s, e, number(s, e)))
+    joined = [(s, e, num or low[s:e] in written) for s, e, num in joined]
     out = []
     for i, (s, e, num) in enumerate(joined):
         value = low[s:e]
@@ -59,11 +61,13 @@ def leaks(docs, items, run_tokens=decontam.RUN_TOKENS, share=decontam.SHARE):
                     if tokens[p : p + k] == window:
                         lines[p - i].add((i, k))
             for diagonal, found in lines.items():
-                values, clash = {}, False
+                values, clash, names = {}, False, {}
                 for i, k in found:
                     for j in range(i, i + k):
                         if t[j][2] and values.setdefault(t[j][1], d[j + diagonal][1]) != d[j + diagonal][1]:
                             clash = True
+                        if t[j][0] == "<name>" and names.setdefault(d[j + diagonal][1], t[j][1]) != t[j][1]:
+                            clash = True
                 if clash:
                     continue
                 runs = []
@@ -73,6 +77,9 @@ def leaks(docs, items, run_tokens=decontam.RUN_TOKENS, share=decontam.SHARE):
                     else:
                         runs.append((i, i + k))
                 run, covered = max(b - a for a, b in runs), sum(b - a for a, b in runs)
+                renamed = {x for y, x in names.items() if y != x}
+                if decontam.NAMES_EVERY * len(renamed) > sum(not t[j][2] for a, b in runs for j in range(a, b)):
+                    continue
                 if run >= run_tokens or covered / len(t) >= share:
                     out[doc, item] = max(out.get((doc, item), (0, 0)), (round(covered / len(t), 6), run))
     return out
