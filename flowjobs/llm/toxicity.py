@@ -19,9 +19,10 @@ from . import words as W
 from .quality import _known, _sigmoid, held_out
 from .tables import cut
 
-#: at most so many labelled rows fit the model, on so many features at most
-SAMPLE, FEATURES = 20_000, 4_000
-MIN_ROWS = 4
+#: at most so many labelled rows fit the model
+SAMPLE = 20_000
+#: a feature counts if its log odds are so many standard deviations from none
+TELLING = 2.5
 THRESHOLD = 0.5
 PENALTY = 1.0
 #: beginnings of words, in bytes, that are counted up to LEVELS times
@@ -183,7 +184,7 @@ def fit(x: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int, np.ndarray]
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, held: tuple[int, int], sample: int, features: int, penalty: float) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held: tuple[int, int], sample: int, telling: float, penalty: float) -> Model:
     known = _known(labels, "toxic", held, sample, F.max)
     # At most ``sample`` ids. Of rows with one id one text is learned from, that with the lowest hash: so many rows at most, whatever repeats.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
@@ -193,11 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, held: tuple[int, int], sample: int
     n, pos = totals["n"], totals["pos"] or 0.0
     if not n or not 0 < pos < n:
         return Model(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0), 0.0 if not n else (9.0 if pos else -9.0))
-    by = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).where(F.col("n") >= MIN_ROWS)
+    by = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     p, q = (F.col("pos") + 0.5), (F.col("n") - F.col("pos") + 0.5)
     lift = F.log(p / F.lit(pos) / (q / F.lit(n - pos)))
-    chosen = by.select("f", "pos", "n", (F.abs(lift) / F.sqrt(1 / p + 1 / q)).alias("z")).orderBy(F.desc("z"), "f").limit(features)
-    chosen = np.sort(np.array([r[0] for r in chosen.select("f").collect()], np.int64).view(np.uint64))
+    chosen = by.where(F.abs(lift) / F.sqrt(1 / p + 1 / q) >= telling).select("f")
+    # Features of the sampled rows alone.
+    chosen = np.sort(chosen.toArrow().column("f").to_numpy().view(np.uint64))
     if not len(chosen):
         return Model(chosen, chosen, np.zeros(0), float(np.log(pos / (n - pos))))
 
@@ -221,19 +223,19 @@ def train(docs: DataFrame, labels: DataFrame, held: tuple[int, int], sample: int
     return Model(_marks(chosen), chosen, weights, bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (5, 0), sample: int = SAMPLE, features: int = FEATURES, penalty: float = PENALTY, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (5, 0), sample: int = SAMPLE, telling: float = TELLING, penalty: float = PENALTY, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs`` (doc_id, text).
 
     ``labels`` has doc_id and toxic, 1 for toxic text; the highest counts where an id
     has several. Ids with crc32 % held[0] == held[1] are never learned from. The fit
-    takes at most ``sample`` labelled ids, one text each, and the ``features`` features
-    that tell most, of those that MIN_ROWS of these texts have. Repeated rows are
+    takes at most ``sample`` labelled ids, one text each, and all features whose log
+    odds in these texts differ from none by ``telling`` standard deviations. Repeated rows are
     scored each; an empty table gives no rows.
     score is the chance that the label is 1; predicted is 1 from ``threshold`` on.
     Null and empty texts score the bias alone; so do all texts where no row is
     labelled or all are labelled alike. Only the text is an input of a score.
     """
-    model = train(docs, labels, held, sample, features, penalty)
+    model = train(docs, labels, held, sample, telling, penalty)
 
     def score(batches):
         for batch in batches:

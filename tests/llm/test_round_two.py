@@ -97,7 +97,7 @@ def test_toxicity_score_matches_plain_python(spark):
     rows = [(i, " ".join(rnd.choice(words) for _ in range(12)) + (" stupid idiots" if i % 3 == 0 else "")) for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = toxicity.train(docs, labels, (5, 0), 1000, 200, 1.0)
+    model = toxicity.train(docs, labels, (5, 0), 1000, toxicity.TELLING, 1.0)
     weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
 
     def feature(part: bytes, kind: int, level: int) -> int:
@@ -113,7 +113,7 @@ def test_toxicity_score_matches_plain_python(spark):
                     z += weight.get(feature(part, kind, level), 0.0)
         return 1 / (1 + math.exp(-z))
 
-    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels, sample=1000, features=200).collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels, sample=1000).collect()}
     assert all(abs(got[i] - plain(t)) < 1e-9 for i, t in rows)
 
 
