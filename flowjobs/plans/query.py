@@ -20,9 +20,13 @@ def drill_down(view: DataFrame, donor: str, indicators: Sequence[str], currency:
     return view.where(keep).select(*names, to_millions(F.col(f"value_{currency}_{price}")).alias("value"), *shares)
 
 
-def sector_series(view: DataFrame, donor: str, recipient: str, indicators: Sequence[str], currency: str, price: str, years: tuple[int, int], combined: str = "Total") -> DataFrame:
-    """Values, US dollar values and both shares by year, sector and sub-sector; several indicators become one under ``combined``."""
-    rows = view.where((F.col("donor_name") == donor) & (F.col("recipient_name") == recipient) & F.col("indicator_name").isin(list(indicators)) & F.col("year").between(*years))
+def sector_series(view: DataFrame, donor: str | None, recipient: str | None, indicators: Sequence[str], currency: str, price: str, years: tuple[int, int] | None = None, combined: str = "Total") -> DataFrame:
+    """Values, US dollar values and both shares by year, donor, recipient, sector and sub-sector; several indicators become one under ``combined``. None asks for all donors, recipients or years."""
+    rows = view.where(F.col("indicator_name").isin(list(indicators)))
+    for name, wanted in (("donor_name", donor), ("recipient_name", recipient)):
+        rows = rows if wanted is None else rows.where(F.col(name) == wanted)
+    if years is not None:
+        rows = rows.where(F.col("year").between(*years))
     if len(indicators) > 1:
         rows = rows.withColumn("indicator_name", F.lit(combined))
     values = {"value": f"value_{currency}_{price}", "value_usd": f"value_usd_{price}"}

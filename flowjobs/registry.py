@@ -10,7 +10,7 @@ import dataclasses
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -426,7 +426,8 @@ def _(f, spark, sf):
 
 SERIES_SQL = f"""sv AS (SELECT year, donor_name, recipient_name, indicator_name, CASE s WHEN 'Food' THEN 'Production' WHEN 'Unallocated/unspecified' THEN NULL ELSE 'Social' END AS sector_name, s AS sub_sector_name, sum(value) AS value
   FROM (SELECT *, {SQL_SUB} AS s FROM flows) GROUP BY ALL
-), ser AS (SELECT year, donor_name, recipient_name, 'Both' AS indicator_name, sector_name, sub_sector_name, sum(value)::DOUBLE / 1e6 AS value FROM sv WHERE donor_name = 'NATION_7' AND recipient_name IN ('NATION_3', 'NATION_8', 'NATION_12') AND recipient_name = 'NATION_3' AND indicator_name IN ('A', 'N') AND year BETWEEN 1996 AND 2000 GROUP BY ALL)"""
+), shared AS (SELECT *, value::DOUBLE / sum(value) OVER (PARTITION BY year, donor_name)::DOUBLE AS d, value::DOUBLE / sum(value) OVER (PARTITION BY year, recipient_name)::DOUBLE AS r FROM sv
+), ser AS (SELECT year, donor_name, recipient_name, 'All' AS indicator_name, sector_name, sub_sector_name, sum(value)::DOUBLE / 1e6 AS value, sum(d) AS d, sum(r) AS r FROM shared GROUP BY ALL)"""
 
 
 def _sector_rows(f, spark):
@@ -436,13 +437,15 @@ def _sector_rows(f, spark):
 
 
 def _series(f, spark):
-    rows = _sector_rows(f, spark).withColumns({"value_usd_current": F.col("value"), "value_eur_current": F.col("value"), "pct_of_donor": F.lit(0.5), "pct_of_recipient": F.lit(0.25)})
-    return query.sector_series(rows, "NATION_7", "NATION_3", ["A", "N"], "eur", "current", (1996, 2000), "Both")
+    """The series of all donors and recipients, with the shares that a view has."""
+    share = lambda c: F.col("value").cast("double") / F.sum("value").over(Window.partitionBy("year", c)).cast("double")
+    rows = _sector_rows(f, spark).withColumns({"value_usd_current": F.col("value"), "value_eur_current": F.col("value"), "pct_of_donor": share("donor_name"), "pct_of_recipient": share("recipient_name")})
+    return query.sector_series(rows, None, None, ["A", "N", "R"], "eur", "current", combined="All")
 
 
-@register("a11_sector_series", "SELECT year, donor_name, recipient_name, indicator_name, sector_name, sub_sector_name, round(value, 6) AS value FROM ser", SERIES_SQL)
+@register("a11_sector_series", "SELECT year, donor_name, recipient_name, indicator_name, sector_name, sub_sector_name, round(value, 6) AS value, round(d, 6) AS pct_of_donor, round(r, 6) AS pct_of_recipient FROM ser", SERIES_SQL)
 def _(f, spark, sf):
-    return _series(f, spark).select("year", "donor_name", "recipient_name", "indicator_name", "sector_name", "sub_sector_name", F.round("value", 6).alias("value"))
+    return _series(f, spark).select("year", "donor_name", "recipient_name", "indicator_name", "sector_name", "sub_sector_name", *[F.round(c, 6).alias(c) for c in ("value", "pct_of_donor", "pct_of_recipient")])
 
 
 @register("a12_sector_totals", "SELECT coalesce(sector_name, 'Other') AS sector_name, indicator_name, round(sum(value), 5) AS value FROM ser GROUP BY ALL", SERIES_SQL)
@@ -455,10 +458,10 @@ def _(f, spark, sf):
     return report.ordered_totals(query.sector_totals(_series(f, spark)), "value", "sector_name", "indicator_name").withColumn("value", F.round("value", 5))
 
 
-@register("a13_collapse_years", "SELECT year, coalesce(sector_name, 'none') AS sector_name, round(sum(value), 5) AS value FROM ser GROUP BY ALL", SERIES_SQL)
+@register("a13_collapse_years", "SELECT year, coalesce(sector_name, 'none') AS sector_name, round(sum(value), 5) AS value, round(sum(d), 6) AS pct_of_donor FROM ser GROUP BY ALL", SERIES_SQL)
 def _(f, spark, sf):
     out = query.collapse_years(_series(f, spark).withColumn("sector_name", F.coalesce("sector_name", F.lit("none"))), ["sector_name"])
-    return out.select("year", "sector_name", F.round("value", 5).alias("value"))
+    return out.select("year", "sector_name", F.round("value", 5).alias("value"), F.round("pct_of_donor", 6).alias("pct_of_donor"))
 
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")

@@ -24,6 +24,10 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+
+    from flowjobs.sources import io
+
+    io.clean(s)
     s.stop()
 
 
