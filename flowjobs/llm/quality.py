@@ -36,6 +36,8 @@ SAMPLE = 20_000
 BINS = 16
 #: steps over all unlabelled text after the first fit
 PASSES = 3
+#: steps of the fit that the prior is searched with, and of the one after it; a slope under FLAT ends both
+FIRST_STEPS, STEPS, FLAT = 150, 200, 1e-4
 RIDGE = 1e-3
 THRESHOLD = 0.7
 
@@ -135,8 +137,8 @@ def _slope_and_loss(model: Model, cells: np.ndarray) -> np.ndarray:
     return np.append(_slope(cells, _sigmoid(z)), np.logaddexp(0, z).sum())
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, edges: np.ndarray | None = None, rounds: int = 400, rate: float = 0.05, ridge: float = RIDGE) -> Model:
-    """Minimise the non-negative risk with the logistic loss, by full-batch Adam."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, edges: np.ndarray | None = None, rounds: int = 400, rate: float = 0.05, ridge: float = RIDGE, start: Model | None = None) -> Model:
+    """Minimise the non-negative risk with the logistic loss, by full-batch Adam from ``start`` on, until the slope is flat or ``rounds`` are over."""
     if edges is None:
         edges = np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.copy()
     k = positive.shape[1]
@@ -144,6 +146,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, edges: np.nd
     p, u = model.cells(positive), model.cells(unlabelled)
     flat_p, flat_u = (c + np.arange(k) * BINS for c in (p, u))
     w, m, v = (np.zeros(k * BINS + 1) for _ in range(3))
+    if start is not None:
+        w = np.append(start.weights.ravel(), start.bias)
     for step in range(1, rounds + 1):
         zp, zu = w[flat_p].sum(axis=1) + w[-1], w[flat_u].sum(axis=1) + w[-1]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -151,6 +155,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, edges: np.nd
         # A negative part under zero is overfitting: step back on it alone.
         g = -of_negative if negative < 0 else prior * _slope(p, (_sigmoid(zp) - 1) / len(zp)) + of_negative
         g += ridge * w
+        if np.abs(g).max() < FLAT:
+            break
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(edges, w[:-1].reshape(k, BINS), float(w[-1]))
@@ -256,19 +262,18 @@ def _learn(rows: DataFrame, labels: DataFrame, held: tuple[int, int], sample: in
     y, x = each.column("y").to_numpy(), _matrix(each)
     if not (y == 1).any():
         return None
-    edges = training.select(*(F.percentile_approx(F.get("features", F.lit(i)), [(j + 1) / BINS for j in range(BINS - 1)], 2000).alias(f"e{i}") for i in range(len(FEATURES)))).first()
-    edges = np.array([list(e) for e in edges], float)
-    n = training.count()
+    edges = training.select(*(F.percentile_approx(F.get("features", F.lit(i)), [(j + 1) / BINS for j in range(BINS - 1)], 2000).alias(f"e{i}") for i in range(len(FEATURES))), F.count("*").alias("n")).first()
+    n, edges = edges["n"], np.array([list(e) for e in edges[:-1]], float)
     start = training if n <= sample else training.where(F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 31)) < int((1 << 31) * 0.9 * sample / n)).limit(sample)
     started = _matrix(start.select("features").toArrow())
     positive = x[y == 1]
     # A prior of a half only starts the search for the prior.
-    first = fit(positive, started, 0.5, edges)
+    first = fit(positive, started, 0.5, edges, FIRST_STEPS)
     cells = cut(training.mapInArrow(_cells_of(first), "cells binary"))
     at = np.unique(np.quantile(first.margin(positive), np.linspace(0, 0.9, 46)))
     above = _sum(cells, lambda c: (first.margin_of(c)[:, None] >= at).sum(axis=0).astype(float), len(at))
     prior = estimated_prior((first.margin(positive)[:, None] >= at).sum(axis=0), above, len(positive), n)
-    model = fit(positive, started, prior, edges)
+    model = fit(positive, started, prior, edges, STEPS, start=first)
     p = model.cells(positive)
     mine = _slope(p, np.ones(len(p)) / len(p))
     # Steps on the risk over all rows, with the curvature of the sample.
