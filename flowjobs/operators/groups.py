@@ -52,7 +52,10 @@ def donor_labels(groups: Mapping[str, Sequence], code_col: str = "donor_code") -
     return labels_of(F.col(code_col), groups)
 
 
-def donor_group_totals(df: DataFrame, groups: Mapping[str, Sequence], keys: Sequence[str], code_col: str = "donor_code", name_col: str = "donor_name", values: Sequence[str] = ("value",)) -> DataFrame:
+def donor_group_totals(df: DataFrame, groups: Mapping[str, Sequence], keys: Sequence[str], code_col: str = "donor_code", name_col: str = "donor_name", values: Sequence[str] = ("value",), bloc: tuple[str, Sequence, Sequence] | None = None) -> DataFrame:
+    """Totals of all groups; with ``bloc`` (name, members, institutions) the plain sum of both as one more, for data in which no money is in both."""
+    if bloc is not None:
+        groups = {**groups, bloc[0]: [*bloc[1], *bloc[2]]}
     return exploded_totals(df, donor_labels(groups, code_col), keys, name_col, values, [code_col])
 
 

@@ -199,6 +199,14 @@ def _(f, spark, sf):
     return io.year_option(f, base_year=1998)
 
 
+@register(
+    "s09_options_json",
+    """SELECT '{' || string_agg('"' || option || '":[' || list || ']', ',' ORDER BY option) || '}' AS options FROM (SELECT option, string_agg('"' || value || '"', ',' ORDER BY value) AS list FROM (SELECT DISTINCT 'donor_name' AS option, donor_name AS value FROM flows UNION SELECT DISTINCT 'segment', segment FROM flows) GROUP BY option)""",
+)
+def _(f, spark, sf):
+    return io.options_json(io.view_options(f, ["segment", "donor_name"]))
+
+
 @register("s10_child_index", ", d AS (SELECT DISTINCT region, recipient_name FROM flows) SELECT region, string_agg(recipient_name, ',' ORDER BY recipient_name) AS children FROM d GROUP BY region")
 def _(f, spark, sf):
     return io.child_index(f, "region", "recipient_name").withColumn("children", F.array_join("children", ","))
@@ -400,6 +408,11 @@ def _(f, spark, sf):
     return groups.donor_group_totals(f, DONORS, ["year", "indicator_name"]).withColumn("value", F.col("value").cast("double"))
 
 
+@register("a05_donor_groups_with_bloc", f"SELECT year, indicator_name, g AS donor_name, sum(value)::DOUBLE AS value FROM flows JOIN (SELECT g, code FROM labels UNION ALL SELECT 'Bloc', n_nationkey FROM nation WHERE n_nationkey IN {_isin((*MEMBERS, *INSTITUTION))}) ON code = donor_code GROUP BY ALL", SQL_LABELS)
+def _(f, spark, sf):
+    return groups.donor_group_totals(f, DONORS, ["year", "indicator_name"], bloc=("Bloc", MEMBERS, INSTITUTION)).withColumn("value", F.col("value").cast("double"))
+
+
 @register("a06_bloc_total", f"SELECT year, 'Bloc' AS donor_name, sum(value)::DOUBLE AS value FROM (SELECT year, value FROM flows WHERE indicator_name = 'A' AND donor_code IN {_isin(MEMBERS)} UNION ALL SELECT year, value FROM flows WHERE indicator_name = 'R' AND donor_code IN {_isin(MEMBERS)} AND channel_code NOT IN (2, 3)) GROUP BY year")
 def _(f, spark, sf):
     return groups.bloc_total(f.where("indicator_name = 'A'"), f.where("indicator_name = 'R'"), MEMBERS, (2, 3), ["year"], "Bloc").withColumn("value", F.col("value").cast("double"))
@@ -411,6 +424,11 @@ def _(f, spark, sf):
     return groups.all_bilateral_total(rows, MEMBERS, "Scaled", ["year"], "All bilateral").withColumn("value", F.col("value").cast("double"))
 
 
+@register("a08_ambiguous_keys", "SELECT recipient_code, year, count(DISTINCT segment) AS n_segment, count(DISTINCT region) AS n_region FROM flows GROUP BY ALL HAVING count(DISTINCT segment) > 1 OR count(DISTINCT region) > 1")
+def _(f, spark, sf):
+    return classify.ambiguous_keys(f, ["recipient_code", "year"], ["segment", "region"])
+
+
 @register("a09_widen_currency_price", "SELECT year, indicator_name, " + ", ".join(f"round(sum(round({v}, 4)), 2)::DOUBLE AS {v}" for v in views.VALUES) + " FROM (SELECT year, indicator_name, donor_code, " + ", ".join(f"sum({v}) AS {v}" for v in views.VALUES) + " FROM conv GROUP BY ALL) GROUP BY ALL")
 def _(f, spark, sf):
     wide = currency.convert_currencies(groups.sum_by(f, ["year", "donor_code", "indicator_name"]), tables.rates(spark, sf))

@@ -78,8 +78,24 @@ def read_flows(
     return df.select(*columns)
 
 
-def read_csv_input(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+#: the column that holds the text of a row that does not fit the schema
+MALFORMED = "malformed"
+
+
+def read_csv_input(spark: SparkSession, path: str, schema: T.StructType | str, malformed: str = "error") -> DataFrame:
+    """A CSV with a header that names the schema's columns; empty cells are null.
+
+    Rows that don't fit the schema in the columns that a query reads are an ``error``,
+    or ``drop`` leaves them out; ``keep`` has their text in the column MALFORMED, null
+    for all others.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    modes = {"error": "FAILFAST", "drop": "DROPMALFORMED", "keep": "PERMISSIVE"}
+    if malformed not in modes:
+        raise ValueError(f"malformed must be one of {', '.join(modes)}, not {malformed!r}")
+    if malformed == "keep":
+        fields = T.StructType([*fields, T.StructField(MALFORMED, T.StringType())])
+    return spark.read.csv(path, header=True, schema=fields, enforceSchema=False, mode=modes[malformed], columnNameOfCorruptRecord=MALFORMED)
 
 
 def narrow_types(df: DataFrame, year_col: str = "year") -> DataFrame:

@@ -126,3 +126,15 @@ def test_manifest_as_a_document(spark, tmp_path):
     (tmp_path / "bad").write_text("{not json")
     with pytest.raises(Exception, match="(?i)malformed|json"):
         io.read_document(spark, str(tmp_path / "bad")).collect()
+
+
+def test_malformed_rows_of_a_csv(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("year,donor_name,value\n2020,A,1.5\n2021,B,\nlate,C,2\n2022,D,x,y\n")
+    read = lambda how: io.read_csv_input(spark, str(tmp_path / "c.csv"), "year int, donor_name string, value double", how)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read("error").collect()
+    assert sorted(r["donor_name"] for r in read("drop").collect()) == ["A", "B"]
+    kept = {r["donor_name"]: r[io.MALFORMED] for r in read("keep").collect()}
+    assert kept["A"] is None and kept["B"] is None and kept["C"] == "late,C,2" and kept["D"] == "2022,D,x,y"
+    with pytest.raises(ValueError):
+        read("other")
