@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def zero_sum(c: str | Column) -> Column:
@@ -105,7 +106,16 @@ def with_weighted_totals(df: DataFrame, donors: Column, recipients: Column | Non
     pairs, names = df.withColumn("__d", F.explode(donors)), {donor_name: "__d.name"}
     if recipients is not None:
         pairs, names = pairs.withColumn("__r", F.explode(F.array_distinct(recipients))), names | {recipient_name: "__r"}
-    weighted = pairs.select(*keys, *[F.col(c).alias(n) for n, c in names.items()], *[(F.col(v) * F.col("__d.weight")).alias(v) for v in values])
+    weight = pairs.schema["__d"].dataType["weight"].dataType
+
+    def times(v: str) -> Column:
+        # A decimal product of over 38 digits loses digits behind the point; sums don't need so many before it.
+        kind = df.schema[v].dataType
+        if isinstance(kind, T.DecimalType) and isinstance(weight, T.DecimalType):
+            return F.col(v).cast(T.DecimalType(min(kind.precision, 37 - weight.precision), kind.scale)) * F.col("__d.weight")
+        return F.col(v) * F.col("__d.weight")
+
+    weighted = pairs.select(*keys, *[F.col(c).alias(n) for n, c in names.items()], *[times(v).alias(v) for v in values])
     return sum_by(weighted, [*keys, *names], *values)
 
 
