@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,21 +56,32 @@ def cut(df: DataFrame) -> DataFrame:
     if (scratch := _SCRATCH.get()) is not None:
         scratch.folders.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch is not None:
+        # The list of the folder's files, which every DataFrame made from this one holds.
+        files = out._jdf.queryExecution().analyzed().relation().location()
+        scratch.readers[path] = spark._jvm.java.lang.ref.WeakReference(files)
+    return out
 
 
 class Scratch:
     """Names the folders that :func:`cut` writes inside a ``with`` block, so that they can be deleted apart from all others.
 
-    An inner block's folders that are left pass to the block around it. Nothing is
-    deleted that another block, or a call outside of any, has written.
+    An inner block's folders that are left pass to the block around it. What is left
+    after the outermost one stays until no DataFrame reads it any more, and is then
+    deleted when the next block begins. Nothing is deleted that another block, or a
+    call outside of any, has written.
     """
 
+    _left: ClassVar[dict[str, dict[str, object]]] = {}
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folders: list[str] = []
+        self.readers: dict[str, object] = {}
 
     def __enter__(self) -> Scratch:
+        self._sweep()
         self._outer = _SCRATCH.get()
         self._token = _SCRATCH.set(self)
         return self
@@ -80,6 +92,16 @@ class Scratch:
             self.delete()
         elif self._outer is not None:
             self._outer.folders += self.folders
+            self._outer.readers |= self.readers
+        else:
+            self._left.setdefault(self.spark.sparkContext.applicationId, {}).update({f: self.readers[f] for f in self.folders if f in self.readers})
+
+    def _sweep(self) -> None:
+        left = self._left.get(self.spark.sparkContext.applicationId, {})
+        unread = [f for f, files in list(left.items()) if files.refersTo(None)]
+        for f in unread:
+            left.pop(f, None)
+        _delete(self.spark, unread)
 
     def delete(self, unless_read_by: DataFrame | None = None) -> None:
         """Delete this block's folders but those that ``unless_read_by`` reads."""
