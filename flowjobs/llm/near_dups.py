@@ -49,6 +49,8 @@ PERCENT = 85
 KEEP_PERCENT = 80
 #: members of a bucket whose pairs leave the task; larger buckets are compared in cells of blocks of BLOCK
 SMALL, BLOCK = 64, 256
+#: so many numbers of texts, 8 bytes each, go to the tasks; beyond that they are joined to the texts by a shuffle
+TRAVEL = 1_000_000
 _ORDERS = W.mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
@@ -178,9 +180,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _sets(nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """(node, set): the full set of each class. A class is named by one of its rows."""
-    # Written first: Spark then knows how few they are, and moves texts only where they are many.
+    # Written first, so that their number is known: texts are moved only where the numbers are too many to travel.
     nodes = cut(nodes.select("node").distinct())
-    texts = rows.select(F.col("uid").alias("node"), "text").join(nodes, "node")
+    texts = rows.select(F.col("uid").alias("node"), "text").join(F.broadcast(nodes) if nodes.count() <= TRAVEL else nodes, "node")
     return cut(texts.select("node", "text").mapInArrow(_full_sets(size), "node long, set array<long>"))
 
 
