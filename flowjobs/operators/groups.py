@@ -39,6 +39,16 @@ def labels_of(code: Column, groups: Mapping[str, Sequence]) -> Column:
     return F.filter(F.array(*[F.when(code.isin(list(codes)), F.lit(g)) for g, codes in groups.items()]), lambda g: g.isNotNull())
 
 
+def repeat_for(df: DataFrame, labels: Column, name: str) -> DataFrame:
+    """A row for each of its labels, in the column ``name``; rows without labels go, null labels stay.
+
+    Not a plain explode: from that the optimizer infers a filter on the labels' number,
+    which it carries below the sums, so that labels are made for each raw row.
+    """
+    out = df.withColumn("__label", F.explode_outer(F.transform(labels, lambda x: F.struct(x.alias("name")))))
+    return out.where("__label is not null").withColumn(name, F.col("__label.name")).drop("__label")
+
+
 def exploded_totals(df: DataFrame, labels: Column, keys: Sequence[str], name_col: str, values: Sequence[str] = ("value",), by: Sequence[str] = ()) -> DataFrame:
     """One group-by over all groups that rows belong to.
 
@@ -46,7 +56,7 @@ def exploded_totals(df: DataFrame, labels: Column, keys: Sequence[str], name_col
     made of; only the few rows left get labels and are repeated for each of them.
     """
     fine = sum_by(df, list(dict.fromkeys([*keys, *by])), *values)
-    return sum_by(fine.withColumn("__name", F.explode(labels)).select(*keys, F.col("__name").alias(name_col), *values), [*keys, name_col], *values)
+    return sum_by(repeat_for(fine, labels, "__name").select(*keys, F.col("__name").alias(name_col), *values), [*keys, name_col], *values)
 
 
 def donor_labels(groups: Mapping[str, Sequence], code_col: str = "donor_code") -> Column:
@@ -92,7 +102,7 @@ def with_all_totals(df: DataFrame, donors: Column, recipients: Column, keys: Seq
     own = [F.array_sort(F.array_append(donors, F.col(donor_name))).alias("__d"), F.array_sort(F.array_append(recipients, F.col(recipient_name))).alias("__r")]
     # Entities with the same labels and another name stay apart; those that share all labels meet before they are repeated.
     fine = df.select(*keys, *own, *values).groupBy(*keys, "__d", "__r").agg(*[zero_sum(v).alias(v) for v in values])
-    exploded = fine.withColumn(donor_name, F.explode("__d")).withColumn(recipient_name, F.explode("__r"))
+    exploded = repeat_for(repeat_for(fine, F.col("__d"), donor_name), F.col("__r"), recipient_name)
     return sum_by(exploded, [*keys, donor_name, recipient_name], *values)
 
 
@@ -103,9 +113,9 @@ def with_weighted_totals(df: DataFrame, donors: Column, recipients: Column | Non
     ``recipients`` is an array of names; with None there are donors alone. A row may
     count for one name several times.
     """
-    pairs, names = df.withColumn("__d", F.explode(donors)), {donor_name: "__d.name"}
+    pairs, names = repeat_for(df, donors, "__d"), {donor_name: "__d.name"}
     if recipients is not None:
-        pairs, names = pairs.withColumn("__r", F.explode(F.array_distinct(recipients))), names | {recipient_name: "__r"}
+        pairs, names = repeat_for(pairs, F.array_distinct(recipients), "__r"), names | {recipient_name: "__r"}
     weight = pairs.schema["__d"].dataType["weight"].dataType
 
     def times(v: str) -> Column:

@@ -183,7 +183,7 @@ def _marker_shares(wide: DataFrame, s: Settings) -> DataFrame:
     keys = ["year", "indicator_name"]
     labels = [F.array_sort(F.array_append(x, F.col(n))).alias(a) for x, n, a in ((groups.donor_labels(s.donor_groups), "donor_name", "__d"), (s.recipient_labels, "recipient_name", "__r"))]
     fine = _zero_null_sums(wide.select(*keys, *labels, *VALUES), [*keys, "__d", "__r"], VALUES)
-    every = fine.withColumn("donor_name", F.explode("__d")).withColumn("recipient_name", F.explode("__r"))
+    every = groups.repeat_for(groups.repeat_for(fine, F.col("__d"), "donor_name"), F.col("__r"), "recipient_name")
     every = every.groupBy(*keys, "donor_name", "recipient_name").agg(*[F.sum(v).alias(v) for v in VALUES]).where(F.coalesce(*VALUES).isNotNull())
     every = shares.share_of_group_total(every, ["year", "donor_name", "recipient_name"], "pct_of_total_oda", "value_usd_current")
     return _published(every, ["year", "donor_name", "recipient_name", "indicator_name"], ["pct_of_total_oda"], s.factor)
@@ -209,7 +209,7 @@ def sectors_view(flows: DataFrame, rates: DataFrame, sub_sectors: DataFrame, sec
     if slugs:
         for name, code, labels in (("donor_name", ["donor_code"], groups.donor_labels(s.donor_groups)), ("recipient_name", ["recipient_code", "region", "income_group"], s.recipient_labels)):
             # Names come from the sums before rows are repeated: entities and their groups.
-            named = base.select(*code, name).distinct().select(F.explode(F.array_append(labels, F.col(name))).alias(name))
+            named = groups.repeat_for(base.select(*code, name).distinct(), F.array_append(labels, F.col(name)), "__n").select(F.col("__n").alias(name))
             every = add_slug(every, name, name.replace("_name", "_slug"), named)
         extra += ["donor_slug", "recipient_slug"]
     return _published(every, ["year", "donor_name", "recipient_name", "indicator_name", "sector_name", "sub_sector_name"], extra, s.factor)
@@ -266,7 +266,7 @@ def whole_sectors_view(
     labels = [F.array_sort(donors).alias("__d"), F.array_sort(F.array_append(s.recipient_labels, F.col("recipient_name"))).alias("__r")]
     # Written once: the view's rows and the two lists of names for slugs come from it.
     fine = stored(_zero_null_sums(wide.select(*keys, *labels, *VALUES), [*keys, "__d", "__r"], VALUES), "sectors")
-    every = fine.withColumn("donor_name", F.explode("__d")).withColumn("recipient_name", F.explode("__r"))
+    every = groups.repeat_for(groups.repeat_for(fine, F.col("__d"), "donor_name"), F.col("__r"), "recipient_name")
     every = every.groupBy(*keys, "donor_name", "recipient_name").agg(*[F.sum(v).alias(v) for v in VALUES]).where(F.coalesce(*VALUES).isNotNull())
     every = lookup(every, sectors, "sub_sector_name", "sector_name", unallocated)
     every = shares.share_of_reference_total(every, "donor_name", s.reference_donor, ["year", "recipient_name"], "pct_of_recipient", "value_usd_current")
