@@ -15,22 +15,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions: the customer's nation gives, the supplier's nation receives."""
+    """Transactions: the customer's nation gives, the supplier's nation receives.
+
+    Lines take what part and supplier say and orders their donor before the two meet, so
+    that lines are dealt by their order once, as codes and a value; names come last.
+    """
     t = lambda name: read(spark, sf_dir, name)
     donor = t("nation").select(F.col("n_nationkey").alias("donor_code"), F.col("n_name").alias("donor_name"))
-    recipient = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("recipient_code"), F.col("n_name").alias("recipient_name"), F.col("r_name").alias("region"))
-    income = F.element_at(F.array(F.lit("LIC"), F.lit("LMIC"), F.lit("UMIC"), F.lit(None)), (F.col("recipient_code") % 4 + 1).cast("int"))
-    return (
+    income = F.element_at(F.array(F.lit("LIC"), F.lit("LMIC"), F.lit("UMIC"), F.lit(None)), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    # What follows from the recipient is made for each nation, not for each line.
+    recipient = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("recipient_code"), F.col("n_name").alias("recipient_name"), F.col("r_name").alias("region"), income.alias("income_group"))
+    lines = (
         t("lineitem")
-        .join(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer").select("c_custkey", F.col("c_nationkey").alias("donor_code"), "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+        .select("l_orderkey", "l_partkey", "l_suppkey", F.year("l_shipdate").alias("year"), "l_returnflag", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("value"))
         .join(t("supplier").select("s_suppkey", F.col("s_nationkey").alias("recipient_code")), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t("part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    )
+    given = t("orders").join(t("customer").select("c_custkey", F.col("c_nationkey").alias("donor_code"), "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    return (
+        lines.join(given, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(donor, "donor_code")
         .join(recipient, "recipient_code")
         .select(
-            F.year("l_shipdate").alias("year"), "donor_code", "donor_name", "recipient_code", "recipient_name", "region", income.alias("income_group"), F.col("l_returnflag").alias("indicator_name"), F.col("p_size").alias("purpose_code"),
-            F.col("l_linenumber").alias("channel_code"), F.col("o_orderpriority").alias("marker"), F.col("c_mktsegment").alias("segment"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("value"),
+            "year", "donor_code", "donor_name", "recipient_code", "recipient_name", "region", "income_group", F.col("l_returnflag").alias("indicator_name"), F.col("p_size").alias("purpose_code"),
+            F.col("l_linenumber").alias("channel_code"), F.col("o_orderpriority").alias("marker"), F.col("c_mktsegment").alias("segment"), "value",
         )
     )
 
