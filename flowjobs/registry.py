@@ -810,7 +810,7 @@ def _(f, spark, sf):
     "g AS (SELECT year, donor_name, indicator_name, income_group AS sector_name, value AS value_usd FROM flows), " + GATES_SQL.replace("PREVIOUS", "2000"),
 )
 def _(f, spark, sf):
-    df = _gated(f)
+    df = io.stored(_gated(f), "gated")
     out = release.check_not_empty(df, "d")
     for g in (release.check_no_duplicate_keys(df, ["year", "donor_name"], "d"), release.check_value_columns_populated(df, "d"), release.check_value_bounds(df, "d"), release.check_names_populated(df, "d"), release.check_critical_dimensions(df, ["NATION_7", "ATLANTIS"], 2000, "d")):
         out = out.unionByName(g)
