@@ -156,25 +156,29 @@ def check_not_empty(df: DataFrame, dataset: str = "") -> DataFrame:
     return gates_of(df.limit(1), dataset, [_not_empty()])
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def duplicate_keys(df: DataFrame, keys: Sequence[str], repeated: DataFrame | None = None) -> DataFrame:
     """Keys that repeat, null equal to null, with their rows; keys that the data lacks don't count.
 
     Hashes of 64 bits are counted first; whole keys are grouped only for the rows
     whose hash repeats, so that nothing but hashes is shuffled where keys are unique.
+    The repeated ones are written, so that Spark knows their size and raw rows stay where
+    they are if few keys repeat many times. ``repeated`` (__hash) has them, if they are known.
     """
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return df.groupBy().agg(F.count("*").alias("n")).where("n > 1")
     hashed = df.select(*keys, key_hash(df, keys).alias("__hash"))
-    repeated = hashed.groupBy("__hash").agg(F.count("*").alias("n")).where("n > 1").select("__hash")
+    if repeated is None:
+        repeated = stored(hashed.groupBy("__hash").agg(F.count("*").alias("n")).where("n > 1").select("__hash"), "repeated")
     return hashed.join(repeated, "__hash", "left_semi").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _repeated_keys(df: DataFrame, keys: Sequence[str], repeated: DataFrame | None = None) -> DataFrame:
     """One row: n, how many rows share keys (null for none), and sample, the first five such keys."""
     keys = [k for k in keys if k in df.columns]
     text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
-    found = duplicate_keys(df, keys).select(text.alias("k"), "n")
+    # Read for the total and for the sample.
+    found = stored(duplicate_keys(df, keys, repeated).select(text.alias("k"), "n"), "keys")
     total = found.agg(F.sum("n").alias("n"))
     sample = found.orderBy("k").limit(5).agg(F.array_join(F.sort_array(F.collect_list("k")), ", ").alias("sample"))
     return total.join(F.broadcast(sample))
@@ -375,7 +379,7 @@ def _gates_from(facts: Facts, dataset: str, expected: T.StructType, critical: Se
     errors["critical_dimensions"] = "; ".join(fell + ([f"missing donors: {', '.join(absent)}"] if absent else [])) or None
     errors["no_duplicate_keys"] = None
     if facts.keys and facts.rows.where("dimension = 'hash'").limit(1).count():
-        row = _repeated_keys(df, facts.keys).first()
+        row = _repeated_keys(df, facts.keys, stored(facts.rows.where("dimension = 'hash'").select(F.col("key").cast("long").alias("__hash")), "repeated")).first()
         errors["no_duplicate_keys"] = None if row["n"] is None else f"{row['n']} rows share keys: {row['sample']}"
     rows = [(dataset, check, error is None, error or "") for check, error in errors.items()]
     return check_schema(df, expected, dataset).unionByName(df.sparkSession.createDataFrame(rows, GATE))
