@@ -995,11 +995,12 @@ def _(f, spark, sf):
     path = io.scratch_path(spark, "views")
     gated = lambda x: x.select("year", "donor_name", "indicator_name", F.col("sector_name"), F.col("value").alias("value_usd"))
     report = None
+    f, orders = _written(f, "purpose_code"), io.stored(_order_flows(spark, sf), "orders")
     for k, name in ((1, "r1"), (0, "r2")):
         raw = _two_releases_of(f)[k]
         gated(_release(raw)).write.parquet(f"{path}/{name}/flows")
         raw.select("year", "donor_name", "purpose_code", "value").write.parquet(f"{path}/{name}/topics")
-        gated(_release(_two_releases_of(_order_flows(spark, sf))[k])).write.parquet(f"{path}/{name}/orders")
+        gated(_release(_two_releases_of(orders)[k])).write.parquet(f"{path}/{name}/orders")
         views_ = [release.Dataset(d, f"{path}/{name}/{d}", T.StructType.fromDDL("year int, donor_name string, indicator_name string, sector_name string, value_usd decimal(18,4)"), ["year", "donor_name"], "value_usd", ["NATION_7", "ATLANTIS"], None if k else 2001) for d in ("flows", "orders", "absent")]
         report = release.validate_all(spark, views_, name, f"{path}/manifests", [release.Topics("topics", f"{path}/{name}/topics", TOPICS, critical=["NATION_4", "NATION_7"])])
     gates, warnings = report
