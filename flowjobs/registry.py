@@ -1017,7 +1017,8 @@ def _(f, spark, sf):
 @register("s07_manifest", f"SELECT release, dimension, key, key2, total, n FROM (SELECT 'r1' AS release, * FROM ({AGG_SQL})) WHERE dimension <> 'donor_sector' UNION ALL SELECT 'r2', dimension, key, key2, total, n FROM ({AGG_SQL}) WHERE dimension = 'donor'")
 def _(f, spark, sf):
     path = io.scratch_path(spark, "manifest")
-    agg = release.release_aggregates(_release(f), "value").select(F.lit("r1").alias("release"), "dimension", "key", "key2", F.col("total").cast("double").alias("total"), "n")
+    # Three snapshots are saved from one pass.
+    agg = io.stored(release.release_aggregates(_release(f), "value").select(F.lit("r1").alias("release"), "dimension", "key", "key2", F.col("total").cast("double").alias("total"), "n"), "aggregates")
     none = io.load_manifest(spark, path).count()
     io.save_manifest(agg, path)
     io.save_manifest(agg.where("dimension = 'donor'").withColumn("release", F.lit("r2")), path)
