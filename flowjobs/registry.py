@@ -1155,6 +1155,10 @@ SELECT year, donor_name, total::DOUBLE AS total, to_one::DOUBLE AS to_one, topic
     f"{TO_ONE_SQL}, {PARTS_SQL}",
 )
 def _(f, spark, sf):
+    # One pass over the flows: sums that tell apart what the parts ask for, and no more, are kept for all of them.
+    asked = {"recipient_name": ["NATION_3"], "purpose_code": [18, 19, 20], "channel_code": [7]}
+    f = f.withColumns({c: F.when(F.col(c).isin(values), F.col(c)) for c, values in asked.items()})
+    f = io.stored(groups.sum_by(f, ["year", "donor_name", "indicator_name", *asked]), "parts")
     total = groups.append_total_entity(groups.sum_by(f, ["year", "donor_name"]), ["year"], "donor_name", "All donors")
     # The total entity reports no such part itself.
     home = groups.sum_by(f.where("channel_code = 7"), ["year", "donor_name"])
