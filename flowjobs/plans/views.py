@@ -171,10 +171,12 @@ def whole_marker_view(rows: DataFrame, rates: DataFrame, classified: DataFrame,
     take their name, region and income group from ``classified``, as in
     :func:`whole_sectors_view`.
     """
-    known = rows.where(F.col(marker).isNotNull())
+    # Kept: the few sums by score that both the check and the view read.
+    cells = ["year", "donor_code", "donor_name", "recipient_code", marker]
+    known = stored(groups.sum_by(rows.where(F.col(marker).isNotNull()), cells), "scores")
     named = marker_rows(assert_mapped(known, marker, list(labels)), marker, dict(labels), donors, recipients)
     base = groups.sum_by(named, ["year", "indicator_name", "donor_code", "donor_name", "recipient_code"]).where("value <> 0")
-    dim = classify.modal_classification(classified, ["recipient_code", "year"], ["recipient_name", "region", "income_group"])
+    dim = stored(classify.modal_classification(classified, ["recipient_code", "year"], ["recipient_name", "region", "income_group"]), "recipients")
     return _marker_shares(currency.convert_currencies(classify.add_recipient_classifications(base, dim, sentinels), rates), s)
 
 

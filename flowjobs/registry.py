@@ -1314,6 +1314,8 @@ SELECT year, donor_name, recipient_name, indicator_name, {_UNITS}, round(value_u
     BOTH_SQL + ", " + _RLY_SQL,
 )
 def _(f, spark, sf):
+    # Rows and classifications are two views of one pass.
+    f = io.stored(f.select("year", "donor_code", "donor_name", "recipient_code", "recipient_name", "region", "income_group", "channel_code", "marker", "value"), "flows")
     raw = f.select("year", "donor_code", "donor_name", "recipient_code", "marker", "value")
     return views.whole_marker_view(raw, tables.rates(spark, sf), _seen(f), settings(), MARKERS, SENTINELS, donors=[k for k in range(25) if k != 2])
 
