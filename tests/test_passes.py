@@ -4,7 +4,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from flowjobs import registry, tables
-from flowjobs.operators import groups
+from flowjobs.operators import groups, joins
 
 
 def optimized(df):
@@ -56,3 +56,13 @@ def test_flows_are_read_once(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(tables, "flows", lambda *of: make(*of).where(F.udf(counted, "boolean")("year")))
     registry.queries()[name](spark, sf_dir).collect()
     assert 0 < seen.value <= tables.read(spark, sf_dir, "lineitem").count()
+
+
+def test_checked_join_asks_what_it_has_written_whether_there_are_rows(spark, monkeypatch):
+    kind, asked = type(spark.range(1)), []
+    empty = kind.isEmpty
+    monkeypatch.setattr(kind, "isEmpty", lambda self: asked.append(optimized(self)) or empty(self))
+    rows = spark.range(10).join(spark.range(5), "id").withColumn("value", F.lit(1.0))
+    out = joins.checked_join(rows, spark.range(3).withColumn("name", F.lit("a")), ["id"], "value")
+    assert out.count() == 5 and not any("Join" in s for lines in asked for s in lines)
+    assert joins.checked_join(rows.where("id > 9"), spark.range(3).withColumn("name", F.lit("a")), ["id"], "value").count() == 0
