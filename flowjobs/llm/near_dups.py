@@ -21,15 +21,16 @@ out pairs that are connected already:
 A pair is a link if its signatures are within the distance and its sets reach the
 similarity, whatever the size of its buckets; in the last round each pair is looked
 at in the first bucket that it shares. Components do not depend on the order. Large
-buckets of the last round are dealt over cells of two blocks; members
-of a bucket's largest component meet the others only, never each other.
+buckets of the last round that share members are put together, so that their pairs
+are looked at once, and are dealt over cells of two blocks of sets of like size;
+members of the largest component meet the others only, never each other.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import reduce
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ KEEP_PERCENT = 80
 SMALL, BLOCK = 64, 256
 #: so many numbers of texts, 8 bytes each, go to the tasks; beyond that they are joined to the texts by a shuffle
 TRAVEL = 1_000_000
+#: slot of the families of large buckets
+FAMILY = -1
 _ORDERS = W.mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
@@ -242,16 +245,18 @@ def _symbols(batch, chunks: int) -> np.ndarray:
 
 
 def _cells(chunks: int, percent: int):
-    """Links within each cell (slot, key, i, j) of two blocks of a large bucket, by signatures and then on the full sets.
+    """Links within each cell (slot, key, band, i, step, j) of two blocks, by signatures and then on the full sets.
 
-    Of the links between two components that the cell has already connected one is
-    enough, so a cell gives fewer links than it has members. Pairs that share an index
-    row before this one are left to that one.
+    Block i lies in the cell's band of sizes, block j in the same or the next one. Of
+    the links between two components that the cell has already connected one is
+    enough, so a cell gives fewer links than it has members. Pairs of a bucket that
+    share an index row before this one are left to that one; a family holds each pair once.
     """
 
     def run(key, table):
-        slot, _, i_block, j_block = (k.as_py() for k in key)
-        node, block, component, n = (table.column(c).to_numpy() for c in ("node", "block", "component", "n"))
+        slot, _, i_band, i_block, step, j_block = (k.as_py() for k in key)
+        node, band, block, component, n = (table.column(c).to_numpy() for c in ("node", "band", "block", "component", "n"))
+        in_j = (band == i_band + step) & (block == j_block)
         sig = _symbols(table, chunks)
         sets = table.column("set").combine_chunks()
         offsets = sets.offsets.to_numpy() - sets.offsets[0].as_py()
@@ -259,10 +264,11 @@ def _cells(chunks: int, percent: int):
         marked = np.zeros(len(shingle) + 1, np.int8)
         group = component.copy()
         links = []
-        for i in np.flatnonzero(block == i_block):
-            at = np.flatnonzero((block == j_block) & (group != group[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        for i in np.flatnonzero((band == i_band) & (block == i_block)):
+            at = np.flatnonzero(in_j & (group != group[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             differ = sig[at] != sig[i]
-            at = at[(differ.sum(axis=1) <= distance(chunks)) & (_first_shared(differ) == slot)]
+            near = differ.sum(axis=1) <= distance(chunks)
+            at = at[near if slot == FAMILY else near & (_first_shared(differ) == slot)]
             if not len(at):
                 continue
             mine = shingle[offsets[i] : offsets[i + 1]]
@@ -282,18 +288,61 @@ def _cells(chunks: int, percent: int):
     return run
 
 
+def _families(members: DataFrame) -> DataFrame:
+    """``members`` (slot, key, node, component) of buckets, with families of buckets in the place of their buckets.
+
+    Buckets that share members are one family: texts alike meet in many buckets, and
+    are to be compared once. A family that holds more pairs than all its buckets
+    together, as one does whose buckets hang together by single texts, is left as
+    buckets. A family's slot is FAMILY, its key one of its nodes.
+    """
+    buckets = cut(members.groupBy("slot", "key").agg(F.min("node").alias("root"), F.count("*").alias("c")))
+    hung = members.join(buckets, ["slot", "key"]).where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    of = cut(connected_components(hung))
+    rooted = buckets.join(of.select(F.col("node").alias("root"), F.col("component").alias("family")), "root")
+    apart = rooted.groupBy("family").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("apart"))
+    whole = of.groupBy(F.col("component").alias("family")).agg(F.count("*").cast("double").alias("m")).join(apart, "family").where("m * m <= apart")
+    named = cut(rooted.join(whole.select("family", F.lit(True).alias("whole")), "family", "left").select("slot", "key", "family", "whole"))
+    put = members.join(named, ["slot", "key"])
+    return put.where("whole").select(F.lit(FAMILY).alias("slot"), F.col("family").alias("key"), "node", "component").distinct().unionAll(put.where("whole is null").select("slot", "key", "node", "component"))
+
+
+def _upto(n: Column) -> Column:
+    """0 to n - 1, nothing for 0."""
+    return F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+
+
 def _large_links(members: DataFrame, classes: DataFrame, sets: DataFrame, chunks: int, percent: int, block: int) -> DataFrame:
-    """Links that connect the members (slot, key, node, component) of large buckets as all their links do."""
-    parts = members.groupBy("slot", "key", "component").agg(F.count("*").alias("c"))
-    parts = parts.groupBy("slot", "key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"))
-    up = lambda c: F.ceil(c / F.lit(block)).cast("int")
-    parts = cut(parts.select("slot", "key", F.col("main.component").alias("main"), up(F.col("c") - F.col("main.c")).alias("others"), up(F.col("main.c")).alias("mains")))
-    is_main, spread = F.col("component") == F.col("main"), F.xxhash64("node")
-    placed = members.join(parts, ["slot", "key"]).withColumn("block", F.when(is_main, F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("others"))).cast("int"))
-    meets = F.sequence(F.lit(0), F.col("others") + F.when(is_main, F.lit(0)).otherwise(F.col("mains")) - 1)
-    placed = placed.withColumn("other", F.explode(meets)).select("slot", "key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    """Links that connect the members (slot, key, node, component) of large buckets as all their links do.
+
+    Members are dealt over blocks by the size of their sets: sets of a link lie in one
+    band of sizes or in neighbouring ones.
+    """
+    width = max(log(100 / percent) * 1.001, 1e-6)
+    sizes = classes.select("node", F.floor(F.log("n") / F.lit(width)).cast("int").alias("band"))
+    members = cut(_families(members).join(sizes, "node"))
+    parts = members.groupBy("slot", "key", "component", "band").agg(F.count("*").alias("c"))
+    main = parts.groupBy("slot", "key", "component").agg(F.sum("c").alias("c")).groupBy("slot", "key").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
+    up = lambda own: F.ceil(F.sum(F.when(own, F.col("c")).otherwise(0)) / F.lit(block)).cast("int")
+    is_main = F.col("component") == F.col("main")
+    parts = cut(parts.join(main, ["slot", "key"]).groupBy("slot", "key", "main", "band").agg(up(~is_main).alias("others"), up(is_main).alias("mains")))
+    beside = lambda by: parts.select("slot", "key", (F.col("band") - by).alias("band"), F.struct("others", "mains").alias("next" if by > 0 else "last"))
+    parts = parts.join(beside(1), ["slot", "key", "band"], "left").join(beside(-1), ["slot", "key", "band"], "left")
+    spread = F.xxhash64("node")
+    placed = members.join(parts, ["slot", "key", "band"])
+    placed = placed.withColumn("block", F.when(is_main, F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("others"))).cast("int"))
+    # Members of the main component meet the others only.
+    met = lambda others, mains: _upto(F.coalesce(others, F.lit(0)) + F.when(is_main, F.lit(0)).otherwise(F.coalesce(mains, F.lit(0))))
+    cell = lambda band, i, step, j: F.struct(band.alias("i_band"), i.alias("i"), F.lit(step).alias("step"), j.alias("j"))
+    band, own = F.col("band"), F.col("block")
+    cells = F.concat(
+        F.transform(met(F.col("others"), F.col("mains")), lambda x: cell(band, F.least(own, x), 0, F.greatest(own, x))),
+        F.transform(met(F.col("next.others"), F.col("next.mains")), lambda x: cell(band, own, 1, x)),
+        F.transform(met(F.col("last.others"), F.col("last.mains")), lambda x: cell(band - 1, x, 1, own)),
+    )
+    placed = placed.select("slot", "key", "node", "component", "band", "block", F.explode(cells).alias("cell")).select("slot", "key", "node", "component", "band", "block", "cell.*")
     sets = sets.join(classes.select("node", "n", *_names(chunks)), "node")
-    return cut(placed.join(sets, "node").groupBy("slot", "key", "i", "j").applyInArrow(_cells(chunks, percent), "a long, b long"))
+    return cut(placed.join(sets, "node").groupBy("slot", "key", "i_band", "i", "step", "j").applyInArrow(_cells(chunks, percent), "a long, b long"))
 
 
 def _connect(classes: DataFrame, rows: DataFrame, size: int, chunks: int, percent: int, small: int, block: int) -> DataFrame:
