@@ -104,11 +104,17 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def _deduped(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, row (all columns of ``docs``), n_lines, n_dropped, kept_text."""
-    own = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("row")))
+    """doc_id, text, rest (all other columns of ``docs``), n_lines, n_dropped, kept_text. Each text is written and shuffled once."""
+    own = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").dropFields("text").alias("rest")))
     return apply_bitmaps(own, keep_bitmaps(own.select("doc_id", "text", "uid"), min_chars))
 
 
+def _own(docs: DataFrame):
+    """The columns of ``docs`` by name, from the table that :func:`_deduped` makes."""
+    text = "text" if "text" in docs.columns else next(c for c in docs.columns if c.lower() == "text")
+    return lambda c: F.col("text") if c == text else F.col("rest").getField(c)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Lines held by two or more documents stay only in the document with the smallest doc_id.
 
@@ -121,8 +127,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     own that comes last. An empty table gives an empty table.
     """
     new = ("n_lines", "n_dropped", "kept_text")
-    own = [F.col("row").getField(c).alias(free_name(docs, c) if c in new else c) for c in docs.columns]
-    return _deduped(docs, min_chars).select(*own, *new)
+    own = _own(docs)
+    return _deduped(docs, min_chars).select(*(own(c).alias(free_name(docs, c) if c in new else c) for c in docs.columns), *new)
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -133,7 +139,7 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataF
     """
     lost = F.col("n_dropped") > 0
     new = {"text": F.when(lost, F.col("kept_text")), "n_chars": F.when(lost, F.length("kept_text").cast("long"))}
-    own = lambda c: F.col("row").getField(c)
+    own = _own(docs)
     return _deduped(docs, min_chars).select(*[(F.coalesce(new[c].cast(docs.schema[c].dataType), own(c)) if c in new else own(c)).alias(c) for c in docs.columns])
 
 

@@ -189,6 +189,11 @@ def _sets(nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     return cut(texts.select("node", "text").mapInArrow(_full_sets(size), "node long, set array<long>"))
 
 
+def _but(rows: DataFrame, gone: DataFrame, uid: str) -> DataFrame:
+    """``rows`` whose number is not in the written table ``gone``. Texts are moved only where the numbers are too many to travel."""
+    return rows.join(F.broadcast(gone) if gone.count() <= TRAVEL else gone, uid, "left_anti")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) of a written table that reach the similarity on their full sets."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
@@ -429,8 +434,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = KEEP_PERCEN
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("lowest")
     rows = cut(rows.select("uid", "doc_id", "component"))
     kept = rows.where("component is not null").groupBy("component").agg(lowest).select(F.col("lowest.uid").alias(uid))
-    kept = cut(kept.unionAll(rows.where("component is null").select(F.col("uid").alias(uid))))
-    return full.join(kept, uid, "left_semi").drop(uid)
+    gone = rows.where("component is not null").select(F.col("uid").alias(uid)).join(kept, uid, "left_anti")
+    return _but(full, cut(gone), uid).drop(uid)
 
 
 def digest(docs: DataFrame) -> DataFrame:
