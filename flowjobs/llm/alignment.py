@@ -37,9 +37,13 @@ PART_CHARS = 1 << 16
 _SEAM = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: pairs of tokens of one block that are spelled out at once
 PAIRS = 1 << 20
+#: blocks of one row group, some 8 MB; a task has a group of each file it reads in memory
+GROUP_ROWS = 16
 
-_LISTS = {"doc_id": "long", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "first": "long", "at": "int", "times": "long"}
-_BLOCKS = "block long, pairs array<long>, n_docs array<long>, " + ", ".join(f"{k} array<{v}>" for k, v in _LISTS.items())
+_LISTS = {"doc_id": "long", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "first": "long"}
+#: the links of a block's texts, text after text: place of the pair in the block's list of pairs, and how often the text has it
+_PACKED = ("at", "times")
+_BLOCKS = "block long, pairs array<long>, n_docs array<long>, " + ", ".join(f"{k} array<{v}>" for k, v in _LISTS.items()) + "".join(f", {k} binary" for k in _PACKED)
 
 
 def byte_ranks(vocabulary: bytes) -> dict[bytes, int]:
@@ -219,6 +223,15 @@ def _list(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def _pack(values: np.ndarray) -> pa.Array:
+    """Numbers from 0 on, in the fewest bytes that hold each of them."""
+    return pa.array([values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()], pa.binary())
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def _block_rows(vocabularies, block_bytes: int):
     def run(batches):
         from pyspark import TaskContext
@@ -235,9 +248,9 @@ def _block_rows(vocabularies, block_bytes: int):
                 run_links = np.append(0, np.cumsum(times))
                 columns = [
                     _list(ids.slice(b.first_row, b.n), pa.int64()), _list(np.diff(x.first_a), pa.int64()), _list(np.diff(x.first_b), pa.int64()), _list(np.diff(x.group), pa.int64()),
-                    _list(np.diff(run_links[first]), pa.int64()), _list(_group_hashes(x), pa.string()), _list(first, pa.int64()), _list(at.astype(np.int32), pa.int32()), _list(times, pa.int64()),
+                    _list(np.diff(run_links[first]), pa.int64()), _list(_group_hashes(x), pa.string()), _list(first, pa.int64()), _pack(at), _pack(times),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), _list(pairs, pa.int64()), _list(n_docs, pa.int64()), *columns], ["block", "pairs", "n_docs", *_LISTS])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), _list(pairs, pa.int64()), _list(n_docs, pa.int64()), *columns], ["block", "pairs", "n_docs", *_LISTS, *_PACKED])
                 block += 1
 
     return run
@@ -245,7 +258,7 @@ def _block_rows(vocabularies, block_bytes: int):
 
 def blocks(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Written rows of aligned texts, one for each block: figures of its texts, and its pairs of linked ids once each."""
-    return cut(docs.select("doc_id", "text").mapInArrow(_block_rows(_vocabularies(docs, a, b), block_bytes), _BLOCKS))
+    return cut(docs.select("doc_id", "text").mapInArrow(_block_rows(_vocabularies(docs, a, b), block_bytes), _BLOCKS), GROUP_ROWS)
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -289,21 +302,21 @@ def align(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B) -> Data
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a_ids array<int>, b_ids array<int>, a_stops array<int>, b_stops array<int>")
 
 
-def _sums(batches):
-    """Rows of texts again, with the sums of the counts that their block's pairs have."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            part = {name: batch.column(name)[k].values for name in ("found", *_LISTS) if batch.column(name)[k].is_valid}
-            first, at, times = (part[name].to_numpy() for name in ("first", "at", "times"))
-            count, best = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, bool)
-            if "found" in part:
-                place = part["found"].field("pos").to_numpy()
-                count[place], best[place] = part["found"].field("n_docs").to_numpy(), part["found"].field("best").to_numpy(zero_copy_only=False)
-            run = [np.append(0, np.cumsum(times * x[at])) for x in (best, count)]
-            yield pa.RecordBatch.from_arrays(
-                [*(part[name] for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *(pa.array(np.diff(r[first]), pa.int64()) for r in run), part["groups_sha256"]],
-                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-            )
+def _sums(lists: pa.Table, found: pa.Table) -> pa.Table:
+    """Rows of a block's texts again, with the sums of the counts that the block's pairs have."""
+    part = {name: lists.column(name)[0].values for name in _LISTS}
+    first = part["first"].to_numpy()
+    at, times = (_unpack(lists.column(name)[0].as_py(), int(first[-1])) for name in _PACKED)
+    place, sums = found.column("pos").to_numpy(), []
+    for name in ("best", "n_docs"):
+        of_pair = np.zeros(len(place), np.int64)
+        of_pair[place] = found.column(name).to_numpy()
+        run = np.append(0, np.cumsum(times * of_pair[at]))
+        sums.append(pa.array(np.diff(run[first]), pa.int64()))
+    return pa.Table.from_arrays(
+        [*(part[name] for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, part["groups_sha256"]],
+        ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    )
 
 
 def digest(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -317,9 +330,9 @@ def digest(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, block_
     """
     aligned = blocks(docs, a, b, block_bytes)
     counts = cut(link_counts(aligned).select((F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")).alias("pair"), "n_docs", "best"))
-    asked = aligned.select("block", F.posexplode("pairs").alias("pos", "pair"))
-    found = asked.join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("pos", "n_docs", "best")).alias("found"))
+    asked = aligned.select(F.col("block").alias("asker"), F.posexplode("pairs").alias("pos", "pair"))
+    found = asked.join(counts, "pair").select("asker", "pos", "n_docs", "best")
     return (
-        aligned.select("block", *_LISTS).join(found, "block", "left")
-        .mapInArrow(_sums, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+        aligned.select("block", *_LISTS, *_PACKED).groupBy("block").cogroup(found.groupBy("asker"))
+        .applyInArrow(_sums, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     )

@@ -44,18 +44,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later steps start from the files: a lost executor costs one task of a later
-    step, never the steps before, and each value is computed once.
+    step, never the steps before, and each value is computed once. Tasks hold a
+    row group at once when they write and read; ``group_rows`` is for long rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowjobs-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     if (scratch := _SCRATCH.get()) is not None:
         scratch.folders.append(path)
-    df.write.parquet(path)
+    writer = df.write if group_rows is None else df.write.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if scratch is not None:
         # The list of the folder's files, which every DataFrame made from this one holds.

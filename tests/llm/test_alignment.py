@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from flowjobs.llm import alignment
@@ -127,3 +128,32 @@ def test_large_groups_pair_each_id_once():
     for chunk in (1, 5, 1000):
         row, key, times = alignment.linked_pairs(x, chunk)
         assert dict(zip(key.tolist(), times.tolist(), strict=True)) == want and (row == 0).all()
+
+
+def test_a_task_holds_few_blocks_at_once(make):
+    """Blocks are long rows: files have small row groups, links take few bytes, and no task collects the counts of many blocks."""
+    docs = make([(i, f"text number {i} of some, aaaaaaaaaaaaaaaaa {'é' * (i % 40)}") for i in range(400)]).coalesce(1)
+    aligned = alignment.blocks(docs, block_bytes=500)
+    groups = []
+    for f in aligned.inputFiles():
+        data = pq.ParquetFile(f.removeprefix("file://")).metadata
+        groups += [data.row_group(k).num_rows for k in range(data.num_row_groups)]
+    assert sum(groups) == aligned.count() > 40 and max(groups) <= 16
+    for r in aligned.collect():
+        assert len(r["at"]) <= 2 * r["first"][-1] and len(r["times"]) <= 2 * r["first"][-1]
+    assert "collect_list" not in alignment.digest(docs, block_bytes=500)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packed_links_come_back():
+    for top in (0, 255, 256, (1 << 16) - 1, 1 << 16, (1 << 32) - 1, 1 << 32, (1 << 62) + 1):
+        values = np.array([0, 1, top], np.int64)
+        got = alignment._unpack(alignment._pack(values)[0].as_py(), 3)
+        assert got.dtype == np.int64 and got.tolist() == values.tolist()
+    assert alignment._unpack(alignment._pack(np.zeros(0, np.int64))[0].as_py(), 0).tolist() == []
+
+
+def test_a_pair_many_times_in_a_text(make, tools):
+    docs = [(1, "the same " * 400), (2, "the same text"), (3, None)]
+    block = alignment.blocks(make(docs).coalesce(1)).collect()
+    assert len(block) == 1 and len(block[0]["times"]) == 2 * block[0]["first"][-1] and len(block[0]["at"]) == block[0]["first"][-1]
+    assert rows_of(alignment.digest(make(docs).coalesce(1))) == brute(tools, docs)
